@@ -151,3 +151,38 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     """A list column with counts[i] successive values in row i."""
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def in_row(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Keys that agree only within one row."""
+    return mix64(hashes + mix64(rows.astype(np.uint64) + _U(0x5BD1E995)))
+
+
+def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place: whether its key occurs more than once, and whether the same key occurs before it."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    before, twice = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    before[order[1:]] = same
+    twice[order[1:]] |= same
+    twice[order[:-1]] |= same
+    return twice, before
+
+
+@dataclass
+class Lines:
+    """Lines (parts between line feeds) that hold a word: byte spans, row, first and past-last word index."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    rows: np.ndarray
+    word_from: np.ndarray
+    word_to: np.ndarray
+
+
+def lines(w: Words) -> Lines:
+    starts, ends, first = spans(w.data != 0x0A, w.offs)
+    rows = np.repeat(np.arange(len(w.offs) - 1), np.diff(first))
+    a, b = np.searchsorted(w.starts, starts), np.searchsorted(w.starts, ends)
+    full = b > a
+    return Lines(starts[full], ends[full], rows[full], a[full], b[full])

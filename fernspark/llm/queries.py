@@ -5,13 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, packing, sharding
+from . import chat, exact_dedup, lm_scoring, packing, quality_classifier, quality_rules, sharding
 from ._spark import documents
 
 #: Both turns of conversation -1.
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.quality_rules(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled good and not toxic. Background: all documents."""
+    docs = documents(spark, sf_dir)
+    good = _labels(spark, sf_dir).filter("quality = 1 AND toxic = 0").select("doc_id").distinct()
+    return lm_scoring.score_documents(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"), docs)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_classifier.classify(documents(spark, sf_dir).select("doc_id", "text"), _labels(spark, sf_dir))
+    return scored.select("doc_id", (quality_classifier.fold() == 2).alias("held_out"), "score", "predicted")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -32,7 +53,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.unionByName(probe)))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op8_packing, op9_sharding, op10_chat)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_lm_scoring, op4_exact_dedup, op7_quality_classifier, op8_packing, op9_sharding, op10_chat)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""

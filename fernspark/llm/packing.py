@@ -10,6 +10,7 @@ array per task, and padding does not depend on the number of partitions.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,9 @@ WINDOW = 2048
 END_ID = 1
 PIECES = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 #: Distinct words that a task remembers the ids of, before it starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 600_000
+#: Words handed to the library at once.
+ENCODE_WORDS = 8192
 
 
 class WordEncoder:
@@ -35,6 +38,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -48,10 +52,12 @@ class WordEncoder:
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         if len(self.keys) + len(keys) > CACHE_WORDS:
             raise OverflowError
-        coded = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        coded: list[np.ndarray] = []
+        for k in range(0, len(texts), ENCODE_WORDS):  # what the library returns for a word is far larger than its ids
+            coded += [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts[k : k + ENCODE_WORDS], add_special_tokens=False)]
         size = np.fromiter(map(len, coded), np.int64, len(coded))
         at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in coded for i in x), np.uint32, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, *coded])
         order = np.argsort(keys := np.concatenate([self.keys, keys]), kind="stable")
         self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
 

@@ -1,0 +1,28 @@
+"""Connected components of an edge table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._spark import staged
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (smallest node reachable) for every node of edges (a, b: long).
+
+    Labels spread along edges and jump to their label's label, so that rounds grow with the logarithm of path lengths;
+    each round is written to the shared folder, and only a count of changes comes to the driver.
+    """
+    edges = edges.select("a", "b").filter("a <> b")
+    both = staged(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    while True:
+        heard = both.join(labels, both["a"] == labels["node"]).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
+        new = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        # The next label is at least as small, since a label never exceeds its node.
+        new = staged(new.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")), "labels")
+        if not new.filter("old <> label").limit(1).count():
+            return new.select("node", F.col("label").alias("component"))
+        labels = new.select("node", "label")

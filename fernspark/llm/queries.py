@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, lm_scoring, packing, quality_classifier, quality_rules, sharding
+from . import chat, exact_dedup, lm_scoring, minhash, packing, quality_classifier, quality_rules, sharding
 from ._spark import documents
 
 #: Both turns of conversation -1.
@@ -16,6 +16,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
@@ -53,9 +57,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.unionByName(probe)))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_lm_scoring, op4_exact_dedup, op7_quality_classifier, op8_packing, op9_sharding, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality_rules, op3_lm_scoring, op4_exact_dedup, op7_quality_classifier, op8_packing, op9_sharding, op10_chat)}
 
 ORACLE_SQL = {
+    "op1_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT r.d, l.b FROM r JOIN l ON l.a = r.r)
+SELECT d AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r) AS component_id, d = min(r) AS kept
+FROM r LEFT JOIN n ON n.doc_id = d GROUP BY d""",
     "op4_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

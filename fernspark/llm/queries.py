@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, lm_scoring, minhash, packing, quality_classifier, quality_rules, sharding, substring_dedup
+from . import chat, exact_dedup, lm_scoring, minhash, packing, quality_classifier, quality_rules, sampling, sharding, substring_dedup
 from ._spark import documents
 
 #: Both turns of conversation -1.
@@ -32,6 +32,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"), docs)
 
 
+def op5_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_digests(sampling.sample_encodings(documents(spark, sf_dir)))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(documents(spark, sf_dir))
 
@@ -61,7 +65,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.unionByName(probe)))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality_rules, op3_lm_scoring, op4_exact_dedup, op6_substring_dedup, op7_quality_classifier, op8_packing, op9_sharding, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality_rules, op3_lm_scoring, op4_exact_dedup, op5_sampling, op6_substring_dedup, op7_quality_classifier, op8_packing, op9_sharding, op10_chat)}
 
 ORACLE_SQL = {
     "op1_minhash": r"""

@@ -291,7 +291,11 @@ def united(spans: DataFrame, min_words: int = MIN_WORDS, min_part: int = MIN_PAR
 
 
 def cut_spans(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """docs with the passages' words (and the white space after them) taken out of text; n_chars, if there, is counted anew."""
+    """docs with the passages' words (and the white space after them) taken out of text; n_chars, if there, is counted anew.
+
+    Documents of which no word is left are dropped; documents without passages stay as they are, empty ones too. Spans
+    beyond a row's words (of another row under the same identifier) are cut off at its end.
+    """
     names = docs.columns
     cuts = staged(passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts")).withColumnRenamed("doc_id", "__doc"), "cuts")
     few = cuts.count() <= 50_000
@@ -305,11 +309,14 @@ def cut_spans(docs: DataFrame, passages: DataFrame) -> DataFrame:
             columns = list(b.columns[:at])
             if hit:
                 texts = b.column(text).to_pylist()
+                hit = [k for k in hit if texts[k] is not None]
                 for k in hit:
                     raw = texts[k].encode()
                     w = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
                     keep, done = [], 0
                     for s in spans[k]:
+                        if s["start"] >= len(w.starts):
+                            break
                         keep.append(raw[done : w.starts[s["start"]]])
                         done = w.starts[s["end"]] if s["end"] < len(w.starts) else len(raw)
                     texts[k] = b"".join([*keep, raw[done:]]).decode()
@@ -319,6 +326,9 @@ def cut_spans(docs: DataFrame, passages: DataFrame) -> DataFrame:
                     for k in hit:
                         n[k] = len(texts[k])
                     columns[names.index("n_chars")] = pa.array(n, b.schema.field(names.index("n_chars")).type)
+                gone = {k for k in hit if not texts[k].strip(" \t\n\v\f\r")}
+                stay = pa.array([k not in gone for k in range(b.num_rows)])
+                columns = [c.filter(stay) for c in columns]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return marked.mapInArrow(run, docs.schema)

@@ -407,7 +407,7 @@ def sample_encodings(docs: DataFrame, samples: int = SAMPLES, seed: int = 0, mod
                 ids, n = s.ids(p)
                 some = np.flatnonzero(p.value > -np.inf)
                 logp = segment_sums(lattices.logq[p.edge], np.concatenate([[0], np.cumsum(p.counts)]))[some] + 0.0
-                with np.errstate(over="ignore"):
+                with np.errstate(over="ignore", divide="ignore"):
                     z = logp - kappa[some]
                     inclusion = np.where(z < -30, z, np.log(-np.expm1(-np.exp(np.minimum(z, 700)))))
                 width = spell[ids]

@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kernels import blocks, run_hashes, text_buffers, words
+from ._kernels import WHITE, blocks, run_hashes, text_buffers, words
 
 WINDOW = 2048
 END_ID = 1
@@ -31,10 +32,25 @@ CACHE_WORDS = 600_000
 ENCODE_WORDS = 8192
 
 
+#: Bytes of letters: A-Z, a-z, and both bytes of U+00C0 to U+00FF but the signs U+00D7 and U+00F7.
+_ASCII_LETTER = np.array([chr(b).isalpha() for b in range(128)] + [False] * 128)
+_LATIN_TAIL = np.array([0x80 <= b < 0xC0 and b not in (0x97, 0xB7) for b in range(256)])
+
+
+def byte_alphabet() -> dict[int, int]:
+    """How byte-level BPE spells bytes as characters: printable ones as they are, others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+
+
 class WordEncoder:
-    """Ids of whole texts from ids of white-space separated words, each distinct word encoded once.
+    """Ids of whole texts from ids of their parts, each distinct part encoded once.
 
-    Right for tokenizers whose pieces never span ASCII white space, as with word-level pre-tokenizers.
+    For tokenizers that lower letters, never let a piece span ASCII white space, and split runs of letters from all else
+    (word_bpe_49k). A white-space separated word is cut into runs of letters and runs of other ASCII characters. Runs of
+    letters go to the model as its pre-tokenizer would hand them over; other runs, and whole words with an apostrophe, a
+    less-than sign (special tokens) or other characters, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -42,6 +58,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.spelling = byte_alphabet()
         self.clear()
 
     def clear(self) -> None:
@@ -49,46 +66,67 @@ class WordEncoder:
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) + len(keys) > CACHE_WORDS:
-            raise OverflowError
-        coded: list[np.ndarray] = []
-        for k in range(0, len(texts), ENCODE_WORDS):  # what the library returns for a word is far larger than its ids
-            coded += [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts[k : k + ENCODE_WORDS], add_special_tokens=False)]
+    def parts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The block with letters of letter runs lowered; starts, ends and whether letters of all parts; each row's first part."""
+        w = words(data, offs)
+        tail = np.zeros(len(data), bool)
+        tail[1:] = (data[:-1] == 0xC3) & _LATIN_TAIL[data[1:]]
+        letter = _ASCII_LETTER[data] | tail
+        letter[:-1] |= tail[1:]
+        odd = (data == 0x27) | (data == 0x3C) | ((data >= 0x80) & ~letter)
+        total = np.concatenate([[0], np.cumsum(odd, dtype=np.int64)])
+        strange = total[w.ends] > total[w.starts]
+        inside = np.zeros(len(data) + 1, np.int8)
+        np.add.at(inside, w.starts[strange], 1)
+        np.add.at(inside, w.ends[strange], -1)
+        letter &= np.cumsum(inside[:-1]) == 0
+        start, end = np.zeros(len(data), bool), np.zeros(len(data) + 1, bool)
+        start[w.starts], end[w.ends] = True, True
+        change = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        change = change[~(WHITE[data[change]] | WHITE[data[change - 1]])]
+        start[change], end[change] = True, True
+        starts, ends = np.flatnonzero(start), np.flatnonzero(end)
+        low = np.where(letter & ((data >= 65) & (data <= 90) | tail & (data >= 0x80) & (data <= 0x9E)), data + 32, data)
+        return low, starts, ends, letter[starts], np.searchsorted(starts, offs)
+
+    def _learn(self, keys: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray) -> None:
+        coded: list[list[int]] = [[]] * len(keys)
+        tokenize = self.tokenizer.model.tokenize
+        for k in np.flatnonzero(letters).tolist():
+            coded[k] = [t.id for t in tokenize(raw[starts[k] : ends[k]].decode("latin-1").translate(self.spelling))]
+        rest = np.flatnonzero(~letters).tolist()
+        for k in range(0, len(rest), ENCODE_WORDS):  # what the library returns for a word is far larger than its ids
+            some = rest[k : k + ENCODE_WORDS]
+            for i, x in zip(some, self.tokenizer.encode_batch_fast([raw[starts[i] : ends[i]].decode() for i in some], add_special_tokens=False)):
+                coded[i] = x.ids
         size = np.fromiter(map(len, coded), np.int64, len(coded))
         at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, *coded])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(coded), np.uint32, int(size.sum()))])
         order = np.argsort(keys := np.concatenate([self.keys, keys]), kind="stable")
         self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and the offset of each row in them."""
-        w = words(data, offs)
-        keys, first, which = np.unique(run_hashes(data, w.starts, w.ends, 8), return_index=True, return_inverse=True)
-        known = self._known(keys)
-        new = np.flatnonzero(~known)
-        if len(new):
-            raw = data.tobytes()
-            texts = lambda some: [raw[w.starts[i] : w.ends[i]].decode() for i in first[some]]
-            try:
-                self._learn(keys[new], texts(new))
-            except OverflowError:
-                self.clear()
-                limit = globals()["CACHE_WORDS"]
-                globals()["CACHE_WORDS"] = max(limit, len(keys))
-                self._learn(keys, texts(np.arange(len(keys))))
-                globals()["CACHE_WORDS"] = limit
+        low, starts, ends, letters, row_first = self.parts(data, offs)
+        keys = run_hashes(low, starts, ends, 8)
+        keys, first, which = np.unique(np.where(letters, keys, ~keys), return_index=True, return_inverse=True)
+        new = self._unknown(keys)
+        if len(self.keys) + new.sum() > CACHE_WORDS and len(self.keys):
+            self.clear()
+            new[:] = True
+        if new.any():
+            at = first[new]
+            self._learn(keys[new], low.tobytes(), starts[at], ends[at], letters[at])
         place = np.searchsorted(self.keys, keys)
         size, at = self.size[place][which], self.at[place][which]
         end = np.cumsum(size)
         ids = self.ids[np.arange(end[-1] if len(end) else 0) + np.repeat(at - (end - size), size)]
-        return ids, np.concatenate([[0], end])[w.first]
+        return ids, np.concatenate([[0], end])[row_first]
 
-    def _known(self, keys: np.ndarray) -> np.ndarray:
+    def _unknown(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
-            return np.zeros(len(keys), bool)
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[place] == keys
+            return np.ones(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
 
 
 class Packer:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import search_queries
+from . import ingest_queries, search_queries
 
-MODULES = [search_queries]
+MODULES = [search_queries, ingest_queries]
 
 
 def queries() -> dict:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashes import fingerprint
 from ..operators import ops, profiles, sync
-from .search_queries import _MILES
+from .search_queries import _BORDER_SQL, _MILES
 from .views import view, with_views
 
 RUN_AT = "1999-01-01 00:00:00"
@@ -207,7 +207,7 @@ _TOTALS = f"""{with_views('saved', 'listings')}, a AS (SELECT user_id AS search_
 p AS (SELECT pet_id, species, lat, lon FROM listings WHERE status = 'available'),
 t AS (SELECT a.search_id, a.last_seen_total, count(p.pet_id) AS total FROM a LEFT JOIN p ON p.species = a.species AND (a.lat IS NULL OR {_MILES.format(lat='p.lat', lon='p.lon', a='a.lat', b='a.lon')} <= a.radius) GROUP BY ALL)"""
 _RICH = f"""{with_views('saved')}, r AS (SELECT user_id, CASE WHEN user_id % 7 <> 0 THEN species END AS species, CASE WHEN user_id % 3 = 0 THEN 'baby,senior' END AS age_group, CASE WHEN user_id % 4 = 0 THEN 's,m' END AS size, CASE WHEN user_id % 5 = 0 THEN 'Lab' END AS breed,
-  CASE WHEN user_id % 6 = 0 THEN 'male' END AS sex, CASE WHEN user_id % 8 = 0 THEN 'kids,dogs' END AS good_with, CASE WHEN user_id % 10 = 0 THEN 'low' END AS energy, radius, CASE WHEN user_id % 13 = 0 THEN '95616' END AS zip FROM saved)"""
+  CASE WHEN user_id % 6 = 0 THEN 'male' END AS sex, CASE WHEN user_id % 8 = 0 THEN 'kids,dogs' END AS good_with, CASE WHEN user_id % 10 = 0 THEN 'low' END AS energy, radius, CASE WHEN user_id % 13 = 0 THEN '95616' END AS zip, lat, lon FROM saved)"""
 _PROF = f"""{with_views('profiles', 'listings')}, q AS (SELECT user_id, home, kids, CASE segment WHEN 'BUILDING' THEN 'dogs' WHEN 'MACHINERY' THEN 'cats' WHEN 'HOUSEHOLD' THEN 'both' ELSE 'none' END AS pets, ['couch', 'walks', 'runs', 'adventures'][user_id % 4 + 1] AS activity FROM profiles)"""
 _ABOUT = lambda cond, col, good, ask, check: f"CASE WHEN {cond} THEN CASE {col} WHEN 'true' THEN 'good: Good fit: {good}' WHEN 'unknown' THEN 'check: Ask the shelter: {ask}' ELSE 'check: Check with the shelter: {check}' END END"
 
@@ -246,7 +246,7 @@ SELECT pet_id, count(*) AS reporters, min(t) AS first_at, max(t) AS last_at FROM
     active_filters: f"{_RICH} SELECT user_id, CAST((breed IS NOT NULL)::INT + (size IS NOT NULL)::INT + (sex IS NOT NULL)::INT + (good_with IS NOT NULL)::INT + (user_id % 2 <> 0)::INT AS INTEGER) AS n FROM r",
     search_key: f"""{_RICH} SELECT user_id, concat_ws('&', 'age_group=' || age_group, 'breed=' || breed, 'energy=' || energy, 'good_with=' || good_with, 'radius=' || radius, 'sex=' || sex, 'size=' || size, 'species=' || species, 'zip=' || zip) AS search_key FROM r""",
     search_label: f"""{_RICH} SELECT user_id, concat_ws(' · ', CASE WHEN species IS NULL THEN 'All pets' WHEN species = 'other' THEN 'Other pets' ELSE upper(species[1]) || species[2:] || 's' END, CASE WHEN age_group IS NOT NULL THEN 'Baby/Senior' END, CASE WHEN size IS NOT NULL THEN 'size S/M' END,
-  CASE WHEN energy IS NOT NULL THEN 'low energy' END, CASE WHEN good_with IS NOT NULL THEN 'good with kids & dogs' END, CASE WHEN zip IS NOT NULL THEN 'within ' || radius || ' mi of ' || zip WHEN user_id % 4 <> 0 THEN 'within ' || radius || ' mi of you' END) AS label FROM r""",
+  CASE WHEN energy IS NOT NULL THEN 'low energy' END, CASE WHEN good_with IS NOT NULL THEN 'good with kids & dogs' END, CASE WHEN zip IS NOT NULL THEN 'within ' || radius || ' mi of ' || zip WHEN user_id % 4 <> 0 AND ({_BORDER_SQL}) THEN 'within ' || CASE radius WHEN 10 THEN 15 WHEN 25 THEN 40 WHEN 50 THEN 80 ELSE 160 END || ' km of you' WHEN user_id % 4 <> 0 THEN 'within ' || radius || ' mi of you' END) AS label FROM r""",
     saved_searches_kept: f"""{_RUNS}, e AS (SELECT run_id % 50 AS user_id, 'species=' || source || '&k=' || run_id % 7 AS params, finished_at AS created_at, CAST(run_id AS VARCHAR) AS label FROM runs),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, params ORDER BY created_at, label) AS k FROM e) WHERE k = 1),
 g AS (SELECT user_id, params, label, CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, params) AS INTEGER) AS rank FROM f) SELECT * FROM g WHERE rank <= 3""",

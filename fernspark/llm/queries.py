@@ -29,7 +29,8 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled good and not toxic. Background: all documents."""
     docs = documents(spark, sf_dir)
     good = _labels(spark, sf_dir).filter("quality = 1 AND toxic = 0").select("doc_id").distinct()
-    return lm_scoring.score_documents(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"), docs)
+    few = good.count() <= 200_000  # 1.6 MB of identifiers
+    return lm_scoring.score_documents(docs, docs.select("doc_id", "text").join(F.broadcast(good) if few else good, "doc_id", "left_semi"), docs)
 
 
 def op5_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

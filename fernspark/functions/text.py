@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where value is worked out once however often body uses it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_null(c: Column) -> Column:
     return F.when(c != "", c)
 
@@ -82,16 +87,16 @@ def clean_name(c: Column) -> Column:
 def trigrams(c: Column) -> Column:
     """The set of three-letter runs of the whole text, with two spaces before and one after."""
     padded = F.concat(F.lit("  "), squeeze(F.lower(c)), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
+    return let(padded, lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3)))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return shared / (F.size(a) + F.size(b) - shared)
+    """Of two sets given as columns, which should be plain ones: each is read twice."""
+    return let(F.size(F.array_intersect(a, b)), lambda shared: shared / (F.size(a) + F.size(b) - shared))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
-    return jaccard(trigrams(a), trigrams(b))
+    return let(F.struct(trigrams(a).alias("a"), trigrams(b).alias("b")), lambda t: jaccard(t["a"], t["b"]))
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
@@ -99,6 +104,10 @@ def jaro_winkler(a: Column, b: Column) -> Column:
 
     A fold over the letters of `a` marks, for each, the first free equal letter of `b` within the window.
     """
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda t: _jaro_winkler(t["a"], t["b"]))
+
+
+def _jaro_winkler(a: Column, b: Column) -> Column:
     la, lb = F.length(a), F.length(b)
     window = F.greatest(F.lit(0), F.floor(F.greatest(la, lb) / 2).cast("int") - 1)
     start = F.struct(F.repeat(F.lit("0"), lb).alias("mask"), F.lit("").alias("hit"))
@@ -107,7 +116,7 @@ def jaro_winkler(a: Column, b: Column) -> Column:
         low, high = F.greatest(F.lit(1), i - window), F.least(lb, i + window)
         near = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
         letter = F.substring(a, i, F.lit(1))
-        j = F.element_at(F.filter(near, lambda j: (F.substring(state["mask"], j, F.lit(1)) == "0") & (F.substring(b, j, F.lit(1)) == letter)), 1)
+        j = F.get(F.filter(near, lambda j: (F.substring(state["mask"], j, F.lit(1)) == "0") & (F.substring(b, j, F.lit(1)) == letter)), F.lit(0))
         taken = F.concat(F.substring(state["mask"], F.lit(1), j - 1), F.lit("1"), F.substring(state["mask"], j + 1, lb))
         return F.struct(F.when(j.isNull(), state["mask"]).otherwise(taken).alias("mask"), F.when(j.isNull(), state["hit"]).otherwise(F.concat(state["hit"], letter)).alias("hit"))
 

@@ -29,7 +29,9 @@ from ._kernels import blocks, list_array, mix64, run_hashes, segment_sums, text_
 
 SAMPLES = 2
 #: Distinct words whose lattices a task remembers before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+#: Bytes of text sampled at once; a byte takes some hundred bytes of working arrays.
+SAMPLE_BYTES = 1 << 20
 _U = np.uint64
 _MULT = _U(0x100000001B3)
 
@@ -99,7 +101,7 @@ class Lattices:
     def clear(self) -> None:
         self.keys, self.base = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # a word's first node
         self.first = np.zeros(1, np.int64)  # a node's first edge
-        self.size, self.piece, self.logq = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
+        self.size, self.piece, self.logq = np.zeros(0, np.int8), np.zeros(0, np.int32), np.zeros(0, np.float32)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """First node of each word."""
@@ -153,10 +155,9 @@ class Lattices:
         count = np.bincount(node[at], minlength=int((n + 1).sum()))
         edges, nodes = len(self.size), len(self.first) - 1
         self.first = np.concatenate([self.first, edges + np.cumsum(count)])
-        self.size, self.piece, self.logq = np.concatenate([self.size, size]), np.concatenate([self.piece, piece]), np.concatenate([self.logq, logq])
-        keys, base = np.concatenate([self.keys, keys]), np.concatenate([self.base, base + nodes])
-        order = np.argsort(keys)
-        self.keys, self.base = keys[order], base[order]
+        self.size, self.piece, self.logq = np.concatenate([self.size, size.astype(np.int8)]), np.concatenate([self.piece, piece]), np.concatenate([self.logq, logq.astype(np.float32)])
+        place = np.searchsorted(self.keys, keys)  # both are sorted
+        self.keys, self.base = np.insert(self.keys, place, keys), np.insert(self.base, place, base + nodes)
 
 
 def uniform(seed: np.ndarray, sample: int, place: np.ndarray, purpose: int) -> np.ndarray:
@@ -177,7 +178,6 @@ class Paths:
     counts: np.ndarray
     edge: np.ndarray
     place: np.ndarray
-    node: np.ndarray
     other: np.ndarray  # perturbed value of all other branches at each step
     value: np.ndarray  # by row; -inf: no such sample
 
@@ -198,8 +198,8 @@ class Sampler:
         self.row = np.repeat(np.arange(self.n), np.diff(self.unit_first))
         self.base = lattices.words(self.data, self.starts, self.ends) if len(self.starts) else np.zeros(0, np.int64)
 
-    def _walk(self, units: np.ndarray, skip: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Samples pieces of the given units from `skip` bytes on: pieces of each unit, and per step edge and place."""
+    def _walk(self, units: np.ndarray, skip: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Samples pieces of the given units from `skip` bytes on: pieces of each unit, and per step edge, place and whether it was the only one."""
         size, first, logq = self.l.size, self.l.first, self.l.logq
         length = self.ends[units] - self.starts[units]
         live, at = np.flatnonzero(skip < length), skip.copy()
@@ -214,43 +214,44 @@ class Sampler:
                 edge[more] += 1
                 left[more] -= np.exp(logq[edge[more]])
                 more = more[(left[more] > 0) & (edge[more] < last[more])]
-            steps.append((live, edge, place))
+            steps.append((live, edge, place, last == first[node]))
             counts[live] += 1
             at[live] += size[edge]
             live = live[at[live] < length[live]]
         begin = np.cumsum(counts) - counts
-        edge, place = np.zeros(int(counts.sum()), np.int64), np.zeros(int(counts.sum()), np.int64)
-        for t, (live, e, p) in enumerate(steps):
-            edge[begin[live] + t], place[begin[live] + t] = e, p
-        return counts, edge, place
-
-    def _others(self, path: Paths, sample: int, since: np.ndarray) -> None:
+        n = int(counts.sum())
+        edge, place, alone = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        for t, (live, *found) in enumerate(steps):
+            for out, x in zip((edge, place, alone), found):
+                out[begin[live] + t] = x
+        return counts, edge, place, alone
+
+    def _others(self, path: Paths, sample: int, since: np.ndarray, alone: np.ndarray) -> None:
         """Fills `other` for the steps of each row from its step number `since` on; the rest stays -inf."""
-        logq = self.l.logq[path.edge]
+        logq = self.l.logq[path.edge].astype(np.float64)
         row = np.repeat(np.arange(self.n), path.counts)
         first = np.concatenate([[0], np.cumsum(path.counts)])
         total = np.cumsum(logq) - logq
         before = total - total[np.minimum(first[row], max(len(total) - 1, 0))]
         with np.errstate(divide="ignore", invalid="ignore"):
-            rest = np.log(-np.expm1(np.minimum(logq, 0)))
-            rest[logq > -1e-12] = -np.inf
+            rest = np.log(np.maximum(-np.expm1(logq), 1e-12))  # rounding must not close a node that has other branches
+            rest[alone] = -np.inf
             x = truncated(before + rest, path.value[row], uniform(self.seed[row], sample, path.place - self.offs[row], 1))
         own = np.arange(len(row)) - first[row] >= since[row]
         path.other = np.where(own & (rest > -np.inf), x, -np.inf)
-        path.node = self._nodes(path)
 
-    def _nodes(self, path: Paths) -> np.ndarray:
-        unit = np.searchsorted(self.starts, path.place, side="right") - 1
-        return self.base[unit] + path.place - self.starts[unit]
+    def _nodes(self, place: np.ndarray) -> np.ndarray:
+        unit = np.searchsorted(self.starts, place, side="right") - 1
+        return self.base[unit] + place - self.starts[unit]
 
     def run(self, k: int) -> tuple[list[Paths], np.ndarray]:
         """Up to k samples of each row, and kappa."""
         zero = np.zeros(self.n, np.int64)
-        counts, edge, place = self._walk(np.arange(len(self.starts)), np.zeros(len(self.starts), np.int64), 0)
+        counts, edge, place, alone = self._walk(np.arange(len(self.starts)), np.zeros(len(self.starts), np.int64), 0)
         per_row = segment_sums(counts, self.unit_first)
         root = -np.log(-np.log(uniform(self.seed, 0, zero, 2)))
-        paths = [Paths(per_row, edge, place, edge, edge, root)]
-        self._others(paths[0], 0, zero)
+        paths = [Paths(per_row, edge, place, edge, root)]
+        self._others(paths[0], 0, zero, alone)
         taken: list[list[tuple]] = [[]]  # by path: (rows, step, edge) of branches opened there
         for sample in range(1, k + 1):
             best, parent, step = np.full(self.n, -np.inf), zero.copy(), zero.copy()
@@ -282,7 +283,7 @@ class Sampler:
                 continue
             begin = np.concatenate([[0], np.cumsum(path.counts)])
             at = begin[own] + step[own]
-            node = path.node[at]
+            node = self._nodes(path.place[at])
             degree = first[node + 1] - first[node]
             wide = int(degree.max())
             cell = np.minimum(first[node][:, None] + np.arange(wide), first[node + 1][:, None] - 1)
@@ -307,17 +308,17 @@ class Sampler:
             alt_edge[own], alt_place[own] = chosen, path.place[at]
             taken[p].append((own, step[own].copy(), chosen))
             # What is left of the node: the other branches but this one, below the value just opened.
-            left = mass - prob[np.arange(len(own)), pick]
-            log_before = np.concatenate([[0.0], np.cumsum(logq[path.edge])])
+            left = np.maximum(mass - prob[np.arange(len(own)), pick], 1e-12)
+            more = (prob > 0).sum(1) > 1
+            log_before = np.concatenate([[0.0], np.cumsum(logq[path.edge], dtype=np.float64)])
             before = log_before[at] - log_before[begin[own]]
-            with np.errstate(divide="ignore"):
-                mu = before + np.log(np.maximum(left, 0))
+            mu = before + np.log(left)
             again = truncated(mu, value[own], uniform(self.seed[own], sample, path.place[at] - self.offs[own], 4))
-            path.other[at] = np.where(left > 1e-12, again, -np.inf)
+            path.other[at] = np.where(more, again, -np.inf)
             pieces.append((own, p))
         taken.append([])
         # The new path: the parent's steps before the branch, the branch, then fresh pieces to the end of the row.
-        after = alt_place + size[alt_edge] if len(size) else alt_place
+        after = alt_place + size[alt_edge].astype(np.int64) if len(size) else alt_place
         unit = np.searchsorted(self.starts, np.maximum(alt_place, 0), side="right") - 1
         fresh = np.zeros(len(self.starts), bool)
         skip = np.zeros(len(self.starts), np.int64)
@@ -328,7 +329,7 @@ class Sampler:
         mine = fresh & (index == unit[self.row])
         skip[mine] = (after[self.row] - self.starts)[mine]
         units = np.flatnonzero(fresh)
-        counts, edge, place = self._walk(units, skip[units], sample)
+        counts, edge, place, alone = self._walk(units, skip[units], sample)
         suffix = np.bincount(self.row[units], weights=counts, minlength=self.n).astype(np.int64) if len(units) else np.zeros(self.n, np.int64)
         prefix_count[rows] = step[rows]
         total = np.where(has, prefix_count + 1 + suffix, 0)
@@ -344,8 +345,10 @@ class Sampler:
         out_edge[begin[rows] + step[rows]], out_place[begin[rows] + step[rows]] = alt_edge[rows], alt_place[rows]
         tail = np.repeat(begin + prefix_count + 1, np.where(has, suffix, 0)) + (np.arange(suffix.sum()) - np.repeat(np.cumsum(suffix) - suffix, suffix))
         out_edge[tail], out_place[tail] = edge, place
-        new = Paths(total, out_edge, out_place, out_edge, out_edge, value)
-        self._others(new, sample, np.where(has, step + 1, 0))
+        single = np.ones(len(out_edge), bool)
+        single[tail] = alone
+        new = Paths(total, out_edge, out_place, out_edge, value)
+        self._others(new, sample, np.where(has, step + 1, 0), single)
         return new
 
     def ids(self, path: Paths) -> tuple[np.ndarray, np.ndarray]:
@@ -396,7 +399,7 @@ def sample_encodings(docs: DataFrame, samples: int = SAMPLES, seed: int = 0, mod
 
     def run(batches):
         lattices = _lattices(path)
-        for block in blocks(batches):
+        for block in blocks(batches, limit=SAMPLE_BYTES):
             key = block.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             data, offs = text_buffers(block.column(1))
             s = Sampler(lattices, data, offs, mix64(key + _U(seed)))
@@ -406,7 +409,7 @@ def sample_encodings(docs: DataFrame, samples: int = SAMPLES, seed: int = 0, mod
             for rank, p in enumerate(paths):
                 ids, n = s.ids(p)
                 some = np.flatnonzero(p.value > -np.inf)
-                logp = segment_sums(lattices.logq[p.edge], np.concatenate([[0], np.cumsum(p.counts)]))[some] + 0.0
+                logp = segment_sums(lattices.logq[p.edge].astype(np.float64), np.concatenate([[0], np.cumsum(p.counts)]))[some] + 0.0
                 with np.errstate(over="ignore", divide="ignore"):
                     z = logp - kappa[some]
                     inclusion = np.where(z < -30, z, np.log(-np.expm1(-np.exp(np.minimum(z, 700)))))
@@ -425,6 +428,7 @@ def sample_encodings(docs: DataFrame, samples: int = SAMPLES, seed: int = 0, mod
                     [block.column(0).take(pa.array(some)), pa.array(np.full(len(some), rank + 1, np.int32)), list_array(ids.astype(np.int32), counts, pa.int32()), pa.array(logp), pa.array(p.value[some]), pa.array(inclusion), pa.array(whole)],
                     names=["doc_id", "rank", "ids", "log_prob", "perturbed", "log_inclusion", "round_trip"],
                 )
+        lattices.clear()  # the worker process lives on
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return columns.mapInArrow(run, SAMPLED)

@@ -27,9 +27,11 @@ WINDOW = 2048
 END_ID = 1
 PIECES = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 #: Distinct words that a task remembers the ids of, before it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Words handed to the library at once.
 ENCODE_WORDS = 8192
+#: Bytes of text encoded at once.
+ENCODE_BYTES = 2 << 20
 
 
 #: Bytes of letters: A-Z, a-z, and both bytes of U+00C0 to U+00FF but the signs U+00D7 and U+00F7.
@@ -102,8 +104,8 @@ class WordEncoder:
         size = np.fromiter(map(len, coded), np.int64, len(coded))
         at = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(coded), np.uint32, int(size.sum()))])
-        order = np.argsort(keys := np.concatenate([self.keys, keys]), kind="stable")
-        self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        place = np.searchsorted(self.keys, keys)  # both are sorted
+        self.keys, self.at, self.size = (np.insert(old, place, x) for old, x in ((self.keys, keys), (self.at, at), (self.size, size)))
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and the offset of each row in them."""
@@ -206,7 +208,7 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, window: int, en
         out.clear()
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    for block in blocks(batches):
+    for block in blocks(batches, limit=ENCODE_BYTES):
         ids, at = encoder.encode(*text_buffers(block.column(1)))
         for k, doc_id in enumerate(block.column(0).to_pylist()):
             own = np.append(ids[at[k] : at[k + 1]], np.uint32(end_id))
@@ -220,6 +222,7 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, window: int, en
             number += 1
         if out:
             yield batch()
+    encoder.clear()  # the worker process lives on
     for pieces in packer.rest():
         emit(pieces)
     if out:

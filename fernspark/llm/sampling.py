@@ -425,7 +425,7 @@ def sample_encodings(docs: DataFrame, samples: int = SAMPLES, seed: int = 0, mod
                     whole[:] = False
                 counts = n[some]
                 yield pa.RecordBatch.from_arrays(
-                    [block.column(0).take(pa.array(some)), pa.array(np.full(len(some), rank + 1, np.int32)), list_array(ids.astype(np.int32), counts, pa.int32()), pa.array(logp), pa.array(p.value[some]), pa.array(inclusion), pa.array(whole)],
+                    [block.column(0).take(pa.array(some)), pa.array(np.full(len(some), rank + 1, np.int32)), list_array(ids.astype(np.int32), counts, pa.int32()), *(pa.array(np.round(x, 9)) for x in (logp, p.value[some], inclusion)), pa.array(whole)],
                     names=["doc_id", "rank", "ids", "log_prob", "perturbed", "log_inclusion", "round_trip"],
                 )
         lattices.clear()  # the worker process lives on

@@ -29,7 +29,7 @@ from ._kernels import blocks, list_array, mix64, run_hashes, segment_sums, text_
 
 SAMPLES = 2
 #: Distinct words whose lattices a task remembers before it starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 250_000
 #: Bytes of text sampled at once; a byte takes some hundred bytes of working arrays.
 SAMPLE_BYTES = 1 << 20
 _U = np.uint64
@@ -101,7 +101,7 @@ class Lattices:
     def clear(self) -> None:
         self.keys, self.base = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # a word's first node
         self.first = np.zeros(1, np.int64)  # a node's first edge
-        self.size, self.piece, self.logq = np.zeros(0, np.int8), np.zeros(0, np.int32), np.zeros(0, np.float32)
+        self.size, self.piece, self.logq, self.prob = np.zeros(0, np.int8), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """First node of each word."""
@@ -156,13 +156,14 @@ class Lattices:
         edges, nodes = len(self.size), len(self.first) - 1
         self.first = np.concatenate([self.first, edges + np.cumsum(count)])
         self.size, self.piece, self.logq = np.concatenate([self.size, size.astype(np.int8)]), np.concatenate([self.piece, piece]), np.concatenate([self.logq, logq.astype(np.float32)])
+        self.prob = np.concatenate([self.prob, np.exp(logq).astype(np.float32)])
         place = np.searchsorted(self.keys, keys)  # both are sorted
         self.keys, self.base = np.insert(self.keys, place, keys), np.insert(self.base, place, base + nodes)
 
 
-def uniform(seed: np.ndarray, sample: int, place: np.ndarray, purpose: int) -> np.ndarray:
+def uniform(seed: np.ndarray, rows: np.ndarray, sample: int, place: np.ndarray, purpose: int) -> np.ndarray:
     """Numbers in (0, 1) that depend on the row's seed, the sample, the place in the text and the purpose alone."""
-    bits = mix64(mix64(seed + _U(sample * 16 + purpose)) + place.astype(np.uint64))
+    bits = mix64(mix64(seed + _U(sample * 16 + purpose))[rows] + place.astype(np.uint64))
     return ((bits >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
@@ -186,7 +187,7 @@ class Sampler:
     """Samples of the rows of one block."""
 
     def __init__(self, lattices: Lattices, data: np.ndarray, offs: np.ndarray, seed: np.ndarray):
-        self.l, self.seed, self.n = lattices, seed, len(offs) - 1
+        self.l, self.seed, self.n, self.samples = lattices, seed, len(offs) - 1, SAMPLES
         lens = np.diff(offs)
         extra = (lens > 0).astype(np.int64)
         self.offs = np.concatenate([[0], np.cumsum(lens + extra)])
@@ -200,19 +201,19 @@ class Sampler:
 
     def _walk(self, units: np.ndarray, skip: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Samples pieces of the given units from `skip` bytes on: pieces of each unit, and per step edge, place and whether it was the only one."""
-        size, first, logq = self.l.size, self.l.first, self.l.logq
+        size, first, prob = self.l.size, self.l.first, self.l.prob
         length = self.ends[units] - self.starts[units]
         live, at = np.flatnonzero(skip < length), skip.copy()
         counts, steps = np.zeros(len(units), np.int64), []
         while len(live):
             u = units[live]
-            node, place = self.base[u] + at[live], self.starts[u] + at[live]
+            node, place, row = self.base[u] + at[live], self.starts[u] + at[live], self.row[u]
             edge, last = first[node].copy(), first[node + 1] - 1
-            left = uniform(self.seed[self.row[u]], sample, place - self.offs[self.row[u]], 0) - np.exp(logq[edge])
+            left = uniform(self.seed, row, sample, place - self.offs[row], 0) - prob[edge]
             more = np.flatnonzero((left > 0) & (edge < last))
             while len(more):
                 edge[more] += 1
-                left[more] -= np.exp(logq[edge[more]])
+                left[more] -= prob[edge[more]]
                 more = more[(left[more] > 0) & (edge[more] < last[more])]
             steps.append((live, edge, place, last == first[node]))
             counts[live] += 1
@@ -227,18 +228,31 @@ class Sampler:
         return counts, edge, place, alone
 
     def _others(self, path: Paths, sample: int, since: np.ndarray, alone: np.ndarray) -> None:
-        """Fills `other` for the steps of each row from its step number `since` on; the rest stays -inf."""
+        """Fills `other` for the steps of each row from its step number `since` on; the rest stays -inf.
+
+        Values are drawn only where they can be among a row's `samples` + 1 largest: a Gumbel of location mu, from 53 random
+        bits, lies between mu - log(e^(mu - top) + 37) and mu + 37.
+        """
         logq = self.l.logq[path.edge].astype(np.float64)
         row = np.repeat(np.arange(self.n), path.counts)
         first = np.concatenate([[0], np.cumsum(path.counts)])
-        total = np.cumsum(logq) - logq
-        before = total - total[np.minimum(first[row], max(len(total) - 1, 0))]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rest = np.log(np.maximum(-np.expm1(logq), 1e-12))  # rounding must not close a node that has other branches
-            rest[alone] = -np.inf
-            x = truncated(before + rest, path.value[row], uniform(self.seed[row], sample, path.place - self.offs[row], 1))
-        own = np.arange(len(row)) - first[row] >= since[row]
-        path.other = np.where(own & (rest > -np.inf), x, -np.inf)
+        total = np.concatenate([[0.0], np.cumsum(logq)])
+        path.other = np.full(len(row), -np.inf)
+        step = np.arange(len(row)) - first[row]
+        at = np.flatnonzero(~alone & (step >= since[row]))
+        if not len(at):
+            return
+        r = row[at]
+        with np.errstate(divide="ignore"):
+            mu = total[at] - total[first[r]] + np.log(np.maximum(-np.expm1(logq[at]), 1e-12))  # rounding must not close a node that has other branches
+        begin = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        each = np.diff(np.append(begin, len(r)))
+        place = np.arange(len(r)) - np.repeat(begin, each)
+        low = np.where(place <= self.samples, mu - np.logaddexp(mu - path.value[r], np.log(37.0)), np.inf)
+        bound = np.where(each > self.samples, np.minimum.reduceat(low, begin), -np.inf)
+        keep = mu + 37 >= np.repeat(bound, each)
+        at, r = at[keep], r[keep]
+        path.other[at] = truncated(mu[keep], path.value[r], uniform(self.seed, r, sample, path.place[at] - self.offs[r], 1))
 
     def _nodes(self, place: np.ndarray) -> np.ndarray:
         unit = np.searchsorted(self.starts, place, side="right") - 1
@@ -246,10 +260,11 @@ class Sampler:
 
     def run(self, k: int) -> tuple[list[Paths], np.ndarray]:
         """Up to k samples of each row, and kappa."""
+        self.samples = k
         zero = np.zeros(self.n, np.int64)
         counts, edge, place, alone = self._walk(np.arange(len(self.starts)), np.zeros(len(self.starts), np.int64), 0)
         per_row = segment_sums(counts, self.unit_first)
-        root = -np.log(-np.log(uniform(self.seed, 0, zero, 2)))
+        root = -np.log(-np.log(uniform(self.seed, np.arange(self.n), 0, zero, 2)))
         paths = [Paths(per_row, edge, place, edge, root)]
         self._others(paths[0], 0, zero, alone)
         taken: list[list[tuple]] = [[]]  # by path: (rows, step, edge) of branches opened there
@@ -300,7 +315,7 @@ class Sampler:
                 sub[hit] = 0
                 prob[idx] = sub
             mass = prob.sum(1)
-            draw = uniform(self.seed[own], sample, path.place[at] - self.offs[own], 3) * mass
+            draw = uniform(self.seed, own, sample, path.place[at] - self.offs[own], 3) * mass
             pick = np.minimum((np.cumsum(prob, 1) < draw[:, None]).sum(1), wide - 1)
             # Rounding may point at an excluded branch: then the likeliest one is taken.
             pick = np.where(prob[np.arange(len(own)), pick] > 0, pick, prob.argmax(1))
@@ -313,7 +328,7 @@ class Sampler:
             log_before = np.concatenate([[0.0], np.cumsum(logq[path.edge], dtype=np.float64)])
             before = log_before[at] - log_before[begin[own]]
             mu = before + np.log(left)
-            again = truncated(mu, value[own], uniform(self.seed[own], sample, path.place[at] - self.offs[own], 4))
+            again = truncated(mu, value[own], uniform(self.seed, own, sample, path.place[at] - self.offs[own], 4))
             path.other[at] = np.where(more, again, -np.inf)
             pieces.append((own, p))
         taken.append([])

@@ -90,8 +90,8 @@ class QualityModel:
 
 
 def fold(id_col: str = "doc_id") -> Column:
-    """crc32 of the identifier as text, modulo 4."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)).cast("int")
+    """crc32 of the identifier as text, modulo 4; 0 for a null identifier."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)).cast("int"), F.lit(0))
 
 
 def pool_adjacent(ones: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ingest_queries, resolve_queries, search_queries, state_queries
+from . import ingest_queries, resolve_queries, search_queries, state_queries, stream_queries
 
-MODULES = [search_queries, ingest_queries, state_queries, resolve_queries]
+MODULES = [search_queries, ingest_queries, state_queries, resolve_queries, stream_queries]
 
 
 def queries() -> dict:

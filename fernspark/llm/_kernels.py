@@ -6,6 +6,7 @@ does not depend on how the bytes fall into rows. Null texts are empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,6 +75,17 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = min(n, max(at + 1, int(np.searchsorted(ends, done + limit, side="right"))), at + 20000)
             yield batch.slice(at, stop - at)
             at = stop
+        batch = sizes = ends = None
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: worker processes live on between tasks, beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 @dataclass

@@ -222,16 +222,27 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc, source = batch.column("doc").to_pylist(), batch.column("source").to_pylist()
         lists = {k: (np.asarray(batch.column(k).offsets), np.asarray(batch.column(k).values).astype(np.int64)) for k in ("xs", "ys", "ls")}
-        parts = batch.column("parts").to_pylist()
+        parts = batch.column("parts")
+        first, inner = np.asarray(parts.offsets), parts.values
+        side, tile = np.asarray(inner.field("side")), np.asarray(inner.field("tile"))
+        at, word = np.asarray(inner.field("words").offsets), np.asarray(inner.field("words").values)
+
+        def text(own: np.ndarray) -> np.ndarray:
+            """The words of tiles in order; of unlike rows under one identifier the tile with the smallest words counts."""
+            own = own[np.argsort(tile[own], kind="stable")]
+            if len(np.unique(tile[own])) < len(own):
+                own = sorted(own, key=lambda p: (tile[p], word[at[p] : at[p + 1]].tolist()))
+                own = [p for k, p in enumerate(own) if not k or tile[p] != tile[own[k - 1]]]
+            return np.concatenate([word[at[p] : at[p + 1]] for p in own])
+
         out = []
         for k in range(batch.num_rows):
             xs, ys, ls = (v[o[k] : o[k + 1]] for o, v in lists.values())
-            sides: list[dict] = [{}, {}]
-            for p in sorted(parts[k], key=lambda p: (p["tile"], p["words"])):  # of unlike rows under one identifier the first counts
-                sides[p["side"]].setdefault(p["tile"], p["words"])
-            if not sides[0] or not sides[1]:
+            own = np.arange(first[k], first[k + 1])
+            mine, other = own[side[own] == 0], own[side[own] == 1]
+            if not len(mine) or not len(other):
                 continue
-            (a0, a), (b0, b) = ((min(s) * TILE, np.concatenate([np.array(t, np.int32) for t in s.values()])) for s in sides)
+            (a0, a), (b0, b) = ((int(tile[p].min()) * TILE, text(p)) for p in (mine, other))
             if xs[-1] + ls[-1] - a0 > len(a) or ys[-1] + ls[-1] - b0 > len(b):
                 continue  # the seeds come from another row of that identifier
             start, end, source_start, source_end, matched = align(a, b, xs - a0, ys - b0, ls)

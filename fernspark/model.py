@@ -14,6 +14,10 @@ TRI = ["true", "false", "unknown"]
 RADII = [10, 25, 50, 100]
 SEARCH_SPECIES = ["dog", "cat", "rabbit", "bird", "other"]
 
+#: Kinds of the feeds that the readers know, and labels under which kinds are shown (others: the source itself).
+WIDGET_SOURCE, PAGE_SOURCE = "asm3", "rescuegroups"
+SOURCE_LABELS = {"asm3": "sheltermanager.com"}
+
 #: Vocabularies of the widget feed; a name that is not listed is 'other' (species) or absent.
 WIDGET_SPECIES = {
     "dog": "dog", "cat": "cat", "rabbit": "rabbit", "bird": "bird", "guinea pig": "small_furry", "hamster": "small_furry",
@@ -48,3 +52,13 @@ AUTO_MERGE, REVIEW = 0.85, 0.6
 EARTH_MILES = 3958.8
 METERS_PER_MILE = 1609.344
 BLOCK_METERS = 25_000.0
+
+#: Notes on how a pet fits a profile, by rule; for the three compatibility rules by what is known.
+NOTES = {
+    "apartment": ("good", "Good fit: apartment living"), "space": ("check", "Check with the shelter: space & energy needs"),
+    "kids": {"true": ("good", "Good fit: kids at home"), "unknown": ("check", "Ask the shelter: kids at home"), "false": ("check", "Check with the shelter: kids")},
+    "dogs": {"true": ("good", "Good fit: your dog"), "unknown": ("check", "Ask the shelter: dog compatibility"), "false": ("check", "Check with the shelter: dogs at home")},
+    "cats": {"true": ("good", "Good fit: your cat"), "unknown": ("check", "Ask the shelter: cat compatibility"), "false": ("check", "Check with the shelter: cats at home")},
+    "alone": ("check", "Check with the shelter: long days alone"), "home": ("good", "Good fit: someone's usually home"),
+    "adventure": ("good", "Good fit: adventure buddy"), "care": ("check", "Check with the shelter: special-care needs"),
+}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_miles, north_of_border, radius_text
-from ..model import EARTH_MILES
+from ..model import EARTH_MILES, NOTES
 
 #: Height and width in degrees of the cells that searches and pets are joined by.
 CELL = 1.0
@@ -112,22 +112,20 @@ def fit_notes(pairs: DataFrame, most: int = 4) -> Column:
     """
     a = lambda n: _answer(pairs, n)
     fact = lambda n: F.coalesce(F.col(n).cast("string"), F.lit("unknown")) if n in pairs.columns else F.lit("unknown")
-    note = lambda tone, text: F.struct(F.lit(tone).alias("tone"), F.lit(text).alias("text"))
+    note = lambda pair: F.struct(F.lit(pair[0]).alias("tone"), F.lit(pair[1]).alias("text"))
     lively = fact("energy_level").isin("high", "very_high")
-
-    def about(asked: Column, target: str, good: str, ask: str, check: str) -> Column:
-        known = fact(f"compat_{target}")
-        return F.when(asked & (known == "true"), note("good", good)).when(asked & (known == "unknown"), note("check", ask)).when(asked, note("check", check))
-
     flat = a("home") == "apartment"
     fits = fact("pet_size").isin("xs", "s", "m") & fact("energy_level").isin("low", "moderate")
+    large = (fact("pet_size") == "xl") | (fact("energy_level") == "very_high")
+
+    def about(asked: Column, target: str) -> Column:
+        """A note by what is known of a compatibility; anything but true and unknown counts as false."""
+        known, said = fact(f"compat_{target}"), NOTES[target]
+        return F.when(asked, F.when(known == "true", note(said["true"])).when(known == "unknown", note(said["unknown"])).otherwise(note(said["false"])))
+
     rules = [
-        F.when(flat & fits, note("good", "Good fit: apartment living")).when(flat & ((fact("pet_size") == "xl") | (fact("energy_level") == "very_high")), note("check", "Check with the shelter: space & energy needs")),
-        about(a("kids").isin("little", "big"), "kids", "Good fit: kids at home", "Ask the shelter: kids at home", "Check with the shelter: kids"),
-        about(a("pets").isin("dogs", "both"), "dogs", "Good fit: your dog", "Ask the shelter: dog compatibility", "Check with the shelter: dogs at home"),
-        about(a("pets").isin("cats", "both"), "cats", "Good fit: your cat", "Ask the shelter: cat compatibility", "Check with the shelter: cats at home"),
-        F.when((a("hours") == "over9") & lively, note("check", "Check with the shelter: long days alone")), F.when(a("hours") == "under2", note("good", "Good fit: someone's usually home")),
-        F.when((a("activity") == "adventures") & lively, note("good", "Good fit: adventure buddy")),
-        F.when((a("experience") == "first_timer") & (fact("special_needs") == "true"), note("check", "Check with the shelter: special-care needs")),
+        F.when(flat & fits, note(NOTES["apartment"])).when(flat & large, note(NOTES["space"])), about(a("kids").isin("little", "big"), "kids"), about(a("pets").isin("dogs", "both"), "dogs"), about(a("pets").isin("cats", "both"), "cats"),
+        F.when((a("hours") == "over9") & lively, note(NOTES["alone"])), F.when(a("hours") == "under2", note(NOTES["home"])), F.when((a("activity") == "adventures") & lively, note(NOTES["adventure"])),
+        F.when((a("experience") == "first_timer") & (fact("special_needs") == "true"), note(NOTES["care"])),
     ]
     return F.slice(F.array_compact(F.array(*rules)), 1, most)

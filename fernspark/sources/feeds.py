@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.hashes import source_kind, source_site
 from ..functions.text import blank_null, lookup, sex_word, strip, yes_no
-from ..model import AGES, PAGE_AGES, PAGE_SIZES, PAGE_SPECIES, SEXES, SIZES, SPECIES, STATUSES, WIDGET_AGES, WIDGET_SIZES, WIDGET_SPECIES
+from ..model import AGES, PAGE_AGES, PAGE_SIZES, PAGE_SOURCE, PAGE_SPECIES, SEXES, SIZES, SPECIES, STATUSES, WIDGET_AGES, WIDGET_SIZES, WIDGET_SOURCE, WIDGET_SPECIES
 
 #: Pictures that a widget animal has at most.
 MAX_PICTURES = 6
@@ -75,7 +75,7 @@ def widget_listings(animals: DataFrame, as_of: Column) -> DataFrame:
     labels = {"kids_ok": "ISGOODWITHCHILDRENNAME", "cats_ok": "ISGOODWITHCATSNAME", "dogs_ok": "ISGOODWITHDOGSNAME", "housetrained": "ISHOUSETRAINEDNAME", "altered": "NEUTEREDNAME"}
     attributes = F.map_filter(F.create_map(*(x for k, v in labels.items() for x in (F.lit(k), yes_no(a(v)).cast("string")))), lambda _, v: v.isNotNull())
     listed = animals.select(
-        a("ID").cast("string").alias("external_id"), F.concat(F.lit("asm3:"), "account").alias("source_id"),
+        a("ID").cast("string").alias("external_id"), F.concat(F.lit(f"{WIDGET_SOURCE}:"), "account").alias("source_id"),
         F.concat(F.lit(f"{SERVICE}?account="), F.url_encode("account"), F.lit("&method=animal_view&animalid="), a("ID").cast("string")).alias("url"),
         F.coalesce(blank_null(strip(a("ANIMALNAME"))), F.lit("Unknown")).alias("name"), lookup(a("SPECIESNAME"), WIDGET_SPECIES, "other").alias("species"),
         F.when(crossed, F.coalesce(blank_null(a("BREEDNAME1")), a("BREEDNAME"))).otherwise(a("BREEDNAME")).alias("breed_primary"), F.when(crossed, blank_null(a("BREEDNAME2"))).alias("breed_secondary"), crossed.alias("breed_mixed"),
@@ -130,14 +130,14 @@ def page_listings(pages: DataFrame) -> DataFrame:
     tags = F.transform(F.filter(tags, lambda x: F.to_json(x).startswith('"')), lambda x: F.try_variant_get(x, "$", "string"))
     lat, lon = typed(o, "$.lat", "number"), typed(o, "$.lon", "number")
     listed = full.select(
-        F.col("id").alias("external_id"), F.lit("rescuegroups").alias("source_id"), s("url").alias("url"), F.coalesce(s("name"), F.lit("Unknown")).alias("name"), lookup(s("speciesName"), PAGE_SPECIES, "other").alias("species"),
+        F.col("id").alias("external_id"), F.lit(PAGE_SOURCE).alias("source_id"), s("url").alias("url"), F.coalesce(s("name"), F.lit("Unknown")).alias("name"), lookup(s("speciesName"), PAGE_SPECIES, "other").alias("species"),
         s("breedPrimary").alias("breed_primary"), s("breedSecondary").alias("breed_secondary"), b("isBreedMixed").alias("breed_mixed"), lookup(s("ageGroup"), PAGE_AGES).alias("age"), F.coalesce(sex_word(s("sex")), F.lit("unknown")).alias("sex"),
         lookup(s("sizeGroup"), PAGE_SIZES).alias("size"), s("descriptionText").alias("description"), F.coalesce(F.col("ph.photo"), F.array().cast("array<string>")).alias("photos"), F.lit("available").alias("status"),
         typed(o, "$.city", "string").alias("city"), typed(o, "$.state", "string").alias("state"), typed(o, "$.postalcode", "string").alias("postcode"), lat.alias("lat"), lon.alias("lon"), F.col("org").alias("org_external_id"),
         typed(o, "$.name", "string").alias("org_name"), F.coalesce(s("animalID"), s("rescueId")).alias("org_internal_animal_id"), attributes.alias("attributes"), F.coalesce(tags, F.array().cast("array<string>")).alias("tags"),
         s("createdDate").alias("published_at"), "raw",
     )
-    unreadable = parsed.filter("p IS NULL OR p.data IS NULL").select(F.lit("rescuegroups").alias("source_id"), F.col("raw_page").alias("raw"), F.array(F.lit("payload unreadable")).alias("reasons"))
+    unreadable = parsed.filter("p IS NULL OR p.data IS NULL").select(F.lit(PAGE_SOURCE).alias("source_id"), F.col("raw_page").alias("raw"), F.array(F.lit("payload unreadable")).alias("reasons"))
     return with_reasons(listed).unionByName(unreadable, allowMissingColumns=True)
 
 
@@ -173,7 +173,7 @@ def read_widget(spark: SparkSession, path: str, registry: DataFrame, as_of: Colu
     parsed = parse_widget(spark.read.schema("account string, body string").json(path))
     animals, broken = parsed.filter("reason IS NULL"), parsed.filter("reason IS NOT NULL")
     good, bad = split(widget_listings(with_registry(animals, registry), as_of))
-    unread = broken.select(F.concat(F.lit("asm3:"), "account").alias("source_id"), F.lit(None).cast("string").alias("external_id"), F.array("reason").alias("reasons"), F.lit(None).cast("string").alias("raw"))
+    unread = broken.select(F.concat(F.lit(f"{WIDGET_SOURCE}:"), "account").alias("source_id"), F.lit(None).cast("string").alias("external_id"), F.array("reason").alias("reasons"), F.lit(None).cast("string").alias("raw"))
     return good, bad.unionByName(unread)
 
 

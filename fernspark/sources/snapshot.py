@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashes import source_kind
 from ..functions.text import age_label, breed_label, photo_alt
-
-#: Label under which a feed's kind is shown.
-SOURCE_LABELS = {"asm3": "sheltermanager.com"}
+from ..model import SOURCE_LABELS
 
 
 def slug(source: Column, external_id: Column) -> Column:

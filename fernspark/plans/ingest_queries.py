@@ -163,6 +163,10 @@ def snapshot_export_cards(spark, sf_dir):
     return out.select("card.id", "card.age_label", "card.breed_label", "card.org_name", "card.source_label", "card.listed_at", "card.photo_url", "card.photo_alt", F.col("pet.organization_id").alias("organization_id"), F.size("pet.photos").alias("n_photos"))
 
 
+def source_counts(spark, sf_dir):
+    return snapshot.source_counts(feeds.split(_widget(spark, sf_dir))[0])
+
+
 def content_hash_changes(spark, sf_dir):
     state, batch = view(spark, sf_dir, "state").drop("last_seen_at"), view(spark, sf_dir, "batch")
     old = state.withColumn("h", content_hash(state.drop("status"))).select("external_id", F.col("h").alias("old"))
@@ -221,6 +225,7 @@ SELECT pet_id, arg_min(upper(w), k) FILTER (f = 'size') AS size, arg_min(upper(w
     snapshot_export_cards: f"""{_LISTED} SELECT 'asm3-' || account || '-' || id AS id, coalesce(CASE age WHEN 'baby' THEN 'Baby' WHEN 'young' THEN 'Young' WHEN 'adult' THEN 'Adult' WHEN 'senior' THEN 'Senior' END, 'Age unknown') AS age_label, breed_name AS breed_label, org_name,
   'sheltermanager.com' AS source_label, '2000-01-01T00:00:00.000Z' AS listed_at, CASE WHEN n_photos > 0 THEN '{feeds.SERVICE}?account=' || account || '&method=animal_image&animalid=' || id || '&seq=1' END AS photo_url,
   name || ', a ' || coalesce(age, 'age unknown') || ' ' || breed_name AS photo_alt, 'snap-org-' || account AS organization_id, CAST(n_photos AS INTEGER) AS n_photos FROM x WHERE reasons = ''""",
+    source_counts: f"{_LISTED} SELECT source_id, count(*) AS n FROM x WHERE reasons = '' GROUP BY source_id",
     content_hash_changes: f"""{with_views('state', 'batch')} SELECT coalesce(s.external_id, b.external_id) AS external_id, CASE WHEN s.external_id IS NULL THEN 'new' WHEN b.external_id IS NULL THEN 'unseen'
   WHEN s.fee = b.fee AND s.label = b.label AND s.source = b.source AND s.site IS NOT DISTINCT FROM b.site THEN 'same' ELSE 'changed' END AS kind FROM state s FULL JOIN batch b ON s.external_id = b.external_id""",
 }

@@ -182,6 +182,11 @@ def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return split(page_listings(spark.read.schema("page_id string, body string").json(path)))
 
 
+def source_registry(spark: SparkSession, sources: list[tuple[str, int, int, bool]]) -> DataFrame:
+    """The table of sources: source_id, interval_s (between syncs), trust (higher wins), licensed (for copies of pictures)."""
+    return spark.createDataFrame(sources, "source_id string, interval_s long, trust int, licensed boolean")
+
+
 def latest(listings: DataFrame, order: str) -> DataFrame:
     """Of listings that repeat a key in one feed, the last in `order`."""
     w = Window.partitionBy("source_id", "external_id").orderBy(F.desc(order))

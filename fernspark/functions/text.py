@@ -87,7 +87,8 @@ def clean_name(c: Column) -> Column:
 def trigrams(c: Column) -> Column:
     """The set of three-letter runs of the whole text, with two spaces before and one after."""
     padded = F.concat(F.lit("  "), squeeze(F.lower(c)), F.lit(" "))
-    return let(padded, lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3)))))
+    three = lambda x, i: F.concat(F.get(x, i), F.get(x, i + 1), F.get(x, i + 2))
+    return let(F.split(padded, ""), lambda x: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(x) - 3), lambda i: three(x, i))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -1,33 +1,13 @@
-"""Helpers on sessions, staging and names that the operators share."""
+"""Reading the tables that the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (local runs, tests) a new temporary folder is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="fernspark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
 
+from ..staging import shared_dir, staged
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
-    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+__all__ = ["documents", "shared_dir", "staged"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))

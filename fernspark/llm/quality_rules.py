@@ -1,10 +1,11 @@
 """Quality rules: base counts of each document, and lines that too many documents of one host share.
 
 Lines are normalised (A-Z lowered, digits to 0, only the words count) and hashed; for each host (`source`) the distinct
-documents that hold a line are counted. Copies of a document are not other documents: documents are told apart by their
-longest other line, so that a text copied a thousand times doesn't make its own lines common. Lines found in more than
-`max_documents` documents of a host are removed, and a document that loses more than `max_removed` of its words is
-depleted and rejected.
+documents that hold a line are counted. Copies of a document are not other documents: documents are told apart by the
+smallest hash of three successive words in their longest other line, so that a text copied a thousand times, with edits
+here and there, doesn't make its own lines common. Lines found in more than `max_documents` such documents of a host, of
+which no one stands for over half of the rows, are removed, and a document that loses more than `max_removed` of its words
+is depleted and rejected.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 FOLD = LOWER.copy()
 FOLD[48:58] = 48
 MAX_DOCUMENTS = 25
-MAX_REMOVED = 0.5
+MAX_REMOVED = 0.8
 COUNTS = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SCAN = f"row long, {COUNTS}, lines array<long>, line_words array<int>, others array<long>"
 
@@ -39,6 +40,20 @@ def line_hashes(w, ln) -> np.ndarray:
     return np.add.reduceat(in_row(each, place), ln.word_from) if len(ln.starts) else np.zeros(0, np.uint64)
 
 
+def line_marks(w, ln) -> np.ndarray:
+    """The smallest hash of three successive words in each line (of all its words, if there are fewer)."""
+    each = run_hashes(FOLD[w.data], w.starts, w.ends, 2)
+    grams, at, _ = windows(each, w.first, 3)
+    least = np.full(len(each) + 1, np.iinfo(np.uint64).max, np.uint64)
+    least[at] = grams
+    long = ln.word_to - ln.word_from >= 3
+    out = line_hashes(w, ln)
+    if long.any():
+        edges = np.stack([ln.word_from[long], ln.word_to[long] - 2], 1).ravel()
+        out[long] = np.minimum.reduceat(least, edges)[::2]
+    return out
+
+
 def base_counts(w) -> dict[str, np.ndarray]:
     n = len(w.offs) - 1
     hashes = run_hashes(w.data, w.starts, w.ends, 1)
@@ -70,11 +85,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.bincount(group, weights=size, minlength=len(first)).astype(np.int64)
         order = np.lexsort((hashes[first], -size[first], ln.rows[first]))  # longest first in each row
         first, total = first[order], total[order]
-        rows, hashes = ln.rows[first], hashes[first].astype(np.int64)
+        rows, hashes, marks = ln.rows[first], hashes[first].astype(np.int64), line_marks(w, ln)[first].astype(np.int64)
         counts = np.bincount(rows, minlength=n)
         begin = (np.cumsum(counts) - counts)[rows]
         second = begin + (counts[rows] > 1)
-        other = np.where(np.arange(len(rows)) == begin, hashes[second] if len(rows) else hashes, hashes[begin] if len(rows) else hashes)
+        other = np.where(np.arange(len(rows)) == begin, marks[second], marks[begin]) if len(rows) else marks
         base = base_counts(w)
         arrays = [pa.array(np.arange(row, row + n)), block.column(0), block.column(1), *(pa.array(base[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))]
         arrays += [list_array(hashes, counts, pa.int64()), list_array(total.astype(np.int32), counts, pa.int32()), list_array(other, counts, pa.int64())]
@@ -94,7 +109,9 @@ def quality_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_remov
     scan = staged(columns.mapInArrow(_scan, _SCAN), "quality-rules")
     each = scan.select("row", F.coalesce("host", F.lit("\0")).alias("host"), F.explode(F.arrays_zip("lines", "line_words", "others")).alias("x"))
     each = each.select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("size"), F.col("x.others").alias("other"))
-    common = each.select("host", "line", "other").distinct().groupBy("host", "line").count().filter(F.col("count") > max_documents).select("host", "line")
+    documents = each.groupBy("host", "line", "other").agg(F.count(F.lit(1)).alias("n"))
+    counts = documents.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("rows"), F.max("n").alias("largest"))
+    common = counts.filter((F.col("documents") > max_documents) & (2 * F.col("largest") <= F.col("rows"))).select("host", "line")
     lost = each.join(common, ["host", "line"]).groupBy("row").agg(F.sum("size").alias("removed_words"), F.collect_set("line").alias("removed_lines"))
     out = scan.drop("lines", "line_words", "others", "host").join(lost, "row", "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

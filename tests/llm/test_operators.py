@@ -113,12 +113,18 @@ def test_common_lines_are_removed_and_depleted_documents_rejected(spark, words):
     rows = [(k, "\n".join([*menu, prose(60)]), "host") for k in range(40)]
     copy = prose(30) + "\n" + prose(35)
     rows += [(100 + k, copy, "host") for k in range(40)]  # copies do not make their own lines common
+    other = [prose(50), prose(60)]
+    for k in range(80):  # nor do near copies
+        w = other[1].split()
+        w[rng.randrange(60)] = f"edit{k}"
+        rows.append((300 + k, other[0] + "\n" + " ".join(w), "host"))
     rows += [(200, "\n".join(menu * 10 + [prose(5)]), "host"), (201, "\n".join([*menu, prose(60)]), "other")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = quality_rules.quality_rules(df, max_documents=25)
     got = {r["doc_id"]: (r["removed_words"], r["kept"], r["base_failed"]) for r in out.collect()}
     n = len(split(" ".join(menu)))
     assert got[0] == (n, True, False) and got[100] == (0, True, False) and got[201] == (0, True, False)
+    assert all(got[300 + k] == (0, True, False) for k in range(80))
     assert got[200][0] == 10 * n and not got[200][1]
     cleaned = df.join(out.select("doc_id", "removed_lines"), "doc_id").withColumn("clean", quality_rules.clean_text(F.col("text"), F.col("removed_lines")))
     texts = {r["doc_id"]: (r["text"], r["clean"]) for r in cleaned.collect()}

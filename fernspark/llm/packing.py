@@ -31,7 +31,7 @@ CACHE_WORDS = 400_000
 #: Words handed to the library at once.
 ENCODE_WORDS = 8192
 #: Bytes of text encoded at once.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 20
 
 
 #: Bytes of letters: A-Z, a-z, and both bytes of U+00C0 to U+00FF but the signs U+00D7 and U+00F7.

@@ -18,6 +18,14 @@ from .components import components
 FILLED = ("sex", "size", "age_group", "house_trained", "spayed_neutered", "compat_kids", "compat_dogs", "compat_cats", "coat_length", "energy_level")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over as many tasks as the session's shuffles have.
+
+    Comparing texts takes far more time than a pair's bytes suggest, so Spark must not put pairs together by size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def without_pairs(pairs: DataFrame, other: DataFrame) -> DataFrame:
     """pairs (a, b) that are not among `other` (pet_a, pet_b, in either order)."""
     gone = other.select(F.least("pet_a", "pet_b").alias("a"), F.greatest("pet_a", "pet_b").alias("b")).distinct()
@@ -120,7 +128,7 @@ def pair_scores(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """
     names = ("species", "sex", "name", "description", "raw_breed_text", "age_group", "phashes")
     side = lambda p: records.select(F.col("pet_id").alias(p), F.struct(*names).alias(f"r{p}"))
-    x = pairs.join(side("a"), "a").join(side("b"), "b")
+    x = spread(pairs.join(side("a"), "a").join(side("b"), "b"))
     f = lambda n: (F.col(f"ra.{n}"), F.col(f"rb.{n}"))
     sex = F.when((f("sex")[0] == "unknown") | (f("sex")[1] == "unknown"), 0.5).otherwise(1.0)
     signals = {"photo": photo_score(*f("phashes")), "name": name_score(*f("name")), "description": description_score(*f("description")), "breed": breed_score(*f("raw_breed_text")), "age": age_score(*f("age_group")), "sex": sex}

@@ -58,7 +58,7 @@ def listing_pairs_nearby(spark, sf_dir):
 def _both(spark, sf_dir, *columns: str) -> DataFrame:
     e = _records(spark, sf_dir)
     side = lambda p: e.select(F.col("pet_id").alias(p), *(F.col(c).alias(f"{c}_{p}") for c in columns))
-    return _candidates(spark, sf_dir).join(side("a"), "a").join(side("b"), "b")
+    return resolve.spread(_candidates(spark, sf_dir).join(side("a"), "a").join(side("b"), "b"))
 
 
 def trigram_similarities(spark, sf_dir):

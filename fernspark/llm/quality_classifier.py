@@ -78,8 +78,10 @@ class QualityModel:
     levels: np.ndarray
 
     def project(self, stats: np.ndarray) -> np.ndarray:
+        """Features in steps of 2**-14: sums of their products are exact, so the fit does not depend on the order of rows."""
         z = np.clip((stats - self.mean) / self.scale, -8, 8)
-        return np.concatenate([np.ones((len(z), 1)), z / np.sqrt(WIDTH), np.cos(z @ self.directions + self.phases) * np.sqrt(2 / len(self.phases))], 1)
+        out = np.concatenate([np.ones((len(z), 1)), z / np.sqrt(WIDTH), np.cos(z @ self.directions + self.phases) * np.sqrt(2 / len(self.phases))], 1)
+        return np.round(out * 16384) / 16384
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
         return self.project(stats) @ self.weights
@@ -129,8 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, seed: int
     train = rows.filter("fold < 2")
     rng = np.random.default_rng(seed)
     moments = train.select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect()  # one row per statistic
-    mean = np.array([r["m"] for r in moments]) if moments else np.zeros(WIDTH)
-    scale = np.array([r["s"] if r["s"] and r["s"] > 1e-9 else 1.0 for r in moments]) if moments else np.ones(WIDTH)
+    few = lambda x: float(f"{x:.6g}")  # noqa: E731  digits that the order of summing doesn't reach
+    mean = np.array([few(r["m"]) for r in moments]) if moments else np.zeros(WIDTH)
+    scale = np.array([few(r["s"]) if r["s"] and r["s"] > 1e-9 else 1.0 for r in moments]) if moments else np.ones(WIDTH)
     model = QualityModel(mean, scale, rng.normal(size=(WIDTH, features)) / BANDWIDTH, rng.uniform(0, 2 * np.pi, features), None, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     if not moments:
         return model

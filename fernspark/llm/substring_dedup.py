@@ -7,7 +7,8 @@
 3. Matches of a document with one source document merge into segments along diagonals, and segments are chained in both
    texts' order: a Fenwick tree over source positions holds the best chain so far, less a cost for each word of gap.
 4. Chains are aligned: the words of both regions are fetched in tiles, matched words counted along segments and in the
-   gaps, and both ends extended while they agree.
+   gaps, and both ends extended while they agree. A chain too few of whose words agree is split at its gaps into the
+   maximal spans of which enough do.
 5. Aligned spans of a document (at least `min_part` words, `identity` of them equal) are united; united spans of at least
    `min_words` words are repeated passages. The first document keeps its passage.
 """
@@ -200,25 +201,59 @@ def _extension(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, int(equal[:best].sum())
 
 
-def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, ls: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Aligned span in a and in b, and matched words, for a chain of segments (starts and lengths in a and b)."""
-    back, hit = _extension(a[: xs[0]][::-1], b[: ys[0]][::-1])
-    start, source_start = xs[0] - back, ys[0] - back
-    x, y, matched = xs[0], ys[0], hit
+def _equal_runs(a: np.ndarray, b: np.ndarray, x: int, y: int) -> list[tuple[int, int, int]]:
+    """Maximal runs of equal words of two arrays of one length, as (x, y, words); the arrays start at x and y."""
+    edge = np.diff(np.concatenate([[0], (a == b).astype(np.int8), [0]]))
+    start = np.flatnonzero(edge == 1)
+    return [(x + int(s), y + int(s), int(n)) for s, n in zip(start, np.flatnonzero(edge == -1) - start)]
+
+
+def good_spans(runs: list[tuple[int, int, int]], identity: float) -> list[tuple[int, int, int, int, int]]:
+    """Maximal spans from a run's start to a run's end of which `identity` is equal: in a, in b, and equal words."""
+    if not runs:
+        return []
+    x, y, n = np.array(runs, np.int64).T
+    x_end, y_end, before = x + n, y + n, np.concatenate([[0], np.cumsum(n)])
+    out, best = [], -1
+    for i in range(len(n)):
+        j = np.arange(max(i, best + 1), len(n))
+        fit = np.flatnonzero(before[j + 1] - before[i] >= identity * np.maximum(x_end[j] - x[i], y_end[j] - y[i]))
+        if len(fit):
+            best = int(j[fit[-1]])
+            out.append((int(x[i]), int(x_end[best]), int(y[i]), int(y_end[best]), int(before[best + 1] - before[i])))
+        if best == len(n) - 1:
+            break
+    return out
+
+
+def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, ls: np.ndarray, identity: float = IDENTITY) -> list[tuple[int, int, int, int, int]]:
+    """Aligned spans in a and in b, and matched words, for a chain of segments (starts and lengths in a and b).
+
+    A chain is one span if `identity` of its words agree, and otherwise its maximal spans of which that holds. A run of
+    equal words around a segment that an overlap with another segment cuts short is a span too.
+    """
+    back, _ = _extension(a[: xs[0]][::-1], b[: ys[0]][::-1])
+    x, y = xs[0] - back, ys[0] - back
+    runs = _equal_runs(a[x : xs[0]], b[y : ys[0]], x, y)
+    x, y = xs[0], ys[0]
+    exact = []
     for sx, sy, n in zip(xs, ys, ls):
+        low, high = min(sx, sy, MARGIN), n + min(len(a) - sx - n, len(b) - sy - n, MARGIN)
+        exact += [r for r in _equal_runs(a[sx - low : sx + high], b[sy - low : sy + high], sx - low, sy - low) if r[2] >= MIN_PART]
         over = max(x - sx, y - sy, 0)
         if over >= n:
             continue
         sx, sy, n = sx + over, sy + over, n - over
         if sx > x and sy > y:
-            matched += sum(m.size for m in SequenceMatcher(None, a[x:sx].tolist(), b[y:sy].tolist(), autojunk=False).get_matching_blocks())
-        matched += int((a[sx : sx + n] == b[sy : sy + n]).sum())
+            runs += [(x + m.a, y + m.b, m.size) for m in SequenceMatcher(None, a[x:sx].tolist(), b[y:sy].tolist(), autojunk=False).get_matching_blocks() if m.size]
+        runs += _equal_runs(a[sx : sx + n], b[sy : sy + n], sx, sy)
         x, y = sx + n, sy + n
-    on, hit = _extension(a[x:], b[y:])
-    return start, x + on, source_start, y + on, matched + hit
+    on, _ = _extension(a[x:], b[y:])
+    out = good_spans(runs + _equal_runs(a[x : x + on], b[y : y + on], x, y), identity)
+    return out + [(x, x + n, y, y + n, n) for x, y, n in dict.fromkeys(exact) if not any(s[0] <= x and x + n <= s[1] for s in out)]
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _aligned(batches: Iterator[pa.RecordBatch], identity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc, source = batch.column("doc").to_pylist(), batch.column("source").to_pylist()
         lists = {k: (np.asarray(batch.column(k).offsets), np.asarray(batch.column(k).values).astype(np.int64)) for k in ("xs", "ys", "ls")}
@@ -245,8 +280,8 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (a0, a), (b0, b) = ((int(tile[p].min()) * TILE, text(p)) for p in (mine, other))
             if xs[-1] + ls[-1] - a0 > len(a) or ys[-1] + ls[-1] - b0 > len(b):
                 continue  # the seeds come from another row of that identifier
-            start, end, source_start, source_end, matched = align(a, b, xs - a0, ys - b0, ls)
-            out.append((doc[k], start + a0, end + a0, source[k], source_start + b0, source_end + b0, matched))
+            for start, end, source_start, source_end, matched in align(a, b, xs - a0, ys - b0, ls, identity):
+                out.append((doc[k], start + a0, end + a0, source[k], source_start + b0, source_end + b0, matched))
         cols = [*zip(*out)] if out else [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in cols], names=["doc_id", "start", "end", "source_id", "source_start", "source_end", "matched"])
 
@@ -254,8 +289,8 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SPANS = "doc_id long, start long, end long, source_id long, source_start long, source_end long, matched long"
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """Aligned repeats, of any length: doc_id, start, end (words), source_id, source_start, source_end, matched.
+def repeated_spans(docs: DataFrame, identity: float = IDENTITY) -> DataFrame:
+    """Aligned repeats, of any length, `identity` of them equal: doc_id, start, end (words), source_id, source_start, source_end, matched.
 
     Documents are told apart by doc_id: repeated rows are one document, and rows without doc_id take no part. Null and
     empty texts and texts of fewer than K words have no seeds. An empty table gives no rows.
@@ -280,7 +315,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     chosen = texts.join(F.broadcast(some) if few else some, texts["doc_id"] == some["doc"], "left_semi")
     tiles = chosen.mapInArrow(_tiles, "doc long, tile int, words array<int>")
     got = wanted.join(tiles, ["doc", "tile"]).groupBy("pid").agg(F.collect_set(F.struct("side", "tile", "words")).alias("parts"))
-    return chains.join(got, "pid").mapInArrow(_aligned, SPANS)
+    return chains.join(got, "pid").mapInArrow(lambda batches: _aligned(batches, identity), SPANS)
 
 
 def united(spans: DataFrame, min_words: int = MIN_WORDS, min_part: int = MIN_PART, identity: float = IDENTITY) -> DataFrame:

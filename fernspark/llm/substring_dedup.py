@@ -2,8 +2,8 @@
 
 1. Seeds are hashes of `K` successive words (A-Z lowered), thinned by minimum windows, so that any run of K + WINDOW - 1
    equal words shares a seed wherever it stands.
-2. Every seed's first place (smallest doc_id, then position) is its source. Each other document's seed is matched with
-   that source alone, so a passage in n documents gives n matches, not n * n.
+2. Every seed's first place (smallest doc_id, then position) is its source. Each place of a seed in another document is
+   matched with that source alone, so a passage that stands n times gives n matches, not n * n.
 3. Matches of a document with one source document merge into segments along diagonals, and segments are chained in both
    texts' order: a Fenwick tree over source positions holds the best chain so far, less a cost for each word of gap.
 4. Chains are aligned: the words of both regions are fetched in tiles, matched words counted along segments and in the
@@ -40,7 +40,7 @@ _TOP = np.uint64(2**64 - 1)
 
 
 def seeds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seed hashes, their word positions in the row, and rows; a seed that a row repeats is kept at its first place."""
+    """Seed hashes, their word positions in the row, and rows; a seed that a row repeats is kept at each of its places."""
     w = words(LOWER[data], offs)
     grams, at, rows = windows(run_hashes(w.data, w.starts, w.ends, 1), w.first, K)
     # Pad each row, so that windows of different rows don't meet; then take minima over windows, and maxima of those.
@@ -61,11 +61,6 @@ def seeds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     for k in range(1, WINDOW):
         best[k:] = np.maximum(best[k:], mins[:-k])
     pick = np.flatnonzero(best[shift] == grams)
-    v, row = grams[pick], rows[pick]
-    order = np.lexsort((v, row))
-    first = np.ones(len(order), bool)
-    first[1:] = (v[order][1:] != v[order][:-1]) | (row[order][1:] != row[order][:-1])
-    pick = pick[np.sort(order[first])]
     return grams[pick], at[pick] - w.first[rows[pick]], rows[pick]
 
 
@@ -189,7 +184,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extension(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Words by which a match extends from the start of a and b, and how many of them agree; a match ends after 3 misses on balance."""
     n = min(len(a), len(b))
-    if not n:
+    if not n or n > 2 and a[0] != b[0] and a[1] != b[1] and a[2] != b[2]:
         return 0, 0
     equal = a[:n] == b[:n]
     s = np.cumsum(np.where(equal, 1, -2))
@@ -208,10 +203,30 @@ def _equal_runs(a: np.ndarray, b: np.ndarray, x: int, y: int) -> list[tuple[int,
     return [(x + int(s), y + int(s), int(n)) for s, n in zip(start, np.flatnonzero(edge == -1) - start)]
 
 
+def _between(a: np.ndarray, b: np.ndarray, x: int, y: int, x_end: int, y_end: int) -> list[tuple[int, int, int]]:
+    """Runs of equal words in the gap between two segments: those that go on with either segment, and blocks between them."""
+    if x_end <= x or y_end <= y:
+        return []
+    n = min(x_end - x, y_end - y)
+    unlike = np.flatnonzero(a[x : x + n] != b[y : y + n])
+    head = int(unlike[0]) if len(unlike) else n
+    m = n - head
+    unlike = np.flatnonzero(a[x_end - m : x_end][::-1] != b[y_end - m : y_end][::-1])
+    tail = int(unlike[0]) if len(unlike) else m
+    out = [(x, y, head)] if head else []
+    u, v = a[x + head : x_end - tail].tolist(), b[y + head : y_end - tail].tolist()
+    if not {*u}.isdisjoint(v):
+        out += [(x + head + r.a, y + head + r.b, r.size) for r in SequenceMatcher(None, u, v, autojunk=False).get_matching_blocks() if r.size]
+    return out + ([(x_end - tail, y_end - tail, tail)] if tail else [])
+
+
 def good_spans(runs: list[tuple[int, int, int]], identity: float) -> list[tuple[int, int, int, int, int]]:
     """Maximal spans from a run's start to a run's end of which `identity` is equal: in a, in b, and equal words."""
     if not runs:
         return []
+    (x, y, _), (u, v, n), total = runs[0], runs[-1], sum(r[2] for r in runs)
+    if total >= identity * max(u + n - x, v + n - y):
+        return [(x, u + n, y, v + n, total)]
     x, y, n = np.array(runs, np.int64).T
     x_end, y_end, before = x + n, y + n, np.concatenate([[0], np.cumsum(n)])
     out, best = [], -1
@@ -233,23 +248,26 @@ def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, ls: np.n
     equal words around a segment that an overlap with another segment cuts short is a span too.
     """
     back, _ = _extension(a[: xs[0]][::-1], b[: ys[0]][::-1])
-    x, y = xs[0] - back, ys[0] - back
-    runs = _equal_runs(a[x : xs[0]], b[y : ys[0]], x, y)
-    x, y = xs[0], ys[0]
+    x, y = int(xs[0]) - back, int(ys[0]) - back
+    runs, cut = [], False
+    at = x, y, x, y  # a diagonal stretch that is not compared yet: its start and end in a and b
+    for k, (sx, sy, n) in enumerate(zip(xs.tolist(), ys.tolist(), ls.tolist())):
+        if k:
+            over = max(at[2] - sx, at[3] - sy, 0)
+            cut |= sx <= at[2] or sy <= at[3]
+            if over >= n:
+                continue
+            sx, sy, n = sx + over, sy + over, n - over
+            runs += _equal_runs(a[at[0] : at[2]], b[at[1] : at[3]], at[0], at[1])
+            runs += _between(a, b, at[2], at[3], sx, sy)
+            at = sx, sy, sx, sy
+        at = at[0], at[1], sx + n, sy + n
+    on, _ = _extension(a[at[2] :], b[at[3] :])
+    out = good_spans(runs + _equal_runs(a[at[0] : at[2] + on], b[at[1] : at[3] + on], at[0], at[1]), identity)
     exact = []
-    for sx, sy, n in zip(xs, ys, ls):
+    for sx, sy, n in zip(xs.tolist(), ys.tolist(), ls.tolist()) if cut else ():
         low, high = min(sx, sy, MARGIN), n + min(len(a) - sx - n, len(b) - sy - n, MARGIN)
         exact += [r for r in _equal_runs(a[sx - low : sx + high], b[sy - low : sy + high], sx - low, sy - low) if r[2] >= MIN_PART]
-        over = max(x - sx, y - sy, 0)
-        if over >= n:
-            continue
-        sx, sy, n = sx + over, sy + over, n - over
-        if sx > x and sy > y:
-            runs += [(x + m.a, y + m.b, m.size) for m in SequenceMatcher(None, a[x:sx].tolist(), b[y:sy].tolist(), autojunk=False).get_matching_blocks() if m.size]
-        runs += _equal_runs(a[sx : sx + n], b[sy : sy + n], sx, sy)
-        x, y = sx + n, sy + n
-    on, _ = _extension(a[x:], b[y:])
-    out = good_spans(runs + _equal_runs(a[x : x + on], b[y : y + on], x, y), identity)
     return out + [(x, x + n, y, y + n, n) for x, y, n in dict.fromkeys(exact) if not any(s[0] <= x and x + n <= s[1] for s in out)]
 
 
@@ -265,7 +283,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], identity: float) -> Iterator[pa.
         def text(own: np.ndarray) -> np.ndarray:
             """The words of tiles in order; of unlike rows under one identifier the tile with the smallest words counts."""
             own = own[np.argsort(tile[own], kind="stable")]
-            if len(np.unique(tile[own])) < len(own):
+            if (tile[own][1:] == tile[own][:-1]).any():
                 own = sorted(own, key=lambda p: (tile[p], word[at[p] : at[p + 1]].tolist()))
                 own = [p for k, p in enumerate(own) if not k or tile[p] != tile[own[k - 1]]]
             return np.concatenate([word[at[p] : at[p + 1]] for p in own])

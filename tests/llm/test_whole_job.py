@@ -36,3 +36,13 @@ def test_exact_runs_survive_any_alignment():
     b[20:80], b[110:170] = a[10:70], a[110:170]
     got = substring_dedup.align(a, b, np.array([10, 110]), np.array([20, 110]), np.array([60, 60]))
     assert {(s[0], s[1], s[4]) for s in got} == {(10, 70, 60), (110, 170, 60)}
+
+
+def test_a_passage_that_stands_twice(spark):
+    rng = random.Random(2)
+    a, c = prose(rng, 70), prose(rng, 90)
+    rows = [(1, prose(rng, 20) + a + prose(rng, 20)), (2, prose(rng, 30) + a + prose(rng, 80) + a + prose(rng, 15)), (3, c + prose(rng, 9) + c + prose(rng, 9) + c)]
+    rows += [(4, prose(rng, 11) + c + c + prose(rng, 60))]
+    got = passages(spark, rows)
+    assert got[1] == got[3] == set()
+    assert got[2] == {*range(30, 100), *range(180, 250)} and got[4] == set(range(11, 191))

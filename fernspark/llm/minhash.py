@@ -5,8 +5,7 @@
 2. Inverted lists of retained values generate candidates. Values that more than `list_limit` classes retain (shared
    passages, large families) come last in each class's order of values, so that the first `prefix` values of a class,
    which are what it is listed under, are rare where it has rare ones. Lists of rare values are short and give all their
-   pairs; classes that need frequent values are compared with the `hubs` most typical classes of their rarest frequent
-   lists.
+   pairs; of a frequent value's list, the classes that need it to fill their prefix are all compared, in blocks.
 3. The union sketch of a pair (the k smallest of both sketches) estimates its similarity; pairs far below the threshold
    are dropped. What is left joins classes into families, far looser than links.
 4. Within families full sets are compared exactly, in blocks of at most `block` classes: a family is dealt to block
@@ -21,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -33,8 +32,6 @@ PERCENT = 85
 K = 48
 PREFIX = 14
 LIST_LIMIT = 48
-HUBS = 4
-HOT_LISTS = 3
 MARGIN = 0.35  # a pair at the threshold is estimated lower than this below it with a chance of 2e-9
 BLOCK = 1500
 _U = np.uint64
@@ -114,25 +111,49 @@ def _root(parent: np.ndarray, x: int) -> int:
     return x
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the exact links inside `left`, or between left and right (numbered after left)."""
-    every = left + (right or [])
-    size = np.array([len(s) for s in every])
+def overlaps(every: list[np.ndarray], n: int, both: bool) -> np.ndarray:
+    """Common values of the first n sets with each other set if `both`, else with one another (n: all)."""
     values, inverse, count = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
     shared = count > 1
     number = np.cumsum(shared) - 1
-    owner = np.repeat(np.arange(len(every)), size)
+    owner = np.repeat(np.arange(len(every)), [len(s) for s in every])
     mask = shared[inverse]
     at, who = number[inverse[mask]], owner[mask]
-    parent = np.arange(len(every))
-    n = len(left)
-    out = []
-    common = np.zeros((n, len(right) if right is not None else n), np.float32)
-    for begin in range(0, int(shared.sum()), 4096):  # dense slices of the shared shingles
+    common = np.zeros((n, len(every) - n if both else n), np.float32)
+    for begin in range(0, int(shared.sum()), 4096):  # dense slices of the shared values
         pick = (at >= begin) & (at < begin + 4096)
         dense = np.zeros((len(every), 4096), np.float32)
         dense[who[pick], at[pick] - begin] = 1
-        common += dense[:n] @ (dense[n:] if right is not None else dense).T
+        common += dense[:n] @ (dense[n:] if both else dense).T
+    return common
+
+
+def likely_forest(sketches: list[np.ndarray], n: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sketches share enough for an estimate less MARGIN, and whose sizes (n) allow a link."""
+    common = overlaps(sketches, len(sketches), False)
+    held = np.array([len(s) for s in sketches], np.float32)
+    waiting, out = np.ones(len(sketches), bool), []
+    for first in range(len(sketches)):
+        todo = [first] if waiting[first] else []
+        waiting[first] = False
+        while todo:
+            x = todo.pop()
+            enough = common[x] >= (percent / 100 - MARGIN) * np.minimum(K, held[x] + held - common[x])
+            near = np.flatnonzero(waiting & enough & (100 * np.minimum(n[x], n) >= percent * np.maximum(n[x], n)))
+            waiting[near] = False
+            todo += near.tolist()
+            out += [(x, y) for y in near.tolist()]
+    return out
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the exact links inside `left`, or between left and right (numbered after left)."""
+    every = left + (right or [])
+    size = np.array([len(s) for s in every])
+    parent = np.arange(len(every))
+    n = len(left)
+    out = []
+    common = overlaps(every, n, right is not None)
     other = size[n:] if right is not None else size
     hit = 100 * common >= percent * (size[:n, None] + other[None] - common)
     rows, cols = np.nonzero(hit)
@@ -175,17 +196,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, list_limit: int = L
     pairs = pairs.select("x", F.explode(F.filter("m", lambda y: (y["cls"] > F.col("x.cls")) & near(y["n"], F.col("x.n")))).alias("y"))
     cold = pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
 
-    needy = ordered.filter((F.size("rare") < PREFIX) & (F.col("n_hot") > 0))
-    wanted = needy.select("cls", "n", "n_hot", F.size("sketch").alias("held"), F.explode("hot").alias("h")).select("cls", "n", "n_hot", "held", F.col("h.v").alias("v"), F.col("h.df").alias("df"))
-    # Typical classes of a frequent list: those with the largest share of frequent values.
-    hub = _hubs(wanted)
-    asks = needy.select("cls", F.explode(F.slice("hot", 1, HOT_LISTS)).alias("h")).select("cls", F.col("h.v").alias("v"))
-    hot = asks.join(hub, "v").select("cls", F.explode("hubs").alias("hub")).filter("cls <> hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
-    pairs = cold.unionByName(hot).distinct()
+    pairs = cold.distinct()
     sketches = ordered.select("cls", "sketch")
     with_a = pairs.join(sketches.withColumnsRenamed({"cls": "a", "sketch": "sa"}), "a")
     with_both = with_a.join(sketches.withColumnsRenamed({"cls": "b", "sketch": "sb"}), "b").select("a", "b", "sa", "sb")
-    likely = staged(with_both.mapInArrow(_likely, "a long, b long"), "likely")
+    likely = with_both.mapInArrow(_likely, "a long, b long")
+    likely = staged(likely.unionByName(_hot_pairs(ordered, percent, block)), "likely")
 
     families = components(likely)
     members = staged(families.join(classes, families["node"] == classes["cls"]).select("cls", F.col("component").alias("family"), "rep", *key), "members")
@@ -200,13 +216,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, list_limit: int = L
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _hubs(wanted: DataFrame) -> DataFrame:
-    """v, hubs: the HUBS most typical classes of each frequent list, in two steps so that a long list is first cut in parts."""
-    typical = F.struct((-F.col("n_hot") / F.col("held")).alias("t"), "cls")
-    part = Window.partitionBy("v", "part").orderBy("x")
-    some = wanted.select("v", typical.alias("x"), F.pmod(F.xxhash64("cls"), F.lit(64)).alias("part")).withColumn("k", F.row_number().over(part)).filter(F.col("k") <= HUBS)
-    best = some.withColumn("k", F.row_number().over(Window.partitionBy("v").orderBy("x"))).filter(F.col("k") <= HUBS)
-    return best.groupBy("v").agg(F.collect_list("x.cls").alias("hubs"))
+def _hot_pairs(ordered: DataFrame, percent: int, block: int) -> DataFrame:
+    """a, b: for each frequent value a spanning set of the likely pairs among all classes whose prefix holds it."""
+    needed = F.lit(PREFIX) - F.size("rare")
+    asks = ordered.filter((needed > 0) & (F.col("n_hot") > 0)).select("cls", "n", "sketch", F.explode(F.slice("hot.v", F.lit(1), needed)).alias("v"))
+    parts = asks.groupBy("v").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("v", F.ceil(F.col("size") / block).cast("int").alias("parts"))
+    dealt = asks.join(parts, "v").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    # A class goes to every pair of blocks that its own block is in; a pair of blocks is compared as a whole.
+    others = F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.array("part"))
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(others)))
+    dealt = dealt.select("v", "cls", "n", "sketch", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+    def compare(table):
+        cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
+        sketch = table.column("sketch").combine_chunks()
+        found = likely_forest([np.asarray(x.values) for x in sketch], n, percent)
+        return pa.table({"a": pa.array([int(cls[x]) for x, _ in found], pa.int64()), "b": pa.array([int(cls[y]) for _, y in found], pa.int64())})
+
+    return dealt.groupBy("v", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _exact_links(texts: DataFrame, members: DataFrame, percent: int, block: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from fernspark.llm import substring_dedup
+from fernspark.llm import minhash, substring_dedup
 
 
 def prose(rng, n):
@@ -46,3 +46,12 @@ def test_a_passage_that_stands_twice(spark):
     got = passages(spark, rows)
     assert got[1] == got[3] == set()
     assert got[2] == {*range(30, 100), *range(180, 250)} and got[4] == set(range(11, 191))
+
+
+def test_two_large_families_of_versions_are_compared(spark):
+    rng = random.Random(3)
+    base = prose(rng, 304)
+    other = base[:150] + prose(rng, 20) + base[170:]
+    rows = [(1000 * v + k, " ".join(text + [f"own{v}x{k}"] * (k > 0))) for v, text in enumerate((base, other)) for k in range(61)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block=40).collect()
+    assert len(got) == 122 and {r["component_id"] for r in got} == {0}

@@ -34,8 +34,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies the document with the smallest doc_id."""
-    return without(docs, minhash.near_duplicates(docs).filter("NOT kept"))
+    """Of near copies (a similarity of 0.8 or more) the document with the smallest doc_id."""
+    return without(docs, minhash.near_duplicates(docs, percent=80).filter("NOT kept"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

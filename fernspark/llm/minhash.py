@@ -96,11 +96,11 @@ def union_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return common / np.maximum((fresh & inside).sum(1), 1)
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     top = np.iinfo(np.int64).max
     for batch in batches:
         if batch.num_rows:
-            keep = union_estimate(_padded(batch.column(2), top), _padded(batch.column(3), top)) >= PERCENT / 100 - MARGIN
+            keep = union_estimate(_padded(batch.column(2), top), _padded(batch.column(3), top)) >= percent / 100 - MARGIN
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
 
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, list_limit: int = L
     sketches = ordered.select("cls", "sketch")
     with_a = pairs.join(sketches.withColumnsRenamed({"cls": "a", "sketch": "sa"}), "a")
     with_both = with_a.join(sketches.withColumnsRenamed({"cls": "b", "sketch": "sb"}), "b").select("a", "b", "sa", "sb")
-    likely = with_both.mapInArrow(_likely, "a long, b long")
+    likely = with_both.mapInArrow(lambda batches: _likely(batches, percent), "a long, b long")
     likely = staged(likely.unionByName(_hot_pairs(ordered, percent, block)), "likely")
 
     families = components(likely)

@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from fernspark.llm import minhash, substring_dedup
 
 
@@ -55,3 +56,21 @@ def test_two_large_families_of_versions_are_compared(spark):
     rows = [(1000 * v + k, " ".join(text + [f"own{v}x{k}"] * (k > 0))) for v, text in enumerate((base, other)) for k in range(61)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block=40).collect()
     assert len(got) == 122 and {r["component_id"] for r in got} == {0}
+
+
+def test_near_stage_drops_copies_of_four_fifths(spark):
+    rng = random.Random(4)
+    base = prose(rng, 504)
+    rows = [(1, " ".join(base)), (2, " ".join(base[:200] + prose(rng, 45) + base[245:])), (3, " ".join(base[:200] + prose(rng, 60) + base[260:]))]
+    got = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r["doc_id"] for r in got.collect()} == {1, 3}  # similarities 0.82 and 0.77
+
+
+def test_estimates_are_cut_by_the_percentage_asked_for():
+    import numpy as np
+    import pyarrow as pa
+
+    a, b = np.arange(48), np.concatenate([np.arange(0, 48, 2), np.arange(100, 124)])  # 24 of 48: an estimate of one half
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([1]), pa.array([a.tolist()]), pa.array([b.tolist()])], names=["a", "b", "sa", "sb"])
+    kept = {p: sum(x.num_rows for x in minhash._likely(iter([batch]), p)) for p in (80, 85, 90)}
+    assert kept == {80: 1, 85: 1, 90: 0}

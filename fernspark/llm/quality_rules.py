@@ -1,11 +1,9 @@
 """Quality rules: base counts of each document, and lines that too many documents of one host share.
 
 Lines are normalised (A-Z lowered, digits to 0, only the words count) and hashed; for each host (`source`) the distinct
-documents that hold a line are counted. Copies of a document are not other documents: documents are told apart by the
-smallest hash of three successive words in their longest other line, so that a text copied a thousand times, with edits
-here and there, doesn't make its own lines common. Lines found in more than `max_documents` such documents of a host, of
-which no one stands for over half of the rows, are removed, and a document that loses more than `max_removed` of its words
-is depleted and rejected.
+documents that hold a line are counted, where documents are told apart by a hash of their whole text, so that exact copies
+are one document. Lines found in more than `max_documents` documents of a host are removed, and a document that loses more
+than `max_removed` of its words is depleted and rejected.
 """
 
 from __future__ import annotations
@@ -27,9 +25,9 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 FOLD = LOWER.copy()
 FOLD[48:58] = 48
 MAX_DOCUMENTS = 25
-MAX_REMOVED = 0.8
+MAX_REMOVED = 0.5
 COUNTS = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-_SCAN = f"row long, {COUNTS}, lines array<long>, line_words array<int>, others array<long>"
+_SCAN = f"row long, {COUNTS}, mark long, lines array<long>, line_words array<int>"
 
 
 def line_hashes(w, ln) -> np.ndarray:
@@ -40,17 +38,11 @@ def line_hashes(w, ln) -> np.ndarray:
     return np.add.reduceat(in_row(each, place), ln.word_from) if len(ln.starts) else np.zeros(0, np.uint64)
 
 
-def line_marks(w, ln) -> np.ndarray:
-    """The smallest hash of three successive words in each line (of all its words, if there are fewer)."""
-    each = run_hashes(FOLD[w.data], w.starts, w.ends, 2)
-    grams, at, _ = windows(each, w.first, 3)
-    least = np.full(len(each) + 1, np.iinfo(np.uint64).max, np.uint64)
-    least[at] = grams
-    long = ln.word_to - ln.word_from >= 3
-    out = line_hashes(w, ln)
-    if long.any():
-        edges = np.stack([ln.word_from[long], ln.word_to[long] - 2], 1).ravel()
-        out[long] = np.minimum.reduceat(least, edges)[::2]
+def text_marks(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A hash of each row's whole text; 0 for empty ones."""
+    out = np.zeros(len(offs) - 1, np.uint64)
+    full = np.diff(offs) > 0
+    out[full] = run_hashes(data, offs[:-1][full], offs[1:][full], 4)
     return out
 
 
@@ -83,16 +75,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Distinct lines of each row, with the words that all their repeats hold.
         _, first, group = np.unique(in_row(hashes, ln.rows), return_index=True, return_inverse=True)
         total = np.bincount(group, weights=size, minlength=len(first)).astype(np.int64)
-        order = np.lexsort((hashes[first], -size[first], ln.rows[first]))  # longest first in each row
+        order = np.argsort(ln.rows[first], kind="stable")
         first, total = first[order], total[order]
-        rows, hashes, marks = ln.rows[first], hashes[first].astype(np.int64), line_marks(w, ln)[first].astype(np.int64)
-        counts = np.bincount(rows, minlength=n)
-        begin = (np.cumsum(counts) - counts)[rows]
-        second = begin + (counts[rows] > 1)
-        other = np.where(np.arange(len(rows)) == begin, marks[second], marks[begin]) if len(rows) else marks
+        counts = np.bincount(ln.rows[first], minlength=n)
         base = base_counts(w)
         arrays = [pa.array(np.arange(row, row + n)), block.column(0), block.column(1), *(pa.array(base[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))]
-        arrays += [list_array(hashes, counts, pa.int64()), list_array(total.astype(np.int32), counts, pa.int32()), list_array(other, counts, pa.int64())]
+        arrays += [pa.array(text_marks(w.data, w.offs).astype(np.int64)), list_array(hashes[first].astype(np.int64), counts, pa.int64()), list_array(total.astype(np.int32), counts, pa.int32())]
         row += n
         yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _SCAN.split(", ")])
 
@@ -101,26 +89,25 @@ def quality_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_remov
     """One row per input row: doc_id, the base counts, base_failed, removed_words, removed_lines (hashes), kept.
 
     base_failed: fewer than 50 words, or over half of the words in repeated 3-word windows. kept: neither base_failed nor
-    depleted. Null texts count as empty; a null host is a host of its own; repeated rows each get a row and count as one
-    document in line frequencies, as do documents of a single line that agree. An empty table gives no rows. Other columns
-    are not looked at.
+    depleted. Null texts count as empty; a null host is a host of its own; repeated rows and other rows of equal texts each
+    get a row and count as one document in line frequencies. An empty table gives no rows. Other columns are not looked at.
     """
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
     scan = staged(columns.mapInArrow(_scan, _SCAN), "quality-rules")
-    each = scan.select("row", F.coalesce("host", F.lit("\0")).alias("host"), F.explode(F.arrays_zip("lines", "line_words", "others")).alias("x"))
-    each = each.select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("size"), F.col("x.others").alias("other"))
-    documents = each.groupBy("host", "line", "other").agg(F.count(F.lit(1)).alias("n"))
-    counts = documents.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("rows"), F.max("n").alias("largest"))
-    common = counts.filter((F.col("documents") > max_documents) & (2 * F.col("largest") <= F.col("rows"))).select("host", "line")
+    host = F.coalesce("host", F.lit("\0")).alias("host")
+    each = scan.select("row", host, "mark", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
+    each = each.select("row", "host", "mark", F.col("x.lines").alias("line"), F.col("x.line_words").alias("size"))
+    holders = each.groupBy("host", "line", "mark").agg(F.count(F.lit(1)).alias("rows"))  # a line's documents spread over tasks
+    common = holders.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > max_documents).select("host", "line")
     lost = each.join(common, ["host", "line"]).groupBy("row").agg(F.sum("size").alias("removed_words"), F.collect_set("line").alias("removed_lines"))
-    out = scan.drop("lines", "line_words", "others", "host").join(lost, "row", "left")
+    out = scan.drop("lines", "line_words", "mark", "host").join(lost, "row", "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long"))).withColumn("base_failed", failed)
     return out.withColumn("kept", ~failed & (F.col("removed_words") <= max_removed * F.col("n_words"))).drop("row")
 
 
 def clean_text(text: Column, removed_lines: Column) -> Column:
-    """The text without the lines whose hashes are in removed_lines (an array from quality_rules; null: none)."""
+    """The text without the lines whose hashes are in removed_lines (an array from quality_rules; null: none); a null text stays null."""
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, removed: pd.Series) -> pd.Series:

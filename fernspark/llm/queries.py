@@ -27,10 +27,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled good and not toxic. Background: all documents."""
-    docs = documents(spark, sf_dir)
-    good = _labels(spark, sf_dir).filter("quality = 1 AND toxic = 0").select("doc_id").distinct()
-    few = good.count() <= 200_000  # 1.6 MB of identifiers
-    return lm_scoring.score_documents(docs, docs.select("doc_id", "text").join(F.broadcast(good) if few else good, "doc_id", "left_semi"), docs)
+    return lm_scoring.score_documents(documents(spark, sf_dir), _labels(spark, sf_dir).filter("quality = 1 AND toxic = 0"))
 
 
 def op5_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +65,26 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality_rules, op3_lm_scoring, op4_exact_dedup, op5_sampling, op6_substring_dedup, op7_quality_classifier, op8_packing, op9_sharding, op10_chat)}
 
+_WHITE = r"'[\x20\x09-\x0D]+'"
+_FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'"
+
 ORACLE_SQL = {
+    "op2_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, {_WHITE}), lambda x: x <> '') AS w FROM d),
+g AS (SELECT r, i, w[i:i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+cov AS (SELECT r, count(DISTINCT i + j) AS n FROM rep, (VALUES (0), (1), (2)) v(j) GROUP BY r),
+l AS (SELECT r, host, md5(t) AS mark, x, list_filter(string_split_regex(x, {_WHITE}), lambda y: y <> '') AS lw FROM (SELECT r, host, t, unnest(string_split(t, chr(10))) AS x FROM d)),
+n AS (SELECT r, host, mark, x, len(lw) AS size, translate(array_to_string(lw, ' '), {_FOLD}) AS line FROM l WHERE len(lw) > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM n GROUP BY r),
+common AS (SELECT host, line FROM n GROUP BY host, line HAVING count(DISTINCT mark) > 25),
+lost AS (SELECT r, sum(size) AS n FROM n JOIN common USING (host, line) GROUP BY r),
+c AS (SELECT doc_id, len(w) AS n_words, CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS removed_words
+  FROM w LEFT JOIN cov USING (r) LEFT JOIN dup USING (r) LEFT JOIN lost USING (r))
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * removed_words <= n_words AS kept, removed_words FROM c""",
     "op1_minhash": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w

@@ -1,10 +1,16 @@
 """Cross-entropy difference between a target and a background language model.
 
-Both models are 4-gram models over one vocabulary of 64 symbol classes (letters with case, digits, punctuation, bytes of
-other scripts), with the same order and the same Witten-Bell interpolation. Target counts come from documents labelled
-good and not toxic, background counts from all documents, whole texts. The model has at most 64**4 entries whatever the
-corpus holds, which bounds what is collected and broadcast. A document's score is the mean over its tokens of target loss
-minus background loss (nats): the lower, the more it resembles the target.
+Both are word bigram models over one vocabulary, the `vocabulary` most frequent words of all documents; other words fall
+into 32 classes by length and kinds of characters. The background is all documents, the target those that are listed; both
+have the same form and smoothing (Witten-Bell over add-one unigrams). A document is scored by counts from which its own are
+taken away, in each model that it is part of. Its score is the mean over its tokens of target loss minus background loss
+(nats): the lower, the more it resembles the target.
+
+1. Words are counted over all texts; the most frequent ones are the vocabulary.
+2. Texts become token codes, dealt into blocks of about `BLOCK` bytes of text, in a staged table.
+3. Bigrams are counted in a table, within each task first. It grows with the corpus and is never collected; what comes to
+   the driver is the vocabulary and the totals by word, whose sizes `vocabulary` fixes.
+4. Each block asks the table for its distinct bigrams, in one join, and its documents are scored where the answers meet.
 """
 
 from __future__ import annotations
@@ -13,100 +19,184 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kernels import blocks, segment_sums, text_buffers
+from ._kernels import LOWER, blocks, run_hashes, text_buffers, words
+from ._spark import staged
 
-ORDER = 4
-VOCABULARY = 64
+VOCABULARY = 8192
+SHAPES = 32
+BLOCK = 8 << 20
+_DIGIT = np.isin(np.arange(256), np.arange(48, 58))
+_SIGN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def symbol_classes() -> np.ndarray:
-    """Class of each byte; 0 is kept for the place before a text."""
-    out = np.full(256, 59, np.uint32)
-    out[97:123], out[65:91], out[48:58] = np.arange(1, 27), np.arange(27, 53), 53
-    for at, chars in ((54, b"\n"), (55, b" \t\r\x0b\x0c"), (56, b".,;:'\"-"), (57, b"!?"), (58, b"#*$%&|<>")):
-        out[list(chars)] = at
-    out[128:] = 60 + (np.arange(128, 256) >> 4 & 3)
+def shapes(w) -> np.ndarray:
+    """Class of each word by its length in bytes and by whether it has digits, signs, and characters beyond ASCII."""
+    size = w.ends - w.starts
+    out = np.searchsorted([4, 7, 11], size, side="right")
+    for k, mask in enumerate((_DIGIT[w.data], _SIGN[w.data], w.data >= 128)):
+        total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+        out = out + (4 << k) * (total[w.ends] > total[w.starts])
     return out
 
 
-CLASSES = symbol_classes()
+def tokens(data: np.ndarray, offs: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all words (1 .. V: vocabulary, then shape classes; 0 stands before a text), and each row's first word."""
+    w = words(LOWER[data], offs)
+    codes = len(vocabulary) + 1 + shapes(w)
+    if len(vocabulary):
+        hashes = run_hashes(w.data, w.starts, w.ends, 1).astype(np.int64)
+        place = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+        codes = np.where(vocabulary[place] == hashes, place + 1, codes)
+    return codes.astype(np.uint16), w.first
 
 
-def grams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """The 4-gram that ends at each byte, as a number below 64**4; before a text stand zeros."""
-    lens = np.diff(offs)
-    at = np.arange(len(data)) + np.repeat(np.arange(1, len(lens) + 1) * (ORDER - 1), lens)
-    padded = np.zeros(len(data) + len(lens) * (ORDER - 1), np.uint32)
-    padded[at] = CLASSES[data]
-    out = padded[at]
-    for k in range(1, ORDER):
-        out |= padded[at - k] << np.uint32(6 * k)
-    return out
+def bigrams(codes: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """The bigram that ends at each token: code before * size + code."""
+    before = np.zeros(len(codes), np.int64)
+    before[1:] = codes[:-1]
+    before[first[:-1][np.diff(first) > 0]] = 0
+    return before * size + codes
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for block in blocks(batches):
-        found = np.sort(grams(*text_buffers(block.column(0))))
-        if not len(found):
-            continue
-        edge = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-        merged = np.concatenate([codes, found[edge]])
-        weight = np.concatenate([counts, np.diff(np.append(edge, len(found)))])
-        codes, group = np.unique(merged, return_inverse=True)
-        counts = np.bincount(group, weights=weight, minlength=len(codes)).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(counts)], names=["gram", "n"])
+        w = words(*_lowered(block.column(0)))
+        found, n = np.unique(run_hashes(w.data, w.starts, w.ends, 1).astype(np.int64), return_counts=True)
+        keys, counts = _added(keys, counts, found, n)
+    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["word", "n"])
+
+
+def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, offs = text_buffers(column)
+    return LOWER[data], offs
+
 
+def _added(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted key lists with counts (rows of counts), as one."""
+    every, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
+    out = np.zeros((len(every), *counts.shape[1:]), np.int64)
+    np.add.at(out, where[: len(keys)], counts)
+    np.add.at(out, where[len(keys) :], n)
+    return every, out
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """gram, n over all rows of a table with a text column."""
-    return texts.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
+def frequent_words(texts: DataFrame, size: int) -> np.ndarray:
+    """Hashes of the most frequent words (ties: the smaller hash), sorted."""
+    counts = texts.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()], np.int64))
 
-def losses(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """-log p(last | first three) for all 64**4 grams: Witten-Bell interpolation down to the uniform distribution."""
-    p = np.full(VOCABULARY, 1 / VOCABULARY, np.float32)
-    dense = np.zeros(VOCABULARY**ORDER, np.float32)
-    dense[codes] = counts
-    for k in range(1, ORDER + 1):
-        n = dense.reshape(-1, VOCABULARY**k).sum(0, dtype=np.float64).astype(np.float32).reshape(-1, VOCABULARY)
-        types = (n > 0).sum(1, keepdims=True).astype(np.float32)
-        total = n.sum(1, keepdims=True)
-        lower = np.broadcast_to(p.reshape(-1, VOCABULARY), (VOCABULARY, *p.reshape(-1, VOCABULARY).shape)).reshape(-1, VOCABULARY) if k > 1 else p[None]
-        p = np.where(total > 0, (n + types * lower) / np.maximum(total + types, 1), lower).astype(np.float32)
-    return -np.log(p.ravel())
 
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Token codes of a binary column and each row's first token."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    parts = [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint16), np.cumsum([0, *map(len, parts)])
 
-#: The model that a worker process has last used, and its two tables.
-_LAST: list = [None, None, None]
 
+def losses(c, total, types, unigram):
+    """-log of the interpolated probability: bigram count, its history's total and types, and the word's own probability."""
+    n = total + types
+    return -np.log(np.where(n > 0, (c + types * unigram) / np.maximum(n, 1), unigram))
 
-def score_documents(docs: DataFrame, target: DataFrame, background: DataFrame) -> DataFrame:
+
+def mean_losses(codes: np.ndarray, first: np.ndarray, member: np.ndarray, grams: np.ndarray, counts: np.ndarray, by_history: tuple[np.ndarray, np.ndarray], by_word: np.ndarray) -> np.ndarray:
+    """Mean loss of each row of a block under one model, without the counts of rows that are members of its corpus.
+
+    grams (sorted), counts: what the model has of the block's bigrams; by_history: totals and types; by_word: counts.
+    """
+    size, n = len(by_word), np.diff(first)
+    rows = np.repeat(np.arange(len(n)), n)
+    keys, where, own = np.unique(rows * (size * size) + bigrams(codes, first, size), return_inverse=True, return_counts=True)
+    row, gram = keys // (size * size), keys % (size * size)
+    own = own * member[row]
+    place = np.minimum(np.searchsorted(grams, gram), max(len(grams) - 1, 0))
+    held = np.where(grams[place] == gram, counts[place], 0) if len(grams) else np.zeros(len(gram), np.int64)
+
+    def in_row(values, weights):  # sums over the row's bigrams with the same value (history or word)
+        _, group = np.unique(row * size + values, return_inverse=True)
+        return np.bincount(group, weights=weights)[group] if len(values) else np.zeros(0)
+
+    history, word = gram // size, gram % size
+    total = by_history[0][history] - in_row(history, own)
+    types = by_history[1][history] - in_row(history, (held > 0) & (held == own))
+    unigram = (by_word[word] - in_row(word, own) + 1) / (by_word.sum() - (n * member)[row] + size)
+    each = losses(held - own, total, types, unigram)
+    sums = np.bincount(rows, weights=each[where], minlength=len(n))
+    return np.divide(sums, n, out=np.full(len(n), np.nan), where=n > 0)
+
+
+def score_documents(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, target_loss, background_loss (means per token), score (their difference).
 
-    Null and empty texts have 0 tokens and null losses. Repeated rows are scored alike. If target or background hold no
-    text, their model is the uniform distribution. An empty table gives no rows. Only doc_id and text are looked at.
+    docs: doc_id, text, all of them the background; target: doc_id of the documents of the target. Null and empty texts have
+    0 tokens and null losses. Repeated rows are told apart, so each takes away its own counts only; a null doc_id is never
+    in the target. If the target is empty its model knows nothing. An empty table gives no rows. Other columns are not
+    looked at. vocabulary: at most 65,000.
     """
-    both = gram_counts(target).withColumnRenamed("n", "t").join(gram_counts(background).withColumnRenamed("n", "b"), "gram", "full").na.fill(0)
-    model = both.orderBy("gram").toPandas()  # at most VOCABULARY ** ORDER rows
-    shared = docs.sparkSession.sparkContext.broadcast((model["gram"].to_numpy(np.int64), model["t"].to_numpy(np.float64), model["b"].to_numpy(np.float64)))
-
-    def run(batches):
-        model = shared.value
-        if _LAST[0] is not model:
-            codes, t, b = model
-            _LAST[:] = model, losses(codes, t), losses(codes, b)
-        _, of_target, of_background = _LAST
-        for block in blocks(batches):
-            data, offs = text_buffers(block.column(1))
-            at = grams(data, offs)
-            n = np.diff(offs)
-            each = [np.divide(segment_sums(x[at].astype(np.float64), offs), n, out=np.full(len(n), np.nan), where=n > 0) for x in (of_target, of_background)]
-            arrays = [pa.array(np.round(x, 9), from_pandas=True) for x in (*each, each[0] - each[1])]
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n.astype(np.int64)), *arrays], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = frequent_words(texts, vocabulary)
+    size = len(known) + 1 + SHAPES
+
+    def encode(batches):
+        task = TaskContext.get()
+        number = (task.partitionId() if task else 0) << 33
+        for block in blocks(batches, limit=BLOCK):
+            codes, first = tokens(*text_buffers(block.column(1)), known)
+            each = pa.array([codes[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(block.num_rows, number)), block.column(0), each], names=["block", "doc_id", "codes"])
+            number += 1
+
+    coded = staged(texts.select("doc_id", "text").mapInArrow(encode, "block long, doc_id long, codes binary"), "tokens")
+    listed = target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("in_target")).filter("doc_id IS NOT NULL").distinct()
+    flagged = coded.join(listed, "doc_id", "left").select("block", "doc_id", "codes", F.coalesce("in_target", F.lit(0)).alias("in_target"))
+
+    def count(batches):
+        keys, counts = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        for b in batches:
+            codes, first = _codes(b.column(0))
+            of_target = np.repeat(np.asarray(b.column(1)), np.diff(first))
+            found, where = np.unique(bigrams(codes, first, size), return_inverse=True)
+            n = np.stack([np.bincount(where, weights=of_target, minlength=len(found)), np.bincount(where, minlength=len(found))], 1).astype(np.int64)
+            keys, counts = _added(keys, counts, found, n)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names=["gram", "t", "b"])
+
+    counted = flagged.select("codes", "in_target").mapInArrow(count, "gram int, t long, b long")
+    model = staged(counted.groupBy("gram").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "bigrams")
+
+    def totals(key):  # at most `size` rows
+        out = np.zeros((4, size), np.int64)
+        sums = [F.sum("t"), F.sum("b"), F.sum((F.col("t") > 0).cast("long")), F.count(F.lit(1))]
+        for r in model.groupBy(key.cast("int").alias("k")).agg(*(s.alias(f"s{k}") for k, s in enumerate(sums))).collect():
+            out[:, r["k"]] = r[1:]
+        return out
+
+    history, word = totals(F.floor(F.col("gram") / size)), totals(F.col("gram") % size)
+
+    def ask(batches):
+        for b in batches:
+            block = np.asarray(b.column(0))
+            codes, first = _codes(b.column(1))
+            edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]]) if len(block) else np.zeros(1, int)
+            for a, z in zip(edges, edges[1:]):
+                at = first[a : z + 1]
+                grams = np.unique(bigrams(codes[at[0] : at[-1]], at - at[0], size)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block[a])), pa.array(grams)], names=["block", "gram"])
+
+    answers = coded.select("block", "codes").mapInArrow(ask, "block long, gram int").join(model, "gram")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        codes, first = _codes(left.column("codes"))
+        in_target = left.column("in_target").to_numpy().astype(np.int64)
+        grams, once = np.unique(right.column("gram").to_numpy(), return_index=True)
+        t = mean_losses(codes, first, in_target, grams, right.column("t").to_numpy()[once], (history[0], history[2]), word[0])
+        b = mean_losses(codes, first, np.ones_like(in_target), grams, right.column("b").to_numpy()[once], (history[1], history[3]), word[1])
+        arrays = [pa.array(np.round(x, 9), from_pandas=True) for x in (t, b, t - b)]
+        return pa.table([left.column("doc_id").combine_chunks(), pa.array(np.diff(first).astype(np.int64)), *arrays], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    both = flagged.groupBy("block").cogroup(answers.groupBy("block"))
+    return both.applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

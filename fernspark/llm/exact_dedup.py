@@ -1,21 +1,24 @@
 """Exact dedup by a tree merge of sorted digest runs, in DataFrame operations only.
 
-Every scan partition is a run: its digests, each with the smallest identifier and the number of rows. In round k runs
-whose numbers agree after division by fan_in**k exchange rows and are merged: a shuffle on (run group, digest), where the
-map side combines first. A merged run keeps the smallest identifier per digest. What is merged agrees on the SHA-256, the
-byte length and a second, independent hash of the text, at every level. At the root there is one logical run, dealt out
-over all partitions by digest. The result goes back down to the leaves on (run, digest), so a digest that holds a third of
-all rows is spread over as many tasks as there were runs.
+Every scan partition is a run: one entry per digest, with the smallest identifier and the number of rows, sorted by
+digest. Runs are merged in binomial rounds of `fan_in` (a power of two): round k joins the runs whose numbers agree but
+for the k-th group of bits. The runs of a group meet in an exchange on (group, digest), where each task holds one stretch
+of digests of a group, sorts the stretches it was handed into one (what a merge of sorted stretches is in Spark) and walks
+along it: of successive equal digests the first, which has the smallest identifier, is retained with the sum of the rows.
+Equal means, at every level, equal SHA-256, byte length and a second, independent hash. No digest has more than `fan_in`
+entries in a group, so a digest that holds a third of all rows weighs no more than another. At the root the one run is
+dealt over all tasks by digest. The result goes back down to the leaves on (run, digest), so that such a digest is spread
+over as many tasks as there were runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import staged
 
-#: Runs that one merge takes in.
+#: Runs that one merge takes in; a power of two.
 FAN_IN = 16
 KEY = ("__sha", "__len", "__check")
 
@@ -25,6 +28,16 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
+def merged(runs: DataFrame, fan_in: int) -> DataFrame:
+    """__run, KEY, __keep, __size: the next level of runs, each sorted by KEY within its tasks."""
+    smallest = F.col("__keep").asc_nulls_last()
+    group = runs.withColumn("__run", F.floor(F.col("__run") / fan_in).cast("int"))
+    lined_up = group.repartition("__run", *KEY).sortWithinPartitions("__run", *KEY, smallest)
+    along = Window.partitionBy("__run", *KEY).orderBy(smallest)
+    rows = F.sum("__size").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return lined_up.withColumns({"__rows": rows, "__place": F.row_number().over(along)}).filter("__place = 1").select("__run", *KEY, "__keep", F.col("__rows").alias("__size"))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
@@ -38,12 +51,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     leaves = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), F.spark_partition_id().alias("__run"))
     leaves = leaves.select("__id", "__run", F.sha2("__text", 256).alias("__sha"), F.octet_length("__text").alias("__len"), F.xxhash64("__text").alias("__check"))
     leaves = staged(leaves, "digests")
-    merge = lambda runs, size: (F.min("__keep").alias("__keep"), F.sum(size).alias("__size"))
-    level = leaves.withColumn("__keep", F.col("__id")).groupBy("__run", *KEY).agg(*merge(None, F.lit(1)))
-    runs = leaves.agg(F.max("__run")).first()[0] or 0
-    while runs > 0:
-        level = level.withColumn("__run", F.floor(F.col("__run") / fan_in).cast("int")).groupBy("__run", *KEY).agg(*merge(None, F.col("__size")))
-        runs //= fan_in
+    level = leaves.groupBy("__run", *KEY).agg(F.min("__id").alias("__keep"), F.count(F.lit(1)).alias("__size"))
+    last = leaves.agg(F.max("__run")).first()[0] or 0
+    while last > 0:
+        level, last = merged(level, fan_in), last // fan_in
     groups = level.filter("__size > 1").drop("__run")
     # Down again: each leaf run asks once for each of its digests.
     asked = leaves.select("__run", *KEY).distinct()

@@ -1,11 +1,13 @@
 """Sum-of-squares online packing of token ids into fixed windows.
 
 Every scan partition packs its own documents, in order, with an array that counts the open windows at each fill level.
-A document is cut only where it is longer than a window: whole windows first, then the rest is placed as one piece into
-the fill level (or a new window) that minimises the sum of the squared counts of partially filled windows. When a
-partition ends, its open windows are emptied, fullest first, into full windows (cutting one piece at each seam), and the
-last tokens go to windows whose lengths are powers of two, which need no padding. So nothing is shuffled, state is one
-array per task, and padding does not depend on the number of partitions.
+Whole windows of a long document are cut off first, then the rest is placed as one piece into the fill level (or a new
+window) that minimises the sum of the squared counts of partially filled windows. At most `open_windows` windows are open
+at once: where the rule would open one more, the piece is cut, and its head closes a window whose closing lowers the sum of
+squares most. So the state of a task is bounded, and nearly all tokens are placed by the rule. When a partition ends, the
+windows still open are emptied, fullest first, into full windows (cutting one piece at each seam), and the last tokens go
+to windows whose lengths are powers of two, which need no padding. Nothing is shuffled, and padding does not depend on the
+number of partitions.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from ._kernels import WHITE, blocks, run_hashes, text_buffers, words
 
 WINDOW = 2048
 END_ID = 1
+#: Windows that a task holds open.
+OPEN_WINDOWS = 32
 PIECES = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 #: Distinct words that a task remembers the ids of, before it starts anew.
 CACHE_WORDS = 400_000
@@ -132,72 +136,80 @@ class WordEncoder:
 
 
 class Packer:
-    """Open windows by fill level. A piece is (document index, start, length); a closed window is a list of pieces."""
+    """Open windows by fill level. A piece is (document, start, ids); a closed window is a list of pieces."""
 
-    def __init__(self, window: int = WINDOW):
-        self.window = window
+    def __init__(self, window: int = WINDOW, open_windows: int = OPEN_WINDOWS):
+        self.window, self.most = window, open_windows
         self.counts = np.zeros(window, np.int64)  # of open windows by fill; 0 stands for a new window
         self.open: list[list[list]] = [[] for _ in range(window)]
+        self.held = 0
 
-    def place(self, piece: tuple) -> list | None:
-        """Puts a piece of fewer than `window` tokens; returns the window if it is full now."""
-        n, size = piece[2], self.window
+    def _take(self, level: int) -> list:
+        self.counts[level] -= 1
+        self.held -= 1
+        return self.open[level].pop()
+
+    def _cheapest(self, n: int) -> int:
+        """The fill level that a piece of n tokens goes to: 0 for a new window, -1 if that would be one too many."""
+        size = self.window
         # Going from fill f to f + n changes the sum of squares by -(2 c[f] - 1) and + (2 c[f + n] + 1).
-        cost = np.empty(size - n + 1, np.int64)
-        cost[:-1] = 2 * self.counts[n:]
-        cost[-1] = -1  # a full window is no longer counted
-        cost[:-1] += 1
-        gain = np.where(self.counts[: size - n + 1] > 0, 2 * self.counts[: size - n + 1] - 1, -(1 << 40))
-        gain[0] = 0
-        cost[-1] = 0
-        change = cost - gain
+        change = np.empty(size - n + 1, np.int64)
+        change[:-1] = 2 * self.counts[n:] + 1
+        change[-1] = 0  # a full window is no longer counted
+        change -= np.where(self.counts[: size - n + 1] > 0, 2 * self.counts[: size - n + 1] - 1, -(1 << 40))
+        change[0] = 2 * self.counts[n] + 1 if self.held < self.most else 1 << 41
         best = int(len(change) - 1 - np.argmin(change[::-1]))  # of ties the fullest
-        pieces = self.open[best].pop() if best else []
-        if best:
-            self.counts[best] -= 1
-        pieces.append(piece)
-        if best + n == size:
-            return pieces
-        self.counts[best + n] += 1
-        self.open[best + n].append(pieces)
-        return None
+        return best if change[best] < 1 << 40 else -1
+
+    def place(self, piece: tuple) -> Iterator[list]:
+        """Puts a piece of 1 to window - 1 tokens; yields the windows that are full now."""
+        doc, start, ids = piece
+        while len(ids):
+            best = self._cheapest(len(ids))
+            head = ids
+            if best < 0:  # no window has room and no more may be opened: the head closes one
+                best = int(self.window - 1 - np.argmax(self.counts[:0:-1]))
+                head = ids[: self.window - best]
+            pieces = self._take(best) if best else []
+            pieces.append((doc, start, head))
+            start, ids = start + len(head), ids[len(head) :]
+            if best + len(head) == self.window:
+                yield pieces
+            else:
+                self.counts[best + len(head)] += 1
+                self.open[best + len(head)].append(pieces)
+                self.held += 1
 
     def rest(self) -> Iterator[list]:
         """The open windows, emptied into full ones and into ones whose lengths are powers of two."""
         left = [p for f in range(self.window - 1, 0, -1) for w in self.open[f] for p in w]
-        total = sum(p[2] for p in left)
+        total = sum(len(p[2]) for p in left)
         sizes = [self.window] * (total // self.window) + [1 << b for b in reversed(range(self.window.bit_length())) if total % self.window >> b & 1]
         at = used = 0
         for size in sizes:
             pieces = []
             while size:
-                doc, start, n = left[at]
-                take = min(size, n - used)
-                pieces.append((doc, start + used, take))
-                size, used = size - take, used + take
-                if used == n:
+                doc, start, ids = left[at]
+                head = ids[used : used + size]
+                pieces.append((doc, start + used, head))
+                size, used = size - len(head), used + len(head)
+                if used == len(ids):
                     at, used = at + 1, 0
             yield pieces
 
 
-def pack_partition(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, packer = _encoder(path), Packer(window)
+def pack_partition(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, open_windows: int) -> Iterator[pa.RecordBatch]:
+    encoder, packer = _encoder(path), Packer(window, open_windows)
     task = TaskContext.get()
     sequence = (task.partitionId() if task else 0) << 32
-    texts: dict[int, tuple] = {}  # of documents with tokens in open windows: identifier, ids, tokens left in open windows
     out: list[tuple] = []
-    number = 0
 
     def emit(pieces: list) -> None:
         nonlocal sequence
         offset = 0
-        for doc, start, n in pieces:
-            held = texts[doc]
-            out.append((held[0], start, n, held[1][start : start + n], len(held[1]), sequence, offset))
-            offset += n
-            held[2] -= n
-            if not held[2]:
-                del texts[doc]
+        for (doc_id, tokens), start, ids in pieces:
+            out.append((doc_id, start, len(ids), ids, tokens, sequence, offset))
+            offset += len(ids)
         sequence += 1
 
     def batch() -> pa.RecordBatch:
@@ -212,14 +224,11 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, window: int, en
         ids, at = encoder.encode(*text_buffers(block.column(1)))
         for k, doc_id in enumerate(block.column(0).to_pylist()):
             own = np.append(ids[at[k] : at[k + 1]], np.uint32(end_id))
-            n = len(own)
-            texts[number] = [doc_id, own, n]
-            whole = n - n % window
+            doc, whole = (doc_id, len(own)), len(own) - len(own) % window
             for start in range(0, whole, window):
-                emit([(number, start, window)])
-            if n > whole and (full := packer.place((number, whole, n - whole))):
+                emit([(doc, start, own[start : start + window])])
+            for full in packer.place((doc, whole, own[whole:].copy())):  # a copy, so that an open window holds no whole document
                 emit(full)
-            number += 1
         if out:
             yield batch()
     encoder.clear()  # the worker process lives on
@@ -236,7 +245,7 @@ def _encoder(path: str) -> WordEncoder:
     return _ENCODERS.setdefault(path, WordEncoder(path)) if path not in _ENCODERS else _ENCODERS[path]
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, open_windows: int = OPEN_WINDOWS) -> DataFrame:
     """Pieces of packed sequences: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     Every row of docs is a document, repeated rows and rows with a null doc_id too; null and empty texts are the end id
@@ -248,7 +257,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: pack_partition(it, tokenizer, window, end_id), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: pack_partition(it, tokenizer, window, end_id, open_windows), PIECES)
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

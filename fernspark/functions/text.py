@@ -100,35 +100,42 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return let(F.struct(trigrams(a).alias("a"), trigrams(b).alias("b")), lambda t: jaccard(t["a"], t["b"]))
 
 
+def gram_set(c: Column) -> Column:
+    """The trigrams as 64-bit hashes: for long texts, once per text, where many pairs are compared by `jaccard`."""
+    return F.transform(trigrams(c), lambda g: F.xxhash64(g))
+
+
 def jaro_winkler(a: Column, b: Column) -> Column:
     """Jaro-Winkler similarity; the prefix always counts, and odd transpositions count half.
 
-    A fold over the letters of `a` marks, for each, the first free equal letter of `b` within the window.
+    A fold over the letters of `a` takes, for each, the first free equal letter of `b` within the window.
     """
-    return let(F.struct(a.alias("a"), b.alias("b")), lambda t: _jaro_winkler(t["a"], t["b"]))
+    both = F.struct(a.alias("a"), b.alias("b"), F.split(a, "").alias("x"), F.split(b, "").alias("y"))
+    return let(both, lambda t: _jaro_winkler(t["a"], t["b"], t["x"], t["y"]))
 
 
-def _jaro_winkler(a: Column, b: Column) -> Column:
+def _jaro_winkler(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """Of two texts and the arrays of their letters."""
     la, lb = F.length(a), F.length(b)
     window = F.greatest(F.lit(0), F.floor(F.greatest(la, lb) / 2).cast("int") - 1)
-    start = F.struct(F.repeat(F.lit("0"), lb).alias("mask"), F.lit("").alias("hit"))
+    start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast("array<string>").alias("hit"))
 
     def step(state: Column, i: Column) -> Column:
-        low, high = F.greatest(F.lit(1), i - window), F.least(lb, i + window)
+        low, high = F.greatest(F.lit(0), i - window), F.least(lb - 1, i + window)
         near = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        letter = F.substring(a, i, F.lit(1))
-        j = F.get(F.filter(near, lambda j: (F.substring(state["mask"], j, F.lit(1)) == "0") & (F.substring(b, j, F.lit(1)) == letter)), F.lit(0))
-        taken = F.concat(F.substring(state["mask"], F.lit(1), j - 1), F.lit("1"), F.substring(state["mask"], j + 1, lb))
-        return F.struct(F.when(j.isNull(), state["mask"]).otherwise(taken).alias("mask"), F.when(j.isNull(), state["hit"]).otherwise(F.concat(state["hit"], letter)).alias("hit"))
+        letter = F.get(x, i)
+        free = F.filter(near, lambda j: (F.get(y, j) == letter) & ~F.array_contains(state["taken"], j))
+        more = lambda j: F.struct(F.concat(state["taken"], F.array(j)).alias("taken"), F.concat(state["hit"], F.array(letter)).alias("hit"))
+        return let(F.get(free, F.lit(0)), lambda j: F.when(j.isNull(), state).otherwise(more(j)))
 
     def finish(state: Column) -> Column:
-        m = F.length(state["hit"])
-        other = F.array_join(F.transform(F.filter(F.sequence(F.lit(1), lb), lambda j: F.substring(state["mask"], j, F.lit(1)) == "1"), lambda j: F.substring(b, j, F.lit(1))), "")
-        moved = F.size(F.filter(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda k: F.substring(state["hit"], k, F.lit(1)) != F.substring(other, k, F.lit(1))))
+        m = F.size(state["hit"])
+        other = F.transform(F.array_sort(state["taken"]), lambda j: F.get(y, j))
+        moved = F.size(F.filter(F.zip_with(state["hit"], other, lambda u, v: u != v), lambda unlike: unlike))
         jaro = (m / la + m / lb + (m - moved / 2) / m) / 3
         same = [F.substring(a, F.lit(1), F.lit(k)) == F.substring(b, F.lit(1), F.lit(k)) for k in range(1, 5)]
         prefix = sum(((F.least(la, lb) >= k + 1) & same[k]).cast("int") for k in range(4))
         return F.when(m == 0, 0.0).otherwise(jaro + prefix * 0.1 * (1 - jaro))
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(la, F.lit(1))), start, step, finish)
+    folded = F.aggregate(F.sequence(F.lit(0), F.greatest(la - 1, F.lit(0))), start, step, finish)
     return F.when(a == b, 1.0).when((la == 0) | (lb == 0), 0.0).otherwise(folded)

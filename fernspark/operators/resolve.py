@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_miles
 from ..functions.hashes import bare_id, hamming
-from ..functions.text import clean_name, jaro_winkler, let, trigram_similarity
+from ..functions.text import clean_name, gram_set, jaccard, jaro_winkler, let, trigram_similarity
 from ..model import AGES, AUTO_MERGE, BLOCK_METERS, EARTH_MILES, METERS_PER_MILE, REVIEW, WEIGHTS
 from ..staging import staged
 from .components import components
@@ -71,9 +72,11 @@ def geo_cells(lat: Column, lon: Column, meters: float = BLOCK_METERS, around: bo
 def candidate_pairs(records: DataFrame, tombstones: DataFrame, decided: DataFrame, meters: float = BLOCK_METERS) -> DataFrame:
     """a < b: pets of one species that share an organisation or lie within `meters`, with a source that the other lacks.
 
-    records: pet_id, species, org_id, lat, lon, sources (array). Two equi-joins stand in for the OR: on (species,
+    records: pet_id, species, org_id, lat, lon, sources (array), and, if there, status, where removed pets take no part. Two equi-joins stand in for the OR: on (species,
     organisation) and on (species, cell). Pairs that are tombstoned or decided are left out.
     """
+    if "status" in records.columns:
+        records = records.filter("status <> 'removed'")
     r = records.select("pet_id", "species", "org_id", "lat", "lon", F.array_sort(F.array_distinct("sources")).alias("sources"))
     side = lambda p, *rest: r.select(F.col("pet_id").alias(p), "species", F.col("sources").alias(f"s{p}"), *rest)
     cross = (F.size(F.array_except("sa", "sb")) > 0) | (F.size(F.array_except("sb", "sa")) > 0)
@@ -116,8 +119,9 @@ def age_score(a: Column, b: Column) -> Column:
 
 
 def description_score(a: Column, b: Column) -> Column:
-    banded = let(trigram_similarity(a, b), lambda s: F.when(s >= 0.7, 1.0).when(s >= 0.4, s).otherwise(0.0))
-    return F.when((F.length(a) >= 40) & (F.length(b) >= 40), banded)
+    """Of structs of a description's length and gram_set."""
+    banded = let(jaccard(a["grams"], b["grams"]), lambda s: F.when(s >= 0.7, 1.0).when(s >= 0.4, s).otherwise(0.0))
+    return F.when((a["length"] >= 40) & (b["length"] >= 40), banded)
 
 
 def pair_scores(pairs: DataFrame, records: DataFrame) -> DataFrame:
@@ -126,8 +130,10 @@ def pair_scores(pairs: DataFrame, records: DataFrame) -> DataFrame:
     records: pet_id, species, sex, name, description, raw_breed_text, age_group, phashes. Another species or sex is a veto.
     Signals without evidence give their weight to the others; without photo evidence a pair is never merged unseen.
     """
-    names = ("species", "sex", "name", "description", "raw_breed_text", "age_group", "phashes")
-    side = lambda p: records.select(F.col("pet_id").alias(p), F.struct(*names).alias(f"r{p}"))
+    about = F.struct(F.length("description").alias("length"), gram_set(F.col("description")).alias("grams")).alias("description")
+    names = ("species", "sex", "name", "raw_breed_text", "age_group", "phashes")
+    records = staged(records.join(pairs.select(F.explode(F.array("a", "b")).alias("pet_id")).distinct(), "pet_id", "left_semi").select("pet_id", F.struct(*names, about).alias("r")), "scored-records")
+    side = lambda p: records.select(F.col("pet_id").alias(p), F.col("r").alias(f"r{p}"))
     x = spread(pairs.join(side("a"), "a").join(side("b"), "b"))
     f = lambda n: (F.col(f"ra.{n}"), F.col(f"rb.{n}"))
     sex = F.when((f("sex")[0] == "unknown") | (f("sex")[1] == "unknown"), 0.5).otherwise(1.0)
@@ -143,22 +149,116 @@ def pair_scores(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return x.select("a", "b", "score", "vetoed", route.alias("route"), breakdown.alias("breakdown"))
 
 
-def clusters(edges: DataFrame, never: DataFrame) -> DataFrame:
-    """node, component of the edges (a, b, score), where no component holds a pair of `never` (pet_a, pet_b).
-
-    While one does, the weakest edge of that component (ties: largest ids) is dropped and components are found anew.
+#: Edges of one component that a task takes in.
+CLUSTER_EDGES = 50_000
+
+
+def _kept_apart(table: pa.Table) -> pa.Table:
+    """Nodes of one problem with their cluster: edges are taken from the strongest on, and a cluster that would hold a forbidden pair or two facts is final as it is."""
+    prob, kind, a, b, rank, species, sex, closed = (table.column(c).to_pylist() for c in ("prob", "kind", "a", "b", "rank", "species", "sex", "closed"))
+    parent, facts, final, foes = {}, {}, set(), {}
+    for k, x in enumerate(kind):
+        if x == "node":
+            parent[a[k]], facts[a[k]] = a[k], (species[k], sex[k])
+            if closed[k]:
+                final.add(a[k])
+        elif x == "pair":
+            foes.setdefault(a[k], set()).add(b[k])
+            foes.setdefault(b[k], set()).add(a[k])
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for k in sorted((k for k, x in enumerate(kind) if x == "edge"), key=rank.__getitem__):
+        x, y = root(a[k]), root(b[k])
+        if x == y:
+            continue
+        if len(foes.get(x, ())) > len(foes.get(y, ())):
+            x, y = y, x
+        unlike = any(u is not None and v is not None and u != v for u, v in zip(facts[x], facts[y]))
+        if x in final or y in final or unlike or any(root(z) == y for z in foes.get(x, ())):
+            final |= {x, y}
+            continue
+        parent[x] = y
+        facts[y] = tuple(v if u is None else u for u, v in zip(facts[x], facts[y]))
+        foes.setdefault(y, set()).update(foes.pop(x, ()))
+    nodes = list(parent)
+    return pa.table({"node": pa.array(nodes, pa.int64()), "label": pa.array([root(x) for x in nodes], pa.int64())})
+
+
+def clusters(edges: DataFrame, never: DataFrame, facts: DataFrame | None = None, limit: int = CLUSTER_EDGES) -> DataFrame:
+    """node, component of the edges (a, b, score), where no component holds a pair of `never` (pet_a, pet_b, in either order) or two known species or sexes.
+
+    facts: pet_id, species, sex (null: unknown). While a component holds such a pair, its weakest edge goes (ties: the
+    largest ids). That comes to the same as taking edges from the strongest on, where two clusters that must not meet, and
+    whatever would join them later, stay as they are. Components without a conflict are final at once. Others are worked
+    off one per task; one of more than `limit` edges is first cut in halves: the stronger half's components are found, those
+    with a conflict are problems of their own, the others are nodes of what the weaker half joins. So rounds grow with the
+    logarithm of a component's edges.
     """
-    edges = staged(edges.select("a", "b", "score"), "edges")
+    order = (F.desc("score"), F.col("a"), F.col("b"))
+    lined_up = edges.select("a", "b", "score").filter("a <> b").repartitionByRange(*order).sortWithinPartitions(*order)
+    ranked = staged(lined_up.select("a", "b", F.monotonically_increasing_id().alias("rank")), "ranked")
+    found = components(ranked)
+    if facts is None:
+        facts = found.select(F.col("node").alias("pet_id"), F.lit(None).cast("string").alias("species"), F.lit(None).cast("string").alias("sex")).limit(0)
+    nodes = found.join(facts.select(F.col("pet_id").alias("node"), "species", "sex"), "node", "left").select(F.col("component").alias("prob"), "node", "species", "sex", F.lit(False).alias("closed"))
+    nodes = staged(nodes, "nodes")
+    pairs = never.select(F.least("pet_a", "pet_b").alias("a"), F.greatest("pet_a", "pet_b").alias("b")).filter("a <> b").distinct()
+
+    def inside(nodes: DataFrame, group: str, pairs: DataFrame) -> DataFrame:
+        """The pairs both of whose nodes are in one group."""
+        side = lambda p: nodes.select(F.col("node").alias(p), F.col(group).alias(f"_{p}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter("_a = _b").select(F.col("_a").alias(group), "a", "b")
+
+    def in_conflict(nodes: DataFrame, group: str, pairs: DataFrame) -> DataFrame:
+        unlike = (F.min("species") != F.max("species")) | (F.min("sex") != F.max("sex"))
+        bad = nodes.groupBy(group).agg(F.coalesce(F.max(F.col("closed")) | unlike, F.max(F.col("closed"))).alias("bad")).filter("bad").select(group)
+        return bad.unionByName(inside(nodes, group, pairs).select(group)).distinct()
+
+    bad = staged(in_conflict(nodes, "prob", pairs), "conflicts")
+    whole = found.join(bad, found["component"] == bad["prob"], "left_anti").select("node", "component")
+    nodes = staged(nodes.join(bad, "prob"), "nodes")
+    edges = staged(ranked.join(nodes.select(F.col("node").alias("a"), "prob"), "a").select("prob", "a", "b", "rank"), "edges")
+    pairs = staged(inside(nodes, "prob", pairs), "pairs")
+    members = nodes.select(F.col("node").alias("pet"), "node")
+    turn = 0
     while True:
-        found = components(edges)
-        of = lambda p, c: found.select(F.col("node").alias(p), F.col("component").alias(c))
-        bad = never.join(of("pet_a", "ca"), "pet_a").join(of("pet_b", "cb"), "pet_b").filter("ca = cb").select(F.col("ca").alias("component")).distinct()
-        if not bad.limit(1).count():
-            return found
-        inside = edges.join(of("a", "component"), "a").join(bad, "component")
-        weakest = inside.groupBy("component").agg(F.min(F.struct("score", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("w"))
-        weakest = weakest.select((-F.col("w.x")).alias("a"), (-F.col("w.y")).alias("b"))
-        edges = staged(edges.join(weakest, ["a", "b"], "left_anti"), "edges")
+        sizes = edges.groupBy("prob").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("rank", 0.5).alias("cut"), F.max("rank").alias("top"))
+        big = staged(sizes.filter(F.col("n") > limit).select("prob", F.least("cut", F.col("top") - 1).alias("cut")), "large")
+        if not big.limit(1).count():
+            break
+        turn += 1
+        small = [x.join(big, "prob", "left_anti") for x in (edges, nodes, pairs)]
+        cut = edges.join(big, "prob")
+        strong, weak = cut.filter("rank <= cut").drop("cut"), cut.filter("rank > cut").drop("cut")
+        joined = components(strong)
+        own = staged(nodes.join(big.select("prob"), "prob").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "halves")
+        odd = staged(in_conflict(own, "component", pairs.select("a", "b")).withColumn("bad", F.lit(True)), "conflicts")
+        own = own.join(odd, "component", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+        fresh = F.xxhash64(F.lit(turn), F.lit("outer"), "prob", "component")
+        own = staged(own.withColumn("label", F.when(F.col("bad"), fresh).otherwise(F.col("component"))).withColumn("inner", F.xxhash64(F.lit(turn), F.lit("inner"), "component")), "halves")
+        place = lambda p, *c: own.select(F.col("node").alias(p), *(F.col(x).alias(f"{x}_{p}") for x in c))
+        in_edges = strong.join(place("a", "bad", "inner"), "a").filter("bad_a").select(F.col("inner_a").alias("prob"), "a", "b", "rank")
+        in_nodes = own.filter("bad").select(F.col("inner").alias("prob"), "node", "species", "sex", "closed")
+        placed = pairs.join(place("a", "bad", "inner", "component", "label"), "a").join(place("b", "bad", "inner", "component", "label"), "b")
+        in_pairs = placed.filter("bad_a AND component_a = component_b").select(F.col("inner_a").alias("prob"), "a", "b")
+        out_edges = weak.join(place("a", "bad", "label"), "a").join(place("b", "bad", "label"), "b").filter("label_a <> label_b AND NOT (bad_a AND bad_b)").select("prob", F.col("label_a").alias("a"), F.col("label_b").alias("b"), "rank")
+        out_nodes = own.groupBy("prob", F.col("label").alias("node")).agg(F.when(~F.max("bad"), F.max("species")).alias("species"), F.when(~F.max("bad"), F.max("sex")).alias("sex"), F.max("bad").alias("closed"))
+        out_pairs = placed.filter("NOT bad_a AND NOT bad_b").select("prob", F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct()
+        moved = own.filter("NOT bad").select("node", "label")
+        members = staged(members.join(moved, "node", "left").select("pet", F.coalesce("label", "node").alias("node")), "members")
+        edges, nodes, pairs = (staged(x.unionByName(y).unionByName(z), name) for name, x, y, z in zip(("edges", "nodes", "pairs"), small, (in_edges, in_nodes, in_pairs), (out_edges, out_nodes, out_pairs)))
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in (("a", "long"), ("b", "long"), ("rank", "long"), ("species", "string"), ("sex", "string"), ("closed", "boolean"))}
+    rows = lambda df, kind, **given: df.select("prob", F.lit(kind).alias("kind"), *((given.get(c) if c in given else F.col(c) if c in df.columns else v).alias(c) for c, v in none.items()))
+    every = rows(edges, "edge").unionByName(rows(nodes, "node", a=F.col("node"))).unionByName(rows(pairs, "pair"))
+    labels = every.groupBy("prob").applyInArrow(_kept_apart, "node long, label long")
+    parted = members.join(labels, "node", "left").select(F.col("pet").alias("node"), F.coalesce("label", "node").alias("label"))
+    least = parted.groupBy("label").agg(F.min("node").alias("component"))
+    return whole.unionByName(parted.join(least, "label").select("node", "component"))
 
 
 def winners(found: DataFrame, standing: DataFrame) -> DataFrame:
@@ -192,20 +292,22 @@ def survivors(ranked: DataFrame, pets: DataFrame) -> DataFrame:
 
 
 def merge_events(ranked: DataFrame, edges: DataFrame, links: DataFrame, method: str = "scored_auto") -> DataFrame:
-    """One row per pet that is merged away: winner, loser, method, score (of its best edge), moved_listings.
+    """One row per pet that is merged away: winner, loser, method, score and breakdown (of its best edge), moved_listings.
 
-    links: pet_id, listing_id.
+    edges: a, b, score, breakdown (map; may be absent: null). links: pet_id, listing_id.
     """
+    if "breakdown" not in edges.columns:
+        edges = edges.withColumn("breakdown", F.lit(None).cast("map<string,double>"))
     lost = ranked.filter("node <> winner").select("winner", F.col("node").alias("loser"))
-    each = edges.select(F.col("a").alias("loser"), "score").unionByName(edges.select(F.col("b").alias("loser"), "score"))
-    best = each.groupBy("loser").agg(F.max("score").alias("score"))
+    each = edges.select(F.col("a").alias("loser"), F.col("b").alias("other"), "score", "breakdown").unionByName(edges.select(F.col("b").alias("loser"), F.col("a").alias("other"), "score", "breakdown"))
+    best = each.groupBy("loser").agg(F.max_by(F.struct("score", "breakdown"), F.struct("score", -F.col("other"))).alias("x")).select("loser", "x.score", "x.breakdown")
     moved = links.groupBy(F.col("pet_id").alias("loser")).agg(F.array_sort(F.collect_set("listing_id")).alias("moved_listings"))
     out = lost.join(best, "loser", "left").join(moved, "loser", "left")
-    return out.select("winner", "loser", F.lit(method).alias("method"), "score", F.coalesce("moved_listings", F.array().cast(links.select(F.array("listing_id")).schema[0].dataType)).alias("moved_listings"))
+    return out.select("winner", "loser", F.lit(method).alias("method"), "score", "breakdown", F.coalesce("moved_listings", F.array().cast(links.select(F.array("listing_id")).schema[0].dataType)).alias("moved_listings"))
 
 
 def relink(links: DataFrame, events: DataFrame) -> DataFrame:
-    """links (pet_id, ...) after merges: losers' links belong to their winners."""
+    """links or photos (pet_id, ...) after merges: losers' rows belong to their winners."""
     e = events.select(F.col("loser").alias("pet_id"), F.col("winner").alias("_w"))
     return links.join(e, "pet_id", "left").withColumn("pet_id", F.coalesce("_w", "pet_id")).drop("_w")
 
@@ -219,10 +321,11 @@ def unmerge(links: DataFrame, events: DataFrame) -> DataFrame:
 def review_queue(scored: DataFrame, queue: DataFrame, lost: DataFrame) -> DataFrame:
     """The next queue (pet_a, pet_b, score, status): new review pairs are pending, pending ones of a merged pet superseded, all others stay.
 
-    lost: loser.
+    lost: loser. A pair that the queue holds in either order is not new.
     """
     l = lost.select(F.col("loser").alias("_l")).distinct()
-    new = scored.filter("route = 'review'").select(F.col("a").alias("pet_a"), F.col("b").alias("pet_b"), "score").join(queue.select("pet_a", "pet_b"), ["pet_a", "pet_b"], "left_anti").withColumn("status", F.lit("pending"))
+    known = queue.select(F.least("pet_a", "pet_b").alias("pet_a"), F.greatest("pet_a", "pet_b").alias("pet_b")).distinct()
+    new = scored.filter("route = 'review'").select(F.col("a").alias("pet_a"), F.col("b").alias("pet_b"), "score").join(known, ["pet_a", "pet_b"], "left_anti").withColumn("status", F.lit("pending"))
     every = queue.select(*new.columns).unionByName(new)
     for side in ("pet_a", "pet_b"):
         every = every.join(l.withColumnRenamed("_l", side).withColumn(f"_{side}", F.lit(True)), side, "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashes import bits_to_hex, hamming
-from ..functions.text import clean_name, jaro_winkler, trigram_similarity
+from ..functions.text import clean_name, gram_set, jaccard, jaro_winkler
 from ..operators import resolve
 from .search_queries import _MILES
 from .state_queries import LINKS_AS_OF
@@ -18,17 +18,28 @@ INTERVAL_DAYS = {"src0": 60, "src1": 90, "src2": 120, "src3": 150, "src4": 180}
 
 def _records(spark, sf_dir) -> DataFrame:
     e = view(spark, sf_dir, "er_records")
-    # The first letters of a text serve as breed; every eleventh record has no photo.
-    return e.select("*", F.array("source").alias("sources"), F.substring("name", 1, 12).alias("raw_breed_text"), F.when(F.col("pet_id") % 11 == 0, F.array().cast("array<string>")).otherwise(F.array("phash")).alias("phashes"))
+    # Every eleventh record has no photo.
+    return e.select("*", F.array("source").alias("sources"), F.col("breed").alias("raw_breed_text"), F.when(F.col("pet_id") % 11 == 0, F.array().cast("array<string>")).otherwise(F.array("phash")).alias("phashes"))
 
 
 def _no_pairs(spark) -> DataFrame:
     return spark.createDataFrame([], "pet_a long, pet_b long")
 
 
+def _following(spark, sf_dir, every: int, n: int) -> DataFrame:
+    """Pairs of a labelled record with the next n ones by identifier."""
+    labelled = table(spark, sf_dir, "labels").filter(F.col("doc_id") % every == 0)
+    return labelled.select(F.col("doc_id").alias("pet_a"), F.explode(F.sequence(F.col("doc_id") + 1, F.col("doc_id") + n)).alias("pet_b"))
+
+
 def _tombstones(spark, sf_dir) -> DataFrame:
-    """Pairs of neighbours in the table of labels that must not meet."""
-    return table(spark, sf_dir, "labels").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("pet_a"), (F.col("doc_id") + 1).alias("pet_b"))
+    """Pairs that must not meet."""
+    return _following(spark, sf_dir, 3, 40)
+
+
+def _decided(spark, sf_dir) -> DataFrame:
+    """Pairs that are pending or rejected already, the larger identifier first."""
+    return _following(spark, sf_dir, 5, 60).select(F.col("pet_b").alias("pet_a"), F.col("pet_a").alias("pet_b"))
 
 
 def exact_id_pairs(spark, sf_dir):
@@ -37,7 +48,7 @@ def exact_id_pairs(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
-    return resolve.candidate_pairs(_records(spark, sf_dir), _tombstones(spark, sf_dir), _no_pairs(spark))
+    return resolve.candidate_pairs(_records(spark, sf_dir), _tombstones(spark, sf_dir), _decided(spark, sf_dir))
 
 
 def candidate_pairs(spark, sf_dir):
@@ -62,8 +73,10 @@ def _both(spark, sf_dir, *columns: str) -> DataFrame:
 
 
 def trigram_similarities(spark, sf_dir):
-    x = _both(spark, sf_dir, "description")
-    return x.select("a", "b", F.round(trigram_similarity(F.col("description_a"), F.col("description_b")), 6).alias("similarity"))
+    grams = resolve.staged(_records(spark, sf_dir).select("pet_id", gram_set(F.col("description")).alias("grams")), "grams")
+    side = lambda p: grams.select(F.col("pet_id").alias(p), F.col("grams").alias(f"grams_{p}"))
+    x = resolve.spread(_candidates(spark, sf_dir)).join(side("a"), "a").join(side("b"), "b")
+    return x.select("a", "b", F.round(jaccard(F.col("grams_a"), F.col("grams_b")), 6).alias("similarity"))
 
 
 def jaro_winkler_names(spark, sf_dir):
@@ -103,8 +116,10 @@ def pair_routes(spark, sf_dir):
 
 
 def _merged(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges = resolve.staged(_scored(spark, sf_dir).filter("route = 'auto'").select("a", "b", "score"), "auto")
-    found = resolve.clusters(edges, _tombstones(spark, sf_dir))
+    # Rounded, so that equal scores are ties whatever order they were summed in.
+    edges = resolve.staged(_scored(spark, sf_dir).filter("route = 'auto'").select("a", "b", F.round("score", 9).alias("score"), "breakdown"), "auto")
+    facts = _records(spark, sf_dir).select("pet_id", "species", F.when(F.col("sex") != "unknown", F.col("sex")).alias("sex"))
+    found = resolve.clusters(edges, _tombstones(spark, sf_dir), facts)
     p = F.col("pet_id")
     standing = _records(spark, sf_dir).select("pet_id", F.when(F.col("source").isin(*INTERVAL_DAYS), 2).otherwise(1).alias("trust"), (p % 97).alias("last_seen"))
     return edges, found, resolve.winners(found, standing)
@@ -131,7 +146,8 @@ def _er_links(spark, sf_dir) -> DataFrame:
 def merge_events(spark, sf_dir):
     edges, _, ranked = _merged(spark, sf_dir)
     out = resolve.merge_events(ranked, edges, _er_links(spark, sf_dir))
-    return out.select("winner", "loser", "method", F.round("score", 6).alias("score"), F.array_join("moved_listings", ",").alias("moved"))
+    signal = lambda k: F.coalesce(F.round(F.col("breakdown")[k], 6), F.lit(-1.0)).alias(k)
+    return out.select("winner", "loser", "method", F.round("score", 6).alias("score"), signal("photo"), signal("name"), signal("description"), F.array_join("moved_listings", ",").alias("moved"))
 
 
 def unmerge(spark, sf_dir):
@@ -151,7 +167,7 @@ def review_queue(spark, sf_dir):
 
 
 def photo_dedup(spark, sf_dir):
-    photos = _photo_hashes(spark, sf_dir).select((F.col("vec_id") % 50).alias("pet_id"), F.col("vec_id").alias("photo_id"), "phash")
+    photos = _photo_hashes(spark, sf_dir).select(F.floor(F.col("vec_id") / 40).alias("pet_id"), F.col("vec_id").alias("photo_id"), "phash")
     return resolve.dedup_photos(photos, [F.col("photo_id") % 7 != 0, F.col("photo_id")], 24)
 
 
@@ -162,10 +178,10 @@ def status_reconcile(spark, sf_dir):
     return resolve.reconcile_status(view(spark, sf_dir, "links"), registry, F.lit(LINKS_AS_OF).cast("timestamp"))
 
 
-_ER = f"""{with_views('er_records')}, e AS (SELECT *, substring(name, 1, 12) AS breed, pet_id % 11 <> 0 AS photo FROM er_records),
+_ER = f"""{with_views('er_records')}, e AS (SELECT *, pet_id % 11 <> 0 AS photo FROM er_records),
 cand AS (SELECT x.pet_id AS a, y.pet_id AS b FROM e x JOIN e y ON x.species = y.species AND x.pet_id < y.pet_id AND x.source <> y.source
   AND (x.org_id = y.org_id OR {_MILES.format(lat='y.lat', lon='y.lon', a='x.lat', b='x.lon')} * 1609.344 <= 25000)
-  WHERE NOT (y.pet_id = x.pet_id + 1 AND x.pet_id % 3 = 0 AND x.pet_id IN (SELECT doc_id FROM labels)))"""
+  WHERE x.status <> 'removed' AND y.status <> 'removed' AND NOT (x.pet_id IN (SELECT doc_id FROM labels) AND (x.pet_id % 3 = 0 AND y.pet_id - x.pet_id <= 40 OR x.pet_id % 5 = 0 AND y.pet_id - x.pet_id <= 60)))"""
 _GRAMS = lambda c: f"list_distinct(list_transform(range(1, length({c}) - 1), lambda i: substr({c}, i, 3)))"
 _PAD = lambda c: f"('  ' || trim(regexp_replace(lower({c}), '\\s+', ' ', 'g')) || ' ')"
 _TRI = lambda x, y: f"(len(list_intersect({x}, {y})) / (len({x}) + len({y}) - len(list_intersect({x}, {y}))))"
@@ -195,11 +211,19 @@ tot AS (SELECT *, (coalesce(photo * 0.35::DOUBLE, 0) + coalesce(name * 0.2::DOUB
 scored AS (SELECT *, CASE WHEN vetoed THEN 0 WHEN photo IS NULL THEN least(plain, 0.84::DOUBLE) ELSE plain END AS score FROM tot),
 routed AS (SELECT *, CASE WHEN vetoed OR score < 0.6 THEN 'drop' WHEN score >= 0.85 THEN 'auto' ELSE 'review' END AS route FROM scored)"""
 _RECURSIVE = _SCORES.replace("WITH ", "WITH RECURSIVE ", 1)
-_CLUSTERS = f"""{_RECURSIVE}, ed AS (SELECT a, b, score FROM routed WHERE route = 'auto'), und AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
-reach AS (SELECT a AS node, a AS r FROM und UNION SELECT reach.node, und.b FROM reach JOIN und ON und.a = reach.r), comp AS (SELECT node, min(r) AS component FROM reach GROUP BY node),
+# Components of the k strongest edges for each k; a node's cluster is the last of its components that holds no forbidden pair.
+_CLUSTERS = f"""{_RECURSIVE}, ed AS (SELECT a, b, round(score, 9) AS score, photo, name, description FROM routed WHERE route = 'auto'), ord AS (SELECT a, b, row_number() OVER (ORDER BY score DESC, a, b) AS k FROM ed),
+ks AS (SELECT 0 AS k UNION ALL SELECT k FROM ord), und AS (SELECT a, b, k FROM ord UNION ALL SELECT b, a, k FROM ord), nd AS (SELECT DISTINCT a AS node FROM und),
+reach AS (SELECT ks.k, node, node AS r FROM ks, nd UNION SELECT reach.k, reach.node, und.b FROM reach JOIN und ON und.a = reach.r AND und.k <= reach.k),
+foe AS (SELECT x.pet_id AS a, y.pet_id AS b FROM nd JOIN e x ON x.pet_id = nd.node JOIN nd n2 ON n2.node > nd.node JOIN e y ON y.pet_id = n2.node
+  WHERE x.species <> y.species OR x.sex <> 'unknown' AND y.sex <> 'unknown' AND x.sex <> y.sex OR x.pet_id % 3 = 0 AND y.pet_id - x.pet_id <= 40 AND x.pet_id IN (SELECT doc_id FROM labels)),
+bad AS (SELECT DISTINCT p.k, p.node FROM reach p JOIN foe ON foe.a = p.r JOIN reach q ON q.k = p.k AND q.node = p.node AND q.r = foe.b),
+fit AS (SELECT node, max(k) AS k FROM (SELECT DISTINCT k, node FROM reach) x WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.k = x.k AND bad.node = x.node) GROUP BY node),
+comp AS (SELECT node, min(r) AS component FROM reach JOIN fit USING (k, node) GROUP BY node),
 std AS (SELECT c.node, c.component, row_number() OVER (PARTITION BY c.component ORDER BY (e.source IN ('src0', 'src1', 'src2', 'src3', 'src4')) DESC, c.node % 97 DESC, c.node) AS rank FROM comp c JOIN e ON e.pet_id = c.node),
 win AS (SELECT s.node, s.component, w.node AS winner, CAST(s.rank AS INTEGER) AS rank FROM std s JOIN std w ON w.component = s.component AND w.rank = 1)"""
-_EVENTS = f"""{_CLUSTERS}, ev AS (SELECT winner, node AS loser, (SELECT max(score) FROM ed WHERE ed.a = win.node OR ed.b = win.node) AS score FROM win WHERE node <> winner)"""
+_EVENTS = f"""{_CLUSTERS}, bst AS (SELECT node, arg_max(s, (score, -o)) AS s FROM (SELECT a AS node, b AS o, score, ed AS s FROM ed UNION ALL SELECT b, a, score, ed FROM ed) GROUP BY node),
+ev AS (SELECT winner, win.node AS loser, s.score, s.photo, s.name, s.description FROM win LEFT JOIN bst USING (node) WHERE node <> winner)"""
 
 QUERIES = {
     exact_id_pairs: f"""{with_views('links')}, l AS (SELECT DISTINCT pet_id, source, org_id, ltrim(lower(org_internal_animal_id), '0') AS bare FROM links),
@@ -222,12 +246,12 @@ SELECT a.vec_id, a.phash, b.phash AS next, CAST(hamming(a.bits, b.bits) AS INTEG
     survivorship: f"""{_CLUSTERS}, m AS (SELECT win.*, e.sex, e.age_group, e.house_trained, CASE WHEN node % 2 = 0 THEN e.description ELSE substring(e.description, 1, 100) END AS d, CASE WHEN node % 3 = 0 THEN '' ELSE breed END AS bt FROM win JOIN e ON e.pet_id = node)
 SELECT winner, count(*) AS members, coalesce(arg_min(sex, rank) FILTER (sex <> 'unknown'), 'unknown') AS sex, coalesce(arg_min(age_group, rank) FILTER (age_group <> 'unknown'), 'unknown') AS age_group, coalesce(arg_min(house_trained, rank) FILTER (house_trained <> 'unknown'), 'unknown') AS house_trained,
   CAST(max(length(d)) AS INTEGER) AS description_length, coalesce(arg_min(bt, rank) FILTER (bt <> ''), '') AS raw_breed_text, array_to_string(list_sort(list(DISTINCT 't' || node % 4)), ',') AS traits FROM m GROUP BY winner""",
-    merge_events: f"{_EVENTS} SELECT winner, loser, 'scored_auto' AS method, round(score, 6) AS score, (loser * 2) || ',' || (loser * 2 + 1) AS moved FROM ev",
+    merge_events: f"{_EVENTS} SELECT winner, loser, 'scored_auto' AS method, round(score, 6) AS score, coalesce(round(photo, 6), -1) AS photo, coalesce(round(name, 6), -1) AS name, coalesce(round(description, 6), -1) AS description, (loser * 2) || ',' || (loser * 2 + 1) AS moved FROM ev",
     unmerge: f"{_EVENTS}, k AS (SELECT pet_id, unnest([pet_id * 2, pet_id * 2 + 1]) AS listing_id FROM e) SELECT coalesce(CASE WHEN loser % 2 <> 0 THEN winner END, pet_id) AS pet_id, listing_id FROM k LEFT JOIN ev ON loser = pet_id",
     review_queue: f"""{_EVENTS}, q AS (SELECT a AS pet_a, b AS pet_b, 0.7::DOUBLE AS score, CASE WHEN a % 2 = 0 THEN 'rejected' ELSE 'pending' END AS status FROM cand WHERE (a + b) % 2 = 0
 UNION ALL SELECT a, b, score, 'pending' FROM routed WHERE route = 'review' AND (a + b) % 2 <> 0)
 SELECT pet_a, pet_b, round(score, 6) AS score, CASE WHEN status = 'pending' AND (pet_a IN (SELECT loser FROM ev) OR pet_b IN (SELECT loser FROM ev)) THEN 'superseded' ELSE status END AS status FROM q""",
-    photo_dedup: r"""WITH h AS (SELECT vec_id, vec_id % 50 AS pet_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM embeddings),
+    photo_dedup: r"""WITH h AS (SELECT vec_id, vec_id // 40 AS pet_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM embeddings),
 o AS (SELECT pet_id, list([{'id': vec_id, 'bits': bits}] ORDER BY vec_id % 7 <> 0, vec_id) AS l FROM h GROUP BY pet_id),
 k AS (SELECT pet_id, unnest(list_reduce(l, lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: hamming(y.bits, x[1].bits) <= 24)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS s FROM o)
 SELECT pet_id, s.id AS photo_id FROM k""",

@@ -24,13 +24,13 @@ SELECT o_orderkey AS pet_id, concat('Pet ', o_orderkey) AS name,
   CASE o_orderstatus WHEN 'O' THEN 'available' WHEN 'P' THEN 'pending' ELSE 'adopted' END AS status,
   CASE WHEN ((o_orderkey) % (11))=0 THEN '' ELSE c_mktsegment END AS raw_breed_text,
   ((o_orderkey) % (2))=0 AS is_mixed, o_custkey AS cust_id,
-  ((o_custkey) % (nsupp)) AS org_id, o_orderdate AS updated_at, o_totalprice AS fee,
+  ((o_custkey) % (nsupp)) AS org_id, concat('City ', c_nationkey) AS city, o_orderdate AS updated_at, o_totalprice AS fee,
   CASE WHEN ((o_orderkey) % (13))=0 THEN NULL ELSE CAST(25.0 AS DOUBLE) + ((o_orderkey*37) % (230))/CAST(10.0 AS DOUBLE) END AS lat,
   CASE WHEN ((o_orderkey) % (13))=0 THEN NULL ELSE -CAST(120.0 AS DOUBLE) + ((o_orderkey*53) % (470))/CAST(10.0 AS DOUBLE) END AS lon
 FROM orders JOIN customer ON c_custkey=o_custkey CROSS JOIN (SELECT count(*) AS nsupp FROM supplier) z""",
     "photos": """
 SELECT l_orderkey AS pet_id, l_linenumber AS sort_order, l_returnflag='R' AS is_primary,
-  concat('https://img.example/', l_partkey, '-', l_suppkey, '.jpg') AS url, l_partkey, l_suppkey FROM lineitem""",
+  concat('https://img.example/', l_partkey, '-', l_suppkey, '.jpg') AS url, concat('data:image/webp;', l_partkey) AS blur, l_partkey, l_suppkey FROM lineitem""",
     "links": """
 SELECT l_orderkey AS pet_id, l_linenumber AS line_no, l_partkey, l_suppkey,
   concat('src', ((l_suppkey) % (6))) AS source, l_suppkey AS site, ((l_suppkey) % (20)) AS org_id,
@@ -39,14 +39,16 @@ SELECT l_orderkey AS pet_id, l_linenumber AS line_no, l_partkey, l_suppkey,
     "zips": """
 SELECT lpad(cast(10000 + n_nationkey AS STRING), 5, '0') AS zip, CAST(26.0 AS DOUBLE) + n_nationkey AS lat, -CAST(118.0 AS DOUBLE) + n_nationkey*CAST(1.5 AS DOUBLE) AS lon FROM nation""",
     "er_records": """
-SELECT d.doc_id AS pet_id, d.lang AS species, d.source, substring(d.text,1,24) AS name, substring(d.text,1,400) AS description,
+SELECT d.doc_id AS pet_id, d.lang AS species, d.source,
+  concat(CASE ((d.n_chars) % (7)) WHEN 0 THEN 'Bella' WHEN 1 THEN 'Belle' WHEN 2 THEN 'Luna' WHEN 3 THEN 'Lunar' WHEN 4 THEN 'Rocky' WHEN 5 THEN 'Rocco' ELSE 'Max' END, ' ',
+    CASE ((d.doc_id) % (5)) WHEN 0 THEN 'Mae' WHEN 1 THEN 'May' WHEN 2 THEN 'the Third' WHEN 3 THEN '(with Max)' ELSE '' END) AS name, d.text AS description,
   CASE ((d.n_chars) % (5)) WHEN 0 THEN 'baby' WHEN 1 THEN 'young' WHEN 2 THEN 'adult' WHEN 3 THEN 'senior' ELSE 'unknown' END AS age_group,
-  CASE l.quality WHEN 1 THEN 'male' WHEN 0 THEN 'female' ELSE 'unknown' END AS sex,
+  CASE ((d.doc_id) % (9)) WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'unknown' END AS sex, CASE WHEN ((d.doc_id) % (13))=0 THEN 'removed' ELSE 'available' END AS status,
   CASE l.toxic WHEN 1 THEN 'true' WHEN 0 THEN 'false' ELSE 'unknown' END AS house_trained,
-  lower(substring(d.text,1,8)) AS org_id,
+  concat('o', (d.n_chars*37) % (norgs)) AS org_id, d.source || ' ' || CASE ((d.n_chars) % (3)) WHEN 0 THEN 'Hound' WHEN 1 THEN 'Hounds' ELSE '' END AS breed,
   CAST(25.0 AS DOUBLE) + ((d.n_chars*37) % (230))/CAST(10.0 AS DOUBLE) AS lat, -CAST(120.0 AS DOUBLE) + ((d.n_chars*53) % (470))/CAST(10.0 AS DOUBLE) AS lon,
   concat(substring(md5(d.text),1,15), cast(((d.doc_id) % (8)) AS STRING)) AS phash, v.embedding FROM documents d
-  LEFT JOIN labels l ON l.doc_id=d.doc_id LEFT JOIN embeddings v ON v.vec_id=d.doc_id""",
+  CROSS JOIN (SELECT 1 + cast(floor(count(*)/25) AS BIGINT) AS norgs FROM documents) z LEFT JOIN labels l ON l.doc_id=d.doc_id LEFT JOIN embeddings v ON v.vec_id=d.doc_id""",
     "runs": """
 SELECT event_type AS source, event_id AS run_id, ts AS finished_at, ((event_id) % (7))<>0 AS ok,
   cast(floor(value) AS BIGINT) AS fetched, ((event_id) % (9)) AS quarantined FROM events""",
@@ -54,7 +56,8 @@ SELECT event_type AS source, event_id AS run_id, ts AS finished_at, ((event_id)
 SELECT ((event_id) % (n3)) AS pet_id, user_id AS fingerprint, ts AS created_at, event_type='error' AS resolved FROM events CROSS JOIN (SELECT cast(floor(count(*)/3) AS BIGINT) AS n3 FROM events) z""",
     "state": """
 SELECT o_orderkey AS external_id, concat('src', ((o_custkey) % (6))) AS source, CASE WHEN ((o_custkey) % (6))<3 THEN NULL ELSE concat('a', ((o_custkey) % (4))) END AS site,
-  o_totalprice AS fee, o_orderpriority AS label, CASE WHEN ((o_orderkey) % (17))=0 THEN 'removed' ELSE 'available' END AS status, o_orderdate AS last_seen_at
+  o_totalprice AS fee, o_orderpriority AS label, CASE WHEN ((o_orderkey) % (17))=0 THEN 'removed' ELSE 'available' END AS status, o_orderdate AS last_seen_at,
+  CASE WHEN ((o_orderkey) % (19))<>0 THEN CAST(o_orderdate AS TIMESTAMP) END AS first_seen_at, CASE WHEN ((o_orderkey) % (17))=0 THEN CAST(o_orderdate AS TIMESTAMP) END AS removed_at, CAST(((o_orderkey) % (2)) AS INT) AS version
   FROM orders WHERE ((o_orderkey) % (10))<>1""",
     "batch": """
 SELECT o_orderkey AS external_id, concat('src', ((o_custkey) % (6))) AS source, CASE WHEN ((o_custkey) % (6))<3 THEN NULL ELSE concat('a', ((o_custkey) % (4))) END AS site,
@@ -66,17 +69,17 @@ SELECT p_partkey AS pet_id, p_name, p_brand AS breed_primary, CASE WHEN ((p_part
     "raw_animals": """
 SELECT p_partkey AS id, p_name AS animal_name, p_type AS species_name, p_brand AS breed_name,
   CASE ((p_partkey) % (4)) WHEN 0 THEN 'Yes' WHEN 1 THEN ' no ' WHEN 2 THEN 'Over 12' ELSE NULL END AS good_with_kids,
-  p_size AS image_count, concat('acct', ((p_partkey) % (9))) AS account,
-  CASE WHEN ((p_partkey) % (19))=0 THEN NULL ELSE concat(cast(1988 + ((p_partkey) % (12)) AS STRING), '-03-01') END AS date_of_birth FROM part""",
+  p_size AS image_count, concat('acct', ((p_partkey) % (nsupp + 3))) AS account,
+  CASE WHEN ((p_partkey) % (19))=0 THEN NULL ELSE concat(cast(1988 + ((p_partkey) % (12)) AS STRING), '-03-01') END AS date_of_birth FROM part CROSS JOIN (SELECT count(*) AS nsupp FROM supplier) z""",
     "saved": """
 SELECT c_custkey AS user_id, CASE ((c_custkey) % (5)) WHEN 0 THEN 'dog' WHEN 1 THEN 'cat' WHEN 2 THEN 'rabbit' WHEN 3 THEN 'bird' ELSE 'other' END AS species,
   CASE ((c_custkey) % (4)) WHEN 0 THEN 10 WHEN 1 THEN 25 WHEN 2 THEN 50 ELSE 100 END AS radius, CAST(25.0 AS DOUBLE) + ((c_custkey*29) % (2300))/CAST(100.0 AS DOUBLE) AS lat,
-  -CAST(120.0 AS DOUBLE) + ((c_custkey*31) % (4700))/CAST(100.0 AS DOUBLE) AS lon, CASE WHEN ((c_custkey) % (6))=0 THEN NULL ELSE ((c_custkey) % (20)) END AS last_seen_total FROM customer WHERE c_custkey < 200""",
+  -CAST(120.0 AS DOUBLE) + ((c_custkey*31) % (4700))/CAST(100.0 AS DOUBLE) AS lon, CASE WHEN ((c_custkey) % (6))=0 THEN NULL ELSE ((c_custkey) % (20)) END AS last_seen_total FROM customer""",
     "favourites": """
 SELECT user_id, event_id*3 AS pet_id, ts AS added_at FROM events WHERE event_type='click'""",
     "profiles": """
 SELECT c_custkey AS user_id, CASE ((c_custkey) % (4)) WHEN 0 THEN 'apartment' WHEN 1 THEN 'house_yard' WHEN 2 THEN 'house_no_yard' ELSE 'rural' END AS home,
-  CASE ((c_custkey) % (3)) WHEN 0 THEN 'little' WHEN 1 THEN 'big' ELSE 'none' END AS kids, c_mktsegment AS segment FROM customer WHERE c_custkey < 50""",
+  CASE ((c_custkey) % (3)) WHEN 0 THEN 'little' WHEN 1 THEN 'big' ELSE 'none' END AS kids, c_mktsegment AS segment FROM customer""",
 }
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashes import object_key
+from .resolve import reconcile_status
 
 
 def latest_ok(runs: DataFrame) -> DataFrame:
@@ -56,6 +57,18 @@ def report_suppression(reports: DataFrame, changed: DataFrame | None = None, lea
     return once.groupBy("pet_id").agg(F.count(F.lit(1)).alias("reporters"), F.min("at").alias("first_at"), F.max("at").alias("last_at")).filter(F.col("reporters") >= least)
 
 
+def suppress(pets: DataFrame, reported: DataFrame, open_alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pets (pet_id, status, ...) with reported ones removed, and an alert for each that was not removed before and has none open.
+
+    reported: as report_suppression gives it; open_alerts: pet_id of open alerts of that kind.
+    """
+    r = reported.select("pet_id", "reporters")
+    both = pets.join(r, "pet_id", "left")
+    fresh = both.filter("reporters IS NOT NULL AND status <> 'removed'").join(open_alerts.select("pet_id").distinct(), "pet_id", "left_anti")
+    after = both.withColumn("status", F.when(F.col("reporters").isNotNull(), "removed").otherwise(F.col("status"))).drop("reporters")
+    return after, fresh.select(F.lit("user_reports").alias("kind"), "pet_id", "reporters")
+
+
 def takedown(photos: DataFrame, urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Photos without those of the given urls, and the names of the stored objects to delete."""
     gone = urls.select("url").distinct()
@@ -68,3 +81,11 @@ def terminate_source(links: DataFrame, source: str) -> tuple[DataFrame, DataFram
     rest = links.filter(F.col("source") != source)
     left = rest.groupBy("pet_id").agg(F.count(F.lit(1)).alias("links_left"))
     return rest, lost.join(left, "pet_id", "left").select("pet_id", F.coalesce("links_left", F.lit(0).cast("long")).alias("links_left"))
+
+
+def survivors_of_termination(pets: DataFrame, links: DataFrame, source: str, registry: DataFrame, as_of: Column) -> DataFrame:
+    """pets (pet_id, status, ...) after a source goes: those that it listed get the status that their other listings give them, and go if they have none."""
+    rest, lost = terminate_source(links, source)
+    status = reconcile_status(rest.join(lost.select("pet_id"), "pet_id", "left_semi"), registry, as_of).withColumnRenamed("status", "_status")
+    left = pets.join(lost, "pet_id", "left").filter("links_left IS NULL OR links_left > 0").join(status, "pet_id", "left")
+    return left.withColumn("status", F.coalesce("_status", "status")).drop("_status", "links_left")

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashes import content_hash
+from .normalize import VERSION as NORMALIZER_VERSION
+from .resolve import reconcile_status
 
 KEY = ("source", "site", "external_id")
 #: Columns that are no part of a listing's content.
-STATE_COLUMNS = ("status", "last_seen_at", "first_seen_at", "removed_at", "hash", "ingest_order", "raw")
+STATE_COLUMNS = ("status", "last_seen_at", "first_seen_at", "removed_at", "hash", "version", "ingest_order", "raw")
 
 
 def last_of_batch(batch: DataFrame, order: str = "ingest_order") -> DataFrame:
@@ -37,18 +39,58 @@ def classify(state: DataFrame, batch: DataFrame) -> DataFrame:
     return s.join(b, on, "full").withColumn("kind", kind)
 
 
-def next_listings(classified: DataFrame, run_at: Column, completed: list[str] | None = None) -> DataFrame:
-    """The next state: seen listings as the feed has them, unseen ones removed if their source's feed was complete (None: all were)."""
+def next_listings(classified: DataFrame, run_at: Column, completed: list[str] | None = None, version: int = NORMALIZER_VERSION) -> DataFrame:
+    """The next state: seen listings as the feed has them, unseen ones removed if their source's feed was complete (None: all were).
+
+    first_seen_at is the stored one, or for new listings run_at; removed_at is set when a listing is removed, stays while it
+    is unseen and is cleared when it comes again; version is the normalizer's for new and changed listings and stays for others.
+    A state without first_seen_at, removed_at or version has nulls there.
+    """
     c = F.col
+    stored = {f.name for f in classified.schema["s"].dataType.fields}
+    old = lambda n, kind: c(f"s.{n}") if n in stored else F.lit(None).cast(kind)
     seen = c("b").isNotNull()
     gone = (c("kind") == "unseen") & (c("s.status") != "removed") & (F.lit(True) if completed is None else c("s.source").isin(*completed))
     content = [f.name for f in classified.schema["b"].dataType.fields if f.name not in ("hash", "status", "copies")]
     return classified.select(
         *(F.when(seen, c(f"b.{n}")).otherwise(c(f"s.{n}")).alias(n) for n in content), F.when(seen, c("b.hash")).otherwise(c("s.hash")).alias("hash"),
-        F.when(seen, c("b.status")).when(gone, "removed").otherwise(c("s.status")).alias("status"), F.when(seen, run_at).otherwise(c("s.last_seen_at")).alias("last_seen_at"), F.when(gone, run_at).alias("removed_at"), "kind",
+        F.when(seen, c("b.status")).when(gone, "removed").otherwise(c("s.status")).alias("status"), F.when(seen, run_at).otherwise(c("s.last_seen_at")).alias("last_seen_at"),
+        F.when(c("kind") == "new", run_at).otherwise(old("first_seen_at", "timestamp")).alias("first_seen_at"), F.when(gone, run_at).when(~seen, old("removed_at", "timestamp")).alias("removed_at"),
+        F.when(c("kind").isin("new", "changed"), version).otherwise(old("version", "int")).alias("version"), "kind",
     )
 
 
+def reproject(pets: DataFrame, listings: DataFrame, links: DataFrame, changed: DataFrame, registry: DataFrame, as_of: Column) -> DataFrame:
+    """pets with the status that all their listings give them, for the pets of changed listings; others stay.
+
+    pets: pet_id, status, ...; listings: key, status, last_seen_at; links: key, pet_id; changed: keys, as changed_keys gives
+    them, removed ones too. A pet is removed only if no source lists it any more.
+    """
+    on = lambda x, y: (x["source"] == y["_source"]) & x["site"].eqNullSafe(y["_site"]) & (x["external_id"] == y["_external_id"])
+    l = links.select(*(F.col(k).alias(f"_{k}") for k in KEY), "pet_id")
+    touched = changed.join(l, on(changed, l)).select("pet_id").distinct()
+    every = l.join(touched, "pet_id", "left_semi")
+    status = reconcile_status(listings.join(every, on(listings, every)).select("pet_id", "source", "status", "last_seen_at"), registry, as_of)
+    return pets.join(status.withColumnRenamed("status", "_status"), "pet_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+
+
+def upsert_organizations(listings: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Listings with their organization_id, and the organisations that are new.
+
+    listings: source, external_org_id, org_name, city, state, postcode, lat, lon, ...; refs: source, external_org_id,
+    organization_id, one per known organisation of a source. A new one's id is a hash of source and external id, so that a
+    rerun makes the same; of its listings the smallest row of values (nulls last) describes it, with a default name.
+    """
+    known = refs.select("source", "external_org_id", F.col("organization_id").cast("string").alias("_known"))
+    made = F.sha1(F.concat_ws("|", "source", F.col("external_org_id").cast("string")))
+    linked = listings.join(known, ["source", "external_org_id"], "left").withColumn("organization_id", F.coalesce("_known", made))
+    about = ("org_name", "city", "state", "postcode", "lat", "lon")
+    order = F.struct(*(x for c in about for x in (F.col(c).isNull().alias(f"{c}_null"), F.col(c).alias(c))))
+    new = linked.filter("_known IS NULL").groupBy("organization_id", "source", "external_org_id").agg(F.min(order).alias("o"))
+    new = new.select("organization_id", "source", "external_org_id", F.coalesce("o.org_name", F.lit("Unknown organization")).alias("name"), *(F.col(f"o.{c}").alias(c) for c in about[1:]))
+    return linked.drop("_known"), new
+
+
 def changed_keys(classified: DataFrame, completed: list[str] | None = None) -> DataFrame:
     """Keys whose listing is new, changed, back, or now removed."""
     complete = F.lit(True) if completed is None else F.col("s.source").isin(*completed)

@@ -30,7 +30,32 @@ def sync_classify(spark, sf_dir):
 
 def sync_next_listings(spark, sf_dir):
     out = sync.next_listings(_classified(spark, sf_dir), _at(RUN_AT), COMPLETED)
-    return out.select("source", "site", "external_id", F.round("fee", 2).alias("fee"), "status", "last_seen_at")
+    return out.select("source", "site", "external_id", F.round("fee", 2).alias("fee"), "status", "last_seen_at", "first_seen_at", "removed_at", "version")
+
+
+def _registry(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, "state").select("source").distinct().withColumn("interval_s", F.lit(86400))
+
+
+def sync_reproject(spark, sf_dir):
+    """Pets of two listings each after the run: those of changed and removed listings get their status anew."""
+    c = _classified(spark, sf_dir)
+    after = sync.next_listings(c, _at(RUN_AT), COMPLETED)
+    pet = F.floor(F.col("external_id") / 2).alias("pet_id")
+    orders = view(spark, sf_dir, "listings").select(F.floor(F.col("pet_id") / 2).alias("pet_id")).distinct()
+    pets = orders.withColumn("status", F.when(F.col("pet_id") % 5 == 0, "pending").otherwise("available"))
+    links = after.select(*sync.KEY, pet)
+    return sync.reproject(pets, after, links, sync.changed_keys(c, COMPLETED), _registry(spark, sf_dir), _at(RUN_AT)).select("pet_id", "status")
+
+
+def org_upsert(spark, sf_dir):
+    """Listings of organisations of which two thirds are known, with the names of new ones."""
+    o = F.col("org_id")
+    listed = view(spark, sf_dir, "listings").select("pet_id", F.concat(F.lit("src"), (o % 6).cast("string")).alias("source"), o.alias("external_org_id"), F.when(F.col("pet_id") % 4 == 0, F.concat(F.lit("Org "), o.cast("string"))).alias("org_name"), "city", F.lit("CA").alias("state"), F.lit(None).cast("string").alias("postcode"), "lat", "lon")
+    refs = view(spark, sf_dir, "orgs").filter("org_id % 3 <> 0").select("source", o.alias("external_org_id"), o.alias("organization_id"))
+    linked, new = sync.upsert_organizations(listed, refs)
+    about = new.select("organization_id", F.col("name").alias("new_name"), F.col("city").alias("new_city"), F.round("lat", 6).alias("new_lat"))
+    return linked.select("pet_id", "organization_id").join(about, "organization_id", "left")
 
 
 def sync_suppress_unseen(spark, sf_dir):
@@ -108,6 +133,14 @@ def report_suppression(spark, sf_dir):
     return ops.report_suppression(view(spark, sf_dir, "reports"), changed)
 
 
+def report_removal(spark, sf_dir):
+    """Pets after the reports, and the alerts that are new where every fourth pet has one open."""
+    pets = view(spark, sf_dir, "listings").select("pet_id", "status")
+    known = pets.filter("pet_id % 4 = 0").select("pet_id")
+    after, alerts = ops.suppress(pets, report_suppression(spark, sf_dir), known)
+    return after.select("pet_id", "status").unionByName(alerts.select("pet_id", F.concat_ws(" ", "kind", F.col("reporters").cast("string")).alias("status")))
+
+
 def report_fingerprints(spark, sf_dir):
     return view(spark, sf_dir, "reports").select("pet_id", fingerprint(F.col("fingerprint"), F.lit("agent"), F.col("pet_id"), F.lit("salt")).alias("fingerprint")).distinct()
 
@@ -123,6 +156,14 @@ def source_termination(spark, sf_dir):
     return ops.terminate_source(view(spark, sf_dir, "links"), "src2")[1]
 
 
+def termination_survivors(spark, sf_dir):
+    """Pets that another source still lists, with the status which that gives them."""
+    links = view(spark, sf_dir, "links")
+    pets = view(spark, sf_dir, "listings").select("pet_id", "status")
+    registry = links.select("source").distinct().withColumn("interval_s", F.lit(120 * 86400))
+    return ops.survivors_of_termination(pets, links, "src2", registry, _at(LINKS_AS_OF)).select("pet_id", "status")
+
+
 def _totals(spark, sf_dir) -> DataFrame:
     saved = view(spark, sf_dir, "saved").withColumnRenamed("user_id", "search_id").withColumns({c: F.when(F.col("search_id") % 9 != 0, F.col(c)) for c in ("lat", "lon")})
     pets = view(spark, sf_dir, "listings").filter("status = 'available'")
@@ -183,17 +224,17 @@ def profile_filters(spark, sf_dir):
 
 
 def fit_notes(spark, sf_dir):
-    """Notes for each profile and the pets of its own favourites' species (pet id congruent to the user's modulo 50)."""
+    """Notes for each profile and the pets of its own orders."""
     p = F.col("pet_id")
     energy = F.element_at(F.array(*map(F.lit, ("low", "moderate", "high", "very_high", "unknown"))), (p % 5 + 1).cast("int"))
-    pets = view(spark, sf_dir, "listings").select("pet_id", F.col("size").alias("pet_size"), "compat_kids", F.col("house_trained").alias("compat_dogs"), F.when(p % 3 == 0, "true").otherwise("unknown").alias("compat_cats"), energy.alias("energy_level"), (p % 7 == 0).alias("special_needs"), (p % 50).alias("user_id"))
+    pets = view(spark, sf_dir, "listings").select("pet_id", F.col("size").alias("pet_size"), "compat_kids", F.col("house_trained").alias("compat_dogs"), F.when(p % 3 == 0, "true").otherwise("unknown").alias("compat_cats"), energy.alias("energy_level"), (p % 7 == 0).alias("special_needs"), F.col("cust_id").alias("user_id"))
     pairs = pets.join(_profiles(spark, sf_dir), "user_id")
     notes = profiles.fit_notes(pairs)
     return pairs.select("user_id", "pet_id", F.array_join(F.transform(notes, lambda n: F.concat(n["tone"], F.lit(": "), n["text"])), "; ").alias("notes"))
 
 
 _SB = with_views("state", "batch")
-_CLASS = """c AS (SELECT coalesce(b.external_id, s.external_id) AS external_id, coalesce(b.source, s.source) AS source, coalesce(b.site, s.site) AS site, s.status AS old_status, b.status AS new_status, b.fee AS new_fee, s.fee AS old_fee, s.last_seen_at,
+_CLASS = """c AS (SELECT coalesce(b.external_id, s.external_id) AS external_id, coalesce(b.source, s.source) AS source, coalesce(b.site, s.site) AS site, s.status AS old_status, b.status AS new_status, b.fee AS new_fee, s.fee AS old_fee, s.last_seen_at, s.first_seen_at, s.removed_at, s.version,
   CASE WHEN s.external_id IS NULL THEN 'new' WHEN b.external_id IS NULL THEN 'unseen' WHEN s.fee <> b.fee OR s.label <> b.label THEN 'changed' WHEN s.status = 'removed' THEN 'reappeared' ELSE 'unchanged' END AS kind
   FROM state s FULL JOIN batch b ON s.external_id = b.external_id AND s.source = b.source AND s.site IS NOT DISTINCT FROM b.site)"""
 _GONE = "(kind = 'unseen' AND old_status <> 'removed' AND source <> 'src5')"
@@ -214,8 +255,17 @@ _ABOUT = lambda cond, col, good, ask, check: f"CASE WHEN {cond} THEN CASE {col}
 QUERIES = {
     sync_classify: f"{_SB}, {_CLASS} SELECT external_id, kind FROM c",
     sync_next_listings: f"""{_SB}, {_CLASS} SELECT source, site, external_id, round(coalesce(new_fee, old_fee), 2) AS fee, CASE WHEN kind <> 'unseen' THEN new_status WHEN {_GONE} THEN 'removed' ELSE old_status END AS status,
-  CASE WHEN kind <> 'unseen' THEN TIMESTAMP '{RUN_AT}' ELSE last_seen_at END AS last_seen_at FROM c""",
-    sync_suppress_unseen: f"{_SB}, {_CLASS} SELECT source, external_id, TIMESTAMP '{RUN_AT}' AS removed_at FROM c WHERE {_GONE}",
+  CASE WHEN kind <> 'unseen' THEN TIMESTAMP '{RUN_AT}' ELSE last_seen_at END AS last_seen_at, CASE WHEN kind = 'new' THEN TIMESTAMP '{RUN_AT}' ELSE first_seen_at END AS first_seen_at,
+  CASE WHEN {_GONE} THEN TIMESTAMP '{RUN_AT}' WHEN kind = 'unseen' THEN removed_at END AS removed_at, CASE WHEN kind IN ('new', 'changed') THEN 1 ELSE version END AS version FROM c""",
+    sync_reproject: f"""{with_views('state', 'batch', 'listings')}, {_CLASS}, n AS (SELECT external_id // 2 AS pet_id, kind IN ('new', 'changed', 'reappeared') OR {_GONE} AS touched,
+  CASE WHEN kind <> 'unseen' THEN new_status WHEN {_GONE} THEN 'removed' ELSE old_status END = 'available' AND CASE WHEN kind <> 'unseen' THEN TIMESTAMP '{RUN_AT}' ELSE last_seen_at END > TIMESTAMP '{RUN_AT}' - INTERVAL 3 DAY AS listed FROM c),
+t AS (SELECT pet_id, bool_or(touched) AS touched, bool_or(listed) AS listed FROM n GROUP BY pet_id), p AS (SELECT DISTINCT pet_id // 2 AS pet_id FROM listings)
+SELECT p.pet_id, CASE WHEN touched THEN CASE WHEN listed THEN 'available' ELSE 'removed' END WHEN p.pet_id % 5 = 0 THEN 'pending' ELSE 'available' END AS status FROM p LEFT JOIN t USING (pet_id)""",
+    org_upsert: f"""{with_views('listings', 'orgs')}, l AS (SELECT pet_id, org_id, 'src' || org_id % 6 AS source, CASE WHEN pet_id % 4 = 0 THEN 'Org ' || org_id END AS name, city, lat, lon FROM listings),
+k AS (SELECT l.*, g.org_id AS known, coalesce(CAST(g.org_id AS VARCHAR), sha1(l.source || '|' || l.org_id)) AS organization_id FROM l LEFT JOIN orgs g ON g.org_id = l.org_id AND g.source = l.source AND g.org_id % 3 <> 0),
+w AS (SELECT organization_id, coalesce(name, 'Unknown organization') AS new_name, city AS new_city, round(lat, 6) AS new_lat FROM (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY name NULLS LAST, city NULLS LAST, lat NULLS LAST, lon NULLS LAST) AS r FROM k WHERE known IS NULL) WHERE r = 1)
+SELECT k.pet_id, organization_id, new_name, new_city, new_lat FROM k LEFT JOIN w USING (organization_id)""",
+    sync_suppress_unseen: f"{_SB}, {_CLASS} SELECT source, external_id, CASE WHEN {_GONE} THEN TIMESTAMP '{RUN_AT}' ELSE removed_at END AS removed_at FROM c WHERE kind = 'unseen' AND ({_GONE} OR removed_at IS NOT NULL)",
     sync_changed_keys: f"{_SB}, {_CLASS} SELECT source, site, external_id, CASE WHEN {_GONE} THEN 'removed' ELSE kind END AS change FROM c WHERE kind IN ('new', 'changed', 'reappeared') OR {_GONE}",
     sync_run_metrics: f"""{with_views('state', 'batch', 'runs')}, {_CLASS}, q AS (SELECT 'src' || run_id % 6 AS source, sum(quarantined) AS n FROM runs GROUP BY 1)
 SELECT c.source, count(*) FILTER (kind <> 'unseen') AS fetched, CAST(0 AS BIGINT) AS duplicates, count(*) FILTER (kind IN ('new', 'changed', 'reappeared')) AS changed, count(*) FILTER {_GONE} AS removed, CAST(coalesce(any_value(q.n), 0) AS BIGINT) AS quarantined, c.source <> 'src5' AS ok
@@ -238,9 +288,17 @@ SELECT source, CASE WHEN old THEN 'removed' ELSE status END AS status, count(*)
     open_alerts: f"{_RUNS}, {_LAST}, {_JAN}, {_DROP}, {_BAD}, f AS (SELECT 'source_dark' AS kind, source FROM dark UNION ALL SELECT kind, source FROM drops UNION ALL SELECT kind, source FROM bad) SELECT kind, source FROM f WHERE NOT (kind = 'count_drop' AND source < 'm')",
     report_suppression: f"""{with_views('reports')}, o AS (SELECT pet_id, fingerprint, min(created_at) AS t FROM reports WHERE NOT resolved AND (pet_id % 5 <> 0 OR created_at > TIMESTAMP '2024-01-10 00:00:00' OR pet_id NOT IN (SELECT o_orderkey FROM orders)) GROUP BY ALL)
 SELECT pet_id, count(*) AS reporters, min(t) AS first_at, max(t) AS last_at FROM o GROUP BY pet_id HAVING count(*) >= 3""",
+    report_removal: f"""{with_views('reports', 'listings')}, o AS (SELECT DISTINCT pet_id, fingerprint FROM reports WHERE NOT resolved AND (pet_id % 5 <> 0 OR created_at > TIMESTAMP '2024-01-10 00:00:00' OR pet_id NOT IN (SELECT o_orderkey FROM orders))),
+s AS (SELECT pet_id, count(*) AS n FROM o GROUP BY pet_id HAVING count(*) >= 3)
+SELECT l.pet_id, CASE WHEN s.n IS NULL THEN status ELSE 'removed' END AS status FROM listings l LEFT JOIN s USING (pet_id)
+UNION ALL SELECT l.pet_id, 'user_reports ' || s.n FROM listings l JOIN s USING (pet_id) WHERE status <> 'removed' AND l.pet_id % 4 <> 0""",
     report_fingerprints: f"{with_views('reports')} SELECT DISTINCT pet_id, sha256(concat_ws('|', fingerprint, 'agent', pet_id, 'salt')) AS fingerprint FROM reports",
     takedown: f"{with_views('photos')}, g AS (SELECT DISTINCT url FROM photos WHERE l_partkey % 50 = 7) SELECT 'delete' AS what, sha1(url) || '.jpg' AS object, CAST(1 AS BIGINT) AS n FROM g UNION ALL SELECT 'photos left', '', count(*) FROM photos WHERE url NOT IN (SELECT url FROM g)",
     source_termination: f"{with_views('links')} SELECT pet_id, count(*) FILTER (source <> 'src2') AS links_left FROM links GROUP BY pet_id HAVING count(*) FILTER (source = 'src2') > 0",
+    termination_survivors: f"""{with_views('links', 'listings')}, f AS (SELECT pet_id, status, last_seen_at > TIMESTAMP '{LINKS_AS_OF}' - INTERVAL 360 DAY AS fresh FROM links WHERE source <> 'src2'),
+s AS (SELECT pet_id, CASE WHEN bool_or(fresh AND status = 'adopted') THEN 'adopted' WHEN bool_or(fresh AND status = 'pending') THEN 'pending' WHEN bool_or(fresh AND status = 'available') THEN 'available' ELSE 'removed' END AS status FROM f GROUP BY pet_id),
+g AS (SELECT DISTINCT pet_id FROM links WHERE source = 'src2')
+SELECT l.pet_id, CASE WHEN g.pet_id IS NULL THEN l.status ELSE s.status END AS status FROM listings l LEFT JOIN g USING (pet_id) LEFT JOIN s USING (pet_id) WHERE g.pet_id IS NULL OR s.pet_id IS NOT NULL""",
     saved_search_totals: f"{_TOTALS} SELECT search_id, total FROM t",
     new_since_visit: f"{_TOTALS} SELECT search_id, CASE WHEN last_seen_total IS NULL THEN -1 ELSE greatest(0, total - last_seen_total) END AS new_count FROM t",
     active_filters: f"{_RICH} SELECT user_id, CAST((breed IS NOT NULL)::INT + (size IS NOT NULL)::INT + (sex IS NOT NULL)::INT + (good_with IS NOT NULL)::INT + (user_id % 2 <> 0)::INT AS INTEGER) AS n FROM r",
@@ -254,7 +312,7 @@ g AS (SELECT user_id, params, label, CAST(row_number() OVER (PARTITION BY user_i
 SELECT o.user_id, o.pet_id, CASE WHEN status IS NULL THEN 'not listed' WHEN status IN ('adopted', 'removed') THEN 'found a home' ELSE 'active' END AS state, CAST(row_number() OVER (PARTITION BY o.user_id ORDER BY added_at DESC, o.pet_id DESC) AS INTEGER) AS rank FROM o LEFT JOIN listings l ON l.pet_id = o.pet_id""",
     profile_filters: f"""{_PROF} SELECT user_id, nullif(concat_ws(',', CASE WHEN kids IN ('little', 'big') THEN 'kids' END, CASE WHEN pets IN ('dogs', 'both') THEN 'dogs' END, CASE WHEN pets IN ('cats', 'both') THEN 'cats' END), '') AS good_with, CASE WHEN home = 'apartment' THEN 'xs,s,m' END AS size,
   CASE activity WHEN 'couch' THEN 'low,moderate' WHEN 'runs' THEN 'moderate,high,very_high' WHEN 'adventures' THEN 'moderate,high,very_high' END AS energy FROM q""",
-    fit_notes: f"""{_PROF}, p AS (SELECT pet_id, size, compat_kids, house_trained AS compat_dogs, CASE WHEN pet_id % 3 = 0 THEN 'true' ELSE 'unknown' END AS compat_cats, ['low', 'moderate', 'high', 'very_high', 'unknown'][pet_id % 5 + 1] AS energy, pet_id % 7 = 0 AS special, pet_id % 50 AS user_id FROM listings),
+    fit_notes: f"""{_PROF}, p AS (SELECT pet_id, size, compat_kids, house_trained AS compat_dogs, CASE WHEN pet_id % 3 = 0 THEN 'true' ELSE 'unknown' END AS compat_cats, ['low', 'moderate', 'high', 'very_high', 'unknown'][pet_id % 5 + 1] AS energy, pet_id % 7 = 0 AS special, cust_id AS user_id FROM listings),
 n AS (SELECT q.user_id, pet_id, list_filter([
   CASE WHEN home = 'apartment' AND size IN ('xs', 's', 'm') AND energy IN ('low', 'moderate') THEN 'good: Good fit: apartment living' WHEN home = 'apartment' AND (size = 'xl' OR energy = 'very_high') THEN 'check: Check with the shelter: space & energy needs' END,
   {_ABOUT("kids IN ('little', 'big')", 'compat_kids', 'kids at home', 'kids at home', 'kids')}, {_ABOUT("pets IN ('dogs', 'both')", 'compat_dogs', 'your dog', 'dog compatibility', 'dogs at home')}, {_ABOUT("pets IN ('cats', 'both')", 'compat_cats', 'your cat', 'cat compatibility', 'cats at home')},

@@ -85,12 +85,49 @@ def test_sync(spark):
     after = sync.next_listings(kinds, F.lit(at), ["a"])
     status = {(r["source"], r["site"], r["external_id"]): (r["status"], r["last_seen_at"] == at) for r in after.collect()}
     assert status == {("a", None, 1): ("available", True), ("a", "x", 1): ("pending", True), ("a", None, 2): ("removed", False), ("b", None, 3): ("available", False), ("a", None, 4): ("available", True), ("a", None, 5): ("removed", False)}
+    kept = {(r["source"], r["site"], r["external_id"]): (r["first_seen_at"], r["removed_at"], r["version"]) for r in after.collect()}
+    assert kept["a", None, 4] == (at, None, 1) and kept["a", None, 2] == (None, at, None) and kept["a", "x", 1] == (None, None, None)
+    later = dt.datetime(2024, 1, 3)
+    third = sync.next_listings(sync.classify(after.drop("kind", "hash"), batch.filter("external_id = 1").withColumn("fee", F.col("fee") + 1)), F.lit(later), ["a"], 2)
+    kept = {(r["source"], r["site"], r["external_id"]): (r["first_seen_at"], r["removed_at"], r["version"]) for r in third.collect()}
+    assert kept["a", None, 4] == (at, later, 1) and kept["a", None, 2] == (None, at, None) and kept["a", None, 1] == (None, None, 2)
     metrics = {r["source"]: r for r in sync.run_metrics(kinds, spark.createDataFrame([("a", 3)], "source string, n long"), ["b"]).collect()}
     assert (metrics["a"]["fetched"], metrics["a"]["duplicates"], metrics["a"]["changed"], metrics["a"]["removed"], metrics["a"]["quarantined"]) == (3, 1, 2, 1, 3) and (metrics["b"]["removed"], metrics["b"]["ok"]) == (0, False)
     again = sync.classify(after.select("source", "site", "external_id", "fee", "status", "last_seen_at"), batch)
     assert sync.changed_keys(again, ["a"]).count() == 0  # a second run changes nothing
 
 
+def test_a_removed_listing_does_not_remove_a_pet_that_another_source_lists(spark):
+    import datetime as dt
+
+    at = dt.datetime(2024, 1, 2)
+    listings = spark.createDataFrame([("a", None, 1, "removed", at), ("b", None, 2, "pending", at), ("a", None, 3, "removed", at)], "source string, site string, external_id long, status string, last_seen_at timestamp")
+    links = spark.createDataFrame([("a", None, 1, 10), ("b", None, 2, 10), ("a", None, 3, 11), ("b", None, 9, 12)], "source string, site string, external_id long, pet_id long")
+    pets = spark.createDataFrame([(10, "available"), (11, "available"), (12, "available")], "pet_id long, status string")
+    changed = listings.filter("source = 'a'").select("source", "site", "external_id")
+    registry = spark.createDataFrame([("a", 86400), ("b", 86400)], "source string, interval_s long")
+    assert dict(map(tuple, sync.reproject(pets, listings, links, changed, registry, F.lit(at)).collect())) == {10: "pending", 11: "removed", 12: "available"}
+
+
+def test_organisations_are_made_once(spark):
+    names = "source string, external_org_id string, org_name string, city string, state string, postcode string, lat double, lon double"
+    listed = spark.createDataFrame([("a", "1", "Known", None, None, None, None, None), ("a", "2", None, "Z", None, None, None, None), ("a", "2", "Second", "A", None, None, 1.0, 2.0), ("b", "1", None, None, None, None, None, None)], names)
+    linked, new = sync.upsert_organizations(listed, spark.createDataFrame([("a", "1", 7)], "source string, external_org_id string, organization_id long"))
+    ids = {(r["source"], r["external_org_id"]): r["organization_id"] for r in linked.collect()}
+    assert ids["a", "1"] == "7" and len(set(ids.values())) == 3 and linked.count() == 4
+    assert {(r["organization_id"], r["name"], r["city"]) for r in new.collect()} == {(ids["a", "2"], "Second", "A"), (ids["b", "1"], "Unknown organization", None)}
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from fernspark.staging import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: {"spark.master": "yarn"}.get(key, default))
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=conf))
+
+
 def test_snapshot_tables(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "source string, v int")
     tables.write_snapshot(df, str(tmp_path / "t"), 1)

@@ -37,6 +37,16 @@ def within(lat: Column, lon: Column, lat0: float, lon0: float, miles: float) ->
     return degree_box(lat, lon, lat0, lon0, miles) & (haversine_miles(F.lit(lat0), F.lit(lon0), lat, lon) <= miles)
 
 
+def coarse_place(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """A visitor's place to a hundredth of a degree, about a kilometre, halves up."""
+    return half_up(lat, 2), half_up(lon, 2)
+
+
+def viewport(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """The bounds of a map as west,south,east,north with three decimals."""
+    return F.concat_ws(",", *(F.format_string("%.3f", x) for x in (west, south, east, north)))
+
+
 def north_of_border(lat: Column, lon: Column) -> Column:
     """Whether a place lies north of the border line; of two segments that meet the western one counts."""
     out = None

@@ -61,9 +61,10 @@ def miles_from(lat: float | Column, lon: float | Column) -> Column:
 
 
 def first_photo(photos: DataFrame) -> DataFrame:
-    """pet_id, photo_url: the primary photo with the smallest order; ties by part and supplier."""
+    """pet_id, photo_url, photo_blur: of the primary photo with the smallest order; ties by part and supplier."""
     order = F.struct(~F.col("is_primary"), "sort_order", "l_partkey", "l_suppkey")
-    return photos.groupBy("pet_id").agg(F.min_by("url", order).alias("photo_url"))
+    first = photos.groupBy("pet_id").agg(F.min_by(F.struct("url", "blur"), order).alias("p"))
+    return first.select("pet_id", F.col("p.url").alias("photo_url"), F.col("p.blur").alias("photo_blur"))
 
 
 def cards(pets: DataFrame, orgs: DataFrame, photos: DataFrame, origin: tuple[float, float] | None = None) -> DataFrame:
@@ -77,7 +78,7 @@ def cards(pets: DataFrame, orgs: DataFrame, photos: DataFrame, origin: tuple[flo
     distance = geo.half_up(miles_from(*origin), 1) if origin else F.lit(None).cast("double")
     return pets.join(org, "org_id").join(photo, "pet_id", "left").select(
         "pet_id", "name", "species", "age_group", age_label(F.col("age_group")).alias("age_label"), breed.alias("breed_label"), distance.alias("distance_mi"),
-        F.col("org_state").alias("state"), "org_name", "source_label", "status", F.col("updated_at").alias("listed_at"), "photo_url",
+        "city", F.col("org_state").alias("state"), "org_name", "source_label", "status", F.col("updated_at").alias("listed_at"), "photo_url", "photo_blur",
         photo_alt(F.col("name"), F.col("age_group"), breed).alias("photo_alt"), "lat", "lon",
     )
 
@@ -157,5 +158,5 @@ def geo_clusters(pets: DataFrame, zoom: int) -> DataFrame:
     return cells.withColumn("circle", F.when(n < 5, 14).when(n < 15, 18).when(n < 50, 24).otherwise(30))
 
 
-def map_features(pets: DataFrame, digits: int = 3) -> DataFrame:
-    return known_places(pets).select("pet_id", "name", F.round("lon", digits).alias("lon"), F.round("lat", digits).alias("lat"))
+def map_features(pets: DataFrame) -> DataFrame:
+    return known_places(pets).select("pet_id", "name", "lon", "lat")

@@ -27,7 +27,7 @@ def payload_marker_extract(spark, sf_dir):
 def _api_pages(spark, sf_dir) -> DataFrame:
     """Pages of 250 animals: orders are animals, line items their pictures, suppliers their organisations."""
     o = F.col("o_orderkey")
-    orders = table(spark, sf_dir, "orders").select("*", F.floor(o / 250).alias("page_id"))
+    orders = table(spark, sf_dir, "orders").crossJoin(view(spark, sf_dir, "orgs").agg(F.count(F.lit(1)).alias("norgs"))).select("*", F.floor(o / 250).alias("page_id"))
     items = table(spark, sf_dir, "lineitem").withColumn("pic", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     pics = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "pic"))).alias("pics"))
     house = F.when(o % 4 == 0, F.lit("true")).when(o % 4 == 1, F.lit('"yes"')).when(o % 4 == 2, F.lit("false")).otherwise("null")
@@ -35,7 +35,7 @@ def _api_pages(spark, sf_dir) -> DataFrame:
         F.lit('{"name":"Pet '), o.cast("string"), F.lit('","speciesName":"'), F.element_at(F.array(*map(F.lit, ("Dog", "Farm Animal", "Small Animal", "Ferret"))), (o % 4 + 1).cast("int")), F.lit('","breedPrimary":"'), F.col("o_orderpriority"),
         F.lit('","isHousetrained":'), house, F.lit(',"isBreedMixed":'), F.when(o % 3 == 0, "true").otherwise("1"), F.lit(',"qualities":["calm",'), o.cast("string"), F.lit("]}"),
     )
-    org = F.when(o % 17 != 0, F.concat(F.lit('"orgs":{"data":{"type":"orgs","id":"'), (F.col("o_custkey") % 10).cast("string"), F.lit('"}},'))).otherwise("")
+    org = F.when(o % 17 != 0, F.concat(F.lit('"orgs":{"data":{"type":"orgs","id":"'), (F.col("o_custkey") % F.col("norgs")).cast("string"), F.lit('"}},'))).otherwise("")
     refs = F.array_join(F.transform(F.coalesce("pics.pic", F.array().cast("array<string>")), lambda p: F.concat(F.lit('{"type":"pictures","id":"'), p, F.lit('"}'))), ",")
     animal = F.concat(F.lit('{"id":"'), o.cast("string"), F.lit('","type":"animals","attributes":'), attributes, F.lit(',"relationships":{'), org, F.lit('"pictures":{"data":['), refs, F.lit("]}}}"))
     one = orders.join(pics, o == F.col("l_orderkey"), "left").select("page_id", animal.alias("animal"))
@@ -43,8 +43,9 @@ def _api_pages(spark, sf_dir) -> DataFrame:
     url = F.concat(F.lit('"https://img.example/'), "pic", F.lit('.jpg"'))
     body = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit('{"large":{"url":'), url, F.lit('},"url":"https://img.example/small.jpg"}'))).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit('{"url":'), url, F.lit("}"))).otherwise('{"url":""}')
     included = items.select(F.floor(F.col("l_orderkey") / 250).alias("page_id"), F.concat(F.lit('{"type":"pictures","id":"'), "pic", F.lit('","attributes":'), body, F.lit("}")).alias("x"))
-    orgs = view(spark, sf_dir, "orgs").filter("org_id < 10").select(F.concat(F.lit('{"type":"orgs","id":"'), F.col("org_id").cast("string"), F.lit('","attributes":{"name":"'), "org_name", F.lit('","lat":'), F.col("lat").cast("string"), F.lit(',"lon":"west"}}')).alias("x"))
-    included = included.unionByName(orders.select("page_id").distinct().crossJoin(orgs))  # ten organisations
+    orgs = view(spark, sf_dir, "orgs").select(F.col("org_id"), F.concat(F.lit('{"type":"orgs","id":"'), F.col("org_id").cast("string"), F.lit('","attributes":{"name":"'), "org_name", F.lit('","lat":'), F.col("lat").cast("string"), F.lit(',"lon":"west"}}')).alias("x"))
+    asked = orders.filter(o % 17 != 0).select("page_id", (F.col("o_custkey") % F.col("norgs")).alias("org_id")).distinct()
+    included = included.unionByName(asked.join(orgs, "org_id").select("page_id", "x"))
     rest = included.groupBy("page_id").agg(F.array_join(F.collect_list("x"), ",").alias("included"))
     return data.join(rest, "page_id").select("page_id", F.concat(F.lit('{"data":['), "data", F.lit('],"included":['), "included", F.lit('],"meta":{"pages":1}}')).alias("body"))
 
@@ -79,7 +80,7 @@ def url_sequence(spark, sf_dir):
 
 def _registry(spark, sf_dir):
     o = F.col("org_id")
-    return view(spark, sf_dir, "orgs").filter("org_id < 7").select(F.concat(F.lit("acct"), o.cast("string")).alias("account"), F.col("org_name").alias("name"), F.concat(F.lit("City "), "state").alias("city"), F.col("state").alias("region"), F.when(o != 0, F.col("lat")).alias("lat"), "lon", (o == 3).alias("suppress_descriptions"))
+    return view(spark, sf_dir, "orgs").select(F.concat(F.lit("acct"), o.cast("string")).alias("account"), F.col("org_name").alias("name"), F.concat(F.lit("City "), "state").alias("city"), F.col("state").alias("region"), F.when(o % 7 != 0, F.col("lat")).alias("lat"), "lon", (o % 7 == 3).alias("suppress_descriptions"))
 
 
 def registry_enrich(spark, sf_dir):
@@ -104,7 +105,8 @@ def _widget(spark, sf_dir) -> DataFrame:
     )
     account = F.when(i % 31 != 0, F.col("account"))
     body = F.concat(F.lit("var adoptables = ["), F.array_join(F.collect_list(F.to_json("animal")), ","), F.lit("]; // end"))
-    payload = raw.select(account.alias("account"), animal.alias("animal")).groupBy("account").agg(body.alias("body"))
+    # A payload holds 200 animals at most.
+    payload = raw.select(account.alias("account"), animal.alias("animal"), F.floor(i / 200).alias("part")).groupBy("account", "part").agg(body.alias("body")).drop("part")
     animals = feeds.parse_widget(payload).filter("reason IS NULL")
     return feeds.widget_listings(feeds.with_registry(animals, _registry(spark, sf_dir)), F.lit(AS_OF).cast("timestamp"))
 
@@ -152,7 +154,7 @@ def mapping_table(spark, sf_dir):
 
 def synthetic_listings(spark, sf_dir):
     seeds = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.col("p_name").alias("name"))
-    templates = view(spark, sf_dir, "orgs").filter("org_id < 6").select(F.col("org_id").alias("t"), F.concat(F.lit("sp"), F.col("org_id").cast("string")).alias("species"), F.col("org_name").alias("breed"), F.col("lat").alias("base_lat"), F.col("lon").alias("base_lon"))
+    templates = view(spark, sf_dir, "orgs").select(F.col("org_id").alias("t"), F.concat(F.lit("sp"), F.col("org_id").cast("string")).alias("species"), F.col("org_name").alias("breed"), F.col("lat").alias("base_lat"), F.col("lon").alias("base_lon"))
     out = snapshot.generate(seeds, templates)
     return out.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
 
@@ -168,7 +170,7 @@ def source_counts(spark, sf_dir):
 
 
 def content_hash_changes(spark, sf_dir):
-    state, batch = view(spark, sf_dir, "state").drop("last_seen_at"), view(spark, sf_dir, "batch")
+    state, batch = view(spark, sf_dir, "state").drop("last_seen_at", "first_seen_at", "removed_at", "version"), view(spark, sf_dir, "batch")
     old = state.withColumn("h", content_hash(state.drop("status"))).select("external_id", F.col("h").alias("old"))
     new = batch.withColumn("h", content_hash(batch.drop("status"))).select("external_id", F.col("h").alias("new"))
     kind = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "unseen").when(F.col("old") == F.col("new"), "same").otherwise("changed")
@@ -185,12 +187,12 @@ _WORDS = lambda words, label: f"CASE lower(trim({label})) " + " ".join(f"WHEN '{
 _MONTHS = f"(epoch(TIMESTAMP '{AS_OF}') - epoch(CAST(date_of_birth AS TIMESTAMP))) / (30.44::DOUBLE * 86400)"
 _BUCKET = f"CASE WHEN {_MONTHS} < 6 THEN 'baby' WHEN {_MONTHS} < 24 THEN 'young' WHEN {_MONTHS} < 96 THEN 'adult' WHEN date_of_birth IS NOT NULL THEN 'senior' END"
 _RA = with_views("raw_animals")
-_REG = "reg AS (SELECT 'acct' || org_id AS account, org_id, org_name, state, CASE WHEN org_id <> 0 THEN lat END AS lat, lon FROM orgs WHERE org_id < 7)"
+_REG = "reg AS (SELECT 'acct' || org_id AS account, org_id, org_name, state, CASE WHEN org_id % 7 <> 0 THEN lat END AS lat, lon FROM orgs)"
 _LISTED = f"""{with_views('raw_animals', 'orgs')}, {_REG}, w AS (
   SELECT CASE WHEN id % 23 <> 0 THEN id END AS id, CASE WHEN id % 31 <> 0 THEN account END AS account, id AS k, CASE WHEN id % 29 = 0 THEN 'Unknown' ELSE animal_name END AS name,
     {_WORDS(WIDGET_SPECIES, PICK)} ELSE 'other' END AS species, {_BUCKET} AS age, CASE WHEN id % 5 = 0 THEN 'pending' ELSE 'available' END AS status, CASE WHEN id % 2 = 0 THEN 'Notes.' END AS notes,
     least(greatest(image_count, 0), 6) AS n_photos, CASE lower(trim(good_with_kids)) WHEN 'yes' THEN 'true' WHEN 'no' THEN 'false' END AS kids_ok, breed_name FROM raw_animals),
-x AS (SELECT w.*, coalesce(reg.org_name, 'Shelter ' || w.account) AS org_name, CASE WHEN coalesce(reg.org_id, -1) <> 3 THEN notes END AS description, 'asm3:' || w.account AS source_id,
+x AS (SELECT w.*, coalesce(reg.org_name, 'Shelter ' || w.account) AS org_name, CASE WHEN coalesce(reg.org_id, 0) % 7 <> 3 THEN notes END AS description, 'asm3:' || w.account AS source_id,
   concat_ws(',', CASE WHEN w.id IS NULL THEN 'missing id' END, CASE WHEN w.account IS NULL THEN 'missing source' END, CASE WHEN w.account IS NULL THEN 'missing organisation' END) AS reasons FROM w LEFT JOIN reg ON reg.account = w.account)"""
 _PIC = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
 
@@ -198,16 +200,16 @@ QUERIES = {
     payload_marker_extract: """SELECT page_id, CASE WHEN contains(html, 'track(') AND contains(split_part(html, 'track(', 2), ');') THEN split_part(split_part(html, 'track(', 2), ');', 1) END AS payload,
   CASE WHEN html IS NULL OR NOT contains(html, 'track(') THEN 'payload not found' WHEN NOT contains(split_part(html, 'track(', 2), ');') THEN 'payload not terminated' END AS reason FROM pages""",
     page_flatten_included: f"""{with_views('orgs')}, p AS (SELECT l_orderkey, string_agg('https://img.example/' || {_PIC} || '.jpg', ',' ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (l_linenumber % 3 <> 2) AS photos FROM lineitem GROUP BY 1)
-SELECT o_orderkey AS pet_id, 'Pet ' || o_orderkey AS name, ['dog', 'barnyard', 'small_furry', 'other'][o_orderkey % 4 + 1] AS species, CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_custkey % 10 AS VARCHAR) END AS org_external_id, g.org_name, round(g.lat, 6) AS lat,
+SELECT o_orderkey AS pet_id, 'Pet ' || o_orderkey AS name, ['dog', 'barnyard', 'small_furry', 'other'][o_orderkey % 4 + 1] AS species, CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_custkey % (SELECT count(*) FROM supplier) AS VARCHAR) END AS org_external_id, g.org_name, round(g.lat, 6) AS lat,
   CAST(NULL AS DOUBLE) AS lon, coalesce(photos, '') AS photos, CASE WHEN o_orderkey % 17 = 0 THEN 'missing organisation' ELSE '' END AS reasons
-FROM orders LEFT JOIN p ON l_orderkey = o_orderkey LEFT JOIN orgs g ON o_orderkey % 17 <> 0 AND g.org_id = o_custkey % 10""",
+FROM orders LEFT JOIN p ON l_orderkey = o_orderkey LEFT JOIN orgs g ON o_orderkey % 17 <> 0 AND g.org_id = o_custkey % (SELECT count(*) FROM supplier)""",
     typed_attributes: "SELECT o_orderkey AS pet_id, CASE o_orderkey % 4 WHEN 0 THEN 'true' WHEN 2 THEN 'false' END AS housetrained, CASE WHEN o_orderkey % 3 = 0 THEN 'true' END AS breed_mixed, 'calm' AS tags FROM orders",
     vocab_map: f"{_RA} SELECT id, {_WORDS(WIDGET_SPECIES, PICK)} ELSE 'other' END AS species, {_WORDS(WIDGET_SIZES, 'species_name')} END AS size, ['baby', 'senior', 'young', NULL][id % 4 + 1] AS age FROM raw_animals",
     tribool: f"{_RA} SELECT id, CASE lower(trim(good_with_kids)) WHEN 'yes' THEN 'true' WHEN 'no' THEN 'false' END AS kids_ok, CASE lower(trim(good_with_kids)) WHEN 'yes' THEN 'true' WHEN 'no' THEN 'false' ELSE 'unknown' END AS compat_kids FROM raw_animals",
     age_bucket: f"{_RA} SELECT id, {_BUCKET} AS age, date_of_birth || 'T00:00:00.000Z' AS born FROM raw_animals",
     url_sequence: f"""{_RA} SELECT id, coalesce(array_to_string(list_transform(range(1, CAST(least(greatest(image_count - 5, 0), 6) AS BIGINT) + 1), lambda i: '{feeds.SERVICE}?account=' || account || '&method=animal_image&animalid=' || id || '&seq=' || i), ' '), '') AS urls FROM raw_animals""",
     registry_enrich: f"""{with_views('raw_animals', 'orgs')}, {_REG} SELECT id, coalesce(org_name, 'Shelter ' || a.account) AS org_name, CASE WHEN lat IS NOT NULL THEN 'City ' || state END AS city, round(lat, 6) AS lat, CASE WHEN lat IS NOT NULL THEN round(lon, 6) END AS lon,
-  coalesce(org_id = 3, FALSE) AS suppress_descriptions FROM raw_animals a LEFT JOIN reg ON reg.account = a.account""",
+  coalesce(org_id % 7 = 3, FALSE) AS suppress_descriptions FROM raw_animals a LEFT JOIN reg ON reg.account = a.account""",
     source_split_licensed: f"{_RA} SELECT id, ['asm3', 'rescuegroups', 'csv'][id % 3 + 1] AS source, CASE id % 3 WHEN 0 THEN account WHEN 2 THEN 'a:' || id END AS site, id % 3 <> 2 AS licensed FROM raw_animals",
     validate_quarantine: f"{_LISTED} SELECT CAST(id AS VARCHAR) AS external_id, source_id, name, species, age, status, description, CAST(n_photos AS INTEGER) AS n_photos, kids_ok, reasons FROM x",
     quarantine_report: f"{_LISTED}, y AS (SELECT source_id, unnest(string_split(reasons, ',')) AS reason FROM x WHERE reasons <> '') SELECT source_id, reason, count(*) AS n FROM y GROUP BY ALL",
@@ -221,7 +223,7 @@ FROM orders LEFT JOIN p ON l_orderkey = o_orderkey LEFT JOIN orgs g ON o_orderke
 n AS (SELECT * FROM m WHERE NOT (pet_id % 2 = 1 AND f = 'coat'))
 SELECT pet_id, arg_min(upper(w), k) FILTER (f = 'size') AS size, arg_min(upper(w), k) FILTER (f = 'coat') AS coat, arg_min(upper(w), k) FILTER (f = 'energy') AS energy FROM n GROUP BY pet_id""",
     synthetic_listings: f"""{with_views('orgs')} SELECT 'demo-gen-' || p_partkey AS id, p_name AS name, 'sp' || org_id AS species, org_name AS breed, CASE WHEN p_partkey % 2 = 0 THEN 'male' ELSE 'female' END AS sex, ['baby', 'young', 'adult', 'senior'][p_partkey % 4 + 1] AS age_group,
-  round(lat + ((p_partkey * 37) % 41 - 20) / 200.0::DOUBLE, 6) AS lat, round(lon + ((p_partkey * 53) % 41 - 20) / 200.0::DOUBLE, 6) AS lon, (p_partkey + 6) * 3600 AS age_s, p_partkey % 12 + 5 AS photo_seed FROM part JOIN orgs ON org_id = p_partkey % 6""",
+  round(lat + ((p_partkey * 37) % 41 - 20) / 200.0::DOUBLE, 6) AS lat, round(lon + ((p_partkey * 53) % 41 - 20) / 200.0::DOUBLE, 6) AS lon, (p_partkey + 6) * 3600 AS age_s, p_partkey % 12 + 5 AS photo_seed FROM part JOIN orgs ON org_id = p_partkey % (SELECT count(*) FROM supplier)""",
     snapshot_export_cards: f"""{_LISTED} SELECT 'asm3-' || account || '-' || id AS id, coalesce(CASE age WHEN 'baby' THEN 'Baby' WHEN 'young' THEN 'Young' WHEN 'adult' THEN 'Adult' WHEN 'senior' THEN 'Senior' END, 'Age unknown') AS age_label, breed_name AS breed_label, org_name,
   'sheltermanager.com' AS source_label, '2000-01-01T00:00:00.000Z' AS listed_at, CASE WHEN n_photos > 0 THEN '{feeds.SERVICE}?account=' || account || '&method=animal_image&animalid=' || id || '&seq=1' END AS photo_url,
   name || ', a ' || coalesce(age, 'age unknown') || ' ' || breed_name AS photo_alt, 'snap-org-' || account AS organization_id, CAST(n_photos AS INTEGER) AS n_photos FROM x WHERE reasons = ''""",

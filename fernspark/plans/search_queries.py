@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.text import joined
 from ..model import BORDER
-from ..operators import filters, search
+from ..operators import filters, profiles, search
 from ..operators.search import SearchFilter
 from .views import view, with_views
 
 PLACE = (34.0, -99.0)
 _MILES = "2 * 3958.8 * asin(least(1.0, sqrt(pow(sin(radians({lat} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({lat})) * pow(sin(radians({lon} - ({b})) / 2), 2))))"
 MILES = _MILES.format(lat="lat", lon="lon", a="34.0", b="-99.0")
-FIRST = """first_photo AS (SELECT pet_id, url AS photo_url FROM (SELECT *, row_number() OVER (PARTITION BY pet_id ORDER BY is_primary DESC, sort_order, l_partkey, l_suppkey) AS k FROM photos) WHERE k = 1)"""
+FIRST = """first_photo AS (SELECT pet_id, url AS photo_url, blur AS photo_blur FROM (SELECT *, row_number() OVER (PARTITION BY pet_id ORDER BY is_primary DESC, sort_order, l_partkey, l_suppkey) AS k FROM photos) WHERE k = 1)"""
 AGE_LABEL = "CASE age_group WHEN 'baby' THEN 'Baby' WHEN 'young' THEN 'Young' WHEN 'adult' THEN 'Adult' WHEN 'senior' THEN 'Senior' ELSE 'Age unknown' END"
 BREED_LABEL = "CASE WHEN raw_breed_text <> '' THEN raw_breed_text WHEN is_mixed THEN 'Mixed breed' ELSE 'Breed unknown' END"
 DOG = SearchFilter(species="dog", size=["s", "m", "l"], good_with=["kids"], lat=PLACE[0], lon=PLACE[1], radius=1000)
 DOG_SQL = f"species = 'dog' AND size IN ('s', 'm', 'l') AND compat_kids IN ('true', 'unknown') AND status = 'available' AND {MILES} <= 1000"
 CARD_SQL = f"""SELECT l.pet_id, name, species, age_group, {AGE_LABEL} AS age_label, {BREED_LABEL} AS breed_label, floor(({_MILES.format(lat="l.lat", lon="l.lon", a="34.0", b="-99.0")}) * 10 + 0.5) / 10 AS distance_mi,
-  o.state, o.org_name, o.source AS source_label, status, updated_at AS listed_at, photo_url, name || ', a ' || lower({AGE_LABEL}) || ' ' || {BREED_LABEL} AS photo_alt, l.lat, l.lon
+  city, o.state, o.org_name, o.source AS source_label, status, updated_at AS listed_at, photo_url, photo_blur, name || ', a ' || lower({AGE_LABEL}) || ' ' || {BREED_LABEL} AS photo_alt, l.lat, l.lon
 FROM picked l JOIN orgs o ON o.org_id = l.org_id LEFT JOIN first_photo p ON p.pet_id = l.pet_id"""
 BASIC = ("pet_id", "species", "age_group", "size", "house_trained", "compat_kids", "status")
 
@@ -81,10 +81,8 @@ def search_zip_origin(spark, sf_dir):
     saved = view(spark, sf_dir, "saved").select("user_id", "species", "radius", F.lpad((F.col("user_id") % 30 + 10000).cast("string"), 5, "0").alias("zip"))
     asked = search.zip_origin(saved, view(spark, sf_dir, "zips"))
     pets = _listings(spark, sf_dir, SearchFilter()).select("pet_id", "species", "lat", "lon")
-    miles = search.miles_from(F.col("origin_lat"), F.col("origin_lon"))
-    found = pets.join(asked, "species").filter(~F.col("origin_resolved") | (miles <= F.col("radius")))
-    counts = found.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return asked.join(counts, "user_id", "left").select("user_id", "zip", "origin_resolved", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    searches = asked.select(F.col("user_id").alias("search_id"), "species", "radius", F.col("origin_lat").alias("lat"), F.col("origin_lon").alias("lon"), "zip", "origin_resolved", F.lit(None).cast("long").alias("last_seen_total"))
+    return profiles.search_totals(searches, pets).select(F.col("search_id").alias("user_id"), "zip", "origin_resolved", F.col("total").alias("n"))
 
 
 def featured_topk(spark, sf_dir):
@@ -128,6 +126,13 @@ def map_features(spark, sf_dir):
     return search.map_features(_listings(spark, sf_dir, SearchFilter()))
 
 
+def coarse_origins(spark, sf_dir):
+    """A visitor at a third of each organisation's coordinates, and the map around."""
+    lat, lon = F.col("lat") / 3, F.col("lon") / 3
+    near = geo.coarse_place(lat, lon)
+    return view(spark, sf_dir, "orgs").select("org_id", near[0].alias("lat"), near[1].alias("lon"), geo.viewport(lon - 1, lat - 1, lon + 1, lat + 1).alias("viewport"))
+
+
 def distance_labels(spark, sf_dir):
     orgs = view(spark, sf_dir, "orgs")
     miles = geo.half_up(search.miles_from(*PLACE), 1)
@@ -187,7 +192,9 @@ SELECT user_id, faults = '' AS valid, faults, CASE WHEN faults = '' THEN species
     data_bounds: f"{L} SELECT min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon FROM listings WHERE lat IS NOT NULL",
     geo_cell_clusters: f"""{L}, c AS (SELECT CAST(floor((lon + 180) / 360 * {_WORLD}) AS BIGINT) AS cell_x, CAST(floor((0.5 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())) * {_WORLD}) AS BIGINT) AS cell_y, lat, lon FROM listings WHERE status = 'available' AND lat IS NOT NULL)
 SELECT cell_x, cell_y, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, CASE WHEN count(*) < 5 THEN 14 WHEN count(*) < 15 THEN 18 WHEN count(*) < 50 THEN 24 ELSE 30 END AS circle FROM c GROUP BY ALL""",
-    map_features: f"{L} SELECT pet_id, name, round(lon, 3) AS lon, round(lat, 3) AS lat FROM listings WHERE status = 'available' AND lat IS NOT NULL",
+    map_features: f"{L} SELECT pet_id, name, lon, lat FROM listings WHERE status = 'available' AND lat IS NOT NULL",
+    coarse_origins: f"""{with_views('orgs')} SELECT org_id, floor((lat / 3) * 100 + 0.5) / 100 AS lat, floor((lon / 3) * 100 + 0.5) / 100 AS lon,
+  printf('%.3f,%.3f,%.3f,%.3f', lon / 3 - 1, lat / 3 - 1, lon / 3 + 1, lat / 3 + 1) AS viewport FROM orgs""",
     distance_labels: f"""{with_views('orgs')}, m AS (SELECT org_id, floor(({MILES}) * 10 + 0.5) / 10 AS mi, [10, 25, 50, 100][org_id % 4 + 1] AS r FROM orgs)
 SELECT org_id, CASE WHEN org_id % 2 = 0 THEN CAST(CAST(floor(mi * 1.609344::DOUBLE + 0.5) AS BIGINT) AS VARCHAR) || ' km' WHEN mi = floor(mi) THEN CAST(CAST(mi AS BIGINT) AS VARCHAR) || ' mi' ELSE printf('%.1f', mi) || ' mi' END AS distance,
   CASE WHEN org_id % 2 = 0 THEN CAST(CAST(floor(r * 1.609344::DOUBLE / 5 + 0.5) * 5 AS BIGINT) AS VARCHAR) || ' km' ELSE CAST(r AS VARCHAR) || ' mi' END AS radius, mi <= 5 AS near FROM m""",

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import staged
+from ..staging import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for every node of edges (a, b: long).
 
     Labels spread along edges and jump to their label's label, so that rounds grow with the logarithm of path lengths;
-    each round is written to the shared folder, and only whether a label changed comes to the driver.
+    each round is written to the shared folder in place of the one before, and only whether a label changed comes to the driver.
     """
     edges = edges.select("a", "b").filter("a <> b")
     both = staged(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -22,6 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
         new = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = staged(new.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")), "labels")
+        discard(labels)
         if not new.filter("old <> label").limit(1).count():
+            discard(both)
             return new.select("node", F.col("label").alias("component"))
         labels = new.select("node", "label")
+        labels._staged_at = new._staged_at

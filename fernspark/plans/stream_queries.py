@@ -11,14 +11,11 @@ from ..staging import shared_dir
 from ..streaming import streams
 from .state_queries import QUERIES as STATE_QUERIES
 from .state_queries import sync_next_listings
-from .views import table, view, with_views
+from .views import view, with_views
 
 STREAM_AT = "1999-01-01 00:00:00"
-
-
-def _stream(spark, sf_dir, name: str) -> DataFrame:
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+#: Ends of the lots that runs arrive in.
+LOTS = ["1900-01-01 00:00:00", "2024-01-09 00:00:00", "2024-01-17 00:00:00", "2024-01-25 00:00:00", "2100-01-01 00:00:00"]
 
 
 def _fresh(spark, name: str) -> str:
@@ -26,39 +23,48 @@ def _fresh(spark, name: str) -> str:
 
 
 def stream_reports(spark, sf_dir):
-    """Reports as they arrive: pets with three or more distinct open reporters."""
-    events = _stream(spark, sf_dir, "events")
-    pets = table(spark, sf_dir, "events").count() // 3
-    reports = events.select((F.col("event_id") % pets).alias("pet_id"), F.col("user_id").alias("fingerprint"), (F.col("event_type") == "error").alias("resolved"))
-    out = _fresh(spark, "reports")
-    query = streams.run_reports(reports, lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out), _fresh(spark, "reports-checkpoint"))
-    query.awaitTermination()
+    """Reports as they arrive in three lots: pets with three or more distinct open reporters."""
+    reports = view(spark, sf_dir, "reports").select("pet_id", "fingerprint", "resolved", "created_at")
+    landed, out, checkpoint = (_fresh(spark, f"reports-{x}") for x in ("landed", "out", "checkpoint"))
+    for lot in range(3):
+        reports.filter(F.pmod(F.xxhash64("fingerprint", "created_at"), F.lit(3)) == lot).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(reports.schema).parquet(landed)
+        streams.run_reports(stream, lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out), checkpoint).awaitTermination()
     return spark.read.schema("pet_id long, reporters long, batch int").parquet(out).groupBy("pet_id").agg(F.max("reporters").alias("reporters"))
 
 
 def stream_sync(spark, sf_dir):
-    """A landed feed applied to the stored state; all feeds but that of src5 are complete."""
+    """A feed that lands in two lots of sources, applied to the stored state; all sources but src5 are complete."""
     batch, state = view(spark, sf_dir, "batch"), view(spark, sf_dir, "state")
-    landed = _fresh(spark, "landed")
-    batch.withColumns({"run_at": F.lit(STREAM_AT).cast("timestamp"), "complete": F.col("source") != "src5"}).write.parquet(landed)
-    feed = spark.readStream.schema(spark.read.parquet(landed).schema).parquet(landed)
-    path = _fresh(spark, "generations")
-    streams.run_sync(feed, path, _fresh(spark, "sync-checkpoint"), state.withColumn("last_seen_at", F.col("last_seen_at").cast("timestamp"))).awaitTermination()
-    return spark.read.parquet(f"{path}/generation=00000001").select("source", "site", "external_id", F.round("fee", 2).alias("fee"), "status", "last_seen_at")
+    landed, path, checkpoint = (_fresh(spark, f"sync-{x}") for x in ("landed", "generations", "checkpoint"))
+    feed = batch.withColumns({"run_at": F.lit(STREAM_AT).cast("timestamp"), "complete": F.col("source") != "src5"})
+    first = state.withColumn("last_seen_at", F.col("last_seen_at").cast("timestamp"))
+    for lot, sources in enumerate((("src0", "src2", "src4"), ("src1", "src3", "src5"))):
+        feed.filter(F.col("source").isin(*sources)).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(feed.schema).parquet(landed)
+        streams.run_sync(stream, path, checkpoint, None if lot else first).awaitTermination()
+    return spark.read.parquet(f"{path}/generation=00000002").select("source", "site", "external_id", F.round("fee", 2).alias("fee"), "status", "last_seen_at", "first_seen_at", "removed_at", "version")
 
 
 def stream_alerts(spark, sf_dir):
-    """Runs as they arrive: alerts of the sources that ran."""
-    events = _stream(spark, sf_dir, "events")
-    runs = events.select(F.col("event_type").alias("source"), F.col("event_id").alias("run_id"), F.col("ts").alias("finished_at"), (F.col("event_id") % 7 != 0).alias("ok"), F.floor("value").cast("long").alias("fetched"), (F.col("event_id") % 9).alias("quarantined"))
-    out = _fresh(spark, "alerts")
-    history = view(spark, sf_dir, "runs").limit(0)
-    streams.run_alerts(runs, history, lambda alerts, n: alerts.write.mode("append").parquet(out), _fresh(spark, "alerts-checkpoint")).awaitTermination()
-    return spark.read.schema("source string, kind string").parquet(out).select("kind", "source").distinct()
+    """Runs that arrive in four lots of days: each lot's alerts of the sources that ran, by all runs so far."""
+    runs = view(spark, sf_dir, "runs")
+    landed, path, out, checkpoint = (_fresh(spark, f"alerts-{x}") for x in ("landed", "history", "out", "checkpoint"))
+    for lot, (low, high) in enumerate(zip(LOTS, LOTS[1:])):
+        runs.filter((F.col("finished_at") >= low) & (F.col("finished_at") < high)).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(runs.schema).parquet(landed)
+        streams.run_alerts(stream, path, lambda alerts, n: alerts.withColumn("batch", F.lit(n)).write.mode("append").parquet(out), checkpoint).awaitTermination()
+    return spark.read.schema("source string, kind string, batch int").parquet(out).select("batch", "kind", "source").distinct()
 
 
+_LOT = "CASE " + " ".join(f"WHEN finished_at < TIMESTAMP '{high}' THEN {k}" for k, high in enumerate(LOTS[1:])) + " END"
 QUERIES = {
     stream_reports: f"{with_views('reports')} SELECT pet_id, count(DISTINCT fingerprint) AS reporters FROM reports WHERE NOT resolved GROUP BY pet_id HAVING count(DISTINCT fingerprint) >= 3",
     stream_sync: STATE_QUERIES[sync_next_listings],
-    stream_alerts: None,
+    stream_alerts: f"""{with_views('runs')}, r AS (SELECT *, {_LOT} AS lot FROM runs WHERE finished_at >= TIMESTAMP '{LOTS[0]}' AND finished_at < TIMESTAMP '{LOTS[-1]}'), b AS (SELECT lot, max(finished_at) AS now FROM r GROUP BY lot), h AS (SELECT b.lot AS batch, b.now, r.* FROM b JOIN r ON r.lot <= b.lot),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch, source ORDER BY finished_at DESC, run_id DESC) AS k FROM h WHERE ok) WHERE k = 1),
+m AS (SELECT batch, source, quantile_cont(fetched, 0.5) AS median FROM h WHERE ok AND finished_at > now - INTERVAL 7 DAY AND finished_at <= now GROUP BY ALL), f AS (SELECT DISTINCT lot AS batch, source FROM r),
+x AS (SELECT 'count_drop' AS kind, l.batch, l.source FROM l JOIN m ON m.batch = l.batch AND m.source = l.source WHERE median > 0 AND l.fetched < 0.6 * median
+  UNION ALL SELECT 'validation_failures', batch, source FROM l WHERE fetched + quarantined > 0 AND quarantined / (fetched + quarantined) > 0.1)
+SELECT DISTINCT CAST(x.batch AS INTEGER) AS batch, kind, x.source FROM x JOIN f ON f.batch = x.batch AND f.source = x.source""",
 }

@@ -1,7 +1,7 @@
 """Streams: the report, sync and alert operators over arriving data.
 
 Each stream keeps only what its batch twin needs: distinct reporters per pet (unbounded, as reports stay valid until a
-pet changes), the last state of listings as a snapshot table, or nothing at all.
+pet changes), the last state of listings as a snapshot table, or the runs so far as a table.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ops, sync
@@ -34,15 +35,18 @@ def sync_batch(state: DataFrame, batch: DataFrame, run_at, completed: list[str])
     return sync.next_listings(classified, run_at, completed), sync.changed_keys(classified, completed)
 
 
-def run_sync(feed: DataFrame, path: str, checkpoint: str, first_state: DataFrame) -> StreamingQuery:
+def run_sync(feed: DataFrame, path: str, checkpoint: str, first_state: DataFrame | None = None) -> StreamingQuery:
     """Applies landed feed rows (key, content, status, run_at, complete) to generations of a snapshot table under `path`.
 
     A micro-batch makes generation n + 1 from generation n; repeated after a failure it overwrites the same generation.
-    `complete` marks rows of a source whose whole feed has landed: only then are its unseen listings removed.
+    `complete` marks rows of a source whose whole feed has landed: only then are its unseen listings removed. first_state
+    (key, content, status, last_seen_at, first_seen_at, removed_at, version) is generation 0; None where the stream goes on.
     """
     columns = [c for c in feed.columns if c not in ("run_at", "complete")]
-    kept = ["status", "last_seen_at", *[c for c in columns if c != "status"]]
-    first_state.select(*kept).write.mode("overwrite").parquet(f"{path}/generation=00000000")
+    state_columns = ["status", "last_seen_at", "first_seen_at", "removed_at", "version"]
+    kept = [*state_columns, *[c for c in columns if c not in state_columns]]
+    if first_state is not None:
+        first_state.select(*kept).write.mode("overwrite").parquet(f"{path}/generation=00000000")
 
     def apply(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
@@ -58,21 +62,27 @@ def run_sync(feed: DataFrame, path: str, checkpoint: str, first_state: DataFrame
     return feed.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
 
 
-def run_alerts(runs: DataFrame, history: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Count-drop and validation alerts for sources with new runs, each batch with the history of earlier runs.
+def run_alerts(runs: DataFrame, path: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Count-drop and validation alerts for sources with new runs, each batch with the history of all earlier ones.
 
-    That a source is dark needs a clock, not an event: ops.source_dark runs on a schedule.
+    The history is a table under `path` to which each batch adds a part of its own (batch=n; repeated after a failure it
+    overwrites that part), so later batches see earlier ones, after a restart too. That a source is dark needs a clock, not
+    an event: ops.source_dark runs on a schedule.
     """
+    schema = T.StructType([*runs.schema.fields, T.StructField("batch", T.IntegerType())])
 
     def apply(batch: DataFrame, number: int) -> None:
-        every = history.unionByName(batch).dropDuplicates(["source", "run_id"])
-        now = batch.agg(F.max("finished_at")).first()[0]
+        spark: SparkSession = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        every = spark.read.schema(schema).option("basePath", path).parquet(path)
+        fresh = every.filter(F.col("batch") == number)
+        every = every.filter(F.col("batch") <= number).dropDuplicates(["source", "run_id"])
+        now = fresh.agg(F.max("finished_at")).first()[0]
         if now is None:
             return
-        fresh = batch.select("source").distinct()
-        nothing = fresh.limit(0)
+        nothing = fresh.select("source").limit(0)
         drop = ops.count_drop(every, F.lit(now), nothing).select("kind", "source")
         bad = ops.validation_failures(every, nothing).select("kind", "source")
-        sink(drop.unionByName(bad).join(fresh, "source", "left_semi"), number)
+        sink(drop.unionByName(bad).join(fresh.select("source").distinct(), "source", "left_semi"), number)
 
     return runs.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()

@@ -23,9 +23,13 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among them, accepts."""
-    names = docs.columns
-    return quality_classifier.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 1").select(*names)
+    """Documents that the classifier, fitted on the labelled ones among them, accepts; without labels it rejects none."""
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model.weights is None:
+        return docs
+    own = {c: f"__own_{c}" for c in docs.columns if c in ("score", "predicted")}
+    kept = quality_classifier.score(docs.withColumnsRenamed(own), model).filter("predicted = 1").drop("score", "predicted")
+    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

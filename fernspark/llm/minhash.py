@@ -5,12 +5,18 @@
 2. Inverted lists of retained values generate candidates. Values that more than `list_limit` classes retain (shared
    passages, large families) come last in each class's order of values, so that the first `prefix` values of a class,
    which are what it is listed under, are rare where it has rare ones. Lists of rare values are short and give all their
-   pairs; of a frequent value's list, the classes that need it to fill their prefix are all compared, in blocks.
+   pairs. Of a frequent value's list, the classes that need it to fill their prefix are compared with the list's most
+   typical class, and those that are unlike it with all others, in blocks.
 3. The union sketch of a pair (the k smallest of both sketches) estimates its similarity; pairs far below the threshold
    are dropped. What is left joins classes into families, far looser than links.
-4. Within families full sets are compared exactly, in blocks of at most `block` classes: a family is dealt to block
-   pairs, so no task holds more than two blocks. Links are intersections of at least `percent` hundredths of the union.
+4. Within families full sets are compared exactly. In a small family all are, in one task. In a large one all are compared
+   with its most typical class; what links to it needs no more comparing with its like. The others are compared, in blocks,
+   with the classes that their distance from it allows: distances (one less the similarity) obey the triangle inequality.
+   Links are intersections of at least `percent` hundredths of the union.
 5. Components of the links are groups of near copies.
+
+So a family of f versions of one text costs f comparisons, and what its typical class does not link costs a comparison with
+each class of a like distance, which is exact for any family and quadratic only for one without a typical class.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ K = 48
 PREFIX = 14
 LIST_LIMIT = 48
 MARGIN = 0.35  # a pair at the threshold is estimated lower than this below it with a chance of 2e-9
-BLOCK = 1500
+BLOCK = 512
 _U = np.uint64
 
 
@@ -104,13 +110,6 @@ def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
 
-def _root(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
 def overlaps(every: list[np.ndarray], n: int, both: bool) -> np.ndarray:
     """Common values of the first n sets with each other set if `both`, else with one another (n: all)."""
     values, inverse, count = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
@@ -128,41 +127,46 @@ def overlaps(every: list[np.ndarray], n: int, both: bool) -> np.ndarray:
     return common
 
 
-def likely_forest(sketches: list[np.ndarray], n: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose sketches share enough for an estimate less MARGIN, and whose sizes (n) allow a link."""
-    common = overlaps(sketches, len(sketches), False)
-    held = np.array([len(s) for s in sketches], np.float32)
-    waiting, out = np.ones(len(sketches), bool), []
-    for first in range(len(sketches)):
-        todo = [first] if waiting[first] else []
-        waiting[first] = False
+def _forest(hit: np.ndarray, within: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of `hit`: of its rows with one another if `within`, else of rows and columns, which are numbered after the rows."""
+    n = len(hit)
+    rows = np.ones(n, bool)
+    columns = rows if within else np.ones(hit.shape[1], bool)
+    out: list[tuple[int, int]] = []
+    for first in range(n):
+        todo = [first] if rows[first] else []
+        rows[first] = False
         while todo:
             x = todo.pop()
-            enough = common[x] >= (percent / 100 - MARGIN) * np.minimum(K, held[x] + held - common[x])
-            near = np.flatnonzero(waiting & enough & (100 * np.minimum(n[x], n) >= percent * np.maximum(n[x], n)))
-            waiting[near] = False
+            if x < n:
+                near = np.flatnonzero(columns & hit[x])
+                columns[near] = False
+                near = near if within else near + n
+            else:
+                near = np.flatnonzero(rows & hit[:, x - n])
+                rows[near] = False
             todo += near.tolist()
             out += [(x, y) for y in near.tolist()]
     return out
 
 
+def likely_forest(left: list[np.ndarray], n_left: np.ndarray, right: list[np.ndarray], n_right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of a left and a right sketch that share enough for an estimate less MARGIN, and whose sizes (n) allow a link; right ones are numbered after left ones."""
+    common = overlaps(left + right, len(left), True)
+    held = np.array([len(x) for x in left + right], np.float32)
+    least, most = np.minimum(n_left[:, None], n_right), np.maximum(n_left[:, None], n_right)
+    hit = (common >= (percent / 100 - MARGIN) * np.minimum(K, held[: len(left), None] + held[len(left) :] - common)) & (100 * least >= percent * most)
+    return _forest(hit, False)
+
+
 def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the exact links inside `left`, or between left and right (numbered after left)."""
-    every = left + (right or [])
+    every, n = left + (right or []), len(left)
     size = np.array([len(s) for s in every])
-    parent = np.arange(len(every))
-    n = len(left)
-    out = []
-    common = overlaps(every, n, right is not None)
     other = size[n:] if right is not None else size
+    common = overlaps(every, n, right is not None)
     hit = 100 * common >= percent * (size[:n, None] + other[None] - common)
-    rows, cols = np.nonzero(hit)
-    for x, y in zip(rows.tolist(), (cols + (n if right is not None else 0)).tolist()):
-        a, b = _root(parent, x), _root(parent, y)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((x, y))
-    return out
+    return _forest(hit, right is None)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, list_limit: int = LIST_LIMIT, block: int = BLOCK) -> DataFrame:
@@ -180,14 +184,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, list_limit: int = L
     classes = staged(scan.filter("n > 0").groupBy(*key).agg(F.min("row").alias("cls"), F.min("doc_id").alias("rep")), "classes")
     nodes = staged(scan.join(classes.select(F.col("cls").alias("row")), "row").select(F.col("row").alias("cls"), "n", "sketch"), "nodes")
 
-    # Order of values: those in few sketches first, then frequent ones from the rarest up.
+    # Order of values: those in few sketches first, then frequent ones from the rarest up. Frequent ones are looked up only
+    # for classes that have too few others.
     values = nodes.select("cls", F.explode("sketch").alias("v"))
     frequent = staged(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > list_limit), "frequent")
     small = frequent.count() <= 100_000  # 1.6 MB
-    found = values.join(F.broadcast(frequent) if small else frequent, "v").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("hot"))
-    found = nodes.join(found, "cls", "left")
-    rare = F.slice(F.array_except("sketch", F.coalesce(F.col("hot.v"), F.array().cast("array<long>"))), 1, PREFIX)
-    ordered = staged(found.select("cls", "n", "sketch", rare.alias("rare"), F.col("hot"), F.coalesce(F.size("hot"), F.lit(0)).alias("n_hot")), "ordered")
+    often = F.broadcast(frequent) if small else frequent
+    nothing = F.array().cast("array<long>")
+    rare = values.join(often, "v", "left_anti").groupBy("cls").agg(F.slice(F.array_sort(F.collect_list("v")), 1, PREFIX).alias("rare"))
+    ordered = staged(nodes.join(rare, "cls", "left").select("cls", "n", "sketch", F.coalesce("rare", nothing).alias("rare")), "ordered")
+    needy = ordered.filter(F.size("rare") < F.least(F.lit(PREFIX), F.size("sketch")))
+    hot = needy.select("cls", F.explode(F.array_except("sketch", "rare")).alias("v")).join(often, "v")
+    # How typical a class is of what is frequent: in how many sketches its frequent values are.
+    hot = hot.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("hot"), F.sum("df").alias("typical"))
+    hot = staged(hot.select("cls", F.col("hot.v").alias("hot"), "typical"), "hot")
 
     listed = ordered.select("cls", "n", F.explode("rare").alias("v"))
     lists = listed.groupBy("v").agg(F.collect_list(F.struct("n", "cls")).alias("m")).filter(F.size("m") > 1)  # at most list_limit each
@@ -201,10 +211,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, list_limit: int = L
     with_a = pairs.join(sketches.withColumnsRenamed({"cls": "a", "sketch": "sa"}), "a")
     with_both = with_a.join(sketches.withColumnsRenamed({"cls": "b", "sketch": "sb"}), "b").select("a", "b", "sa", "sb")
     likely = with_both.mapInArrow(lambda batches: _likely(batches, percent), "a long, b long")
-    likely = staged(likely.unionByName(_hot_pairs(ordered, percent, block)), "likely")
+    likely = staged(likely.unionByName(_hot_pairs(ordered.join(hot, "cls"), percent, block)), "likely")
 
     families = components(likely)
-    members = staged(families.join(classes, families["node"] == classes["cls"]).select("cls", F.col("component").alias("family"), "rep", *key), "members")
+    members = families.join(classes, families["node"] == classes["cls"]).join(hot.select("cls", "typical"), "cls", "left")
+    members = staged(members.select("cls", F.col("component").alias("family"), "rep", F.coalesce("typical", F.lit(0).cast("long")).alias("typical"), *key), "members")
     links = staged(_exact_links(texts, members, percent, block), "links")
     groups = components(links)
     # The smallest identifier of each component, and back to the rows.
@@ -216,28 +227,71 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, list_limit: int = L
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _hot_pairs(ordered: DataFrame, percent: int, block: int) -> DataFrame:
-    """a, b: for each frequent value a spanning set of the likely pairs among all classes whose prefix holds it."""
+def _dealt(rows: DataFrame, group: list[str], left: str, block: int) -> DataFrame:
+    """Rows for comparing, in each group, the rows where `left` holds with all rows: dealt to pairs of blocks i, j.
+
+    A left row goes with its own block i of left rows to every block j of all rows, and every row goes with its own block j
+    to every block i; on_left tells which of both it is for. Groups without left rows vanish.
+    """
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("all_rows"), F.sum(F.col(left).cast("long")).alias("left_rows")).filter("left_rows > 0")
+    parts = sizes.select(*group, F.ceil(F.col("left_rows") / block).cast("int").alias("of_left"), F.ceil(F.col("all_rows") / block).cast("int").alias("of_all"))
+    both = rows.join(parts, group)
+    own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lefts = both.filter(left).withColumn("i", own("of_left")).withColumn("j", others("of_all")).withColumn("on_left", F.lit(True))
+    rights = both.withColumn("j", own("of_all")).withColumn("i", others("of_left")).withColumn("on_left", F.lit(False))
+    return lefts.unionByName(rights).drop("of_left", "of_all")
+
+
+def _edges(cls: np.ndarray, left: np.ndarray, right: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
+    """Pairs found between left and right rows, as classes."""
+    order = np.concatenate([cls[left], cls[right]])
+    pairs = [(int(order[x]), int(order[y])) for x, y in found if order[x] != order[y]]
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+
+def _hot_pairs(needy: DataFrame, percent: int, block: int) -> DataFrame:
+    """a, b: for each frequent value a spanning set of the likely pairs among all classes whose prefix holds it.
+
+    needy: cls, n, sketch, rare (fewer than PREFIX values), hot (frequent values from the rarest up), typical.
+    """
     needed = F.lit(PREFIX) - F.size("rare")
-    asks = ordered.filter((needed > 0) & (F.col("n_hot") > 0)).select("cls", "n", "sketch", F.explode(F.slice("hot.v", F.lit(1), needed)).alias("v"))
-    parts = asks.groupBy("v").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("v", F.ceil(F.col("size") / block).cast("int").alias("parts"))
-    dealt = asks.join(parts, "v").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    # A class goes to every pair of blocks that its own block is in; a pair of blocks is compared as a whole.
-    others = F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.array("part"))
-    dealt = dealt.withColumn("other", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(others)))
-    dealt = dealt.select("v", "cls", "n", "sketch", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    asks = needy.select("cls", "n", "sketch", "typical", F.explode(F.slice("hot", F.lit(1), needed)).alias("v"))
+    pivots = asks.groupBy("v").agg(F.max_by("cls", F.struct("typical", -F.col("cls"))).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("v", "pivot")
+    pivots = pivots.join(needy.select(F.col("cls").alias("pivot"), F.col("n").alias("m"), F.col("sketch").alias("typical_sketch")), "pivot")
+    top = np.iinfo(np.int64).max
+
+    def measure(batches):
+        for b in batches:
+            enough = union_estimate(_padded(b.column(3), top), _padded(b.column(4), top)) >= percent / 100 - MARGIN if b.num_rows else np.zeros(0, bool)
+            n, m = (np.asarray(b.column(k)) for k in (5, 6))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(enough & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))], names=["v", "cls", "pivot", "near"])
+
+    pivots = staged(pivots, "pivots")  # written, so that Spark may split the list of a very frequent value among several tasks
+    measured = asks.join(pivots, "v").select("v", "cls", "pivot", "sketch", "typical_sketch", "n", "m").mapInArrow(measure, "v long, cls long, pivot long, near boolean")
+    measured = staged(measured, "measured")
+    star = measured.filter("near AND cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
 
     def compare(table):
-        cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
-        sketch = table.column("sketch").combine_chunks()
-        found = likely_forest([np.asarray(x.values) for x in sketch], n, percent)
-        return pa.table({"a": pa.array([int(cls[x]) for x, _ in found], pa.int64()), "b": pa.array([int(cls[y]) for _, y in found], pa.int64())})
+        left = table.column("on_left").to_numpy(zero_copy_only=False)
+        cls, n, sketch = table.column("cls").to_numpy(), table.column("n").to_numpy(), [np.asarray(x.values) for x in table.column("sketch").combine_chunks()]
+        l, r = np.flatnonzero(left), np.flatnonzero(~left)
+        if not len(l) or not len(r):
+            return _edges(cls, l, r, [])
+        return _edges(cls, l, r, likely_forest([sketch[k] for k in l], n[l], [sketch[k] for k in r], n[r], percent))
+
+    dealt = _dealt(measured.select("v", "cls", (~F.col("near")).alias("far")), ["v"], "far", block).join(needy.select("cls", "n", "sketch"), "cls")
+    rest = dealt.select("v", "i", "j", "on_left", "cls", "n", "sketch").groupBy("v", "i", "j").applyInArrow(compare, "a long, b long")
+    return star.unionByName(rest)
+
 
-    return dealt.groupBy("v", "i", "j").applyInArrow(compare, "a long, b long")
+def _shingles(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
 def _exact_links(texts: DataFrame, members: DataFrame, percent: int, block: int) -> DataFrame:
     """a, b: a spanning set of the exact links between the classes of each family."""
+    key = ["n", "s1", "s2"]
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
     few = members.count() <= 200_000  # 1.6 MB of identifiers
     chosen = texts.join(F.broadcast(needed) if few else needed, texts["doc_id"].eqNullSafe(needed["doc_id"]), "left_semi")
@@ -246,26 +300,45 @@ def _exact_links(texts: DataFrame, members: DataFrame, percent: int, block: int)
         for b in blocks(batches):
             own = [*shingle_sets(*text_buffers(b.column(1)))]
             marks = np.array([signature(s) for s in own], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in own], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([s.tobytes() for s in own], pa.binary())], names=["n", "s1", "s2", "shingles"])
-
-    full = chosen.mapInArrow(sets, "n long, s1 long, s2 long, shingles binary").dropDuplicates(["n", "s1", "s2"])
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    dealt = members.join(sizes, "family").withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    # A class goes to every block pair that its own block is in.
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("n", "s1", "s2", "cls", "family", "part", F.least("part", "other").cast("int").alias("i"), F.greatest("part", "other").cast("int").alias("j"))
-
-    def compare(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        cls, part = table.column("cls").to_numpy(), table.column("part").to_numpy()
-        own = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        left = np.flatnonzero(part == i)
-        if i == j:
-            found, order = linked([own[k] for k in left], None, percent), left
-        else:
-            right = np.flatnonzero(part == j)
-            found, order = (linked([own[k] for k in left], [own[k] for k in right], percent) if len(left) and len(right) else []), np.concatenate([left, right])
-        return pa.table({"a": pa.array([int(cls[order[x]]) for x, _ in found], pa.int64()), "b": pa.array([int(cls[order[y]]) for _, y in found], pa.int64())})
+            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in own], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([s.tobytes() for s in own], pa.binary())], names=[*key, "shingles"])
+
+    full = chosen.mapInArrow(sets, "n long, s1 long, s2 long, shingles binary").dropDuplicates(key)
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.max_by("cls", F.struct("typical", -F.col("cls"))).alias("pivot"))
+    placed = members.join(sizes, "family").select("family", "size", "pivot", "cls", *key)
+    placed = staged(placed.join(full, key).select("family", "size", "pivot", "cls", "shingles"), "full-sets")
+
+    def small(table):
+        cls = table.column("cls").to_numpy()
+        every = np.arange(len(cls))
+        return _edges(cls, every, every[:0], linked(_shingles(table.column("shingles")), None, percent))
+
+    within = placed.filter(F.col("size") <= block).select("family", "cls", "shingles").groupBy("family").applyInArrow(small, "a long, b long")
+    large = placed.filter(F.col("size") > block)
+    pivots = staged(large.filter("cls = pivot").select("family", F.col("shingles").alias("typical_set")), "pivots")
+
+    def measure(batches):
+        for b in batches:
+            own, other = _shingles(b.column(3)), _shingles(b.column(4))
+            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(own, other)], np.int64)
+            union = np.array([len(x) + len(y) for x, y in zip(own, other)], np.int64) - common
+            # The distance in steps a little over that of a link: links reach from one step to the next at most.
+            step = np.floor((1 - common / np.maximum(union, 1)) / ((1 - percent / 100) * (1 + 1e-9) + 1e-12)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(100 * common >= percent * union), pa.array(step)], names=["family", "cls", "pivot", "near", "step"])
+
+    measured = large.join(pivots, "family").select("family", "cls", "pivot", "shingles", "typical_set").mapInArrow(measure, "family long, cls long, pivot long, near boolean, step int")
+    measured = staged(measured, "measured")
+    star = measured.filter("near AND cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
+    # What the typical class does not link, with all classes at its own step and at the two beside it.
+    near_steps = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))
+    asks = measured.filter("NOT near").select("family", near_steps.alias("at"), "cls", F.lit(True).alias("far"))
+    told = measured.select("family", F.col("step").alias("at"), "cls", F.lit(False).alias("far"))
 
-    return dealt.join(full, ["n", "s1", "s2"]).groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
+    def compare(table):
+        left = table.column("on_left").to_numpy(zero_copy_only=False)
+        cls, own = table.column("cls").to_numpy(), _shingles(table.column("shingles"))
+        l, r = np.flatnonzero(left), np.flatnonzero(~left)
+        return _edges(cls, l, r, linked([own[k] for k in l], [own[k] for k in r], percent) if len(l) and len(r) else [])
+
+    dealt = _dealt(asks.unionByName(told), ["family", "at"], "far", block).filter("on_left OR NOT far").join(placed.select("cls", "shingles"), "cls")
+    rest = dealt.select("family", "at", "i", "j", "on_left", "cls", "shingles").groupBy("family", "at", "i", "j").applyInArrow(compare, "a long, b long")
+    return within.unionByName(star).unionByName(rest)

@@ -88,7 +88,7 @@ class QualityModel:
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         if self.weights is None:
-            return np.ones(len(stats))
+            return np.full(len(stats), 0.5)
         return np.clip(np.interp(self.raw(stats), self.edges, self.levels), 0.0, 1.0)
 
 
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, seed: int
     """A model from the labelled rows of docs outside fold 2: folds 0 and 1 fit the ridge, fold 3 calibrates.
 
     Labels other than 0 and 1 are ignored; of several labels of one document the largest counts. Without labelled rows in
-    the fit folds every score is 1. Without calibration rows the fit's own rows calibrate.
+    the fit folds there are no weights and every score is 0.5. Without calibration rows the fit's own rows calibrate.
     """
     known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(fold() != 2)

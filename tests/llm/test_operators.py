@@ -253,6 +253,10 @@ def test_samples_have_the_right_distribution():
     assert max(abs(first[k] / n - p[k]) for k in p) < 0.015
     assert max(abs(pair[a, b] / n - p[a] * p[b] / (1 - p[a])) for a in p for b in p if a != b) < 0.015
     assert all(a != b for a, b in zip(*drawn)) and (kappa < found[1].value).all()
+    # Weighted by one over its inclusion probability, each segmentation counts once on average.
+    for path in p:
+        weight = [1 / -np.expm1(-np.exp(np.log(p[path]) - kappa[k])) for k in range(n) if path in (drawn[0][k], drawn[1][k])]
+        assert abs(sum(weight) / n - 1) < 0.25 or p[path] < 0.01
 
 
 def test_encode_and_decode(docs, corpus):
@@ -316,10 +320,33 @@ def test_classifier_learns_and_is_blind_to_held_out_labels(spark, words, empty):
     flipped = spark.createDataFrame([(i, 1 - y if zlib.crc32(str(i).encode()) % 4 == 2 else y) for i, y in labels], "doc_id long, quality int")
     other = {r["doc_id"]: r["score"] for r in quality_classifier.classify(df, flipped).collect()}
     assert all(other[r["doc_id"]] == r["score"] for r in got)
-    assert {r["score"] for r in quality_classifier.classify(df, known.limit(0)).collect()} == {1.0}
+    assert {r["score"] for r in quality_classifier.classify(df, known.limit(0)).collect()} == {0.5}
     assert quality_classifier.classify(empty, known).collect() == []
 
 
+def test_ridge_weights_solve_the_normal_equations(spark, words):
+    import numpy as np
+    import pyarrow as pa
+
+    from fernspark.llm._kernels import text_buffers
+
+    rng = random.Random(11)
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) + "!" * (k % 3)) for k in range(200)]
+    labels = [(k, int(k % 3 == 0)) for k in range(0, 200, 2)] + [(4, 1), (6, 5), (None, 1), (999, 1)]
+    model = quality_classifier.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int"), features=20)
+    known = {}
+    for k, y in labels:
+        if y in (0, 1) and k is not None:
+            known[k] = max(y, known.get(k, 0))
+    train = [(t, known[k]) for k, t in rows if k in known and zlib.crc32(str(k).encode()) % 4 < 2]
+    stats = quality_classifier.statistics(*text_buffers(pa.array([t for t, _ in train])))
+    assert np.allclose(model.mean, stats.mean(0), rtol=1e-5, atol=1e-9)
+    z, y = model.project(stats), np.array([y for _, y in train], float)
+    penalty = np.full(z.shape[1], quality_classifier.RIDGE)
+    penalty[0] = 1e-6
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + np.diag(penalty), z.T @ y))
+
+
 def test_isotonic():
     import numpy as np
 
@@ -422,6 +449,21 @@ def test_shards(spark, docs, corpus, empty):
     assert order == sorted(order)
 
 
+def test_written_shards_hold_their_rows_in_order(spark, docs, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    given = docs.selectExpr("doc_id", "source", "lang", "n_chars AS __size", "'own' AS shard", "0 AS slot")
+    sharded = sharding.hilbert_shards(given, 3, rows_per_range=5)
+    assert sharded.columns.count("shard") == sharded.columns.count("slot") == 1
+    sharding.write_shards(sharded, str(tmp_path / "s"), 7)
+    files = [pq.read_table(f, columns=["slot"])["slot"].to_pylist() for f in glob.glob(f"{tmp_path}/s/shard=*/*.parquet")]
+    assert len(files) > 3 and all(f == list(range(f[0], f[0] + len(f))) for f in files)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter((r["shard"], r["slot"]) for r in back.collect()) == Counter((r["shard"], r["slot"]) for r in sharded.collect())
+
+
 def test_hilbert_neighbours_touch():
     for dims, bits in ((2, 3), (3, 2)):
         order = sharding.hilbert_order(dims, bits)

@@ -74,3 +74,81 @@ def test_estimates_are_cut_by_the_percentage_asked_for():
     batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([1]), pa.array([a.tolist()]), pa.array([b.tolist()])], names=["a", "b", "sa", "sb"])
     kept = {p: sum(x.num_rows for x in minhash._likely(iter([batch]), p)) for p in (80, 85, 90)}
     assert kept == {80: 1, 85: 1, 90: 0}
+
+
+def links(sets, percent):
+    """Components by all pairs: smallest index per index."""
+    values = {}
+    for k, s in enumerate(sets):
+        for v in s:
+            values.setdefault(v, []).append(k)
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    n = 0
+    for i in range(len(sets)):
+        common = {}
+        for v in sets[i]:
+            for j in values[v]:
+                if j < i:
+                    common[j] = common.get(j, 0) + 1
+        for j, c in common.items():
+            if 100 * c >= percent * (len(sets[i]) + len(sets[j]) - c):
+                n += 1
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return [root(k) for k in range(len(sets))], n
+
+
+def shingled(words):
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def components_are_those_of_all_pairs(spark, texts, **how):
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), **how).collect()
+    want, n = links([shingled(w) for w in texts], 85)
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
+    return n
+
+
+def test_documents_of_shared_passages(spark):
+    """Documents put together of a few passages that very many share, and near copies of some: no link is lost."""
+    for seed, (n, passages, size) in enumerate(((300, 25, 500), (450, 30, 1000))):
+        rng = random.Random(seed)
+        parts = [prose(rng, size) for _ in range(passages)]
+        texts = [sum((parts[p] for p in rng.sample(range(passages), 3)), []) for _ in range(n)]
+        for _ in range(n // 5):
+            w = list(texts[rng.randrange(n)])
+            at = rng.randrange(len(w) - 100)
+            w[at : at + len(w) // 20] = prose(rng, len(w) // 20)
+            texts.append(w)
+        assert components_are_those_of_all_pairs(spark, texts) >= n // 5
+
+
+def test_large_families_with_and_without_a_typical_member(spark):
+    """Families of more classes than a block: versions of one text, a chain of sliding windows, and rings of edits around a text."""
+    rng = random.Random(7)
+    base, long = prose(rng, 300), prose(rng, 900)
+    texts = [base]
+    for k in range(150):  # versions, some of which only others link
+        w = list(base)
+        for _ in range(rng.randint(1, 9)):
+            w[rng.randrange(300)] = f"edit{k}"
+        texts.append(w)
+    texts += [long[k : k + 300] for k in range(0, 600, 4)]
+    ring = list(base)
+    ring[:30] = prose(rng, 30)
+    for k in range(60):  # a second text too far from the first one, with versions of its own between them
+        w = list(ring)
+        w[: rng.randrange(30)] = base[: rng.randrange(30)]
+        w[200 + k] = f"ring{k}"
+        texts.append(w)
+    rng.shuffle(texts)
+    for how in ({"block": 16}, {"block": 40, "list_limit": 5}, {}):
+        assert components_are_those_of_all_pairs(spark, texts, **how) > 1000

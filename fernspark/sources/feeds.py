@@ -89,13 +89,13 @@ def widget_listings(animals: DataFrame, as_of: Column) -> DataFrame:
 
 
 def typed(v: Column, path: str, kind: str) -> Column:
-    """A member of a variant, if it is of the kind asked for: boolean, string (not empty) or number; strings are not read as others."""
-    raw = F.to_json(F.try_variant_get(v, path, "variant"))
+    """A field of a variant if it is a string (blank: null), boolean or number; else null."""
+    found = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
     if kind == "boolean":
-        return F.when(raw.isin("true", "false"), raw == "true")
+        return F.when(found == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
     if kind == "number":
-        return F.when(~raw.startswith('"') & ~raw.isin("true", "false", "null"), raw.try_cast("double"))
-    return F.when(raw.startswith('"'), blank_null(F.try_variant_get(v, path, "string")))
+        return F.when(found.isin("BIGINT", "DOUBLE", "FLOAT") | found.startswith("DECIMAL"), F.try_variant_get(v, path, "double"))
+    return F.when(found == "STRING", blank_null(F.try_variant_get(v, path, "string")))
 
 
 def relation(resource: Column, name: str) -> Column:
@@ -109,19 +109,23 @@ def relation(resource: Column, name: str) -> Column:
 def page_listings(pages: DataFrame) -> DataFrame:
     """Listings, with their reasons, of JSON:API pages (columns page_id, body): each animal with its first organisation and all pictures in order.
 
-    What an animal points to is looked up in its own page; of repeated resources the last counts. A page that isn't JSON
-    gives one row with the reason 'payload unreadable'.
+    What an animal points to is looked up in its own page, inside the row; of repeated resources the last counts. A page that
+    isn't JSON gives one row with the reason 'payload unreadable'.
     """
     parsed = pages.select("page_id", F.col("body").alias("raw_page"), F.from_json("body", PAGE).alias("p"))
-    animals = parsed.select("page_id", F.explode("p.data").alias("r"))
-    animals = animals.select("page_id", F.col("r.id").alias("id"), F.col("r.attributes").alias("a"), F.get(relation(F.col("r"), "orgs"), F.lit(0)).alias("org"), relation(F.col("r"), "pictures").alias("pictures"), F.to_json("r").alias("raw"))
-    included = parsed.select("page_id", F.posexplode("p.included").alias("k", "x"))
-    included = included.groupBy("page_id", F.col("x.type").alias("type"), F.col("x.id").alias("rid")).agg(F.max_by(F.to_json("x.attributes"), "k").alias("json")).withColumn("i", F.try_parse_json("json"))
-    best = F.coalesce(typed(F.col("i"), "$.large.url", "string"), typed(F.col("i"), "$.url", "string"))
-    pictures = included.filter("type = 'pictures'").select("page_id", F.col("rid").alias("pid"), best.alias("photo")).filter("photo IS NOT NULL")
-    photos = animals.select("page_id", "id", F.posexplode("pictures").alias("k", "pid")).join(pictures, ["page_id", "pid"]).groupBy("page_id", "id").agg(F.array_sort(F.collect_list(F.struct("k", "photo"))).alias("ph"))
-    orgs = included.filter("type = 'orgs'").select("page_id", F.col("rid").alias("org"), F.col("i").alias("o"))
-    full = animals.join(orgs, ["page_id", "org"], "left").join(photos, ["page_id", "id"], "left")
+    # The last first, so that it is the one found.
+    of = lambda kind: F.reverse(F.filter("p.included", lambda x: x["type"] == kind))
+    held = parsed.select("p", of("pictures").alias("pictures"), of("orgs").alias("orgs"))
+    picture = lambda x: F.coalesce(typed(x, "$.large.url", "string"), typed(x, "$.url", "string"))
+    held = held.select("p", F.col("pictures.id").alias("picture_ids"), F.transform("pictures.attributes", picture).alias("urls"), F.col("orgs.id").alias("org_ids"), F.col("orgs.attributes").alias("org_attributes"))
+    found = lambda values, ids, key: F.get(values, F.array_position(ids, key).cast("int") - 1)
+
+    def animal(r: Column) -> Column:
+        org = F.get(relation(r, "orgs"), F.lit(0))
+        photos = F.filter(F.transform(relation(r, "pictures"), lambda k: found(F.col("urls"), F.col("picture_ids"), k)), lambda u: u.isNotNull())
+        return F.struct(r["id"].alias("id"), r["attributes"].alias("a"), org.alias("org"), found(F.col("org_attributes"), F.col("org_ids"), org).alias("o"), photos.alias("photos"), F.to_json(r).alias("raw"))
+
+    full = held.select(F.explode(F.transform("p.data", animal)).alias("x")).select("x.*")
     a, o = F.col("a"), F.col("o")
     s, b = (lambda name: typed(a, f"$.{name}", "string")), (lambda name: typed(a, f"$.{name}", "boolean"))
     flags = {"housetrained": "isHousetrained", "altered": "isAltered", "kids_ok": "isKidsOk", "dogs_ok": "isDogsOk", "cats_ok": "isCatsOk"}
@@ -132,7 +136,7 @@ def page_listings(pages: DataFrame) -> DataFrame:
     listed = full.select(
         F.col("id").alias("external_id"), F.lit(PAGE_SOURCE).alias("source_id"), s("url").alias("url"), F.coalesce(s("name"), F.lit("Unknown")).alias("name"), lookup(s("speciesName"), PAGE_SPECIES, "other").alias("species"),
         s("breedPrimary").alias("breed_primary"), s("breedSecondary").alias("breed_secondary"), b("isBreedMixed").alias("breed_mixed"), lookup(s("ageGroup"), PAGE_AGES).alias("age"), F.coalesce(sex_word(s("sex")), F.lit("unknown")).alias("sex"),
-        lookup(s("sizeGroup"), PAGE_SIZES).alias("size"), s("descriptionText").alias("description"), F.coalesce(F.col("ph.photo"), F.array().cast("array<string>")).alias("photos"), F.lit("available").alias("status"),
+        lookup(s("sizeGroup"), PAGE_SIZES).alias("size"), s("descriptionText").alias("description"), F.coalesce("photos", F.array().cast("array<string>")).alias("photos"), F.lit("available").alias("status"),
         typed(o, "$.city", "string").alias("city"), typed(o, "$.state", "string").alias("state"), typed(o, "$.postalcode", "string").alias("postcode"), lat.alias("lat"), lon.alias("lon"), F.col("org").alias("org_external_id"),
         typed(o, "$.name", "string").alias("org_name"), F.coalesce(s("animalID"), s("rescueId")).alias("org_internal_animal_id"), attributes.alias("attributes"), F.coalesce(tags, F.array().cast("array<string>")).alias("tags"),
         s("createdDate").alias("published_at"), "raw",

@@ -42,10 +42,11 @@ def exact_id_pairs(links: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 
 def geo_cells(lat: Column, lon: Column, meters: float = BLOCK_METERS, around: bool = False) -> Column:
-    """The cell (row, column) of a place, or, with `around`, all cells that hold places within `meters` of it.
+    """The cell (row, column) of a place, or, with `around`, all cells of its own row and the next that hold places within `meters` of it.
 
     Rows are as high as the radius; in each row cells are as wide as the radius is at the row's highest latitude, so a
-    place's neighbours are in three rows and the cells its longitude can reach. Longitudes wrap.
+    place's neighbours are in three rows and the cells its longitude can reach; those of the row before have it in their
+    next row. Longitudes wrap.
     """
     angle = meters / METERS_PER_MILE / EARTH_MILES
     high = math.degrees(angle) * 1.0001
@@ -65,7 +66,7 @@ def geo_cells(lat: Column, lon: Column, meters: float = BLOCK_METERS, around: bo
     reach = F.array(*map(F.lit, (-1.0, -0.5, 0.0, 0.5, 1.0)))
     # The last cell of a row is narrower, so near the seam both of its sides are taken.
     seam = lambda r: F.when(F.abs(lon) + 2 * width(r) >= 180.0, F.array(cell(r, F.lit(-180.0)), cell(r, F.lit(179.999999)))).otherwise(F.array().cast("array<struct<row:int,col:int>>"))
-    near = F.flatten(F.transform(F.array(row - 1, row, row + 1), lambda r: F.concat(F.transform(reach, lambda k: cell(r, lon + k * width(r))), seam(r))))
+    near = F.flatten(F.transform(F.array(row, row + 1), lambda r: F.concat(F.transform(reach, lambda k: cell(r, lon + k * width(r))), seam(r))))
     return F.array_distinct(near)
 
 
@@ -85,7 +86,8 @@ def candidate_pairs(records: DataFrame, tombstones: DataFrame, decided: DataFram
     left = side("a", F.col("lat").alias("la"), F.col("lon").alias("oa")).filter("la IS NOT NULL AND oa IS NOT NULL").withColumn("cell", F.explode(geo_cells(F.col("la"), F.col("oa"), meters, True)))
     right = r.filter(placed).select(F.col("pet_id").alias("b"), "species", F.col("sources").alias("sb"), F.col("lat").alias("lb"), F.col("lon").alias("ob"), geo_cells(F.col("lat"), F.col("lon"), meters).alias("cell"))
     close = haversine_miles(F.col("la"), F.col("oa"), F.col("lb"), F.col("ob")) * METERS_PER_MILE <= meters
-    by_place = left.join(right, ["species", "cell"]).filter((F.col("a") < F.col("b")) & cross & close).select("a", "b")
+    near = left.join(right, ["species", "cell"]).filter((F.col("a") != F.col("b")) & cross & close)
+    by_place = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return without_pairs(without_pairs(by_org.unionByName(by_place).distinct(), tombstones), decided)
 
 

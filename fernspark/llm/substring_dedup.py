@@ -16,11 +16,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ from ._spark import staged
 K = 8
 WINDOW = 16
 TILE = 64
-MARGIN = K + WINDOW
+MARGIN = 2 * (K + WINDOW)  # words around a chain that it may grow by
 MAX_GAP = 40
 GAP_COST = 0.1
 MIN_WORDS = 50
@@ -119,8 +119,17 @@ def best_chains(x: np.ndarray, y: np.ndarray, last: np.ndarray) -> list[list[int
     return out
 
 
+def _asked(start: np.ndarray, end: np.ndarray, of_pair: np.ndarray, pairs: int) -> pa.ListArray:
+    """The tiles that hold the words from MARGIN before each start to MARGIN after each end, once per pair."""
+    low, high = np.maximum(start - MARGIN, 0) // TILE, (end + MARGIN) // TILE
+    n = high - low + 1
+    tile = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    key = np.unique(np.repeat(of_pair, n) << 32 | tile)
+    return list_array((key & 0xFFFFFFFF).astype(np.int32), np.bincount(key >> 32, minlength=pairs), pa.int32())
+
+
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches sorted by doc, source, diagonal and position: to chains of segments."""
+    """Matches sorted by doc, source, diagonal and position: to one row per doc and source, with its chains of segments and the tiles of text around them."""
 
     def chained(table: pa.Table) -> pa.RecordBatch:
         doc, source, pos, at = (table.column(c).to_numpy() for c in ("doc", "source", "pos", "source_pos"))
@@ -132,41 +141,42 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = np.flatnonzero(~run)
         end = np.append(begin[1:], len(doc)) - 1
         pair = np.flatnonzero(~same[begin])
-        out: list[tuple] = []
         x, y, last = pos[begin], at[begin], pos[end] - pos[begin]
+        order: list[int] = []  # segments in order of pairs and chains
+        sizes: list[int] = []  # of chains, in segments
+        chains: list[int] = []  # of pairs, in chains
         for a, b in zip(pair, np.append(pair[1:], len(begin))):
-            for chain in best_chains(x[a:b], y[a:b], last[a:b]):
-                pick = a + np.array(chain)
-                out.append((doc[begin[a]], source[begin[a]], x[pick], y[pick], last[pick] + K))
-        counts = np.array([len(r[2]) for r in out])
-        cols = [pa.array(np.array([r[k] for r in out]), pa.int64()) for k in (0, 1)]
-        cols += [list_array(np.concatenate([r[k] for r in out]).astype(np.int32), counts, pa.int32()) for k in (2, 3, 4)]
-        return pa.RecordBatch.from_arrays(cols, names=["doc", "source", "xs", "ys", "ls"])
+            found = best_chains(x[a:b], y[a:b], last[a:b])
+            order += [a + k for chain in found for k in chain]
+            sizes += map(len, found)
+            chains.append(len(found))
+        x, y, last = x[order], y[order], last[order] + K
+        first = np.cumsum([0, *sizes])
+        of_pair = np.repeat(np.arange(len(pair)), chains)
+        segments = np.bincount(of_pair, weights=sizes, minlength=len(pair)).astype(np.int64)
+        stop = first[1:] - 1
+        cols = [pa.array(doc[begin[pair]]), pa.array(source[begin[pair]])]
+        cols += [list_array(v.astype(np.int32), segments, pa.int32()) for v in (x, y, last)]
+        cols.append(list_array(np.array(sizes, np.int32), np.array(chains), pa.int32()))
+        cols += [_asked(v[first[:-1]], v[stop] + last[stop], of_pair, len(pair)) for v in (x, y)]
+        return pa.RecordBatch.from_arrays(cols, names=["doc", "source", "xs", "ys", "ls", "sizes", "tiles", "source_tiles"])
 
     held: list[pa.RecordBatch] = []
+    rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
+        doc = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(doc, doc[-1]))  # the last document may go on in the next batch
+        if rows + cut >= 20_000 or rows >= 20_000 and doc[0] != held[-1].column(0)[-1].as_py():
+            whole = [*held, batch.slice(0, cut)] if cut else held
+            yield chained(pa.Table.from_batches(whole).combine_chunks())
+            held, batch = [], batch.slice(cut)
+            rows = 0
         held.append(batch)
-        doc = batch.column(0)
-        if doc[0] == doc[-1] and len(held) == 1 or sum(b.num_rows for b in held) < 20_000:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        all_docs = table.column("doc").to_numpy()
-        cut = int(np.searchsorted(all_docs, all_docs[-1]))
-        held = table.slice(cut).to_batches()
-        if cut:
-            yield chained(table.slice(0, cut))
+        rows += batch.num_rows
     if held:
-        yield chained(pa.Table.from_batches(held))
-
-
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task = TaskContext.get()
-    at = (task.partitionId() if task else 0) << 33
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + b.num_rows)), *b.columns], names=["pid", *b.schema.names])
-        at += b.num_rows
+        yield chained(pa.Table.from_batches(held).combine_chunks())
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +188,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.repeat(np.arange(len(each)), each)
         tile = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         size = np.minimum(TILE, w.counts[rows] - tile * TILE)
-        yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(rows)), pa.array(tile.astype(np.int32)), list_array(short, size, pa.int32())], names=["doc", "tile", "words"])
+        yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(rows)), pa.array(tile.astype(np.int32)), list_array(short, size, pa.int32())], names=["held", "tile", "words"])
 
 
 def _extension(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -271,87 +281,183 @@ def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, ls: np.n
     return out + [(x, x + n, y, y + n, n) for x, y, n in dict.fromkeys(exact) if not any(s[0] <= x and x + n <= s[1] for s in out)]
 
 
-def _aligned(batches: Iterator[pa.RecordBatch], identity: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        doc, source = batch.column("doc").to_pylist(), batch.column("source").to_pylist()
-        lists = {k: (np.asarray(batch.column(k).offsets), np.asarray(batch.column(k).values).astype(np.int64)) for k in ("xs", "ys", "ls")}
-        parts = batch.column("parts")
-        first, inner = np.asarray(parts.offsets), parts.values
-        side, tile = np.asarray(inner.field("side")), np.asarray(inner.field("tile"))
-        at, word = np.asarray(inner.field("words").offsets), np.asarray(inner.field("words").values)
-
-        def text(own: np.ndarray) -> np.ndarray:
-            """The words of tiles in order; of unlike rows under one identifier the tile with the smallest words counts."""
-            own = own[np.argsort(tile[own], kind="stable")]
-            if (tile[own][1:] == tile[own][:-1]).any():
-                own = sorted(own, key=lambda p: (tile[p], word[at[p] : at[p + 1]].tolist()))
-                own = [p for k, p in enumerate(own) if not k or tile[p] != tile[own[k - 1]]]
-            return np.concatenate([word[at[p] : at[p + 1]] for p in own])
-
-        out = []
-        for k in range(batch.num_rows):
-            xs, ys, ls = (v[o[k] : o[k + 1]] for o, v in lists.values())
-            own = np.arange(first[k], first[k + 1])
-            mine, other = own[side[own] == 0], own[side[own] == 1]
-            if not len(mine) or not len(other):
-                continue
-            (a0, a), (b0, b) = ((int(tile[p].min()) * TILE, text(p)) for p in (mine, other))
-            if xs[-1] + ls[-1] - a0 > len(a) or ys[-1] + ls[-1] - b0 > len(b):
-                continue  # the seeds come from another row of that identifier
-            for start, end, source_start, source_end, matched in align(a, b, xs - a0, ys - b0, ls, identity):
-                out.append((doc[k], start + a0, end + a0, source[k], source_start + b0, source_end + b0, matched))
-        cols = [*zip(*out)] if out else [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in cols], names=["doc_id", "start", "end", "source_id", "source_start", "source_end", "matched"])
+def extensions(equal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_extension for many matches: rows of word equalities (False beyond a text's end), words to extend by and how many agree."""
+    if not equal.shape[1]:
+        return np.zeros(len(equal), np.int64), np.zeros(len(equal), np.int64)
+    s = np.cumsum(np.where(equal, 1, -2), 1)
+    fallen = np.maximum.accumulate(s < np.maximum(np.maximum.accumulate(s, 1), 0) - 5, 1)
+    s = np.where(fallen, -9, s)
+    best = np.argmax(s, 1)
+    good = s[np.arange(len(s)), best] > 0
+    words_on = np.where(good, best + 1, 0)
+    return words_on, np.where(good, np.cumsum(equal, 1)[np.arange(len(s)), best], 0)
+
+
+@dataclass
+class Stretches:
+    """Words of runs of successive tiles: per run the key of its pair, side and first tile, where it starts in `flat`, its first word's place in the text, and its number of words."""
+
+    flat: np.ndarray
+    key: np.ndarray
+    begin: np.ndarray
+    place: np.ndarray
+    held: np.ndarray
+
+    def at(self, pair: np.ndarray, side: int, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For words start to end of a pair's text: where its run starts in `flat`, the run's place and number of words, and whether it has all of them."""
+        k = np.maximum(np.searchsorted(self.key, (pair * 2 + side) << 32 | start // TILE, side="right") - 1, 0)
+        if not len(self.key):
+            nothing = np.zeros(len(pair), np.int64)
+            return nothing, nothing, nothing, nothing > 0
+        fits = (self.key[k] >> 32 == pair * 2 + side) & (self.place[k] <= start) & (end <= self.place[k] + self.held[k])
+        return self.begin[k], self.place[k], self.held[k], fits
+
+
+def _stretches(side: np.ndarray, tile: np.ndarray, pair: np.ndarray, at: np.ndarray, word: np.ndarray) -> Stretches:
+    """Of unlike rows under one identifier the tile with the smallest words counts."""
+    key = (pair * 2 + side).astype(np.int64) << 32 | tile
+    order = np.argsort(key, kind="stable")
+    same = np.zeros(len(order), bool)
+    same[1:] = key[order][1:] == key[order][:-1]
+    if same.any():
+        order = np.array(sorted(order.tolist(), key=lambda p: (key[p], word[at[p] : at[p + 1]].tolist())))[~same]
+    key = key[order]
+    size = (at[1:] - at[:-1])[order].astype(np.int64)
+    end = np.cumsum(size)
+    flat = word[np.arange(end[-1] if len(end) else 0) + np.repeat(at[:-1][order] - (end - size), size)]
+    # A tile that is not full is a text's last one.
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1] + 1) | (size[:-1] != TILE)])) if len(key) else np.zeros(0, int)
+    held = np.add.reduceat(size, first) if len(first) else size
+    return Stretches(flat, key[first], (end - size)[first], (key[first] & 0xFFFFFFFF) * TILE, held)
 
 
-SPANS = "doc_id long, start long, end long, source_id long, source_start long, source_end long, matched long"
+def _aligned(batches: Iterator[pa.RecordBatch], identity: float) -> Iterator[pa.RecordBatch]:
+    """Chains with their tiles: to aligned spans of at least MIN_PART words. Chains of one segment are aligned all at once."""
+    for whole in batches:
+        for cut in range(0, whole.num_rows, 512):
+            batch = whole.slice(cut, 512)
+            doc, source = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "source"))
+            xs, ys, ls, sizes = (np.asarray(batch.column(k).flatten()).astype(np.int64) for k in ("xs", "ys", "ls", "sizes"))
+            chains = np.diff(np.asarray(batch.column("sizes").offsets))
+            parts = batch.column("parts")
+            inner = parts.flatten()
+            words_of = inner.field("words")
+            s = _stretches(np.asarray(inner.field("side")), np.asarray(inner.field("tile")).astype(np.int64), np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(parts.offsets))), np.asarray(words_of.offsets).astype(np.int64), np.asarray(words_of.values))
+            flat, pair = s.flat, np.repeat(np.arange(batch.num_rows), chains)
+            o = np.cumsum([0, *sizes])
+            first, last = o[:-1], o[1:] - 1
+            # Chains whose seeds come from another row of that identifier reach beyond the words that are there.
+            a_begin, a_place, a_held, a_fits = s.at(pair, 0, xs[first], xs[last] + ls[last])
+            b_begin, b_place, b_held, b_fits = s.at(pair, 1, ys[first], ys[last] + ls[last])
+            fits = a_fits & b_fits
+            found: list[np.ndarray] = []  # rows of pair, start, end, source_start, source_end, matched
+            singles = np.flatnonzero(fits & (sizes == 1))
+            for some in np.array_split(singles, len(singles) // 8192 + 1):
+                x, y, size = xs[first[some]], ys[first[some]], ls[first[some]]
+                a, b = a_begin[some] + x - a_place[some], b_begin[some] + y - b_place[some]
+                before = np.minimum(np.minimum(x - a_place[some], y - b_place[some]), MARGIN)
+                after = np.minimum(np.minimum(a_place[some] + a_held[some] - x, b_place[some] + b_held[some] - y) - size, MARGIN)
+
+                def side_equal(start_a, start_b, room, step):
+                    reach = np.arange(int(room.max()) if len(room) else 0)
+                    inside = reach < room[:, None]
+                    go = lambda start: flat[np.where(inside, start[:, None] + step * reach, 0)]
+                    return inside & (go(start_a) == go(start_b))
+
+                back, back_equal = extensions(side_equal(a - 1, b - 1, before, -1))
+                on, on_equal = extensions(side_equal(a + size, b + size, after, 1))
+                end = np.cumsum(size)
+                within = np.arange(end[-1] if len(end) else 0) - np.repeat(end - size, size)
+                middle = np.concatenate([[0], np.cumsum(flat[np.repeat(a, size) + within] == flat[np.repeat(b, size) + within])])
+                matched = middle[end] - middle[end - size] + back_equal + on_equal
+                length = back + size + on
+                sure = matched >= identity * length
+                k = np.flatnonzero(sure & (length >= MIN_PART))
+                found.append(np.stack([pair[some][k], (x - back)[k], (x + size + on)[k], (y - back)[k], (y + size + on)[k], matched[k]], 1))
+                fits[some[sure | (length < MIN_PART)]] = False
+            for k in np.flatnonzero(fits).tolist():
+                r, a0, b0 = slice(first[k], last[k] + 1), a_place[k], b_place[k]
+                skip_a, skip_b = (max(0, v[first[k]] - p - MARGIN) for v, p in ((xs, a0), (ys, b0)))
+                mine = flat[a_begin[k] + skip_a : a_begin[k] + min(a_held[k], xs[last[k]] + ls[last[k]] - a0 + MARGIN)]
+                other = flat[b_begin[k] + skip_b : b_begin[k] + min(b_held[k], ys[last[k]] + ls[last[k]] - b0 + MARGIN)]
+                a0, b0 = a0 + skip_a, b0 + skip_b
+                spans = [(pair[k], v[0] + a0, v[1] + a0, v[2] + b0, v[3] + b0, v[4]) for v in align(mine, other, xs[r] - a0, ys[r] - b0, ls[r], identity) if v[1] - v[0] >= MIN_PART]
+                found.append(np.array(spans, np.int64).reshape(-1, 6))
+            rows = np.concatenate(found)
+            rows = rows[np.argsort(rows[:, 0], kind="stable")]
+            held, n = np.unique(rows[:, 0], return_counts=True)
+            spans = pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(1, 6)], names=["start", "end", "source_start", "source_end", "matched"])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), spans)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[held]), pa.array(source[held]), lists], names=["doc_id", "source_id", "spans"])
+
+
+#: One row per document and source.
+SPANS = "doc_id long, source_id long, spans array<struct<start:long,end:long,source_start:long,source_end:long,matched:long>>"
 
 
 def repeated_spans(docs: DataFrame, identity: float = IDENTITY) -> DataFrame:
-    """Aligned repeats, of any length, `identity` of them equal: doc_id, start, end (words), source_id, source_start, source_end, matched.
+    """Aligned repeats of at least MIN_PART words, `identity` of them equal: doc_id, start, end (words), source_id, source_start, source_end, matched.
 
     Documents are told apart by doc_id: repeated rows are one document, and rows without doc_id take no part. Null and
     empty texts and texts of fewer than K words have no seeds. An empty table gives no rows.
     """
+    each = paired_spans(docs, identity).select("doc_id", "source_id", F.explode("spans").alias("s"))
+    return each.select("doc_id", "s.start", "s.end", "source_id", "s.source_start", "s.source_end", "s.matched")
+
+
+def paired_spans(docs: DataFrame, identity: float = IDENTITY) -> DataFrame:
+    """The rows of repeated_spans, with those of one document and one source in an array."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     found = staged(texts.mapInArrow(_seed_rows, "v long, doc long, pos int"), "seeds")
     sources = found.groupBy("v").agg(F.min(F.struct("doc", "pos")).alias("o"), F.max("doc").alias("most")).filter("o.doc < most")
-    sources = sources.select("v", F.col("o.doc").alias("source"), F.col("o.pos").alias("source_pos"))
+    # Written, so that Spark may split the places of a seed that very many documents hold among several tasks of the join.
+    sources = staged(sources.select("v", F.col("o.doc").alias("source"), F.col("o.pos").alias("source_pos")), "sources")
     matches = found.join(sources, "v").filter("doc > source").select("doc", "source", "pos", "source_pos")
     ordered = matches.repartition("doc").sortWithinPartitions("doc", "source", F.col("pos") - F.col("source_pos"), "pos")
-    chains = staged(ordered.mapInArrow(_chains, "doc long, source long, xs array<int>, ys array<int>, ls array<int>"), "chains")
-    chains = staged(chains.mapInArrow(_numbered, "pid long, doc long, source long, xs array<int>, ys array<int>, ls array<int>"), "chains")
-
-    def asked(doc: str, starts: str, side: int) -> DataFrame:
-        last = F.element_at(starts, -1) + F.element_at("ls", -1)
-        tiles = F.sequence(F.floor(F.greatest(F.element_at(starts, 1) - MARGIN, F.lit(0)) / TILE).cast("int"), F.floor((last + MARGIN) / TILE).cast("int"))
-        return chains.select("pid", F.lit(side).alias("side"), F.col(doc).alias("doc"), F.explode(tiles).alias("tile"))
-
-    wanted = asked("doc", "xs", 0).unionByName(asked("source", "ys", 1))
+    chains = staged(ordered.mapInArrow(_chains, "doc long, source long, xs array<int>, ys array<int>, ls array<int>, sizes array<int>, tiles array<int>, source_tiles array<int>"), "chains")
+    ask = lambda text, tiles, side: chains.select("doc", "source", F.lit(side).alias("side"), F.col(text).alias("held"), F.explode(tiles).alias("tile"))
+    wanted = ask("doc", "tiles", 0).unionByName(ask("source", "source_tiles", 1))
     some = staged(chains.select("doc").unionByName(chains.select(F.col("source").alias("doc"))).distinct(), "documents")
     few = some.count() <= 200_000  # 1.6 MB of identifiers
     chosen = texts.join(F.broadcast(some) if few else some, texts["doc_id"] == some["doc"], "left_semi")
-    tiles = chosen.mapInArrow(_tiles, "doc long, tile int, words array<int>")
-    got = wanted.join(tiles, ["doc", "tile"]).groupBy("pid").agg(F.collect_set(F.struct("side", "tile", "words")).alias("parts"))
-    return chains.join(got, "pid").mapInArrow(lambda batches: _aligned(batches, identity), SPANS)
+    tiles = chosen.mapInArrow(_tiles, "held long, tile int, words array<int>")
+    got = wanted.join(tiles, ["held", "tile"]).groupBy("doc", "source").agg(F.collect_set(F.struct("side", "tile", "words")).alias("parts"))
+    return chains.drop("tiles", "source_tiles").join(got, ["doc", "source"]).mapInArrow(lambda batches: _aligned(batches, identity), SPANS)
 
 
-def united(spans: DataFrame, min_words: int = MIN_WORDS, min_part: int = MIN_PART, identity: float = IDENTITY) -> DataFrame:
-    """doc_id, start, end, sources: maximal unions (overlapping or adjoining) of good enough spans, of at least min_words words."""
-    length, other = F.col("end") - F.col("start"), F.col("source_end") - F.col("source_start")
-    good = spans.filter((length >= min_part) & (F.col("matched") >= identity * F.greatest(length, other)))
-    each = good.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "source_id"))).alias("s"))
-    start = F.array().cast("array<struct<start:bigint,end:bigint,sources:array<bigint>>>")
-
-    def add(done, s):
-        last = F.element_at(done, -1)
-        one = F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array(s["source_id"]).alias("sources"))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.array_union(last["sources"], F.array(s["source_id"])).alias("sources"))
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))
-        return F.when(F.size(done) == 0, F.array(one)).when(s["start"] <= last["end"], joined).otherwise(F.concat(done, F.array(one)))
-
-    runs = each.select("doc_id", F.explode(F.aggregate("s", start, add)).alias("u"))
-    return runs.select("doc_id", "u.start", "u.end", F.array_sort("u.sources").alias("sources")).filter(F.col("end") - F.col("start") >= min_words)
+def _unions(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Of each document's spans (sorted by start) the maximal unions that are long enough."""
+    low = (1 << 40) - 1
+    for batch in batches:
+        spans = batch.column(1).flatten()
+        start, end, source = (np.asarray(spans.field(k)) for k in range(3))
+        if not len(start):
+            continue
+        row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch.column(1).offsets)))
+        reach = np.maximum.accumulate(row << 40 | end)  # the furthest end so far, anew in each row
+        fresh = np.ones(len(start), bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (start[1:] > (reach[:-1] & low))
+        first = np.flatnonzero(fresh)
+        stop = reach[np.append(first[1:], len(start)) - 1] & low
+        keep = stop - start[first] >= min_words
+        union = np.cumsum(fresh) - 1
+        some = np.lexsort((source, union))
+        once = np.ones(len(some), bool)
+        once[1:] = (union[some][1:] != union[some][:-1]) | (source[some][1:] != source[some][:-1])
+        some = some[once]
+        some = some[keep[union[some]]]
+        sources = list_array(source[some], np.bincount(union[some], minlength=len(first))[keep], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[first[keep]])), pa.array(start[first[keep]]), pa.array(stop[keep]), sources], names=["doc_id", "start", "end", "sources"])
+
+
+def united(pairs: DataFrame, min_words: int = MIN_WORDS, min_part: int = MIN_PART, identity: float = IDENTITY) -> DataFrame:
+    """doc_id, start, end, sources: maximal unions (overlapping or adjoining) of good enough spans (as paired_spans gives them), of at least min_words words."""
+    long_enough = lambda s: s["end"] - s["start"] >= min_part
+    alike = lambda s: s["matched"] >= identity * F.greatest(s["end"] - s["start"], s["source_end"] - s["source_start"])
+    good = F.transform(F.filter("spans", lambda s: long_enough(s) & alike(s)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.col("source_id").alias("source_id")))
+    each = pairs.select("doc_id", good.alias("s")).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
+    return each.mapInArrow(lambda batches: _unions(batches, min_words), "doc_id long, start long, end long, sources array<long>")
 
 
 def cut_spans(docs: DataFrame, passages: DataFrame) -> DataFrame:
@@ -400,4 +506,4 @@ def cut_spans(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start, end (words), sources: passages of a document that earlier documents (smaller doc_id) hold too."""
-    return united(repeated_spans(docs), min_words)
+    return united(paired_spans(docs), min_words)

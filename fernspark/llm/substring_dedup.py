@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from ._kernels import LOWER, blocks, list_array, run_hashes, text_buffers, windows, words
 from ._spark import staged
 
-K = 8
-WINDOW = 16
+K = 6
+WINDOW = 8
 TILE = 64
-MARGIN = 2 * (K + WINDOW)  # words around a chain that it may grow by
+MARGIN = 48  # words around a chain that it may grow by
 MAX_GAP = 40
 GAP_COST = 0.1
 MIN_WORDS = 50

@@ -30,6 +30,21 @@ def test_passages_beside_own_words(spark):
     assert {k: v for k, v in got.items() if v} == want
 
 
+def test_passages_with_a_word_changed_every_few(spark):
+    """The share of 60-word passages found when every tenth or twelfth word is another one, and the words that are covered."""
+    rng = random.Random(9)
+    for gap in (10, 12):
+        rows = []
+        for k in range(60):
+            a = prose(rng, 60)
+            b = [x if n % gap != gap // 2 else prose(rng, 1)[0] for n, x in enumerate(a)]
+            rows += [(k, prose(rng, 40) + a + prose(rng, 30)), (100 + k, prose(rng, 35) + b + prose(rng, 50))]
+        got = passages(spark, rows)
+        found = [got[100 + k] for k in range(60) if got[100 + k]]
+        assert len(found) >= 54 and not any(got[k] for k in range(60))
+        assert all(len(x & set(range(35, 95))) >= 48 and len(x) <= 66 for x in found)
+
+
 def test_exact_runs_survive_any_alignment():
     import numpy as np
 

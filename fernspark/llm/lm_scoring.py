@@ -11,6 +11,7 @@ taken away, in each model that it is part of. Its score is the mean over its tok
 3. Bigrams are counted in a table, within each task first. It grows with the corpus and is never collected; what comes to
    the driver is the vocabulary and the totals by word, whose sizes `vocabulary` fixes.
 4. Each block asks the table for its distinct bigrams, in one join, and its documents are scored where the answers meet.
+   Bigrams that the corpus has once need no answer: their only document takes its own count away.
 """
 
 from __future__ import annotations
@@ -107,7 +108,8 @@ def losses(c, total, types, unigram):
 def mean_losses(codes: np.ndarray, first: np.ndarray, member: np.ndarray, grams: np.ndarray, counts: np.ndarray, by_history: tuple[np.ndarray, np.ndarray], by_word: np.ndarray) -> np.ndarray:
     """Mean loss of each row of a block under one model, without the counts of rows that are members of its corpus.
 
-    grams (sorted), counts: what the model has of the block's bigrams; by_history: totals and types; by_word: counts.
+    grams (sorted), counts: the model's counts of the block's bigrams, without those of which the corpus has one only, so that
+    nothing is left of them in the row that has it; by_history: totals and types; by_word: counts.
     """
     size, n = len(by_word), np.diff(first)
     rows = np.repeat(np.arange(len(n)), n)
@@ -115,7 +117,7 @@ def mean_losses(codes: np.ndarray, first: np.ndarray, member: np.ndarray, grams:
     row, gram = keys // (size * size), keys % (size * size)
     own = own * member[row]
     place = np.minimum(np.searchsorted(grams, gram), max(len(grams) - 1, 0))
-    held = np.where(grams[place] == gram, counts[place], 0) if len(grams) else np.zeros(len(gram), np.int64)
+    held = np.where(grams[place] == gram, counts[place], own) if len(grams) else own
 
     def in_row(values, weights):  # sums over the row's bigrams with the same value (history or word)
         _, group = np.unique(row * size + values, return_inverse=True)
@@ -153,7 +155,8 @@ def score_documents(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABU
 
     coded = staged(texts.select("doc_id", "text").mapInArrow(encode, "block long, doc_id long, codes binary"), "tokens")
     listed = target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("in_target")).filter("doc_id IS NOT NULL").distinct()
-    flagged = coded.join(listed, "doc_id", "left").select("block", "doc_id", "codes", F.coalesce("in_target", F.lit(0)).alias("in_target"))
+    few = listed.count() <= 200_000  # 1.6 MB of identifiers
+    flagged = coded.join(F.broadcast(listed) if few else listed, "doc_id", "left").select("block", "doc_id", "codes", F.coalesce("in_target", F.lit(0)).alias("in_target"))
 
     def count(batches):
         keys, counts = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
@@ -187,7 +190,7 @@ def score_documents(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABU
                 grams = np.unique(bigrams(codes[at[0] : at[-1]], at - at[0], size)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block[a])), pa.array(grams)], names=["block", "gram"])
 
-    answers = coded.select("block", "codes").mapInArrow(ask, "block long, gram int").join(model, "gram")
+    answers = coded.select("block", "codes").mapInArrow(ask, "block long, gram int").join(model.filter("b > 1"), "gram")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         codes, first = _codes(left.column("codes"))

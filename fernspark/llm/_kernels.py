@@ -22,9 +22,6 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-# What Arrow frees goes back to the system at once: a worker process stands beside an executor's heap.
-pa.set_memory_pool(pa.system_memory_pool())
-
 _U = np.uint64
 _POWERS = np.ones(1, np.uint64)
 

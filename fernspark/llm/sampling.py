@@ -16,6 +16,7 @@ All random numbers are hashes of the row key, the sample and the position in the
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +33,8 @@ SAMPLES = 2
 CACHE_WORDS = 250_000
 #: Bytes of text sampled at once; a byte takes some hundred bytes of working arrays.
 SAMPLE_BYTES = 1 << 20
+#: Bytes or pieces of a word up to which all words of a block are worked on together; what is longer goes on word by word.
+LONG_WORD = 2048
 _U = np.uint64
 _MULT = _U(0x100000001B3)
 
@@ -144,13 +147,25 @@ class Lattices:
         order = np.argsort(at, kind="stable")
         at, size, piece, weight = at[order], size[order], piece[order], weight[order]
         beta = np.zeros(int((n + 1).sum()))
+        opened: set[int] = set()
         by_level = np.argsort(left[at], kind="stable")
         level = left[at][by_level]
         cuts = np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1], [True]])) if len(level) else np.zeros(1, int)
-        for a, b in zip(cuts[:-1], cuts[1:]):
+        together = int(np.searchsorted(level[cuts[:-1]], LONG_WORD, side="right")) if len(level) else 0
+        for a, b in zip(cuts[:together], cuts[1 : together + 1]):
             e = by_level[a:b]
             group = np.flatnonzero(np.concatenate([[True], at[e][1:] != at[e][:-1]]))
             beta[node[at[e[group]]]] = np.logaddexp.reduceat(weight[e] + beta[node[at[e]] + size[e]], group)
+        if together < len(cuts) - 1:  # the heads of very long words, from their ends backwards
+            e = by_level[cuts[together] :]
+            sums = beta.tolist()
+            for k, to, w in zip(node[at[e]].tolist(), (node[at[e]] + size[e]).tolist(), weight[e].tolist()):
+                more = w + sums[to]
+                known = sums[k] if k in opened else -math.inf
+                opened.add(k)
+                high, low = (known, more) if known > more else (more, known)
+                sums[k] = high + math.log1p(math.exp(low - high))
+            beta = np.array(sums)
         logq = weight + beta[node[at] + size] - beta[node[at]]
         count = np.bincount(node[at], minlength=int((n + 1).sum()))
         edges, nodes = len(self.size), len(self.first) - 1
@@ -205,7 +220,7 @@ class Sampler:
         length = self.ends[units] - self.starts[units]
         live, at = np.flatnonzero(skip < length), skip.copy()
         counts, steps = np.zeros(len(units), np.int64), []
-        while len(live):
+        while len(live) and len(steps) < LONG_WORD:
             u = units[live]
             node, place, row = self.base[u] + at[live], self.starts[u] + at[live], self.row[u]
             edge, last = first[node].copy(), first[node + 1] - 1
@@ -219,14 +234,43 @@ class Sampler:
             counts[live] += 1
             at[live] += size[edge]
             live = live[at[live] < length[live]]
+        rest = {k: self._walk_on(units[k], int(at[k]), sample) for k in live.tolist()}
+        for k, (edges, _) in rest.items():
+            counts[k] += len(edges)
         begin = np.cumsum(counts) - counts
         n = int(counts.sum())
         edge, place, alone = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
         for t, (live, *found) in enumerate(steps):
             for out, x in zip((edge, place, alone), found):
                 out[begin[live] + t] = x
+        for k, (edges, places) in rest.items():
+            own = slice(begin[k] + len(steps), begin[k] + len(steps) + len(edges))
+            edge[own], place[own] = edges, places
+            node = self.base[units[k]] + places - self.starts[units[k]]
+            alone[own] = first[node + 1] - 1 == first[node]
         return counts, edge, place, alone
 
+    def _walk_on(self, unit: int, at: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+        """Samples the rest of one very long word, piece by piece: edges and places."""
+        begin, end, base, row = int(self.starts[unit]), int(self.ends[unit]), int(self.base[unit]), int(self.row[unit])
+        places = np.arange(begin + at, end)
+        draw = uniform(self.seed, np.full(len(places), row), sample, places - self.offs[row], 0).tolist()
+        first = self.l.first[base + at : base + end - begin + 1]
+        low = int(first[0])
+        size, prob = (v[low : first[-1]].tolist() for v in (self.l.size, self.l.prob))
+        first = (first - low).tolist()
+        edges, taken, k = [], [], 0
+        while k < len(places):
+            edge, last = first[k], first[k + 1] - 1
+            left = draw[k] - prob[edge]
+            while left > 0 and edge < last:
+                edge += 1
+                left -= prob[edge]
+            edges.append(edge + low)
+            taken.append(k)
+            k += size[edge]
+        return np.array(edges, np.int64), places[taken]
+
     def _others(self, path: Paths, sample: int, since: np.ndarray, alone: np.ndarray) -> None:
         """Fills `other` for the steps of each row from its step number `since` on; the rest stays -inf.
 

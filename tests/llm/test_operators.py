@@ -259,6 +259,26 @@ def test_samples_have_the_right_distribution():
         assert abs(sum(weight) / n - 1) < 0.25 or p[path] < 0.01
 
 
+def test_very_long_words_are_sampled_like_others(monkeypatch):
+    """A word beyond LONG_WORD gives the same samples as when all words are worked on together, and round-trips."""
+    import numpy as np
+    import pyarrow as pa
+
+    from fernspark.llm._kernels import mix64, text_buffers
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("theinandé中") for _ in range(n)) for n in (5, 700, 3000)] + ["a b " + "the" * 400, ""]
+    drawn = []
+    for limit in (64, 1 << 30):
+        monkeypatch.setattr(sampling, "LONG_WORD", limit)
+        lattices = sampling._lattices(sampling._path(None))
+        lattices.clear()
+        s = sampling.Sampler(lattices, *text_buffers(pa.array(texts)), mix64(np.arange(len(texts)).astype(np.uint64)))
+        found, kappa = s.run(2)
+        drawn.append([[x.tolist() for x in s.ids(path)] + [np.round(path.value, 4).tolist()] for path in found] + [np.round(kappa, 4).tolist()])
+    assert drawn[0] == drawn[1]
+
+
 def test_encode_and_decode(docs, corpus):
     out = sampling.decode(sampling.encode(docs)).collect()
     assert Counter((r["doc_id"], r["text"]) for r in out) == Counter((i, t or "") for i, t, *_ in corpus)

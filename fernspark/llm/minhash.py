@@ -303,7 +303,8 @@ def _exact_links(texts: DataFrame, members: DataFrame, percent: int, block: int)
             yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in own], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([s.tobytes() for s in own], pa.binary())], names=[*key, "shingles"])
 
     full = chosen.mapInArrow(sets, "n long, s1 long, s2 long, shingles binary").dropDuplicates(key)
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.max_by("cls", F.struct("typical", -F.col("cls"))).alias("pivot"))
+    # Written, so that Spark may split a large family among several tasks of the join.
+    sizes = staged(members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.max_by("cls", F.struct("typical", -F.col("cls"))).alias("pivot")), "families")
     placed = members.join(sizes, "family").select("family", "size", "pivot", "cls", *key)
     placed = staged(placed.join(full, key).select("family", "size", "pivot", "cls", "shingles"), "full-sets")
 

@@ -9,7 +9,7 @@ from ..staging import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) for every node of edges (a, b: long).
+    """node, component (smallest node reachable) for every node of edges (a, b: long); a staged table.
 
     Labels spread along edges and jump to their label's label, so that rounds grow with the logarithm of path lengths;
     each round is written to the shared folder in place of the one before, and only whether a label changed comes to the driver.
@@ -25,6 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         discard(labels)
         if not new.filter("old <> label").limit(1).count():
             discard(both)
-            return new.select("node", F.col("label").alias("component"))
+            out = new.select("node", F.col("label").alias("component"))
+            out._staged_at = new._staged_at
+            return out
         labels = new.select("node", "label")
         labels._staged_at = new._staged_at

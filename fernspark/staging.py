@@ -29,6 +29,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+class Scratch:
+    """Staged tables that are deleted together."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(staged(df, name))
+        return self.tables[-1]
+
+    def discard(self) -> None:
+        discard(*self.tables)
+        self.tables = []
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more; what was derived from them must have been staged itself."""
     for table in tables:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..staging import shared_dir, staged
+from ..staging import Scratch, discard, shared_dir, staged
 
-__all__ = ["documents", "shared_dir", "staged"]
+__all__ = ["Scratch", "discard", "documents", "shared_dir", "staged"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ._kernels import LOWER, blocks, list_array, mix64, run_hashes, text_buffers, windows, words
-from ._spark import staged
+from ._spark import Scratch, discard, staged
 
 SHINGLE = 5
 PERCENT = 85
@@ -179,25 +179,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, list_limit: int = L
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scratch = Scratch()  # what is deleted when the components are known
     scan = staged(texts.mapInArrow(_scan, "row long, doc_id long, n long, s1 long, s2 long, sketch array<long>"), "sketches")
     key = ["n", "s1", "s2"]
-    classes = staged(scan.filter("n > 0").groupBy(*key).agg(F.min("row").alias("cls"), F.min("doc_id").alias("rep")), "classes")
-    nodes = staged(scan.join(classes.select(F.col("cls").alias("row")), "row").select(F.col("row").alias("cls"), "n", "sketch"), "nodes")
+    classes = scratch.staged(scan.filter("n > 0").groupBy(*key).agg(F.min("row").alias("cls"), F.min("doc_id").alias("rep")), "classes")
+    nodes = scratch.staged(scan.join(classes.select(F.col("cls").alias("row")), "row").select(F.col("row").alias("cls"), "n", "sketch"), "nodes")
 
     # Order of values: those in few sketches first, then frequent ones from the rarest up. Frequent ones are looked up only
     # for classes that have too few others.
     values = nodes.select("cls", F.explode("sketch").alias("v"))
-    frequent = staged(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > list_limit), "frequent")
+    frequent = scratch.staged(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > list_limit), "frequent")
     small = frequent.count() <= 100_000  # 1.6 MB
     often = F.broadcast(frequent) if small else frequent
     nothing = F.array().cast("array<long>")
     rare = values.join(often, "v", "left_anti").groupBy("cls").agg(F.slice(F.array_sort(F.collect_list("v")), 1, PREFIX).alias("rare"))
-    ordered = staged(nodes.join(rare, "cls", "left").select("cls", "n", "sketch", F.coalesce("rare", nothing).alias("rare")), "ordered")
+    ordered = scratch.staged(nodes.join(rare, "cls", "left").select("cls", "n", "sketch", F.coalesce("rare", nothing).alias("rare")), "ordered")
     needy = ordered.filter(F.size("rare") < F.least(F.lit(PREFIX), F.size("sketch")))
     hot = needy.select("cls", F.explode(F.array_except("sketch", "rare")).alias("v")).join(often, "v")
     # How typical a class is of what is frequent: in how many sketches its frequent values are.
     hot = hot.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("hot"), F.sum("df").alias("typical"))
-    hot = staged(hot.select("cls", F.col("hot.v").alias("hot"), "typical"), "hot")
+    hot = scratch.staged(hot.select("cls", F.col("hot.v").alias("hot"), "typical"), "hot")
 
     listed = ordered.select("cls", "n", F.explode("rare").alias("v"))
     lists = listed.groupBy("v").agg(F.collect_list(F.struct("n", "cls")).alias("m")).filter(F.size("m") > 1)  # at most list_limit each
@@ -211,17 +212,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, list_limit: int = L
     with_a = pairs.join(sketches.withColumnsRenamed({"cls": "a", "sketch": "sa"}), "a")
     with_both = with_a.join(sketches.withColumnsRenamed({"cls": "b", "sketch": "sb"}), "b").select("a", "b", "sa", "sb")
     likely = with_both.mapInArrow(lambda batches: _likely(batches, percent), "a long, b long")
-    likely = staged(likely.unionByName(_hot_pairs(ordered.join(hot, "cls"), percent, block)), "likely")
+    likely = scratch.staged(likely.unionByName(_hot_pairs(ordered.join(hot, "cls"), percent, block, scratch)), "likely")
 
     families = components(likely)
     members = families.join(classes, families["node"] == classes["cls"]).join(hot.select("cls", "typical"), "cls", "left")
-    members = staged(members.select("cls", F.col("component").alias("family"), "rep", F.coalesce("typical", F.lit(0).cast("long")).alias("typical"), *key), "members")
-    links = staged(_exact_links(texts, members, percent, block), "links")
+    members = scratch.staged(members.select("cls", F.col("component").alias("family"), "rep", F.coalesce("typical", F.lit(0).cast("long")).alias("typical"), *key), "members")
+    links = scratch.staged(_exact_links(texts, members, percent, block, scratch), "links")
     groups = components(links)
     # The smallest identifier of each component, and back to the rows.
     labelled = classes.join(groups, classes["cls"] == groups["node"], "left").select(*key, "rep", F.coalesce("component", "cls").alias("group"))
     smallest = labelled.groupBy("group").agg(F.min("rep").alias("component_id"))
     labelled = staged(labelled.join(smallest, "group").select(*key, "component_id"), "labelled")
+    scratch.discard()
+    discard(families, groups)
     out = scan.select("doc_id", *key).join(labelled, key, "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -250,7 +253,7 @@ def _edges(cls: np.ndarray, left: np.ndarray, right: np.ndarray, found: list[tup
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def _hot_pairs(needy: DataFrame, percent: int, block: int) -> DataFrame:
+def _hot_pairs(needy: DataFrame, percent: int, block: int, scratch: Scratch) -> DataFrame:
     """a, b: for each frequent value a spanning set of the likely pairs among all classes whose prefix holds it.
 
     needy: cls, n, sketch, rare (fewer than PREFIX values), hot (frequent values from the rarest up), typical.
@@ -267,9 +270,9 @@ def _hot_pairs(needy: DataFrame, percent: int, block: int) -> DataFrame:
             n, m = (np.asarray(b.column(k)) for k in (5, 6))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(enough & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))], names=["v", "cls", "pivot", "near"])
 
-    pivots = staged(pivots, "pivots")  # written, so that Spark may split the list of a very frequent value among several tasks
+    pivots = scratch.staged(pivots, "pivots")  # written, so that Spark may split the list of a very frequent value among several tasks
     measured = asks.join(pivots, "v").select("v", "cls", "pivot", "sketch", "typical_sketch", "n", "m").mapInArrow(measure, "v long, cls long, pivot long, near boolean")
-    measured = staged(measured, "measured")
+    measured = scratch.staged(measured, "measured")
     star = measured.filter("near AND cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
 
     def compare(table):
@@ -289,7 +292,7 @@ def _shingles(column) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
-def _exact_links(texts: DataFrame, members: DataFrame, percent: int, block: int) -> DataFrame:
+def _exact_links(texts: DataFrame, members: DataFrame, percent: int, block: int, scratch: Scratch) -> DataFrame:
     """a, b: a spanning set of the exact links between the classes of each family."""
     key = ["n", "s1", "s2"]
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
@@ -304,9 +307,9 @@ def _exact_links(texts: DataFrame, members: DataFrame, percent: int, block: int)
 
     full = chosen.mapInArrow(sets, "n long, s1 long, s2 long, shingles binary").dropDuplicates(key)
     # Written, so that Spark may split a large family among several tasks of the join.
-    sizes = staged(members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.max_by("cls", F.struct("typical", -F.col("cls"))).alias("pivot")), "families")
+    sizes = scratch.staged(members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.max_by("cls", F.struct("typical", -F.col("cls"))).alias("pivot")), "families")
     placed = members.join(sizes, "family").select("family", "size", "pivot", "cls", *key)
-    placed = staged(placed.join(full, key).select("family", "size", "pivot", "cls", "shingles"), "full-sets")
+    placed = scratch.staged(placed.join(full, key).select("family", "size", "pivot", "cls", "shingles"), "full-sets")
 
     def small(table):
         cls = table.column("cls").to_numpy()
@@ -315,7 +318,7 @@ def _exact_links(texts: DataFrame, members: DataFrame, percent: int, block: int)
 
     within = placed.filter(F.col("size") <= block).select("family", "cls", "shingles").groupBy("family").applyInArrow(small, "a long, b long")
     large = placed.filter(F.col("size") > block)
-    pivots = staged(large.filter("cls = pivot").select("family", F.col("shingles").alias("typical_set")), "pivots")
+    pivots = scratch.staged(large.filter("cls = pivot").select("family", F.col("shingles").alias("typical_set")), "pivots")
 
     def measure(batches):
         for b in batches:
@@ -327,7 +330,7 @@ def _exact_links(texts: DataFrame, members: DataFrame, percent: int, block: int)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(100 * common >= percent * union), pa.array(step)], names=["family", "cls", "pivot", "near", "step"])
 
     measured = large.join(pivots, "family").select("family", "cls", "pivot", "shingles", "typical_set").mapInArrow(measure, "family long, cls long, pivot long, near boolean, step int")
-    measured = staged(measured, "measured")
+    measured = scratch.staged(measured, "measured")
     star = measured.filter("near AND cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
     # What the typical class does not link, with all classes at its own step and at the two beside it.
     near_steps = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._kernels import LOWER, blocks, run_hashes, text_buffers, words
-from ._spark import staged
+from ._spark import discard, staged
 
 VOCABULARY = 8192
 SHAPES = 32
@@ -87,9 +87,21 @@ def _added(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray
 
 
 def frequent_words(texts: DataFrame, size: int) -> np.ndarray:
-    """Hashes of the most frequent words (ties: the smaller hash), sorted."""
-    counts = texts.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()], np.int64))
+    """Hashes of the most frequent words (ties: the smaller hash), sorted.
+
+    Words are first counted by the power of two that their count has, at most 64 rows, so that only words of the powers that
+    can be among the most frequent are ordered.
+    """
+    counts = staged(texts.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    power = F.floor(F.log2("n")).cast("int")
+    low, held = 0, 0
+    for r in sorted(counts.groupBy(power.alias("p")).count().collect(), reverse=True):
+        low, held = r["p"], held + r["count"]
+        if held >= size:
+            break
+    top = counts.filter(power >= low).orderBy(F.desc("n"), "word").limit(size).collect()
+    discard(counts)
+    return np.sort(np.array([r["word"] for r in top], np.int64))
 
 
 def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

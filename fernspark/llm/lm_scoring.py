@@ -178,9 +178,9 @@ def score_documents(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABU
             found, where = np.unique(bigrams(codes, first, size), return_inverse=True)
             n = np.stack([np.bincount(where, weights=of_target, minlength=len(found)), np.bincount(where, minlength=len(found))], 1).astype(np.int64)
             keys, counts = _added(keys, counts, found, n)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names=["gram", "t", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names=["gram", "t", "b"])
 
-    counted = flagged.select("codes", "in_target").mapInArrow(count, "gram int, t long, b long")
+    counted = flagged.select("codes", "in_target").mapInArrow(count, "gram long, t long, b long")
     model = staged(counted.groupBy("gram").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "bigrams")
 
     def totals(key):  # at most `size` rows
@@ -199,10 +199,10 @@ def score_documents(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABU
             edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]]) if len(block) else np.zeros(1, int)
             for a, z in zip(edges, edges[1:]):
                 at = first[a : z + 1]
-                grams = np.unique(bigrams(codes[at[0] : at[-1]], at - at[0], size)).astype(np.int32)
+                grams = np.unique(bigrams(codes[at[0] : at[-1]], at - at[0], size))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block[a])), pa.array(grams)], names=["block", "gram"])
 
-    answers = coded.select("block", "codes").mapInArrow(ask, "block long, gram int").join(model.filter("b > 1"), "gram")
+    answers = coded.select("block", "codes").mapInArrow(ask, "block long, gram long").join(model.filter("b > 1"), "gram")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         codes, first = _codes(left.column("codes"))

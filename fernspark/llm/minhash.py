@@ -3,8 +3,9 @@
 1. Each text becomes its set of hashed word shingles; the `k` smallest hashes (one hash function) are its sketch. Texts
    with equal sets form one class, and classes are what follows works on.
 2. Inverted lists of retained values generate candidates. Values that more than `list_limit` classes retain (shared
-   passages, large families) come last in each class's order of values, so that the first `prefix` values of a class,
-   which are what it is listed under, are rare where it has rare ones. Lists of rare values are short and give all their
+   passages, large families) come last in one order of all values. A class is listed under the first values of its sketch
+   in that order: all but as many as a pair shares at least if step 3 keeps it, less one. Two sketches that share so many
+   values share one of those, whatever the order, so no pair that step 3 would keep is missed. Lists of rare values are short and give all their
    pairs. Of a frequent value's list, the classes that need it to fill their prefix are compared with the list's most
    typical class, and those that are unlike it with all others, in blocks.
 3. The union sketch of a pair (the k smallest of both sketches) estimates its similarity; pairs far below the threshold
@@ -21,6 +22,7 @@ each class of a like distance, which is exact for any family and quadratic only
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +38,17 @@ from ._spark import Scratch, discard, staged
 SHINGLE = 5
 PERCENT = 85
 K = 48
-PREFIX = 14
 LIST_LIMIT = 48
 MARGIN = 0.35  # a pair at the threshold is estimated lower than this below it with a chance of 2e-9
 BLOCK = 512
 _U = np.uint64
 
 
+def prefix_length(size: int, percent: int) -> int:
+    """Values that a sketch of `size` is listed under. A pair that passes the estimate shares at least the fraction percent / 100 - MARGIN of either sketch; two sets that share c values share one of their first size - c + 1, in any one order."""
+    return size - max(1, math.ceil((percent / 100 - MARGIN) * size - 1e-9)) + 1 if size else 0
+
+
 def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int = SHINGLE) -> Iterator[np.ndarray]:
     """Per row the sorted distinct shingle hashes (63 bits): A-Z lowered; a text of fewer words is one shingle."""
     w = words(LOWER[data], offs)
@@ -192,9 +198,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, list_limit: int = L
     small = frequent.count() <= 100_000  # 1.6 MB
     often = F.broadcast(frequent) if small else frequent
     nothing = F.array().cast("array<long>")
-    rare = values.join(often, "v", "left_anti").groupBy("cls").agg(F.slice(F.array_sort(F.collect_list("v")), 1, PREFIX).alias("rare"))
-    ordered = scratch.staged(nodes.join(rare, "cls", "left").select("cls", "n", "sketch", F.coalesce("rare", nothing).alias("rare")), "ordered")
-    needy = ordered.filter(F.size("rare") < F.least(F.lit(PREFIX), F.size("sketch")))
+    rare = values.join(often, "v", "left_anti").groupBy("cls").agg(F.array_sort(F.collect_list("v")).alias("rare"))
+    lengths = F.array(*(F.lit(prefix_length(size, percent)) for size in range(K + 1)))
+    ordered = nodes.join(rare, "cls", "left").select("cls", "n", "sketch", F.coalesce("rare", nothing).alias("rare"), F.get(lengths, F.size("sketch")).alias("prefix"))
+    ordered = scratch.staged(ordered.withColumn("rare", F.slice("rare", F.lit(1), F.col("prefix"))), "ordered")
+    needy = ordered.filter(F.size("rare") < F.col("prefix"))
     hot = needy.select("cls", F.explode(F.array_except("sketch", "rare")).alias("v")).join(often, "v")
     # How typical a class is of what is frequent: in how many sketches its frequent values are.
     hot = hot.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("hot"), F.sum("df").alias("typical"))
@@ -256,9 +264,9 @@ def _edges(cls: np.ndarray, left: np.ndarray, right: np.ndarray, found: list[tup
 def _hot_pairs(needy: DataFrame, percent: int, block: int, scratch: Scratch) -> DataFrame:
     """a, b: for each frequent value a spanning set of the likely pairs among all classes whose prefix holds it.
 
-    needy: cls, n, sketch, rare (fewer than PREFIX values), hot (frequent values from the rarest up), typical.
+    needy: cls, n, sketch, rare (fewer than prefix values), prefix, hot (frequent values from the rarest up), typical.
     """
-    needed = F.lit(PREFIX) - F.size("rare")
+    needed = F.col("prefix") - F.size("rare")
     asks = needy.select("cls", "n", "sketch", "typical", F.explode(F.slice("hot", F.lit(1), needed)).alias("v"))
     pivots = asks.groupBy("v").agg(F.max_by("cls", F.struct("typical", -F.col("cls"))).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("v", "pivot")
     pivots = pivots.join(needy.select(F.col("cls").alias("pivot"), F.col("n").alias("m"), F.col("sketch").alias("typical_sketch")), "pivot")

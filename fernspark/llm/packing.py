@@ -2,9 +2,9 @@
 
 Every scan partition packs its own documents, in order, with an array that counts the open windows at each fill level.
 Whole windows of a long document are cut off first, then the rest is placed as one piece into the fill level (or a new
-window) that minimises the sum of the squared counts of partially filled windows. At most `open_windows` windows are open
-at once: where the rule would open one more, the piece is cut, and its head closes a window whose closing lowers the sum of
-squares most. So the state of a task is bounded, and nearly all tokens are placed by the rule. When a partition ends, the
+window) that minimises the sum of the squared counts of partially filled windows. The rule itself keeps few windows open (a few hundred);
+so that a task's memory has a bound for any input, at most `open_windows` are: where the rule would open one more, the piece
+is cut, and its head closes a window whose closing lowers the sum of squares most. When a partition ends, the
 windows still open are emptied, fullest first, into full windows (cutting one piece at each seam), and the last tokens go
 to windows whose lengths are powers of two, which need no padding. Nothing is shuffled, and padding does not depend on the
 number of partitions.
@@ -27,8 +27,8 @@ from ._kernels import WHITE, blocks, run_hashes, text_buffers, words
 
 WINDOW = 2048
 END_ID = 1
-#: Windows that a task holds open.
-OPEN_WINDOWS = 32
+#: Windows that a task holds open: 8 kB each, so 32 MB. The rule keeps a few hundred open; it is the memory's bound, not the rule's.
+OPEN_WINDOWS = 4096
 PIECES = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 #: Distinct words that a task remembers the ids of, before it starts anew.
 CACHE_WORDS = 400_000

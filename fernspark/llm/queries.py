@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, lm_scoring, minhash, packing, quality_classifier, quality_rules, sampling, sharding, substring_dedup
+from . import chat, exact_dedup, lm_scoring, minhash, packing, quality_classifier, quality_rules, repair, sampling, sharding, substring_dedup, vector_codes, warc
 from ._spark import documents
 
 #: Both turns of conversation -1.
@@ -63,12 +63,94 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.unionByName(probe)))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality_rules, op3_lm_scoring, op4_exact_dedup, op5_sampling, op6_substring_dedup, op7_quality_classifier, op8_packing, op9_sharding, op10_chat)}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    report = repair.conversation_report(repair.repair_blocks(repair.damage(turns)))
+    every = turns.select(F.col("conv_id").cast("long").alias("every")).distinct()
+    out = every.join(report, F.col("every").eqNullSafe(F.col("conv_id")), "left").drop("conv_id").withColumnRenamed("every", "conv_id")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select("conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector_codes.compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality_rules, op3_lm_scoring, op4_exact_dedup, op5_sampling, op6_substring_dedup, op7_quality_classifier, op8_packing, op9_sharding, op10_chat, op11_warc, op12_conversation_repair, op13_vector_codes)}
 
 _WHITE = r"'[\x20\x09-\x0D]+'"
 _FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'"
 
+
+def _vector_codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """Exact k-means by part, a pair of common table expressions per round."""
+    near = """a{k} AS MATERIALIZED (SELECT r, part, min({{'d': p.xx - 2 * list_inner_product(p.x, c.x) + c.xx, 'e': e}}) AS m FROM p JOIN c{k} c USING (part) GROUP BY r, part)"""
+    mean = """s{k} AS (SELECT part, e, pos, CAST(sum(CAST(x[pos] AS BIGINT)) AS BIGINT) AS s, count(*) AS n FROM (SELECT p.part, p.x, a.m.e AS e, unnest(range(1, len(p.x) + 1)) AS pos FROM p JOIN a{j} a USING (r, part)) GROUP BY part, e, pos),
+m{k} AS (SELECT part, e, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY pos) AS x FROM s{k} GROUP BY part, e),
+c{k} AS MATERIALIZED (SELECT part, e, x, list_inner_product(x, x) AS xx FROM (SELECT c.part, c.e, coalesce(m.x, c.x) AS x FROM c{j} c LEFT JOIN m{k} m USING (part, e)))"""
+    steps = [near.format(k=0)]
+    for k in range(1, rounds + 1):
+        steps += [mean.format(k=k, j=k - 1), near.format(k=k)]
+    return (
+        """WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, x, list_inner_product(x, x) AS xx FROM (SELECT r, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS x FROM k, range(4) t(part))),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS e, x, xx FROM p WHERE r <= 256),
+"""
+        + ",\n".join(steps)
+        + f""",
+o AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY part, e, pos)) AS codebooks_sha256 FROM (SELECT part, e, unnest(x) AS y, unnest(range(len(x))) AS pos FROM c{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN o USING (r), h"""
+    )
+
+
+#: crc32 by a table of 256 steps made in SQL; then the four-state search, row by row, with whole audits.
+_REPAIR_SQL = r"""
+WITH RECURSIVE steps AS MATERIALIZED (SELECT list(x ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS x FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256)))),
+r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+m AS (SELECT r.*, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(c >> 8, steps.t[CAST((xor(c, b) & 255) + 1 AS INT)]))) % 20 AS kind FROM r, steps),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM m, range(2) c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 16), left(text, 64), sha256(length(role) || ':' || role || text)) AS n FROM d),
+f AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS pair FROM o),
+went AS (SELECT * FROM (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')) v(s, t, who)),
+ins AS MATERIALIZED (SELECT s AS s, s AS q, '' AS letters, 0 AS cost, CAST([] AS VARCHAR[]) AS said FROM went
+  UNION ALL SELECT s, t, 'I', 5, [who || ':'] FROM went
+  UNION ALL SELECT a.s, b.t, 'II', 10, [a.who || ':', b.who || ':'] FROM went a JOIN went b ON b.s = a.t),
+ops AS MATERIALIZED (SELECT i.s, i.q AS t, 'D' AS op, CAST(NULL AS VARCHAR) AS first, i.letters || 'D' AS letters, i.cost + 2 AS cost, i.said, CAST(NULL AS VARCHAR) AS who FROM ins i
+  UNION ALL SELECT i.s, w.t, 'R', NULL, i.letters || 'R', i.cost + 1, i.said, w.who FROM ins i JOIN went w ON w.s = i.q
+  UNION ALL SELECT i.s, k.t, 'K', k.first, i.letters || 'K', i.cost, i.said, NULL FROM ins i JOIN (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)) k(q, first, t) ON k.q = i.q),
+dp AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, 0 AS s, {'cost': 0, 'audit': '', 'said': CAST([] AS VARCHAR[])} AS best FROM f
+  UNION ALL
+  SELECT f.conv_id, f.n, ops.t, min({'cost': dp.best.cost + ops.cost + CASE WHEN f.fault = 't' AND op <> 'D' THEN 5 ELSE 0 END, 'audit': dp.best.audit || ops.letters,
+      'said': list_concat(list_concat(dp.best.said, ops.said), CASE op WHEN 'D' THEN CAST([] AS VARCHAR[]) WHEN 'R' THEN [ops.who || ':' || f.text] ELSE [f.role || ':' || f.text] END)})
+  FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.n = dp.n + 1 JOIN ops ON ops.s = dp.s AND (op <> 'K' OR ops.first = left(f.role, 1)) AND (op = 'D' OR f.fault NOT IN ('b', 'd'))
+  GROUP BY f.conv_id, f.n, ops.t),
+g AS (SELECT conv_id, max(n) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+z AS (SELECT g.conv_id, min({'cost': dp.best.cost + i.cost, 'audit': dp.best.audit || i.letters, 'said': list_concat(dp.best.said, i.said)}) AS best
+  FROM g JOIN dp ON dp.conv_id IS NOT DISTINCT FROM g.conv_id AND dp.n = g.n JOIN ins i ON i.s = dp.s AND (i.q = 3 OR i.q = 0) GROUP BY g.conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(z.best.cost, 0) AS BIGINT) AS cost, coalesce(z.best.audit, '') AS audit, sha256(coalesce(array_to_string(z.best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
 ORACLE_SQL = {
+    "op11_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f""",
+    "op12_conversation_repair": _REPAIR_SQL,
+    "op13_vector_codes": _vector_codes_sql(),
     "op2_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, {_WHITE}), lambda x: x <> '') AS w FROM d),

@@ -44,9 +44,9 @@ COLUMNS = {
 }
 #: Header field of each column that predicates can be pushed down on.
 FIELDS = {"record_id": "warc-record-id", "record_type": "warc-type", "date": "warc-date", "target_uri": "warc-target-uri", "content_type": "content-type", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
-FILE_BYTES = PARTITION_BYTES = 128 << 20
-#: Bytes read at once, and bytes of payload and rows in a batch.
-CHUNK, BATCH_BYTES, BATCH_ROWS = 1 << 16, 8 << 20, 2000
+FILE_BYTES, PARTITION_BYTES = 128 << 20, 32 << 20
+#: Bytes read from a file at once, bytes taken on at once while a header is sought, and bytes of payload and rows in a batch.
+READ_BYTES, STEP, BATCH_BYTES, BATCH_ROWS = 1 << 18, 1 << 12, 8 << 20, 2000
 #: A header larger than this is no header.
 MOST_HEADER = 1 << 20
 #: Least payload that may be a revisit, and the digests of repeated payloads that are broadcast (some 80 bytes each).
@@ -107,24 +107,33 @@ def parse_fields(raw: bytes) -> dict[str, str]:
     return out
 
 
+class _Window:
+    """A file read in stretches, of which the last is kept: small records cost no read of their own, skipped ones none at all."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.begin, self.held = file, 0, b""
+
+    def read(self, at: int, size: int) -> bytes:
+        if not self.begin <= at < self.begin + len(self.held):
+            self.file.seek(at)
+            self.begin, self.held = at, self.file.read(max(size, READ_BYTES))
+        return self.held[at - self.begin : at - self.begin + size]
+
+
 class _Member:
     """A record's bytes from its start, plain or inflated as far as asked."""
 
-    def __init__(self, file: pa.NativeFile, start: int):
-        self.file, self.start, self.at, self.data = file, start, start, bytearray()
-        head = self._read()
+    def __init__(self, window: _Window, start: int):
+        self.window, self.start, self.at, self.data = window, start, start, bytearray()
+        head = window.read(start, STEP)
         self.inflate = zlib.decompressobj(31) if head[:2] == b"\x1f\x8b" else None
         self.length = member_length(head) if self.inflate else None
-        self.over = not head
-        self._take(head)
+        self.over = False
+        self._go_on(STEP)
 
-    def _read(self, size: int = CHUNK) -> bytes:
-        self.file.seek(self.at)
-        found = self.file.read(size)
+    def _go_on(self, size: int) -> None:
+        found = self.window.read(self.at, size)
         self.at += len(found)
-        return found
-
-    def _take(self, found: bytes) -> None:
         if self.inflate is None:
             self.data += found
             self.over = not found
@@ -137,7 +146,7 @@ class _Member:
     def want(self, size: int) -> None:
         """Goes on until there are `size` bytes, or no more."""
         while len(self.data) < size and not self.over:
-            self._take(self._read(CHUNK if self.inflate else max(CHUNK, size - len(self.data))))
+            self._go_on(STEP if size - len(self.data) < STEP else READ_BYTES if self.inflate else size - len(self.data))
 
     def upto(self, mark: bytes, begin: int, most: int) -> int:
         """Where mark begins, from `begin` on; -1 if it is not within `most` bytes."""
@@ -155,7 +164,7 @@ class _Member:
             return self.start + self.length
         while not self.over:
             self.data.clear()
-            self._take(self._read())
+            self._go_on(READ_BYTES)
         if not self.inflate.eof:
             raise ValueError(f"a record at byte {self.start} is cut off")
         return self.at
@@ -179,10 +188,10 @@ def _value(fields: dict[str, str], field: str) -> str | None:
 
 def scan(file: pa.NativeFile, name: str, wanted: Wanted, decoded: list[int] | None = None) -> Iterator[dict]:
     """The wanted records of one file, in order. decoded: gets the plain bytes of each record that were looked at."""
-    start, size = 0, file.size()
+    start, size, window = 0, file.size(), _Window(file)
     http = {"http_headers", "payload_length", "payload"} & set(wanted.columns)
     while start < size:
-        member = _Member(file, start)
+        member = _Member(window, start)
         end = member.upto(b"\r\n\r\n", 0, MOST_HEADER)
         if end < 0 or not member.data.startswith(b"WARC/"):
             raise ValueError(f"{name}: no record at byte {start}")

@@ -2,40 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_miles, north_of_border, radius_text
-from ..model import EARTH_MILES, NOTES
-
-#: Height and width in degrees of the cells that searches and pets are joined by.
-CELL = 1.0
-
+from ..functions.geo import north_of_border, radius_text
+from ..model import NOTES
+from .predicates import search_totals
 
-def search_totals(searches: DataFrame, pets: DataFrame) -> DataFrame:
-    """searches with total: pets of the species within the radius (of any place where a search has none).
-
-    searches: search_id, species, lat, lon, radius (miles). Searches are spelt out as the cells that their circles touch, so
-    the join is on (species, cell); searches without a place are counted from per-species totals.
-    """
-    c = F.col
-    dlat = F.degrees(c("radius") / EARTH_MILES)
-    reach = F.least(F.lit(89.0), F.abs("lat") + dlat)
-    dlon = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(c("radius") / EARTH_MILES) / F.cos(F.radians(reach)))))
-    wide = math.floor(360 / CELL)
-    cell = lambda x: F.floor(x / CELL).cast("int")
-    rows = F.explode(F.sequence(cell(c("lat") - dlat), cell(c("lat") + dlat)))
-    placed = searches.filter("lat IS NOT NULL AND lon IS NOT NULL").select("search_id", "species", c("lat").alias("_lat"), c("lon").alias("_lon"), "radius", rows.alias("cell_y"), F.sequence(cell(c("lon") - dlon), cell(c("lon") + dlon)).alias("xs"))
-    placed = placed.withColumn("cell_x", F.explode(F.array_distinct(F.transform("xs", lambda x: F.pmod(x, F.lit(wide)))))).drop("xs")
-    p = pets.filter("lat IS NOT NULL AND lon IS NOT NULL").select("species", "lat", "lon", cell(c("lat")).alias("cell_y"), F.pmod(cell(c("lon")), F.lit(wide)).alias("cell_x"))
-    near = placed.join(p, ["species", "cell_y", "cell_x"]).filter(haversine_miles(c("_lat"), c("_lon"), c("lat"), c("lon")) <= c("radius"))
-    found = near.groupBy("search_id").agg(F.count(F.lit(1)).alias("_near"))
-    by_species = pets.groupBy("species").agg(F.count(F.lit(1)).alias("_all"))
-    out = searches.join(found, "search_id", "left").join(by_species, "species", "left")
-    total = F.when(c("lat").isNull() | c("lon").isNull(), c("_all")).otherwise(c("_near"))
-    return out.withColumn("total", F.coalesce(total, F.lit(0).cast("long"))).drop("_near", "_all")
+__all__ = ["active_filters", "favourite_states", "fit_notes", "keep_searches", "mark_seen", "new_since_visit", "profile_filters", "search_key", "search_label", "search_totals"]
 
 
 def new_since_visit(totals: DataFrame) -> DataFrame:

@@ -165,8 +165,21 @@ def termination_survivors(spark, sf_dir):
 
 
 def _totals(spark, sf_dir) -> DataFrame:
-    saved = view(spark, sf_dir, "saved").withColumnRenamed("user_id", "search_id").withColumns({c: F.when(F.col("search_id") % 9 != 0, F.col(c)) for c in ("lat", "lon")})
-    pets = view(spark, sf_dir, "listings").filter("status = 'available'")
+    """Saved searches with all kinds of filters, over available pets with all facts."""
+    u = F.col("user_id")
+    number = lambda c, by: F.format_string("%.3f", F.col(c) + by)
+    bbox = F.concat_ws(",", number("lon", -3.005), number("lat", -2.005), number("lon", 3.005), number("lat", 2.005))
+    placed = lambda c: F.when(u % 9 > 1, F.col(c))
+    saved = view(spark, sf_dir, "saved").select(
+        u.alias("search_id"), F.when(u % 7 != 0, F.col("species")).alias("species"), F.when(u % 3 == 0, "baby,senior").when(u % 3 == 1, "adult").alias("age_group"), F.when(u % 4 == 0, "s,m").alias("size"), F.when(u % 6 == 0, "male").alias("sex"),
+        F.when(u % 5 == 0, "build").when(u % 10 == 1, "HOLD").when(u % 10 == 2, "e").alias("breed"), F.when(u % 8 == 0, "kids,dogs").when(u % 8 == 3, "cats").alias("good_with"), F.when(u % 10 == 0, "low").alias("energy"), F.when(u % 9 == 4, "short,wire").alias("coat"),
+        F.when(u % 11 == 0, "false").when(u % 11 == 1, "true").alias("house_trained"), (u % 2 == 0).alias("include_unknown_compat"), F.when(u % 9 == 1, bbox).alias("bbox"), placed("lat").alias("lat"), placed("lon").alias("lon"), "radius", "last_seen_total",
+    )
+    p = F.col("pet_id")
+    one_of = lambda *x: F.element_at(F.array(*map(F.lit, x)), (p % len(x) + 1).cast("int"))
+    pets = view(spark, sf_dir, "listings").filter("status = 'available'").withColumns({
+        "energy_level": one_of("low", "moderate", "high", "very_high", "unknown"), "coat_length": one_of("short", "wire", "long", "unknown"), "compat_dogs": F.col("house_trained"), "compat_cats": F.when(p % 3 == 0, "true").otherwise("unknown"),
+    })
     return profiles.search_totals(saved, pets)
 
 
@@ -244,9 +257,13 @@ _DARK = "dark AS (SELECT s.source, l.finished_at FROM (SELECT DISTINCT source FR
 _JAN = _DARK.format(at="2024-01-31 00:00:00")
 _DROP = "drops AS (SELECT l.source, 'count_drop' AS kind, l.fetched, m.median FROM last l JOIN (SELECT source, quantile_cont(fetched, 0.5) AS median FROM ok_runs WHERE finished_at > TIMESTAMP '2024-01-24 00:00:00' AND finished_at <= TIMESTAMP '2024-01-31 00:00:00' GROUP BY 1) m ON m.source = l.source WHERE m.median > 0 AND l.fetched < 0.6 * m.median AND l.source NOT IN (SELECT source FROM dark))"
 _BAD = "bad AS (SELECT source, 'validation_failures' AS kind, round(quarantined / (fetched + quarantined), 3) AS rate FROM last WHERE fetched + quarantined > 0 AND quarantined / (fetched + quarantined) > 0.1 AND source NOT IN (SELECT source FROM dark))"
-_TOTALS = f"""{with_views('saved', 'listings')}, a AS (SELECT user_id AS search_id, species, radius, last_seen_total, CASE WHEN user_id % 9 <> 0 THEN lat END AS lat, CASE WHEN user_id % 9 <> 0 THEN lon END AS lon FROM saved),
-p AS (SELECT pet_id, species, lat, lon FROM listings WHERE status = 'available'),
-t AS (SELECT a.search_id, a.last_seen_total, count(p.pet_id) AS total FROM a LEFT JOIN p ON p.species = a.species AND (a.lat IS NULL OR {_MILES.format(lat='p.lat', lon='p.lon', a='a.lat', b='a.lon')} <= a.radius) GROUP BY ALL)"""
+_TOTALS = f"""{with_views('saved', 'listings')}, a AS (SELECT user_id AS search_id, user_id AS u, species, radius, last_seen_total, lat, lon FROM saved),
+p AS (SELECT *, ['low', 'moderate', 'high', 'very_high', 'unknown'][pet_id % 5 + 1] AS energy_level, ['short', 'wire', 'long', 'unknown'][pet_id % 4 + 1] AS coat_length, house_trained AS compat_dogs, CASE WHEN pet_id % 3 = 0 THEN 'true' ELSE 'unknown' END AS compat_cats FROM listings WHERE status = 'available'),
+t AS (SELECT a.search_id, a.last_seen_total, count(p.pet_id) AS total FROM a LEFT JOIN p ON (u % 7 = 0 OR p.species = a.species) AND (u % 3 = 2 OR p.age_group IN ('baby', 'senior') AND u % 3 = 0 OR p.age_group = 'adult' AND u % 3 = 1) AND (u % 4 <> 0 OR p.size IN ('s', 'm')) AND (u % 6 <> 0 OR p.sex = 'male')
+  AND (u % 5 <> 0 OR lower(raw_breed_text) LIKE '%build%') AND (u % 10 <> 1 OR lower(raw_breed_text) LIKE '%hold%') AND (u % 10 <> 2 OR lower(raw_breed_text) LIKE '%e%') AND (u % 10 <> 0 OR energy_level = 'low') AND (u % 9 <> 4 OR coat_length IN ('short', 'wire'))
+  AND (u % 8 <> 0 OR (compat_kids = 'true' OR compat_kids = 'unknown' AND u % 2 = 0) AND (compat_dogs = 'true' OR compat_dogs = 'unknown' AND u % 2 = 0)) AND (u % 8 <> 3 OR compat_cats = 'true' OR compat_cats = 'unknown' AND u % 2 = 0)
+  AND (u % 11 <> 0 OR house_trained = 'false') AND (u % 11 <> 1 OR house_trained = 'true') AND (u % 9 <> 1 OR p.lat BETWEEN a.lat - 2.005 AND a.lat + 2.005 AND p.lon BETWEEN a.lon - 3.005 AND a.lon + 3.005)
+  AND (u % 9 <= 1 OR {_MILES.format(lat='p.lat', lon='p.lon', a='a.lat', b='a.lon')} <= a.radius) GROUP BY ALL)"""
 _RICH = f"""{with_views('saved')}, r AS (SELECT user_id, CASE WHEN user_id % 7 <> 0 THEN species END AS species, CASE WHEN user_id % 3 = 0 THEN 'baby,senior' END AS age_group, CASE WHEN user_id % 4 = 0 THEN 's,m' END AS size, CASE WHEN user_id % 5 = 0 THEN 'Lab' END AS breed,
   CASE WHEN user_id % 6 = 0 THEN 'male' END AS sex, CASE WHEN user_id % 8 = 0 THEN 'kids,dogs' END AS good_with, CASE WHEN user_id % 10 = 0 THEN 'low' END AS energy, radius, CASE WHEN user_id % 13 = 0 THEN '95616' END AS zip, lat, lon FROM saved)"""
 _PROF = f"""{with_views('profiles', 'listings')}, q AS (SELECT user_id, home, kids, CASE segment WHEN 'BUILDING' THEN 'dogs' WHEN 'MACHINERY' THEN 'cats' WHEN 'HOUSEHOLD' THEN 'both' ELSE 'none' END AS pets, ['couch', 'walks', 'runs', 'adventures'][user_id % 4 + 1] AS activity FROM profiles)"""

@@ -12,7 +12,7 @@ from ..functions.geo import haversine_miles
 from ..functions.hashes import bare_id, hamming
 from ..functions.text import clean_name, gram_set, jaccard, jaro_winkler, let, trigram_similarity
 from ..model import AGES, AUTO_MERGE, BLOCK_METERS, EARTH_MILES, METERS_PER_MILE, REVIEW, WEIGHTS
-from ..staging import staged
+from ..staging import discard, staged
 from .components import components
 
 #: Fields of which the first known value in rank order survives.
@@ -70,23 +70,64 @@ def geo_cells(lat: Column, lon: Column, meters: float = BLOCK_METERS, around: bo
     return F.array_distinct(near)
 
 
-def candidate_pairs(records: DataFrame, tombstones: DataFrame, decided: DataFrame, meters: float = BLOCK_METERS) -> DataFrame:
+#: Rows of a block that are joined by the block's key alone; larger blocks are split.
+BLOCK_ROWS = 2048
+#: Large blocks (some 100 bytes each) that are broadcast.
+FEW_BLOCKS = 50_000
+
+
+def unlike_pairs(left: DataFrame, right: DataFrame, key: list[str], block: int = BLOCK_ROWS) -> DataFrame:
+    """The join of left (a, kind, ...) and right (b, other, ...) on key, of rows of different kinds; no column but the key is in both.
+
+    Blocks (rows of one key) are measured first. A small one is joined by its key. A large one is split into parts, at most
+    `block` rows of one kind each: every part of the left goes with every part of another kind of the right, so rows of one
+    kind never meet, and no task has more of a block at once than two parts. Kinds of one block are taken to be few.
+    """
+    def measured(side: DataFrame, kind: str) -> DataFrame:
+        sizes = side.groupBy(*key, kind).agg(F.count(F.lit(1)).alias("rows"))
+        part = F.struct(F.col(kind).alias("kind"), F.ceil(F.col("rows") / block).cast("int").alias("parts"))
+        return sizes.groupBy(*key).agg(F.sum("rows").alias(f"{kind}_rows"), F.collect_list(part).alias(f"{kind}s"))
+
+    both = measured(left, "kind").join(measured(right, "other"), key)
+    large = staged(both.filter(F.greatest("kind_rows", "other_rows") > block).select(*key, "kinds", "others"), "large-blocks")
+    found = F.broadcast(large) if large.count() <= FEW_BLOCKS else large
+    none = F.lit(None).cast("string")
+    whole = F.array(F.struct(none.alias("mine"), F.lit(0).alias("part"), none.alias("theirs"), F.lit(0).alias("their_part")))
+
+    def dealt(side: DataFrame, row: str, kind: str, own: str, opposite: str, names: tuple[str, str, str, str]) -> DataFrame:
+        x = side.join(found, key, "left")
+        parts = F.get(F.filter(own, lambda p: p["kind"] == F.col(kind)), F.lit(0))["parts"]
+        place = F.pmod(F.xxhash64(row), parts).cast("int")
+        partners = F.flatten(F.transform(F.filter(opposite, lambda p: p["kind"] != F.col(kind)), lambda p: F.transform(F.sequence(F.lit(0), p["parts"] - 1), lambda n: F.struct(F.col(kind).alias("mine"), place.alias("part"), p["kind"].alias("theirs"), n.alias("their_part")))))
+        x = x.withColumn("_to", F.explode(F.when(F.col(own).isNull(), whole).otherwise(partners))).drop("kinds", "others")
+        return x.select("*", *(F.col(f"_to.{f}").alias(n) for f, n in zip(("mine", "part", "theirs", "their_part"), names))).drop("_to")
+
+    names = ("_kind", "_part", "_other", "_other_part")
+    x = dealt(left, "a", "kind", "kinds", "others", names)
+    y = dealt(right, "b", "other", "others", "kinds", (names[2], names[3], names[0], names[1]))
+    on = [x[k] == y[k] for k in key] + [x[n].eqNullSafe(y[n]) for n in names]
+    met = x.join(y, on).filter(x["kind"] != y["other"])
+    return met.select(*(x[c] for c in left.columns), *(y[c] for c in right.columns if c not in key))
+
+
+def candidate_pairs(records: DataFrame, tombstones: DataFrame, decided: DataFrame, meters: float = BLOCK_METERS, block: int = BLOCK_ROWS) -> DataFrame:
     """a < b: pets of one species that share an organisation or lie within `meters`, with a source that the other lacks.
 
-    records: pet_id, species, org_id, lat, lon, sources (array), and, if there, status, where removed pets take no part. Two equi-joins stand in for the OR: on (species,
-    organisation) and on (species, cell). Pairs that are tombstoned or decided are left out.
+    records: pet_id, species, org_id, lat, lon, sources (array), and, if there, status, where removed pets take no part. Two
+    equi-joins stand in for the OR: on (species, organisation) and on (species, cell); blocks of over `block` rows are split,
+    and pets with one set of sources do not meet there at all. Pairs that are tombstoned or decided are left out.
     """
     if "status" in records.columns:
         records = records.filter("status <> 'removed'")
-    r = records.select("pet_id", "species", "org_id", "lat", "lon", F.array_sort(F.array_distinct("sources")).alias("sources"))
-    side = lambda p, *rest: r.select(F.col("pet_id").alias(p), "species", F.col("sources").alias(f"s{p}"), *rest)
-    cross = (F.size(F.array_except("sa", "sb")) > 0) | (F.size(F.array_except("sb", "sa")) > 0)
-    by_org = side("a", "org_id").join(side("b", "org_id"), ["species", "org_id"]).filter((F.col("a") < F.col("b")) & cross).select("a", "b")
-    placed = "lat IS NOT NULL AND lon IS NOT NULL"
-    left = side("a", F.col("lat").alias("la"), F.col("lon").alias("oa")).filter("la IS NOT NULL AND oa IS NOT NULL").withColumn("cell", F.explode(geo_cells(F.col("la"), F.col("oa"), meters, True)))
-    right = r.filter(placed).select(F.col("pet_id").alias("b"), "species", F.col("sources").alias("sb"), F.col("lat").alias("lb"), F.col("lon").alias("ob"), geo_cells(F.col("lat"), F.col("lon"), meters).alias("cell"))
+    kind = F.to_json(F.array_sort(F.array_distinct("sources")))  # two sets that differ have a source that the other lacks
+    r = records.filter("sources IS NOT NULL").select("pet_id", "species", "org_id", "lat", "lon", kind.alias("kind"))
+    side = lambda p, kind: r.select(F.col("pet_id").alias(p), "species", "org_id", F.col("kind").alias(kind))
+    by_org = unlike_pairs(side("a", "kind"), side("b", "other"), ["species", "org_id"], block).filter("a < b").select("a", "b")
+    placed = r.filter("lat IS NOT NULL AND lon IS NOT NULL")
+    left = placed.select(F.col("pet_id").alias("a"), "species", "kind", F.col("lat").alias("la"), F.col("lon").alias("oa"), F.explode(geo_cells(F.col("lat"), F.col("lon"), meters, True)).alias("cell"))
+    right = placed.select(F.col("pet_id").alias("b"), "species", F.col("kind").alias("other"), F.col("lat").alias("lb"), F.col("lon").alias("ob"), geo_cells(F.col("lat"), F.col("lon"), meters).alias("cell"))
     close = haversine_miles(F.col("la"), F.col("oa"), F.col("lb"), F.col("ob")) * METERS_PER_MILE <= meters
-    near = left.join(right, ["species", "cell"]).filter((F.col("a") != F.col("b")) & cross & close)
+    near = unlike_pairs(left, right, ["species", "cell"], block).filter((F.col("a") != F.col("b")) & close)
     by_place = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return without_pairs(without_pairs(by_org.unionByName(by_place).distinct(), tombstones), decided)
 
@@ -126,29 +167,99 @@ def description_score(a: Column, b: Column) -> Column:
     return F.when((a["length"] >= 40) & (b["length"] >= 40), banded)
 
 
+SIGNALS = ("species", "sex", "name", "raw_breed_text", "age_group", "phashes")
+#: More than what rounding may take from a bound.
+SLACK = 1e-9
+
+
+def _known_records(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """The records of pairs, staged: pet_id, r (what is short, with length and number of grams of the description), grams. Readers of r alone read no grams."""
+    grams = gram_set(F.col("description"))
+    there = records.join(pairs.select(F.explode(F.array("a", "b")).alias("pet_id")).distinct(), "pet_id", "left_semi").withColumn("grams", grams)
+    return staged(there.select("pet_id", F.struct(*SIGNALS, F.length("description").alias("length"), F.size("grams").alias("n_grams")).alias("r"), "grams"), "scored-records")
+
+
+def _with_records(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """pairs with ra and rb; pairs are dealt out before, while they are two numbers each."""
+    side = lambda p: known.select(F.col("pet_id").alias(p), F.col("r").alias(f"r{p}"))
+    return spread(pairs).join(side("a"), "a").join(side("b"), "b")
+
+
+def _both_sides(name: str) -> tuple[Column, Column]:
+    return F.col(f"ra.{name}"), F.col(f"rb.{name}")
+
+
+def _vetoed() -> Column:
+    (x, y), (sx, sy) = _both_sides("species"), _both_sides("sex")
+    return (x != y) | ((sx != "unknown") & (sy != "unknown") & (sx != sy))
+
+
+def _sex_score(a: Column, b: Column) -> Column:
+    return F.when((a == "unknown") | (b == "unknown"), 0.5).otherwise(1.0)
+
+
+def _described(x: DataFrame, known: DataFrame) -> DataFrame:
+    """x with `_description`, for which the grams of both sides are read."""
+    side = lambda p: known.select(F.col("pet_id").alias(p), F.struct(F.col("r.length").alias("length"), "grams").alias(f"g{p}"))
+    met = x.join(side("a"), "a").join(side("b"), "b")
+    return met.withColumn("_description", F.when(~F.col("vetoed"), description_score(F.col("ga"), F.col("gb")))).drop("ga", "gb")
+
+
+def _weighed(signals: dict[str, Column], vetoed: Column) -> Column:
+    """The score: signals without evidence give their weight to the others; without photo evidence a pair is never merged unseen."""
+    total = sum((F.when(signals[k].isNotNull(), w).otherwise(0.0) for k, w in WEIGHTS.items()), F.lit(0.0))
+    score = sum((F.coalesce(signals[k] * w, F.lit(0.0)) for k, w in WEIGHTS.items()), F.lit(0.0)) / F.when(total > 0, total)
+    capped = F.when(signals["photo"].isNull(), F.least(score, F.lit(AUTO_MERGE - 0.01))).otherwise(score)
+    return F.when(vetoed, 0.0).otherwise(F.coalesce(capped, F.lit(0.0)))
+
+
+def _scored(x: DataFrame) -> DataFrame:
+    x = x.withColumn("score", _weighed({k: F.col(f"_{k}") for k in WEIGHTS}, F.col("vetoed")))
+    route = F.when(F.col("vetoed") | (F.col("score") < REVIEW), "drop").when(F.col("score") >= AUTO_MERGE, "auto").otherwise("review")
+    breakdown = F.create_map(*(y for k in WEIGHTS for y in (F.lit(k), F.col(f"_{k}"))))
+    return x.select("a", "b", "score", "vetoed", route.alias("route"), breakdown.alias("breakdown"))
+
+
 def pair_scores(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """pairs with score, vetoed, route (auto, review, drop) and breakdown (map of signals; null: no evidence).
 
     records: pet_id, species, sex, name, description, raw_breed_text, age_group, phashes. Another species or sex is a veto.
     Signals without evidence give their weight to the others; without photo evidence a pair is never merged unseen.
     """
-    about = F.struct(F.length("description").alias("length"), gram_set(F.col("description")).alias("grams")).alias("description")
-    names = ("species", "sex", "name", "raw_breed_text", "age_group", "phashes")
-    records = staged(records.join(pairs.select(F.explode(F.array("a", "b")).alias("pet_id")).distinct(), "pet_id", "left_semi").select("pet_id", F.struct(*names, about).alias("r")), "scored-records")
-    side = lambda p: records.select(F.col("pet_id").alias(p), F.col("r").alias(f"r{p}"))
-    x = spread(pairs.join(side("a"), "a").join(side("b"), "b"))
-    f = lambda n: (F.col(f"ra.{n}"), F.col(f"rb.{n}"))
-    sex = F.when((f("sex")[0] == "unknown") | (f("sex")[1] == "unknown"), 0.5).otherwise(1.0)
-    signals = {"photo": photo_score(*f("phashes")), "name": name_score(*f("name")), "description": description_score(*f("description")), "breed": breed_score(*f("raw_breed_text")), "age": age_score(*f("age_group")), "sex": sex}
-    vetoed = (f("species")[0] != f("species")[1]) | ((f("sex")[0] != "unknown") & (f("sex")[1] != "unknown") & (f("sex")[0] != f("sex")[1]))
-    x = x.withColumn("vetoed", vetoed).withColumns({f"_{k}": F.when(~F.col("vetoed"), v) for k, v in signals.items()})
-    total = sum((F.when(F.col(f"_{k}").isNotNull(), w).otherwise(0.0) for k, w in WEIGHTS.items()), F.lit(0.0))
-    score = sum((F.coalesce(F.col(f"_{k}") * w, F.lit(0.0)) for k, w in WEIGHTS.items()), F.lit(0.0)) / F.when(total > 0, total)
-    capped = F.when(F.col("_photo").isNull(), F.least(score, F.lit(AUTO_MERGE - 0.01))).otherwise(score)
-    x = x.withColumn("score", F.when(F.col("vetoed"), 0.0).otherwise(F.coalesce(capped, F.lit(0.0))))
-    route = F.when(F.col("vetoed") | (F.col("score") < REVIEW), "drop").when(F.col("score") >= AUTO_MERGE, "auto").otherwise("review")
-    breakdown = F.create_map(*(y for k in WEIGHTS for y in (F.lit(k), F.col(f"_{k}"))))
-    return x.select("a", "b", "score", "vetoed", route.alias("route"), breakdown.alias("breakdown"))
+    known = _known_records(pairs, records)
+    f = _both_sides
+    x = _with_records(pairs, known).withColumn("vetoed", _vetoed())
+    signals = {"photo": photo_score(*f("phashes")), "name": name_score(*f("name")), "breed": breed_score(*f("raw_breed_text")), "age": age_score(*f("age_group")), "sex": _sex_score(*f("sex"))}
+    x = x.select("a", "b", "vetoed", *(F.when(~F.col("vetoed"), v).alias(f"_{k}") for k, v in signals.items()))
+    return _scored(_described(x, known))
+
+
+def routed_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """The pairs that pair_scores does not drop, with the same columns.
+
+    Signals are taken in the order of their cost. Before each costly one stands a bound of the score: what is not known yet
+    counts as the most it can be (names are equal; breeds by whether they are equal or blank; grams of descriptions overlap
+    as far as their numbers allow), and pairs whose bound stays below a review go. So names are compared for pairs that can
+    still be reviewed, and grams are read and moved for pairs that can after that.
+    """
+    known = _known_records(pairs, records)
+    f = _both_sides
+    x = _with_records(pairs, known).withColumn("vetoed", _vetoed()).filter("NOT coalesce(vetoed, false)")
+    breeds = [F.trim(F.lower(F.coalesce(c, F.lit("")))) for c in f("raw_breed_text")]
+    breed_bound = F.when((breeds[0] == "") | (breeds[1] == ""), 0.5).when(breeds[0] == breeds[1], 1.0).otherwise(0.7)
+    (len_a, len_b), (n_a, n_b) = f("length"), f("n_grams")
+    overlap = F.least(n_a, n_b) / F.greatest(n_a, n_b)
+    bound = F.when(overlap >= 0.7 - SLACK, 1.0).when(overlap >= 0.4 - SLACK, overlap + SLACK).otherwise(0.0)
+    description_bound = F.when((len_a >= 40) & (len_b >= 40), bound)
+    cheap = {"photo": photo_score(*f("phashes")), "age": age_score(*f("age_group")), "sex": _sex_score(*f("sex"))}
+    x = x.withColumns({f"_{k}": v for k, v in cheap.items()} | {"description_bound": description_bound})
+    now = {k: F.col(f"_{k}") for k in cheap} | {"description": F.col("description_bound")}
+    hopeful = staged(x.filter(_weighed(now | {"name": F.lit(1.0), "breed": breed_bound}, F.col("vetoed")) >= REVIEW - SLACK), "hopeful-pairs")
+    x = hopeful.withColumns({"_name": name_score(*f("name")), "_breed": breed_score(*f("raw_breed_text"))}).drop("ra", "rb")
+    x = x.filter(_weighed(now | {"name": F.col("_name"), "breed": F.col("_breed")}, F.col("vetoed")) >= REVIEW - SLACK)
+    x = staged(x.drop("description_bound"), "likely-pairs")
+    discard(hopeful)
+    return _scored(_described(x, known)).filter("route <> 'drop'")
 
 
 #: Edges of one component that a task takes in.

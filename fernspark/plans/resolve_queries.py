@@ -105,6 +105,10 @@ def _scored(spark, sf_dir) -> DataFrame:
     return resolve.pair_scores(_candidates(spark, sf_dir), _records(spark, sf_dir))
 
 
+def _routed(spark, sf_dir, candidates: DataFrame | None = None) -> DataFrame:
+    return resolve.routed_pairs(resolve.staged(_candidates(spark, sf_dir), "candidates") if candidates is None else candidates, _records(spark, sf_dir))
+
+
 def pair_scores(spark, sf_dir):
     x = _scored(spark, sf_dir)
     signal = lambda k: F.coalesce(F.round(F.col("breakdown")[k], 6), F.lit(-1.0)).alias(k)
@@ -112,12 +116,15 @@ def pair_scores(spark, sf_dir):
 
 
 def pair_routes(spark, sf_dir):
-    return _scored(spark, sf_dir).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+    """All candidates by route; those that no bound lets through are dropped."""
+    pairs = resolve.staged(_candidates(spark, sf_dir), "candidates")
+    kept = resolve.routed_pairs(pairs, _records(spark, sf_dir)).select("a", "b", "route")
+    return pairs.join(kept, ["a", "b"], "left").groupBy(F.coalesce("route", F.lit("drop")).alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _merged(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     # Rounded, so that equal scores are ties whatever order they were summed in.
-    edges = resolve.staged(_scored(spark, sf_dir).filter("route = 'auto'").select("a", "b", F.round("score", 9).alias("score"), "breakdown"), "auto")
+    edges = resolve.staged(_routed(spark, sf_dir).filter("route = 'auto'").select("a", "b", F.round("score", 9).alias("score"), "breakdown"), "auto")
     facts = _records(spark, sf_dir).select("pet_id", "species", F.when(F.col("sex") != "unknown", F.col("sex")).alias("sex"))
     found = resolve.clusters(edges, _tombstones(spark, sf_dir), facts)
     p = F.col("pet_id")
@@ -134,7 +141,7 @@ def winner_election(spark, sf_dir):
 
 
 def survivorship(spark, sf_dir):
-    pets = _records(spark, sf_dir).select("pet_id", "sex", "age_group", "house_trained", F.when(F.col("pet_id") % 2 == 0, F.col("description")).otherwise(F.substring("description", 1, 100)).alias("description"), F.when(F.col("pet_id") % 3 == 0, "").otherwise(F.col("raw_breed_text")).alias("raw_breed_text"), F.array(F.concat(F.lit("t"), (F.col("pet_id") % 4).cast("string"))).alias("traits"))
+    pets = _records(spark, sf_dir).select("pet_id", "sex", "age_group", "house_trained", F.when(F.col("pet_id") % 2 == 0, F.col("description")).otherwise(F.concat_ws(" ", "name", "raw_breed_text")).alias("description"), F.when(F.col("pet_id") % 3 == 0, "").otherwise(F.col("raw_breed_text")).alias("raw_breed_text"), F.array(F.concat(F.lit("t"), (F.col("pet_id") % 4).cast("string"))).alias("traits"))
     out = resolve.survivors(_merged(spark, sf_dir)[2], pets)
     return out.select("winner", "members", "sex", "age_group", "house_trained", F.length("description").alias("description_length"), "raw_breed_text", F.array_join("traits", ",").alias("traits"))
 
@@ -161,8 +168,9 @@ def unmerge(spark, sf_dir):
 def review_queue(spark, sf_dir):
     edges, _, ranked = _merged(spark, sf_dir)
     lost = ranked.filter("node <> winner").select(F.col("node").alias("loser"))
-    queue = _candidates(spark, sf_dir).filter("(a + b) % 2 = 0").select(F.col("a").alias("pet_a"), F.col("b").alias("pet_b"), F.lit(0.7).alias("score"), F.when(F.col("a") % 2 == 0, "rejected").otherwise("pending").alias("status"))
-    out = resolve.review_queue(_scored(spark, sf_dir), queue, lost)
+    candidates = resolve.staged(_candidates(spark, sf_dir), "candidates")
+    queue = candidates.filter("(a + b) % 2 = 0").select(F.col("a").alias("pet_a"), F.col("b").alias("pet_b"), F.lit(0.7).alias("score"), F.when(F.col("a") % 2 == 0, "rejected").otherwise("pending").alias("status"))
+    out = resolve.review_queue(_routed(spark, sf_dir, candidates), queue, lost)
     return out.select("pet_a", "pet_b", F.round("score", 6).alias("score"), "status")
 
 
@@ -243,7 +251,7 @@ SELECT a.vec_id, a.phash, b.phash AS next, CAST(hamming(a.bits, b.bits) AS INTEG
     pair_routes: f"{_SCORES} SELECT route, count(*) AS n FROM routed GROUP BY route",
     merge_clusters: f"{_CLUSTERS} SELECT node AS pet_id, component FROM comp",
     winner_election: f"{_CLUSTERS} SELECT node AS pet_id, winner, rank FROM win",
-    survivorship: f"""{_CLUSTERS}, m AS (SELECT win.*, e.sex, e.age_group, e.house_trained, CASE WHEN node % 2 = 0 THEN e.description ELSE substring(e.description, 1, 100) END AS d, CASE WHEN node % 3 = 0 THEN '' ELSE breed END AS bt FROM win JOIN e ON e.pet_id = node)
+    survivorship: f"""{_CLUSTERS}, m AS (SELECT win.*, e.sex, e.age_group, e.house_trained, CASE WHEN node % 2 = 0 THEN e.description ELSE e.name || ' ' || breed END AS d, CASE WHEN node % 3 = 0 THEN '' ELSE breed END AS bt FROM win JOIN e ON e.pet_id = node)
 SELECT winner, count(*) AS members, coalesce(arg_min(sex, rank) FILTER (sex <> 'unknown'), 'unknown') AS sex, coalesce(arg_min(age_group, rank) FILTER (age_group <> 'unknown'), 'unknown') AS age_group, coalesce(arg_min(house_trained, rank) FILTER (house_trained <> 'unknown'), 'unknown') AS house_trained,
   CAST(max(length(d)) AS INTEGER) AS description_length, coalesce(arg_min(bt, rank) FILTER (bt <> ''), '') AS raw_breed_text, array_to_string(list_sort(list(DISTINCT 't' || node % 4)), ',') AS traits FROM m GROUP BY winner""",
     merge_events: f"{_EVENTS} SELECT winner, loser, 'scored_auto' AS method, round(score, 6) AS score, coalesce(round(photo, 6), -1) AS photo, coalesce(round(name, 6), -1) AS name, coalesce(round(description, 6), -1) AS description, (loser * 2) || ',' || (loser * 2 + 1) AS moved FROM ev",

@@ -191,22 +191,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, list_limit: int = L
     classes = scratch.staged(scan.filter("n > 0").groupBy(*key).agg(F.min("row").alias("cls"), F.min("doc_id").alias("rep")), "classes")
     nodes = scratch.staged(scan.join(classes.select(F.col("cls").alias("row")), "row").select(F.col("row").alias("cls"), "n", "sketch"), "nodes")
 
-    # Order of values: those in few sketches first, then frequent ones from the rarest up. Frequent ones are looked up only
-    # for classes that have too few others.
+    # Order of values: those in few sketches first, then frequent ones from the rarest up.
     values = nodes.select("cls", F.explode("sketch").alias("v"))
     frequent = scratch.staged(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > list_limit), "frequent")
     small = frequent.count() <= 100_000  # 1.6 MB
     often = F.broadcast(frequent) if small else frequent
-    nothing = F.array().cast("array<long>")
-    rare = values.join(often, "v", "left_anti").groupBy("cls").agg(F.array_sort(F.collect_list("v")).alias("rare"))
-    lengths = F.array(*(F.lit(prefix_length(size, percent)) for size in range(K + 1)))
-    ordered = nodes.join(rare, "cls", "left").select("cls", "n", "sketch", F.coalesce("rare", nothing).alias("rare"), F.get(lengths, F.size("sketch")).alias("prefix"))
-    ordered = scratch.staged(ordered.withColumn("rare", F.slice("rare", F.lit(1), F.col("prefix"))), "ordered")
-    needy = ordered.filter(F.size("rare") < F.col("prefix"))
-    hot = needy.select("cls", F.explode(F.array_except("sketch", "rare")).alias("v")).join(often, "v")
+    placed = values.join(often, "v", "left").select("cls", F.struct(F.coalesce("df", F.lit(0).cast("long")).alias("df"), "v").alias("x"))
     # How typical a class is of what is frequent: in how many sketches its frequent values are.
-    hot = hot.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("hot"), F.sum("df").alias("typical"))
-    hot = scratch.staged(hot.select("cls", F.col("hot.v").alias("hot"), "typical"), "hot")
+    placed = placed.groupBy("cls").agg(F.array_sort(F.collect_list("x")).alias("x"), F.sum("x.df").alias("typical"))
+    lengths = F.array(*(F.lit(prefix_length(size, percent)) for size in range(K + 1)))
+    prefix = F.slice("x", F.lit(1), F.get(lengths, F.size("x")))
+    chosen = nodes.join(placed.select("cls", prefix.alias("x"), "typical"), "cls")
+    of = lambda test: F.transform(F.filter("x", test), lambda y: y["v"])
+    ordered = scratch.staged(chosen.select("cls", "n", "sketch", "typical", of(lambda y: y["df"] == 0).alias("rare"), of(lambda y: y["df"] > 0).alias("hot")), "ordered")
 
     listed = ordered.select("cls", "n", F.explode("rare").alias("v"))
     lists = listed.groupBy("v").agg(F.collect_list(F.struct("n", "cls")).alias("m")).filter(F.size("m") > 1)  # at most list_limit each
@@ -220,11 +217,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, list_limit: int = L
     with_a = pairs.join(sketches.withColumnsRenamed({"cls": "a", "sketch": "sa"}), "a")
     with_both = with_a.join(sketches.withColumnsRenamed({"cls": "b", "sketch": "sb"}), "b").select("a", "b", "sa", "sb")
     likely = with_both.mapInArrow(lambda batches: _likely(batches, percent), "a long, b long")
-    likely = scratch.staged(likely.unionByName(_hot_pairs(ordered.join(hot, "cls"), percent, block, scratch)), "likely")
+    likely = scratch.staged(likely.unionByName(_hot_pairs(ordered.filter(F.size("hot") > 0), percent, block, scratch)), "likely")
 
     families = components(likely)
-    members = families.join(classes, families["node"] == classes["cls"]).join(hot.select("cls", "typical"), "cls", "left")
-    members = scratch.staged(members.select("cls", F.col("component").alias("family"), "rep", F.coalesce("typical", F.lit(0).cast("long")).alias("typical"), *key), "members")
+    members = families.join(classes, families["node"] == classes["cls"]).join(ordered.select("cls", "typical"), "cls")
+    members = scratch.staged(members.select("cls", F.col("component").alias("family"), "rep", "typical", *key), "members")
     links = scratch.staged(_exact_links(texts, members, percent, block, scratch), "links")
     groups = components(links)
     # The smallest identifier of each component, and back to the rows.
@@ -264,10 +261,9 @@ def _edges(cls: np.ndarray, left: np.ndarray, right: np.ndarray, found: list[tup
 def _hot_pairs(needy: DataFrame, percent: int, block: int, scratch: Scratch) -> DataFrame:
     """a, b: for each frequent value a spanning set of the likely pairs among all classes whose prefix holds it.
 
-    needy: cls, n, sketch, rare (fewer than prefix values), prefix, hot (frequent values from the rarest up), typical.
+    needy: cls, n, sketch, hot (the frequent values of its prefix), typical.
     """
-    needed = F.col("prefix") - F.size("rare")
-    asks = needy.select("cls", "n", "sketch", "typical", F.explode(F.slice("hot", F.lit(1), needed)).alias("v"))
+    asks = needy.select("cls", "n", "sketch", "typical", F.explode("hot").alias("v"))
     pivots = asks.groupBy("v").agg(F.max_by("cls", F.struct("typical", -F.col("cls"))).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("v", "pivot")
     pivots = pivots.join(needy.select(F.col("cls").alias("pivot"), F.col("n").alias("m"), F.col("sketch").alias("typical_sketch")), "pivot")
     top = np.iinfo(np.int64).max

@@ -190,12 +190,13 @@ def _both_sides(name: str) -> tuple[Column, Column]:
 
 
 def _vetoed() -> Column:
-    (x, y), (sx, sy) = _both_sides("species"), _both_sides("sex")
-    return (x != y) | ((sx != "unknown") & (sy != "unknown") & (sx != sy))
+    """Two species, of which one may be null, or two known sexes."""
+    (x, y), (sx, sy) = _both_sides("species"), (F.coalesce(c, F.lit("unknown")) for c in _both_sides("sex"))
+    return ~x.eqNullSafe(y) | ((sx != "unknown") & (sy != "unknown") & (sx != sy))
 
 
 def _sex_score(a: Column, b: Column) -> Column:
-    return F.when((a == "unknown") | (b == "unknown"), 0.5).otherwise(1.0)
+    return F.when((F.coalesce(a, F.lit("unknown")) == "unknown") | (F.coalesce(b, F.lit("unknown")) == "unknown"), 0.5).otherwise(1.0)
 
 
 def _described(x: DataFrame, known: DataFrame) -> DataFrame:
@@ -209,7 +210,7 @@ def _weighed(signals: dict[str, Column], vetoed: Column) -> Column:
     """The score: signals without evidence give their weight to the others; without photo evidence a pair is never merged unseen."""
     total = sum((F.when(signals[k].isNotNull(), w).otherwise(0.0) for k, w in WEIGHTS.items()), F.lit(0.0))
     score = sum((F.coalesce(signals[k] * w, F.lit(0.0)) for k, w in WEIGHTS.items()), F.lit(0.0)) / F.when(total > 0, total)
-    capped = F.when(signals["photo"].isNull(), F.least(score, F.lit(AUTO_MERGE - 0.01))).otherwise(score)
+    capped = F.when(signals["photo"].isNull() & score.isNotNull(), F.least(score, F.lit(AUTO_MERGE - 0.01))).otherwise(score)
     return F.when(vetoed, 0.0).otherwise(F.coalesce(capped, F.lit(0.0)))
 
 
@@ -244,7 +245,7 @@ def routed_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """
     known = _known_records(pairs, records)
     f = _both_sides
-    x = _with_records(pairs, known).withColumn("vetoed", _vetoed()).filter("NOT coalesce(vetoed, false)")
+    x = _with_records(pairs, known).withColumn("vetoed", _vetoed()).filter("NOT vetoed")
     breeds = [F.trim(F.lower(F.coalesce(c, F.lit("")))) for c in f("raw_breed_text")]
     breed_bound = F.when((breeds[0] == "") | (breeds[1] == ""), 0.5).when(breeds[0] == breeds[1], 1.0).otherwise(0.7)
     (len_a, len_b), (n_a, n_b) = f("length"), f("n_grams")
@@ -462,9 +463,14 @@ def dedup_photos(photos: DataFrame, order: list[Column], most: int = 4) -> DataF
 def reconcile_status(links: DataFrame, registry: DataFrame, as_of: Column, default_s: int = 72 * 3600) -> DataFrame:
     """pet_id, status: the most cautious status of its fresh listings; removed if none is fresh.
 
-    A listing is fresh for three intervals of its source (registry: source, interval_s), or default_s seconds.
+    A listing is fresh for three intervals of its source (registry: source, interval_s), or default_s seconds. A registry
+    that has sites (source, site, interval_s; null: the source has none) is looked up by source and site.
     """
-    x = links.join(registry.select("source", "interval_s"), "source", "left")
+    if "site" in registry.columns:
+        known = registry.select(F.col("source").alias("_source"), F.col("site").alias("_site"), "interval_s")
+        x = links.join(known, (F.col("source") == F.col("_source")) & F.col("site").eqNullSafe(F.col("_site")), "left")
+    else:
+        x = links.join(registry.select("source", "interval_s"), "source", "left")
     age = F.unix_micros(as_of) - F.unix_micros(F.col("last_seen_at").cast("timestamp"))
     fresh = age < F.coalesce(F.col("interval_s").cast("long") * 3, F.lit(default_s).cast("long")) * 1_000_000
     order = F.when(F.col("status") == "adopted", 3).when(F.col("status") == "pending", 2).when(F.col("status") == "available", 1).otherwise(0)

@@ -60,9 +60,9 @@ def miles_from(lat: float | Column, lon: float | Column) -> Column:
     return geo.haversine_miles(as_column(lat), as_column(lon), F.col("lat"), F.col("lon"))
 
 
-def first_photo(photos: DataFrame) -> DataFrame:
-    """pet_id, photo_url, photo_blur: of the primary photo with the smallest order; ties by part and supplier."""
-    order = F.struct(~F.col("is_primary"), "sort_order", "l_partkey", "l_suppkey")
+def first_photo(photos: DataFrame, ties: tuple[str, ...] = ("photo_id",)) -> DataFrame:
+    """pet_id, photo_url, photo_blur: of the primary photo with the smallest order; ties by the columns `ties`."""
+    order = F.struct(~F.col("is_primary"), "sort_order", *ties)
     first = photos.groupBy("pet_id").agg(F.min_by(F.struct("url", "blur"), order).alias("p"))
     return first.select("pet_id", F.col("p.url").alias("photo_url"), F.col("p.blur").alias("photo_blur"))
 
@@ -133,10 +133,10 @@ def hero_stats(pets: DataFrame, photos: DataFrame, newest: int = 48, faces: int
     return total.crossJoin(ranked.filter(F.col("face_rank") <= faces).select("face_rank", "pet_id", "photo_url"))  # one row by at most `faces`
 
 
-def pet_details(pets: DataFrame, orgs: DataFrame, photos: DataFrame, links: DataFrame) -> DataFrame:
-    """Pets with organisation, photos (array of structs in display order) and links (array of structs)."""
-    p = photos.select("pet_id", F.struct((~F.col("is_primary")).alias("later"), "sort_order", "l_partkey", "l_suppkey", "url").alias("x")).groupBy("pet_id").agg(F.array_sort(F.collect_list("x")).alias("photos"))
-    k = links.select("pet_id", F.struct("line_no", "l_partkey", "source", "status").alias("x")).groupBy("pet_id").agg(F.array_sort(F.collect_list("x")).alias("links"))
+def pet_details(pets: DataFrame, orgs: DataFrame, photos: DataFrame, links: DataFrame, ties: tuple[str, ...] = ("photo_id",), link_order: tuple[str, ...] = ("link_id",)) -> DataFrame:
+    """Pets with organisation, photos (array of structs in display order, ties by the columns `ties`) and links (array of structs, in `link_order`)."""
+    p = photos.select("pet_id", F.struct((~F.col("is_primary")).alias("later"), "sort_order", *ties, "url").alias("x")).groupBy("pet_id").agg(F.array_sort(F.collect_list("x")).alias("photos"))
+    k = links.select("pet_id", F.struct(*link_order, "source", "status").alias("x")).groupBy("pet_id").agg(F.array_sort(F.collect_list("x")).alias("links"))
     return pets.join(orgs.select("org_id", "org_name"), "org_id").join(p, "pet_id", "left").join(k, "pet_id", "left")
 
 

@@ -70,7 +70,7 @@ def reproject(pets: DataFrame, listings: DataFrame, links: DataFrame, changed: D
     l = links.select(*(F.col(k).alias(f"_{k}") for k in KEY), "pet_id")
     touched = changed.join(l, on(changed, l)).select("pet_id").distinct()
     every = l.join(touched, "pet_id", "left_semi")
-    status = reconcile_status(listings.join(every, on(listings, every)).select("pet_id", "source", "status", "last_seen_at"), registry, as_of)
+    status = reconcile_status(listings.join(every, on(listings, every)).select("pet_id", "source", "site", "status", "last_seen_at"), registry, as_of)
     return pets.join(status.withColumnRenamed("status", "_status"), "pet_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
 
 
@@ -99,10 +99,10 @@ def changed_keys(classified: DataFrame, completed: list[str] | None = None) -> D
     return classified.filter(F.col("kind").isin("new", "changed", "reappeared") | gone).select(*keys, F.when(gone, "removed").otherwise(F.col("kind")).alias("change"))
 
 
-def run_metrics(classified: DataFrame, quarantined: DataFrame, failed: list[str] = ()) -> DataFrame:
-    """source, fetched, duplicates, changed, removed, quarantined, ok; a source that failed removes nothing.
+def run_metrics(classified: DataFrame, quarantined: DataFrame, failed: list[str] = (), links: DataFrame | None = None) -> DataFrame:
+    """source, fetched, duplicates, changed, removed (listings), removed_pets, quarantined, ok; a source that failed removes nothing.
 
-    quarantined: source, n.
+    quarantined: source, n; links: key, pet_id, from which the distinct pets of removed listings are counted (without: null).
     """
     c = F.col
     n = lambda x: F.sum(x.cast("long"))
@@ -110,6 +110,13 @@ def run_metrics(classified: DataFrame, quarantined: DataFrame, failed: list[str]
     runs = classified.withColumn("source", F.coalesce("b.source", "s.source")).groupBy("source").agg(
         n(c("b").isNotNull()).alias("fetched"), F.sum(F.coalesce(c("b.copies"), F.lit(1)) - 1).alias("duplicates"), n(c("kind").isin("new", "changed", "reappeared")).alias("changed"), n(gone).alias("removed")
     )
+    pets = F.lit(None).cast("long")
+    if links is not None:
+        l = links.select(*(F.col(k).alias(f"_{k}") for k in KEY), "pet_id")
+        on = (c("s.source") == c("_source")) & c("s.site").eqNullSafe(c("_site")) & (c("s.external_id") == c("_external_id"))
+        lost = classified.withColumn("source", c("s.source")).filter(gone).join(l, on).groupBy("source").agg(F.count_distinct("pet_id").alias("removed_pets"))
+        runs, pets = runs.join(lost, "source", "left"), F.coalesce("removed_pets", F.lit(0).cast("long"))
+    runs = runs.withColumn("removed_pets", pets)
     out = runs.join(quarantined.select("source", F.col("n").alias("quarantined")), "source", "left")
     return out.withColumn("quarantined", F.coalesce("quarantined", F.lit(0).cast("long"))).withColumn("ok", ~c("source").isin(*failed, ""))
 
@@ -151,3 +158,10 @@ def staleness_ceiling(listings: DataFrame, source: str, as_of: Column, days: int
     swept = listings.withColumn("swept", old).withColumn("status", F.when(old, "removed").otherwise(F.col("status")))
     alert = listings.filter(old).agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select(F.lit("staleness_ceiling").alias("kind"), F.lit(source).alias("source"), "n")
     return swept, alert
+
+
+def sweep(listings: DataFrame, links: DataFrame, pets: DataFrame, registry: DataFrame, source: str, as_of: Column, days: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """staleness_ceiling, with the pets of swept listings reprojected over all their listings: listings, pets, alert."""
+    swept, alert = staleness_ceiling(listings, source, as_of, days)
+    after = reproject(pets, swept.drop("swept"), links, swept.filter("swept").select(*KEY), registry, as_of)
+    return swept.drop("swept"), after, alert

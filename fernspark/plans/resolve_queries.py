@@ -182,7 +182,10 @@ def photo_dedup(spark, sf_dir):
 def status_reconcile(spark, sf_dir):
     registry = view(spark, sf_dir, "links").select("source").distinct()
     days = F.create_map(*(F.lit(x) for pair in INTERVAL_DAYS.items() for x in pair))
-    registry = registry.select("source", (days[F.col("source")].cast("long") * 86400).alias("interval_s"))
+    # Every seventh site has no interval of its own, and every third one twice its source's.
+    sites = view(spark, sf_dir, "links").select("source", "site").distinct().filter("site % 7 <> 0")
+    times = F.when(F.col("site") % 3 == 0, 2).otherwise(1)
+    registry = registry.join(sites, "source").select("source", "site", (days[F.col("source")].cast("long") * times * 86400).alias("interval_s"))
     return resolve.reconcile_status(view(spark, sf_dir, "links"), registry, F.lit(LINKS_AS_OF).cast("timestamp"))
 
 
@@ -263,6 +266,6 @@ SELECT pet_a, pet_b, round(score, 6) AS score, CASE WHEN status = 'pending' AND
 o AS (SELECT pet_id, list([{'id': vec_id, 'bits': bits}] ORDER BY vec_id % 7 <> 0, vec_id) AS l FROM h GROUP BY pet_id),
 k AS (SELECT pet_id, unnest(list_reduce(l, lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: hamming(y.bits, x[1].bits) <= 24)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS s FROM o)
 SELECT pet_id, s.id AS photo_id FROM k""",
-    status_reconcile: f"""{with_views('links')}, f AS (SELECT pet_id, status, last_seen_at > TIMESTAMP '{LINKS_AS_OF}' - CASE source {' '.join(f"WHEN '{s}' THEN INTERVAL {3 * d} DAY" for s, d in INTERVAL_DAYS.items())} ELSE INTERVAL 3 DAY END AS fresh FROM links)
+    status_reconcile: f"""{with_views('links')}, f AS (SELECT pet_id, status, last_seen_at > TIMESTAMP '{LINKS_AS_OF}' - CASE source {' '.join(f"WHEN '{s}' THEN CASE WHEN site % 7 = 0 THEN INTERVAL 3 DAY WHEN site % 3 = 0 THEN INTERVAL {6 * d} DAY ELSE INTERVAL {3 * d} DAY END" for s, d in INTERVAL_DAYS.items())} ELSE INTERVAL 3 DAY END AS fresh FROM links)
 SELECT pet_id, CASE WHEN bool_or(fresh AND status = 'adopted') THEN 'adopted' WHEN bool_or(fresh AND status = 'pending') THEN 'pending' WHEN bool_or(fresh AND status = 'available') THEN 'available' ELSE 'removed' END AS status FROM f GROUP BY pet_id""",
 }

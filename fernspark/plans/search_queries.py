@@ -15,7 +15,7 @@ from .views import view, with_views
 PLACE = (34.0, -99.0)
 _MILES = "2 * 3958.8 * asin(least(1.0, sqrt(pow(sin(radians({lat} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({lat})) * pow(sin(radians({lon} - ({b})) / 2), 2))))"
 MILES = _MILES.format(lat="lat", lon="lon", a="34.0", b="-99.0")
-FIRST = """first_photo AS (SELECT pet_id, url AS photo_url, blur AS photo_blur FROM (SELECT *, row_number() OVER (PARTITION BY pet_id ORDER BY is_primary DESC, sort_order, l_partkey, l_suppkey) AS k FROM photos) WHERE k = 1)"""
+FIRST = """first_photo AS (SELECT pet_id, url AS photo_url, blur AS photo_blur FROM (SELECT *, row_number() OVER (PARTITION BY pet_id ORDER BY is_primary DESC, sort_order, photo_id) AS k FROM photos) WHERE k = 1)"""
 AGE_LABEL = "CASE age_group WHEN 'baby' THEN 'Baby' WHEN 'young' THEN 'Young' WHEN 'adult' THEN 'Adult' WHEN 'senior' THEN 'Senior' ELSE 'Age unknown' END"
 BREED_LABEL = "CASE WHEN raw_breed_text <> '' THEN raw_breed_text WHEN is_mixed THEN 'Mixed breed' ELSE 'Breed unknown' END"
 DOG = SearchFilter(species="dog", size=["s", "m", "l"], good_with=["kids"], lat=PLACE[0], lon=PLACE[1], radius=1000)
@@ -181,8 +181,8 @@ LEFT JOIN p ON p.species = b.species AND (b.zlat IS NULL OR {_MILES.format(lat='
     hero_stats: f"""{LP}, {FIRST}, a AS (SELECT * FROM listings WHERE status = 'available'), r AS (SELECT * FROM a ORDER BY updated_at DESC, pet_id DESC LIMIT 48),
 k AS (SELECT r.pet_id, photo_url, row_number() OVER (ORDER BY photo_url IS NULL, updated_at DESC, r.pet_id DESC) AS face_rank FROM r LEFT JOIN first_photo p ON p.pet_id = r.pet_id)
 SELECT (SELECT count(*) FROM a) AS total, CAST(face_rank AS INTEGER) AS face_rank, pet_id, photo_url FROM k WHERE face_rank <= 4""",
-    pet_detail_nested: f"""{with_views('listings', 'orgs', 'photos', 'links')}, p AS (SELECT pet_id, string_agg(url, ',' ORDER BY is_primary DESC, sort_order, l_partkey, l_suppkey, url) AS photo_urls FROM photos GROUP BY pet_id),
-k AS (SELECT pet_id, CAST(count(*) AS INTEGER) AS n_links, string_agg(source, ',' ORDER BY line_no, l_partkey, source, status) AS sources FROM links GROUP BY pet_id)
+    pet_detail_nested: f"""{with_views('listings', 'orgs', 'photos', 'links')}, p AS (SELECT pet_id, string_agg(url, ',' ORDER BY is_primary DESC, sort_order, photo_id) AS photo_urls FROM photos GROUP BY pet_id),
+k AS (SELECT pet_id, CAST(count(*) AS INTEGER) AS n_links, string_agg(source, ',' ORDER BY link_id, source, status) AS sources FROM links GROUP BY pet_id)
 SELECT l.pet_id, o.org_name, photo_urls, coalesce(n_links, 0) AS n_links, sources FROM listings l JOIN orgs o ON o.org_id = l.org_id LEFT JOIN p ON p.pet_id = l.pet_id LEFT JOIN k ON k.pet_id = l.pet_id""",
     filter_validation: f"""{with_views('saved')}, f AS (SELECT user_id, species, radius, user_id % 7 = 0 AS r, user_id % 11 = 0 AS la, user_id % 13 = 0 AS z, user_id % 17 = 0 AS li, user_id % 19 = 0 AS ag,
   user_id % 3 = 0 AND user_id % 13 <> 0 AND user_id % 5 = 1 AS np FROM saved),

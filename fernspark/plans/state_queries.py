@@ -69,7 +69,8 @@ def sync_changed_keys(spark, sf_dir):
 
 def sync_run_metrics(spark, sf_dir):
     bad = view(spark, sf_dir, "runs").groupBy(F.concat(F.lit("src"), (F.col("run_id") % 6).cast("string")).alias("source")).agg(F.sum("quarantined").alias("n"))
-    return sync.run_metrics(_classified(spark, sf_dir), bad, ["src5"])
+    state = view(spark, sf_dir, "state")
+    return sync.run_metrics(_classified(spark, sf_dir), bad, ["src5"], state.select("source", "site", "external_id", F.floor(F.col("external_id") / 40).alias("pet_id")))
 
 
 def sync_project_pets(spark, sf_dir):
@@ -98,6 +99,16 @@ def staleness_ceiling(spark, sf_dir):
     return counts.unionByName(alert.select("source", F.concat(F.lit("alert:"), "kind").alias("status"), "n"))
 
 
+def staleness_pets(spark, sf_dir):
+    """Pets of two listings each after a sweep of one source, whose intervals differ by site."""
+    listings = view(spark, sf_dir, "state").withColumn("last_seen_at", F.col("last_seen_at").cast("timestamp"))
+    links = listings.select("source", "site", "external_id", F.floor(F.col("external_id") / 2).alias("pet_id"))
+    pets = links.select("pet_id", F.lit("listed").alias("status")).distinct()
+    days = [("src3", "a0", 1), ("src3", "a1", 200), ("src0", None, 300)]
+    registry = spark.createDataFrame([(s, x, 86400 * d) for s, x, d in days], "source string, site string, interval_s long")
+    return sync.sweep(listings, links, pets, registry, "src3", _at("1996-01-01 00:00:00"), 900)[1].select("pet_id", "status")
+
+
 def _sources(runs: DataFrame) -> DataFrame:
     return runs.select("source").distinct().withColumn("interval_s", F.lit(INTERVAL_S))
 
@@ -285,8 +296,13 @@ SELECT k.pet_id, organization_id, new_name, new_city, new_lat FROM k LEFT JOIN w
     sync_suppress_unseen: f"{_SB}, {_CLASS} SELECT source, external_id, CASE WHEN {_GONE} THEN TIMESTAMP '{RUN_AT}' ELSE removed_at END AS removed_at FROM c WHERE kind = 'unseen' AND ({_GONE} OR removed_at IS NOT NULL)",
     sync_changed_keys: f"{_SB}, {_CLASS} SELECT source, site, external_id, CASE WHEN {_GONE} THEN 'removed' ELSE kind END AS change FROM c WHERE kind IN ('new', 'changed', 'reappeared') OR {_GONE}",
     sync_run_metrics: f"""{with_views('state', 'batch', 'runs')}, {_CLASS}, q AS (SELECT 'src' || run_id % 6 AS source, sum(quarantined) AS n FROM runs GROUP BY 1)
-SELECT c.source, count(*) FILTER (kind <> 'unseen') AS fetched, CAST(0 AS BIGINT) AS duplicates, count(*) FILTER (kind IN ('new', 'changed', 'reappeared')) AS changed, count(*) FILTER {_GONE} AS removed, CAST(coalesce(any_value(q.n), 0) AS BIGINT) AS quarantined, c.source <> 'src5' AS ok
+SELECT c.source, count(*) FILTER (kind <> 'unseen') AS fetched, CAST(0 AS BIGINT) AS duplicates, count(*) FILTER (kind IN ('new', 'changed', 'reappeared')) AS changed, count(*) FILTER {_GONE} AS removed, count(DISTINCT external_id // 40) FILTER {_GONE} AS removed_pets, CAST(coalesce(any_value(q.n), 0) AS BIGINT) AS quarantined, c.source <> 'src5' AS ok
 FROM c LEFT JOIN q ON q.source = c.source GROUP BY c.source""".replace("source <> 'src5') AS removed", "c.source <> 'src5') AS removed"),
+    staleness_pets: f"""{with_views('state')}, s AS (SELECT external_id // 2 AS pet_id, source, site, last_seen_at, CASE WHEN source = 'src3' AND last_seen_at < DATE '1996-01-01' - INTERVAL 900 DAY THEN 'removed' ELSE status END AS status, source = 'src3' AND last_seen_at < DATE '1996-01-01' - INTERVAL 900 DAY AND status <> 'removed' AS swept FROM state),
+f AS (SELECT *, CASE source WHEN 'src3' THEN CASE site WHEN 'a0' THEN 1 WHEN 'a1' THEN 200 END WHEN 'src0' THEN 300 END AS days FROM s WHERE pet_id IN (SELECT pet_id FROM s WHERE swept)),
+g AS (SELECT *, last_seen_at > DATE '1996-01-01' - CASE WHEN days IS NULL THEN INTERVAL 3 DAY ELSE INTERVAL 3 DAY * days END AS fresh FROM f),
+t AS (SELECT pet_id, CASE WHEN bool_or(fresh AND status = 'available') THEN 'available' ELSE 'removed' END AS status FROM g GROUP BY pet_id)
+SELECT p.pet_id, coalesce(t.status, 'listed') AS status FROM (SELECT DISTINCT pet_id FROM s) p LEFT JOIN t USING (pet_id)""",
     sync_project_pets: f"""{with_views('state', 'batch', 'listings')}, {_CLASS}, k AS (SELECT * FROM c WHERE kind IN ('new', 'changed', 'reappeared') OR {_GONE}),
 l AS (SELECT k.external_id, s.external_id IS NOT NULL AS linked, CASE WHEN k.external_id % 2 = 0 THEN p.lat + 1 END AS lat, CASE WHEN k.external_id % 2 = 0 THEN p.lon + 1 END AS lon
   FROM k JOIN listings p ON p.pet_id = k.external_id LEFT JOIN state s ON s.external_id = k.external_id AND s.external_id % 3 = 0)

@@ -30,9 +30,9 @@ SELECT o_orderkey AS pet_id, concat('Pet ', o_orderkey) AS name,
 FROM orders JOIN customer ON c_custkey=o_custkey CROSS JOIN (SELECT count(*) AS nsupp FROM supplier) z""",
     "photos": """
 SELECT l_orderkey AS pet_id, l_linenumber AS sort_order, l_returnflag='R' AS is_primary,
-  concat('https://img.example/', l_partkey, '-', l_suppkey, '.jpg') AS url, concat('data:image/webp;', l_partkey) AS blur, l_partkey, l_suppkey FROM lineitem""",
+  concat('https://img.example/', l_partkey, '-', l_suppkey, '.jpg') AS url, concat('data:image/webp;', l_partkey) AS blur, l_partkey, l_suppkey, (l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey AS photo_id FROM lineitem""",
     "links": """
-SELECT l_orderkey AS pet_id, l_linenumber AS line_no, l_partkey, l_suppkey,
+SELECT l_orderkey AS pet_id, l_linenumber AS line_no, (l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey AS link_id, l_partkey, l_suppkey,
   concat('src', ((l_suppkey) % (6))) AS source, l_suppkey AS site, ((l_suppkey) % (20)) AS org_id,
   CASE l_returnflag WHEN 'A' THEN 'available' WHEN 'N' THEN 'pending' ELSE 'adopted' END AS status,
   l_shipdate AS last_seen_at, lpad(cast(l_partkey AS STRING), 8, '0') AS org_internal_animal_id FROM lineitem""",

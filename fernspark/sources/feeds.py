@@ -37,11 +37,18 @@ def marked(text: Column, marker: str, end: str, keep: str = "") -> tuple[Column,
 
 
 def parse_widget(payloads: DataFrame) -> DataFrame:
-    """account, animal (struct), reason: the animals of widget scripts (columns account, body), one row per animal, or one with a reason."""
+    """account, animal (struct), raw, reason: the animals of widget scripts (columns account, body), one row per animal, or one with a reason.
+
+    raw is an animal's own JSON, with the fields that WIDGET_ANIMAL does not name too, or the whole body where it cannot be read.
+    """
     text, reason = marked(F.col("body"), "adoptables = ", "];", "]")
-    parsed = payloads.select("account", text.alias("json"), reason.alias("reason")).withColumn("animals", F.from_json("json", f"array<struct<{WIDGET_ANIMAL.replace(' ', ':').replace(',:', ',')}>>"))
+    parsed = payloads.select("account", "body", text.alias("json"), reason.alias("reason")).withColumn("animals", F.from_json("json", f"array<struct<{WIDGET_ANIMAL.replace(' ', ':').replace(',:', ',')}>>"))
     bad = F.coalesce("reason", F.when(F.col("animals").isNull(), "payload unreadable"))
-    return parsed.withColumn("reason", bad).select("account", F.explode_outer("animals").alias("animal"), "reason").filter("animal IS NOT NULL OR reason IS NOT NULL")
+    own = F.transform(F.from_json("json", "array<variant>"), lambda v: F.to_json(v))
+    both = F.transform("animals", lambda x, k: F.struct(x.alias("animal"), F.coalesce(F.get(own, k), F.to_json(x)).alias("raw")))
+    rows = parsed.withColumn("reason", bad).select("account", F.explode_outer(both).alias("x"), "reason", "body")
+    rows = rows.select("account", F.col("x.animal").alias("animal"), F.when(F.col("reason").isNotNull(), F.col("body")).otherwise(F.col("x.raw")).alias("raw"), "reason")
+    return rows.filter("animal IS NOT NULL OR reason IS NOT NULL")
 
 
 def picture_urls(account: Column, animal_id: Column, count: Column) -> Column:
@@ -68,7 +75,7 @@ def with_registry(animals: DataFrame, registry: DataFrame, names: DataFrame | No
 
 
 def widget_listings(animals: DataFrame, as_of: Column) -> DataFrame:
-    """Listings of widget animals with registry columns (see with_registry), with their reasons."""
+    """Listings of widget animals (as of parse_widget) with registry columns (see with_registry), with their reasons."""
     a = lambda name: F.col(f"animal.{name}")
     crossed = F.coalesce(a("CROSSBREED"), F.lit(0)) != 0
     notes = F.coalesce(blank_null(a("WEBSITEMEDIANOTES")), blank_null(a("ANIMALCOMMENTS")))
@@ -83,7 +90,7 @@ def widget_listings(animals: DataFrame, as_of: Column) -> DataFrame:
         F.when(~F.col("suppress_descriptions"), blank_null(strip(notes))).alias("description"), picture_urls(F.col("account"), a("ID"), a("WEBSITEIMAGECOUNT")).alias("photos"),
         F.when(blank_null(a("RESERVATIONDATE")).isNotNull(), "pending").otherwise("available").alias("status"), "city", F.col("region").alias("state"), F.lit(None).cast("string").alias("postcode"), "lat", "lon",
         F.col("account").alias("org_external_id"), "org_name", blank_null(a("SHELTERCODE")).alias("org_internal_animal_id"), attributes.alias("attributes"), F.array().cast("array<string>").alias("tags"),
-        geo.iso_time(a("MOSTRECENTENTRYDATE")).alias("published_at"), F.to_json("animal").alias("raw"),
+        geo.iso_time(a("MOSTRECENTENTRYDATE")).alias("published_at"), "raw",
     )
     return with_reasons(listed)
 
@@ -177,7 +184,7 @@ def read_widget(spark: SparkSession, path: str, registry: DataFrame, as_of: Colu
     parsed = parse_widget(spark.read.schema("account string, body string").json(path))
     animals, broken = parsed.filter("reason IS NULL"), parsed.filter("reason IS NOT NULL")
     good, bad = split(widget_listings(with_registry(animals, registry), as_of))
-    unread = broken.select(F.concat(F.lit(f"{WIDGET_SOURCE}:"), "account").alias("source_id"), F.lit(None).cast("string").alias("external_id"), F.array("reason").alias("reasons"), F.lit(None).cast("string").alias("raw"))
+    unread = broken.select(F.concat(F.lit(f"{WIDGET_SOURCE}:"), "account").alias("source_id"), F.lit(None).cast("string").alias("external_id"), F.array("reason").alias("reasons"), "raw")
     return good, bad.unionByName(unread)
 
 

@@ -33,6 +33,21 @@ def stream_reports(spark, sf_dir):
     return spark.read.schema("pet_id long, reporters long, batch int").parquet(out).groupBy("pet_id").agg(F.max("reporters").alias("reporters"))
 
 
+def stream_suppression(spark, sf_dir):
+    """Reports and changes of pets that arrive in four lots: pets that are suppressed in the end, and those that ever raised an alert."""
+    reports = view(spark, sf_dir, "reports").filter("NOT resolved").select("pet_id", F.lit("report").alias("kind"), F.col("fingerprint").cast("string").alias("fingerprint"), F.col("created_at").cast("timestamp").alias("at"), F.lit(None).cast("string").alias("status"))
+    pets = view(spark, sf_dir, "listings").select("pet_id").filter("pet_id % 12 < 4")
+    change = lambda p, at: pets.filter(p).select("pet_id", F.lit("change").alias("kind"), F.lit(None).cast("string").alias("fingerprint"), F.lit(at).cast("timestamp").alias("at"), F.lit("available").alias("status"))
+    events = reports.unionByName(change("pet_id % 4 = 0", "2024-01-12 00:00:00")).unionByName(change("pet_id % 6 = 1", "2024-01-20 00:00:00"))
+    landed, path, checkpoint = (_fresh(spark, f"suppression-{x}") for x in ("landed", "decisions", "checkpoint"))
+    for low, high in zip(LOTS, LOTS[1:]):
+        events.filter((F.col("at") >= low) & (F.col("at") < high)).write.mode("append").parquet(landed)
+        streams.run_suppression(spark.readStream.schema(streams.EVENTS).parquet(landed), path, checkpoint).awaitTermination()
+    decided = streams.decisions(spark, path)
+    last = decided.groupBy("pet_id").agg(F.max_by(F.struct("reporters", "suppressed"), "batch").alias("d")).filter("d.suppressed")
+    return last.select("pet_id", F.lit("suppressed").alias("what"), F.col("d.reporters").alias("n")).unionByName(decided.filter("alert").select("pet_id", F.lit("alert").alias("what"), F.lit(1).cast("long").alias("n")))
+
+
 def stream_sync(spark, sf_dir):
     """A feed that lands in two lots of sources, applied to the stored state; all sources but src5 are complete."""
     batch, state = view(spark, sf_dir, "batch"), view(spark, sf_dir, "state")
@@ -60,6 +75,12 @@ def stream_alerts(spark, sf_dir):
 _LOT = "CASE " + " ".join(f"WHEN finished_at < TIMESTAMP '{high}' THEN {k}" for k, high in enumerate(LOTS[1:])) + " END"
 QUERIES = {
     stream_reports: f"{with_views('reports')} SELECT pet_id, count(DISTINCT fingerprint) AS reporters FROM reports WHERE NOT resolved GROUP BY pet_id HAVING count(DISTINCT fingerprint) >= 3",
+    stream_suppression: f"""{with_views('reports', 'listings')}, x AS (SELECT pet_id, fingerprint, created_at AS tm, created_at AS finished_at FROM reports WHERE NOT resolved), r AS (SELECT *, {_LOT} AS lot FROM x),
+c AS (SELECT pet_id, tm, tm AS finished_at FROM (SELECT pet_id, TIMESTAMP '2024-01-12 00:00:00' AS tm FROM listings WHERE pet_id % 12 < 4 AND pet_id % 4 = 0 UNION ALL SELECT pet_id, TIMESTAMP '2024-01-20 00:00:00' FROM listings WHERE pet_id % 12 < 4 AND pet_id % 6 = 1)),
+d AS (SELECT *, {_LOT} AS lot FROM c), k AS (SELECT range AS lot FROM range(4)),
+m AS (SELECT k.lot, d.pet_id, max(d.tm) AS tm FROM k JOIN d ON d.lot <= k.lot GROUP BY ALL),
+n AS (SELECT k.lot, r.pet_id, count(DISTINCT fingerprint) AS n FROM k JOIN r ON r.lot <= k.lot LEFT JOIN m ON m.lot = k.lot AND m.pet_id = r.pet_id WHERE m.tm IS NULL OR r.tm > m.tm GROUP BY ALL HAVING count(DISTINCT fingerprint) >= 3)
+SELECT pet_id, 'suppressed' AS what, n FROM n WHERE lot = 3 UNION ALL SELECT DISTINCT pet_id, 'alert', 1 FROM n""",
     stream_sync: STATE_QUERIES[sync_next_listings],
     stream_alerts: f"""{with_views('runs')}, r AS (SELECT *, {_LOT} AS lot FROM runs WHERE finished_at >= TIMESTAMP '{LOTS[0]}' AND finished_at < TIMESTAMP '{LOTS[-1]}'), b AS (SELECT lot, max(finished_at) AS now FROM r GROUP BY lot), h AS (SELECT b.lot AS batch, b.now, r.* FROM b JOIN r ON r.lot <= b.lot),
 l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch, source ORDER BY finished_at DESC, run_id DESC) AS k FROM h WHERE ok) WHERE k = 1),

@@ -1,17 +1,19 @@
 """Streams: the report, sync and alert operators over arriving data.
 
-Each stream keeps only what its batch twin needs: distinct reporters per pet (unbounded, as reports stay valid until a
-pet changes), the last state of listings as a snapshot table, or the runs so far as a table.
+Each stream keeps only what its batch twin needs: per pet the reporters since its last change, the last state of listings as
+a snapshot table, or the runs so far as a table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import ops, sync
 
@@ -29,6 +31,64 @@ def run_reports(reports: DataFrame, sink: Callable[[DataFrame, int], None], chec
     return report_counts(reports, least).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
 
 
+#: Events of pets: reports (by a fingerprint), changes by a source (with the status it gives), and resolutions by an operator.
+EVENTS = "pet_id long, kind string, fingerprint string, at timestamp, status string"
+_KEPT = "changed_at timestamp, status string, alerted boolean, prints array<string>, ats array<timestamp>"
+DECISIONS = "pet_id long, reporters long, suppressed boolean, alert boolean, status string"
+
+
+def suppression_decisions(events: DataFrame, least: int = 3) -> DataFrame:
+    """A stream of decisions on pets, one per pet that had events, from a stream of EVENTS.
+
+    A pet's state is the time and status of its last change, its reporters with the time of their last report since then,
+    and whether an alert is open. Reports up to the last change (by their times, not by their arrival) do not count; a change
+    resets, and so does a resolution, which also closes the alert. `suppressed`: at least `least` reporters count now;
+    `alert`: the pet is suppressed and no alert was open; `status`: of the last change (null: none yet).
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        changed_at, status, alerted, prints, ats = state.get if state.exists else (None, None, False, [], [])
+        seen = dict(zip(prints, (pd.Timestamp(x) for x in ats)))
+        changed_at = None if changed_at is None else pd.Timestamp(changed_at)
+        for frame in frames:
+            reports = frame[(frame["kind"] == "report") & frame["fingerprint"].notna()].groupby("fingerprint")["at"].max()
+            for who, when in reports.items():
+                seen[who] = max(when, seen.get(who, when))
+            for kind, when, said in frame.loc[frame["kind"].isin(["change", "resolve"]), ["kind", "at", "status"]].itertuples(index=False):
+                alerted = alerted and kind != "resolve"
+                if changed_at is None or when > changed_at:
+                    changed_at, status = when, said if kind == "change" else status
+            if changed_at is not None:
+                seen = {k: v for k, v in seen.items() if v > changed_at}
+        suppressed = len(seen) >= least
+        alert = suppressed and not alerted
+        state.update((changed_at, status, alerted or alert, list(seen), list(seen.values())))
+        yield pd.DataFrame({"pet_id": [key[0]], "reporters": [len(seen)], "suppressed": [suppressed], "alert": [alert], "status": [status]})
+
+    return events.groupBy("pet_id").applyInPandasWithState(step, DECISIONS, _KEPT, "update", GroupStateTimeout.NoTimeout)
+
+
+def run_suppression(events: DataFrame, path: str, checkpoint: str, least: int = 3) -> StreamingQuery:
+    """Writes each micro-batch's decisions to a part of its own under `path` (batch=n; repeated after a failure it is overwritten)."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return suppression_decisions(events, least).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+
+
+def decisions(spark: SparkSession, path: str) -> DataFrame:
+    """All decisions so far, with their batch."""
+    return spark.read.schema(f"{DECISIONS}, batch int").option("basePath", path).parquet(path)
+
+
+def suppressed_pets(pets: DataFrame, decided: DataFrame) -> DataFrame:
+    """pets (pet_id, status, ...) by the last decision on each: suppressed ones are removed, others have the status of their last change, or their own."""
+    last = decided.groupBy("pet_id").agg(F.max_by(F.struct("suppressed", "status"), "batch").alias("_d"))
+    both = pets.join(last, "pet_id", "left")
+    return both.withColumn("status", F.when(F.col("_d.suppressed"), "removed").otherwise(F.coalesce("_d.status", "status"))).drop("_d")
+
+
 def sync_batch(state: DataFrame, batch: DataFrame, run_at, completed: list[str]) -> tuple[DataFrame, DataFrame]:
     """The next state and the changed keys of one landed batch; sources not in `completed` lose nothing."""
     classified = sync.classify(state, batch)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.text import age_label, breed_label, photo_alt
+from ..staging import Scratch, staged
 
 
 @dataclass(frozen=True)
@@ -155,7 +156,43 @@ def geo_clusters(pets: DataFrame, zoom: int) -> DataFrame:
     x, y = geo.mercator_cell(F.col("lat"), F.col("lon"), zoom)
     n = F.col("n")
     cells = known_places(pets).groupBy(x.alias("cell_x"), y.alias("cell_y")).agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    return cells.withColumn("circle", F.when(n < 5, 14).when(n < 15, 18).when(n < 50, 24).otherwise(30))
+    return cells.withColumn("circle", _circle(n))
+
+
+#: Zoom levels that are folded from one staged level.
+BAND = 4
+
+
+def geo_pyramid(pets: DataFrame, top: int = 16) -> DataFrame:
+    """Clusters of a map at all zoom levels from 0 to `top`: zoom, cell_x, cell_y, n, lat, lon, circle.
+
+    Pets are read once, for the cells of the top level with their count and sums of coordinates. A cell of a level is four
+    of the next, so each band of levels is folded from the cells of the band above, of which there are fewer each time.
+    """
+    scratch, bands = Scratch(), []
+    x, y = geo.mercator_cell(F.col("lat"), F.col("lon"), top)
+    sums = [F.sum(c).alias(c) for c in ("n", "lat_sum", "lon_sum")]
+    cells = known_places(pets).select(x.alias("cell_x"), y.alias("cell_y"), F.lit(1).alias("n"), F.col("lat").alias("lat_sum"), F.col("lon").alias("lon_sum"))
+    cells = scratch.staged(cells.groupBy("cell_x", "cell_y").agg(*sums), "cells")
+    bands.append(cells.select(F.lit(top).alias("zoom"), "*"))
+    while top > 0:
+        steps = min(BAND, top)
+        lower = cells.select(F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("down"), "*")
+        half = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("down"))).cast("long").alias(c)
+        lower = lower.select((F.lit(top) - F.col("down")).alias("zoom"), half("cell_x"), half("cell_y"), "n", "lat_sum", "lon_sum")
+        band = scratch.staged(lower.groupBy("zoom", "cell_x", "cell_y").agg(*sums), "cells")
+        bands.append(band)
+        top -= steps
+        cells = band.filter(F.col("zoom") == top).drop("zoom")
+    n = F.col("n")
+    every = staged(reduce(DataFrame.unionByName, bands), "pyramid")
+    scratch.discard()
+    return every.select("zoom", "cell_x", "cell_y", "n", (F.col("lat_sum") / n).alias("lat"), (F.col("lon_sum") / n).alias("lon"), _circle(n).alias("circle"))
+
+
+def _circle(n: Column) -> Column:
+    """The radius of a cluster's circle by its count."""
+    return F.when(n < 5, 14).when(n < 15, 18).when(n < 50, 24).otherwise(30)
 
 
 def map_features(pets: DataFrame) -> DataFrame:

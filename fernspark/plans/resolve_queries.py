@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashes import bits_to_hex, hamming
 from ..functions.text import clean_name, gram_set, jaccard, jaro_winkler
-from ..operators import resolve
+from ..operators import history, resolve
 from .search_queries import _MILES
 from .state_queries import LINKS_AS_OF
 from .views import table, view, with_views
@@ -179,6 +179,25 @@ def photo_dedup(spark, sf_dir):
     return resolve.dedup_photos(photos, [F.col("photo_id") % 7 != 0, F.col("photo_id")], 24)
 
 
+#: The event up to which the log of merges is read.
+UPTO = 30_004_000
+
+
+def history_replay(spark, sf_dir):
+    """Pets after a log of nested merges, some of them taken back: members, links, photos, and facts that survive."""
+    pets = view(spark, sf_dir, "listings").select("pet_id", "status", "sex", "age_group", "house_trained", "updated_at")
+    p = F.col("pet_id")
+    event = lambda test, kind, seq: pets.filter(test).select((seq + p).alias("seq"), F.lit(kind).alias("kind"), p.alias("loser"), (p - 1).alias("winner"))
+    log = event("pet_id % 7 = 3", "merge", F.lit(0)).unionByName(event("pet_id % 7 = 2", "merge", F.lit(10_000_000))).unionByName(event("pet_id % 14 = 3", "unmerge", F.lit(20_000_000))).unionByName(event("pet_id % 21 = 2", "unmerge", F.lit(30_000_000)))
+    standing = pets.select("pet_id", F.lit(1).alias("trust"), F.col("updated_at").alias("last_seen"))
+    days = [(s, d * 86400) for s, d in INTERVAL_DAYS.items()]
+    registry = spark.createDataFrame(days, "source string, interval_s long")
+    after, links, photos = history.state_at(log, UPTO, pets.drop("updated_at"), view(spark, sf_dir, "links"), view(spark, sf_dir, "photos"), standing, registry, F.lit(LINKS_AS_OF).cast("timestamp"))
+    count = lambda df, name: df.groupBy("pet_id").agg(F.count(F.lit(1)).alias(name))
+    out = after.join(count(links, "n_links"), "pet_id", "left").join(count(photos, "n_photos"), "pet_id", "left")
+    return out.select("pet_id", "members", "status", "sex", "age_group", "house_trained", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_links", "n_photos")))
+
+
 def status_reconcile(spark, sf_dir):
     registry = view(spark, sf_dir, "links").select("source").distinct()
     days = F.create_map(*(F.lit(x) for pair in INTERVAL_DAYS.items() for x in pair))
@@ -266,6 +285,14 @@ SELECT pet_a, pet_b, round(score, 6) AS score, CASE WHEN status = 'pending' AND
 o AS (SELECT pet_id, list([{'id': vec_id, 'bits': bits}] ORDER BY vec_id % 7 <> 0, vec_id) AS l FROM h GROUP BY pet_id),
 k AS (SELECT pet_id, unnest(list_reduce(l, lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: hamming(y.bits, x[1].bits) <= 24)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS s FROM o)
 SELECT pet_id, s.id AS photo_id FROM k""",
+    history_replay: f"""{with_views('listings', 'links', 'photos')}, m AS (SELECT pet_id, pet_id % 7 = 3 AND pet_id % 14 <> 3 OR pet_id % 7 = 2 AND NOT (pet_id % 21 = 2 AND 30000000 + pet_id <= {UPTO}) AS gone FROM listings),
+o AS (SELECT m.pet_id, CASE WHEN NOT m.gone THEN m.pet_id WHEN coalesce(n.gone, FALSE) THEN m.pet_id - 2 ELSE m.pet_id - 1 END AS owner FROM m LEFT JOIN m n ON n.pet_id = m.pet_id - 1),
+q AS (SELECT owner, l.*, row_number() OVER (PARTITION BY owner ORDER BY l.pet_id <> owner, updated_at DESC, l.pet_id) AS rank, count(*) OVER (PARTITION BY owner) AS members FROM o JOIN listings l USING (pet_id)),
+f AS (SELECT owner, CASE WHEN last_seen_at > TIMESTAMP '{LINKS_AS_OF}' - CASE source {' '.join(f"WHEN '{s}' THEN INTERVAL {3 * d} DAY" for s, d in INTERVAL_DAYS.items())} ELSE INTERVAL 3 DAY END THEN status END AS st FROM links JOIN o USING (pet_id)),
+k AS (SELECT owner, count(*) AS n_links, CASE WHEN bool_or(st = 'adopted') THEN 'adopted' WHEN bool_or(st = 'pending') THEN 'pending' WHEN bool_or(st = 'available') THEN 'available' ELSE 'removed' END AS st FROM f GROUP BY owner),
+h AS (SELECT owner, count(*) AS n_photos FROM photos JOIN o USING (pet_id) GROUP BY owner),
+g AS (SELECT owner, max(members) AS members, max(status) FILTER (rank = 1) AS status, coalesce(arg_min(sex, rank) FILTER (sex <> 'unknown'), 'unknown') AS sex, coalesce(arg_min(age_group, rank) FILTER (age_group <> 'unknown'), 'unknown') AS age_group, coalesce(arg_min(house_trained, rank) FILTER (house_trained <> 'unknown'), 'unknown') AS house_trained FROM q GROUP BY owner)
+SELECT owner AS pet_id, members, CASE WHEN members = 1 AND owner IN (SELECT pet_id FROM listings) THEN g.status ELSE coalesce(k.st, 'removed') END AS status, sex, age_group, house_trained, coalesce(n_links, 0) AS n_links, coalesce(n_photos, 0) AS n_photos FROM g LEFT JOIN k USING (owner) LEFT JOIN h USING (owner)""",
     status_reconcile: f"""{with_views('links')}, f AS (SELECT pet_id, status, last_seen_at > TIMESTAMP '{LINKS_AS_OF}' - CASE source {' '.join(f"WHEN '{s}' THEN CASE WHEN site % 7 = 0 THEN INTERVAL 3 DAY WHEN site % 3 = 0 THEN INTERVAL {6 * d} DAY ELSE INTERVAL {3 * d} DAY END" for s, d in INTERVAL_DAYS.items())} ELSE INTERVAL 3 DAY END AS fresh FROM links)
 SELECT pet_id, CASE WHEN bool_or(fresh AND status = 'adopted') THEN 'adopted' WHEN bool_or(fresh AND status = 'pending') THEN 'pending' WHEN bool_or(fresh AND status = 'available') THEN 'available' ELSE 'removed' END AS status FROM f GROUP BY pet_id""",
 }

@@ -122,6 +122,12 @@ def geo_cell_clusters(spark, sf_dir):
     return out.select("cell_x", "cell_y", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "circle")
 
 
+def geo_pyramid(spark, sf_dir):
+    """Clusters at all zoom levels."""
+    out = search.geo_pyramid(_listings(spark, sf_dir, SearchFilter()))
+    return out.select("zoom", "cell_x", "cell_y", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "circle")
+
+
 def map_features(spark, sf_dir):
     return search.map_features(_listings(spark, sf_dir, SearchFilter()))
 
@@ -192,6 +198,8 @@ SELECT user_id, faults = '' AS valid, faults, CASE WHEN faults = '' THEN species
     data_bounds: f"{L} SELECT min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon FROM listings WHERE lat IS NOT NULL",
     geo_cell_clusters: f"""{L}, c AS (SELECT CAST(floor((lon + 180) / 360 * {_WORLD}) AS BIGINT) AS cell_x, CAST(floor((0.5 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())) * {_WORLD}) AS BIGINT) AS cell_y, lat, lon FROM listings WHERE status = 'available' AND lat IS NOT NULL)
 SELECT cell_x, cell_y, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, CASE WHEN count(*) < 5 THEN 14 WHEN count(*) < 15 THEN 18 WHEN count(*) < 50 THEN 24 ELSE 30 END AS circle FROM c GROUP BY ALL""",
+    geo_pyramid: f"""{L}, c AS (SELECT CAST(z AS INTEGER) AS zoom, CAST(floor((lon + 180) / 360 * (512 * pow(2, z) / 50)) AS BIGINT) AS cell_x, CAST(floor((0.5 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())) * (512 * pow(2, z) / 50)) AS BIGINT) AS cell_y, lat, lon FROM listings, range(17) t(z) WHERE status = 'available' AND lat IS NOT NULL)
+SELECT zoom, cell_x, cell_y, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, CASE WHEN count(*) < 5 THEN 14 WHEN count(*) < 15 THEN 18 WHEN count(*) < 50 THEN 24 ELSE 30 END AS circle FROM c GROUP BY ALL""",
     map_features: f"{L} SELECT pet_id, name, lon, lat FROM listings WHERE status = 'available' AND lat IS NOT NULL",
     coarse_origins: f"""{with_views('orgs')} SELECT org_id, floor((lat / 3) * 100 + 0.5) / 100 AS lat, floor((lon / 3) * 100 + 0.5) / 100 AS lon,
   printf('%.3f,%.3f,%.3f,%.3f', lon / 3 - 1, lat / 3 - 1, lon / 3 + 1, lat / 3 + 1) AS viewport FROM orgs""",

@@ -58,7 +58,7 @@ def stream_sync(spark, sf_dir):
         feed.filter(F.col("source").isin(*sources)).write.mode("append").parquet(landed)
         stream = spark.readStream.schema(feed.schema).parquet(landed)
         streams.run_sync(stream, path, checkpoint, None if lot else first).awaitTermination()
-    return spark.read.parquet(f"{path}/generation=00000002").select("source", "site", "external_id", F.round("fee", 2).alias("fee"), "status", "last_seen_at", "first_seen_at", "removed_at", "version")
+    return streams.read_state(spark, path, streams.state_schema(feed), 2).select("source", "site", "external_id", F.round("fee", 2).alias("fee"), "status", "last_seen_at", "first_seen_at", "removed_at", "version")
 
 
 def stream_alerts(spark, sf_dir):

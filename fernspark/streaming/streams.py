@@ -95,33 +95,93 @@ def sync_batch(state: DataFrame, batch: DataFrame, run_at, completed: list[str])
     return sync.next_listings(classified, run_at, completed), sync.changed_keys(classified, completed)
 
 
-def run_sync(feed: DataFrame, path: str, checkpoint: str, first_state: DataFrame | None = None) -> StreamingQuery:
-    """Applies landed feed rows (key, content, status, run_at, complete) to generations of a snapshot table under `path`.
+#: Parts that the listings of one source are dealt to.
+BUCKETS = 8
+MANIFEST = "slot string, source string, batch int"
 
-    A micro-batch makes generation n + 1 from generation n; repeated after a failure it overwrites the same generation.
-    `complete` marks rows of a source whose whole feed has landed: only then are its unseen listings removed. first_state
-    (key, content, status, last_seen_at, first_seen_at, removed_at, version) is generation 0; None where the stream goes on.
+
+def _slots(df: DataFrame, buckets: int) -> DataFrame:
+    """df with slot: the source and a part of its keys, as the name of a folder."""
+    part = F.pmod(F.xxhash64(F.coalesce("site", F.lit("")), F.col("external_id").cast("string")), F.lit(buckets))
+    return df.withColumn("slot", F.concat(F.lower(F.hex(F.xxhash64("source"))), F.lit("-"), part.cast("string")))
+
+
+def _manifest(spark: SparkSession, path: str, number: int) -> dict[str, tuple[str, int]]:
+    """slot: (source, batch that wrote it) of one generation; sources times BUCKETS rows at most."""
+    return {r["slot"]: (r["source"], r["batch"]) for r in spark.read.schema(MANIFEST).parquet(f"{path}/manifest={number:08d}").collect()}
+
+
+def _write_manifest(spark: SparkSession, path: str, number: int, slots: dict[str, tuple[str, int]]) -> None:
+    rows = [(slot, source, batch) for slot, (source, batch) in sorted(slots.items())]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest={number:08d}")
+
+
+def _folders(path: str, slots: dict[str, tuple[str, int]]) -> list[str]:
+    return [f"{path}/data/batch={batch:08d}/slot={slot}" for slot, (_, batch) in sorted(slots.items())]
+
+
+def _write_slots(df: DataFrame, path: str, batch: int, buckets: int) -> dict[str, tuple[str, int]]:
+    """Writes rows by slot to a folder of this batch; the slots written."""
+    spark, at = df.sparkSession, f"{path}/data/batch={batch:08d}"
+    _slots(df, buckets).repartition("slot").write.mode("overwrite").partitionBy("slot").parquet(at)
+    found = spark.read.schema(f"{df.select('source').schema[0].simpleString().replace(':', ' ')}, slot string").parquet(at).select("slot", "source").distinct().collect()
+    return {r["slot"]: (r["source"], batch) for r in found}
+
+
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    for at in folders:
+        where = spark._jvm.org.apache.hadoop.fs.Path(at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def read_state(spark: SparkSession, path: str, schema: T.StructType, number: int) -> DataFrame:
+    """The state after `number` micro-batches."""
+    folders = _folders(path, _manifest(spark, path, number))
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def run_sync(feed: DataFrame, path: str, checkpoint: str, first_state: DataFrame | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+    """Applies landed feed rows (key, content, status, run_at, complete) to a snapshot table under `path`, kept by slots.
+
+    A slot is a part of one source's listings. A micro-batch reads the slots of its sources (of a source whose feed is not
+    complete only those that its rows fall into), writes them anew to a folder of its own, and a manifest: which batch
+    wrote each slot. Other slots are carried over by name. Repeated after a failure, a batch overwrites its own folder and
+    manifest. Slots that neither the last manifest nor the one before names are deleted. `complete` marks rows of a source
+    whose whole feed has landed: only then are its unseen listings removed. first_state (key, content, status, last_seen_at,
+    first_seen_at, removed_at, version) is manifest 0; None where the stream goes on. State is read with state_schema.
     """
+    schema = state_schema(feed)
     columns = [c for c in feed.columns if c not in ("run_at", "complete")]
-    state_columns = ["status", "last_seen_at", "first_seen_at", "removed_at", "version"]
-    kept = [*state_columns, *[c for c in columns if c not in state_columns]]
     if first_state is not None:
-        first_state.select(*kept).write.mode("overwrite").parquet(f"{path}/generation=00000000")
+        first = first_state.select(*(F.col(f.name).cast(f.dataType) for f in schema))
+        _write_manifest(first.sparkSession, path, 0, _write_slots(first, path, 0, buckets))
 
     def apply(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        state = spark.read.parquet(f"{path}/generation={number:08d}")
-        done = [r["source"] for r in batch.filter("complete").select("source").distinct().collect()]  # one row per source
+        slots = _manifest(spark, path, number)
+        last = set(_folders(path, _manifest(spark, path, number - 1))) if number else set()
         at = batch.agg(F.max("run_at")).first()[0]
-        if at is None:
-            state.write.mode("overwrite").parquet(f"{path}/generation={number + 1:08d}")
-            return
-        after, _ = sync_batch(state, batch.select(*columns), F.lit(at), done)
-        after.select(*kept).write.mode("overwrite").parquet(f"{path}/generation={number + 1:08d}")
+        fresh: dict[str, tuple[str, int]] = {}
+        if at is not None:
+            done = [r["source"] for r in batch.filter("complete").select("source").distinct().collect()]  # one row per source
+            hit = {r["slot"] for r in _slots(batch.select(*sync.KEY), buckets).select("slot").distinct().collect()}  # sources times buckets
+            touched = {k: v for k, v in slots.items() if k in hit or v[0] in done}
+            state = spark.read.schema(schema).parquet(*_folders(path, touched)) if touched else spark.createDataFrame([], schema)
+            after, _ = sync_batch(state, batch.select(*columns), F.lit(at), done)
+            fresh = _write_slots(after.select(*(F.col(f.name).cast(f.dataType) for f in schema)), path, number + 1, buckets)
+        _write_manifest(spark, path, number + 1, slots | fresh)
+        _delete(spark, sorted(last - set(_folders(path, slots))))
 
     return feed.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
 
 
+def state_schema(feed: DataFrame) -> T.StructType:
+    """Columns of the state that run_sync keeps for a feed."""
+    added = [("status", "string"), ("last_seen_at", "timestamp"), ("first_seen_at", "timestamp"), ("removed_at", "timestamp"), ("version", "int")]
+    content = [f for f in feed.schema if f.name not in ("run_at", "complete", *(n for n, _ in added))]
+    return T.StructType([*(T.StructField(n, T._parse_datatype_string(t)) for n, t in added), *(T.StructField(f.name, f.dataType) for f in content)])
+
+
 def run_alerts(runs: DataFrame, path: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Count-drop and validation alerts for sources with new runs, each batch with the history of all earlier ones.
 

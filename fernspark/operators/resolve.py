@@ -263,7 +263,7 @@ def routed_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return _scored(_described(x, known)).filter("route <> 'drop'")
 
 
-#: Edges of one component that a task takes in.
+#: Edges and forbidden pairs of one problem that a task takes in.
 CLUSTER_EDGES = 50_000
 
 
@@ -309,9 +309,11 @@ def clusters(edges: DataFrame, never: DataFrame, facts: DataFrame | None = None,
     facts: pet_id, species, sex (null: unknown). While a component holds such a pair, its weakest edge goes (ties: the
     largest ids). That comes to the same as taking edges from the strongest on, where two clusters that must not meet, and
     whatever would join them later, stay as they are. Components without a conflict are final at once. Others are worked
-    off one per task; one of more than `limit` edges is first cut in halves: the stronger half's components are found, those
-    with a conflict are problems of their own, the others are nodes of what the weaker half joins. So rounds grow with the
-    logarithm of a component's edges.
+    off one per task; one of more than `limit` edges and forbidden pairs is first cut in halves by its edges: the stronger
+    half's components are found, those with a conflict are problems of their own, the others are nodes of what the weaker
+    half joins, and forbidden pairs are contracted with them. A node without an edge in its problem is final and leaves it
+    with its pairs, so a task has at most `limit` edges and pairs, and twice as many nodes. Rounds grow with the logarithm of
+    a component's edges.
     """
     order = (F.desc("score"), F.col("a"), F.col("b"))
     lined_up = edges.select("a", "b", "score").filter("a <> b").repartitionByRange(*order).sortWithinPartitions(*order)
@@ -341,16 +343,22 @@ def clusters(edges: DataFrame, never: DataFrame, facts: DataFrame | None = None,
     members = nodes.select(F.col("node").alias("pet"), "node")
     turn = 0
     while True:
+        joined = staged(edges.select("prob", F.explode(F.array("a", "b")).alias("node")).distinct(), "joined")
+        live = lambda p: joined.withColumnRenamed("node", p)
+        nodes = nodes.join(joined, ["prob", "node"], "left_semi")
+        pairs = staged(pairs.join(live("a"), ["prob", "a"], "left_semi").join(live("b"), ["prob", "b"], "left_semi"), "pairs")
         sizes = edges.groupBy("prob").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("rank", 0.5).alias("cut"), F.max("rank").alias("top"))
-        big = staged(sizes.filter(F.col("n") > limit).select("prob", F.least("cut", F.col("top") - 1).alias("cut")), "large")
+        sizes = sizes.join(pairs.groupBy("prob").agg(F.count(F.lit(1)).alias("n_pairs")), "prob", "left")
+        heavy = (F.col("n") + F.coalesce("n_pairs", F.lit(0)) > limit) & (F.col("n") > 1)
+        big = staged(sizes.filter(heavy).select("prob", F.least("cut", F.col("top") - 1).alias("cut")), "large")
         if not big.limit(1).count():
             break
         turn += 1
         small = [x.join(big, "prob", "left_anti") for x in (edges, nodes, pairs)]
         cut = edges.join(big, "prob")
         strong, weak = cut.filter("rank <= cut").drop("cut"), cut.filter("rank > cut").drop("cut")
-        joined = components(strong)
-        own = staged(nodes.join(big.select("prob"), "prob").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "halves")
+        halves = components(strong)
+        own = staged(nodes.join(big.select("prob"), "prob").join(halves, "node", "left").withColumn("component", F.coalesce("component", "node")), "halves")
         odd = staged(in_conflict(own, "component", pairs.select("a", "b")).withColumn("bad", F.lit(True)), "conflicts")
         own = own.join(odd, "component", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
         fresh = F.xxhash64(F.lit(turn), F.lit("outer"), "prob", "component")

@@ -111,3 +111,38 @@ def test_bounded_routes_equal_scores(spark):
         resolve.staged = original
     assert {key(r) for r in kept} == {key(r) for r in every if r["route"] != "drop"} and 20 < len(kept)
     assert len(kept) <= dict(read)["likely-pairs"] < dict(read)["hopeful-pairs"] < len(every)
+
+
+def test_no_task_has_more_edges_and_pairs_than_the_limit(spark, monkeypatch):
+    """One component with few edges and far more forbidden pairs, against taking edges from the strongest on."""
+    rng, n, limit = random.Random(12), 160, 60
+    edges = {}
+    for k in range(1, n):
+        edges[rng.randrange(k), k] = 0.0
+    while len(edges) < 420:
+        a, b = sorted(rng.sample(range(n), 2))
+        edges[a, b] = 0.0
+    rows = [(a, b, 1 - i / 1000) for i, (a, b) in enumerate(rng.sample(sorted(edges), len(edges)))]
+    never = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(2500)} - {(a, b) for a, b, s in rows if s > 0.9}
+    whole = resolve._kept_apart
+
+    def bounded(table):
+        kinds = table.column("kind").to_pylist()
+        if len(kinds) - kinds.count("node") > limit or kinds.count("node") > 2 * limit:
+            raise ValueError(f"{len(kinds)} rows in one task")
+        return whole(table)
+
+    monkeypatch.setattr(resolve, "_kept_apart", bounded)
+    got = dict(map(tuple, resolve.clusters(spark.createDataFrame(rows, "a long, b long, score double"), spark.createDataFrame(sorted(never), "pet_a long, pet_b long"), limit=limit).collect()))
+    group, final = {k: {k} for k in range(n)}, set()
+    for a, b, _ in sorted(rows, key=lambda r: -r[2]):
+        x, y = group[a], group[b]
+        if x is y:
+            continue
+        if id(x) in final or id(y) in final or any(tuple(sorted((u, v))) in never for u in x for v in y):
+            final |= {id(x), id(y)}
+            continue
+        x |= y
+        for k in y:
+            group[k] = x
+    assert got == {k: min(g) for k, g in group.items()} and len(set(got.values())) > 5

@@ -23,11 +23,14 @@ def source_dark(sources: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame
     return sources.join(last, "source", "left").filter(late).select("source", F.lit("source_dark").alias("kind"), "finished_at")
 
 
-def count_drop(runs: DataFrame, as_of: Column, dark: DataFrame, share: float = 0.6) -> DataFrame:
-    """Sources whose latest run fetched less than `share` of the median of the last 7 days; dark ones are left out."""
+def count_drop(runs: DataFrame, as_of: Column, dark: DataFrame, share: float = 0.6, latest: DataFrame | None = None) -> DataFrame:
+    """Sources whose latest run fetched less than `share` of the median of the last 7 days; dark ones are left out.
+
+    latest: the latest successful run of each source, where it is known already and runs are those of the last 7 days only.
+    """
     week = runs.filter(F.col("ok") & (F.col("finished_at") > as_of - F.expr("INTERVAL 7 DAYS")) & (F.col("finished_at") <= as_of))
     median = week.groupBy("source").agg(F.percentile("fetched", 0.5).alias("median"))
-    last = latest_ok(runs).join(dark.select("source"), "source", "left_anti").select("source", "fetched")
+    last = (latest_ok(runs) if latest is None else latest).join(dark.select("source"), "source", "left_anti").select("source", "fetched")
     return last.join(median, "source").filter((F.col("median") > 0) & (F.col("fetched") < share * F.col("median"))).select("source", F.lit("count_drop").alias("kind"), "fetched", "median")
 
 

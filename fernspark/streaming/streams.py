@@ -183,26 +183,31 @@ def state_schema(feed: DataFrame) -> T.StructType:
 
 
 def run_alerts(runs: DataFrame, path: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Count-drop and validation alerts for sources with new runs, each batch with the history of all earlier ones.
+    """Count-drop and validation alerts for sources with new runs, each batch with what all earlier ones have told.
 
-    The history is a table under `path` to which each batch adds a part of its own (batch=n; repeated after a failure it
-    overwrites that part), so later batches see earlier ones, after a restart too. That a source is dark needs a clock, not
-    an event: ops.source_dark runs on a schedule.
+    Under `path` lie the successful runs by day (day=d/batch=n), of which a batch reads the days that its 7 days touch, and the latest
+    successful run of each source (latest/batch=n), made from that of the batch before. So what a batch reads does not
+    grow with the history. Both are overwritten by a batch that is repeated after a failure; runs that come again (source,
+    run_id) count once. That a source is dark needs a clock, not an event: ops.source_dark runs on a schedule.
     """
-    schema = T.StructType([*runs.schema.fields, T.StructField("batch", T.IntegerType())])
+    latest_at = lambda n: f"{path}/latest/batch={n}"
+    kept = T.StructType([T.StructField("day", T.DateType()), T.StructField("batch", T.IntegerType())])
 
     def apply(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        every = spark.read.schema(schema).option("basePath", path).parquet(path)
-        fresh = every.filter(F.col("batch") == number)
-        every = every.filter(F.col("batch") <= number).dropDuplicates(["source", "run_id"])
-        now = fresh.agg(F.max("finished_at")).first()[0]
+        dated = batch.filter("ok AND finished_at IS NOT NULL").select(*runs.columns, F.to_date("finished_at").alias("day"), F.lit(number).alias("batch"))
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{path}/days")
+        before = spark.read.schema(runs.schema).parquet(latest_at(number - 1)) if number else batch.limit(0)
+        ops.latest_ok(before.unionByName(batch)).select(*runs.columns).write.mode("overwrite").parquet(latest_at(number))
+        now = batch.agg(F.max("finished_at")).first()[0]
         if now is None:
             return
-        nothing = fresh.select("source").limit(0)
-        drop = ops.count_drop(every, F.lit(now), nothing).select("kind", "source")
-        bad = ops.validation_failures(every, nothing).select("kind", "source")
-        sink(drop.unionByName(bad).join(fresh.select("source").distinct(), "source", "left_semi"), number)
+        every = spark.read.schema(T.StructType([*runs.schema.fields, *kept.fields])).parquet(f"{path}/days")
+        week = every.filter((F.col("day") >= F.date_sub(F.to_date(F.lit(now)), 7)) & (F.col("day") <= F.to_date(F.lit(now))) & (F.col("batch") <= number)).dropDuplicates(["source", "run_id"])
+        latest = spark.read.schema(runs.schema).parquet(latest_at(number))
+        nothing = latest.select("source").limit(0)
+        drop = ops.count_drop(week, F.lit(now), nothing, latest=latest).select("kind", "source")
+        bad = ops.validation_failures(latest, nothing).select("kind", "source")
+        sink(drop.unionByName(bad).join(batch.select("source").distinct(), "source", "left_semi"), number)
 
     return runs.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()

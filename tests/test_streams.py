@@ -125,3 +125,21 @@ def test_a_log_of_merges_is_folded_to_any_event(spark):
     assert [sorted(map(str, x.select(*y.columns).collect())) for x, y in zip(whole, (pets, links, photos))] == [sorted(map(str, y.collect())) for y in (pets, links, photos)]
     with pytest.raises(ValueError, match="circle"):
         history.owners(spark.createDataFrame([(1, 2), (2, 1)], "loser long, winner long"))
+
+
+def test_alerts_read_a_week_and_the_latest_runs(spark, tmp_path):
+    schema = "source string, run_id long, finished_at timestamp, ok boolean, fetched long, quarantined long"
+    rng, rows, got = random.Random(3), [], {}
+    lots = [[(s, 1000 * day + 10 * k + i, DAY + timedelta(days=day, hours=3 * k), rng.random() < 0.8, rng.choice([100, 90, 20, 0]), rng.choice([0, 5, 40])) for i, s in enumerate("abc") for k in range(3)] for day in range(0, 24, 2)]
+    lots[5] += lots[2]  # runs that come again
+    path = str(tmp_path / "state")
+    for n, lot in enumerate(lots):
+        spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        streams.run_alerts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), path, lambda df, k: got.update({k: {tuple(r) for r in df.select("kind", "source").collect()}}), str(tmp_path / "check")).awaitTermination()
+        rows = list(dict.fromkeys(rows + lot))
+        every, now = spark.createDataFrame(rows, schema), max(r[2] for r in lot)
+        nothing = every.select("source").limit(0)
+        twin = ops.count_drop(every, F.lit(now), nothing).select("kind", "source").unionByName(ops.validation_failures(every, nothing).select("kind", "source"))
+        assert got[n] == {tuple(r) for r in twin.collect()}
+    assert sum(map(len, got.values())) > 10 and len(got) == len(lots)
+    assert spark.read.parquet(f"{path}/latest/batch={len(lots) - 1}").count() == 3

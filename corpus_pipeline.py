@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All stages but the last return the columns of documents. Repeated rows of one doc_id are one document and
 stay or go together; rows without a doc_id are scored, cut and packed, but never dropped as copies. An empty table stays
-empty through all stages.
+empty through all stages. Texts may be of any length; columns of docs may have any names but those that begin with `__`.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernspark.llm import exact_dedup, minhash, packing, quality_classifier, substring_dedup
-from fernspark.llm._spark import staged
+from fernspark.llm._spark import discard, staged
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -54,12 +54,15 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality_classifier", quality_stage), ("exact_dedup", exact_stage), ("minhash_near_dedup", near_stage), ("substring_dedup", substring_stage), ("packing", packing_stage)]
 
-#: Fits, chains and tokens are beyond SQL: the stages are tested against brute-force versions.
+#: Fits, chains and tokens are beyond SQL: each stage's operator is tested against a plain version, the whole with planted cases.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's table is deleted when the next one's is written."""
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*done)
+        done = [docs]
     return docs

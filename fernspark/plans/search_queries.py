@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import geo
 from ..functions.text import joined
 from ..model import BORDER
 from ..operators import filters, profiles, search
+from ..sources import places
+from ..staging import shared_dir
 from ..operators.search import SearchFilter
 from .views import view, with_views
 
@@ -122,6 +126,13 @@ def geo_cell_clusters(spark, sf_dir):
     return out.select("cell_x", "cell_y", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "circle")
 
 
+def search_places_table(spark, sf_dir):
+    """A radius search in a table of places that is written in Z-order."""
+    at = f"{shared_dir(spark)}/places-{uuid.uuid4().hex}"
+    places.write_places(view(spark, sf_dir, "listings").select("pet_id", "status", "lat", "lon"), at)
+    return places.near(spark, at, *PLACE, 250.0).select("pet_id", "status")
+
+
 def geo_pyramid(spark, sf_dir):
     """Clusters at all zoom levels."""
     out = search.geo_pyramid(_listings(spark, sf_dir, SearchFilter()))
@@ -198,6 +209,7 @@ SELECT user_id, faults = '' AS valid, faults, CASE WHEN faults = '' THEN species
     data_bounds: f"{L} SELECT min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon FROM listings WHERE lat IS NOT NULL",
     geo_cell_clusters: f"""{L}, c AS (SELECT CAST(floor((lon + 180) / 360 * {_WORLD}) AS BIGINT) AS cell_x, CAST(floor((0.5 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())) * {_WORLD}) AS BIGINT) AS cell_y, lat, lon FROM listings WHERE status = 'available' AND lat IS NOT NULL)
 SELECT cell_x, cell_y, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, CASE WHEN count(*) < 5 THEN 14 WHEN count(*) < 15 THEN 18 WHEN count(*) < 50 THEN 24 ELSE 30 END AS circle FROM c GROUP BY ALL""",
+    search_places_table: f"{L} SELECT pet_id, status FROM listings WHERE {MILES} <= 250",
     geo_pyramid: f"""{L}, c AS (SELECT CAST(z AS INTEGER) AS zoom, CAST(floor((lon + 180) / 360 * (512 * pow(2, z) / 50)) AS BIGINT) AS cell_x, CAST(floor((0.5 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())) * (512 * pow(2, z) / 50)) AS BIGINT) AS cell_y, lat, lon FROM listings, range(17) t(z) WHERE status = 'available' AND lat IS NOT NULL)
 SELECT zoom, cell_x, cell_y, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, CASE WHEN count(*) < 5 THEN 14 WHEN count(*) < 15 THEN 18 WHEN count(*) < 50 THEN 24 ELSE 30 END AS circle FROM c GROUP BY ALL""",
     map_features: f"{L} SELECT pet_id, name, lon, lat FROM listings WHERE status = 'available' AND lat IS NOT NULL",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from ..functions.hashes import content_hash
 from ..functions.text import lookup, tri, yes_no
 from ..model import WIDGET_AGES, WIDGET_SIZES, WIDGET_SPECIES
 from ..operators import normalize as norm
-from ..sources import feeds, snapshot
+from ..sources import feeds, snapshot, tables
+from ..staging import shared_dir
 from .views import table, view, with_views
 
 AS_OF = "2000-01-01 00:00:00"
@@ -95,8 +98,8 @@ def source_split_licensed(spark, sf_dir):
     return view(spark, sf_dir, "raw_animals").select("id", source.alias("s")).select("id", kind.alias("source"), site.alias("site"), licensed.alias("licensed"))
 
 
-def _widget(spark, sf_dir) -> DataFrame:
-    """Listings of raw animals through the whole widget path, with faults."""
+def _payloads(spark, sf_dir) -> DataFrame:
+    """Widget scripts of raw animals, with faults."""
     raw = view(spark, sf_dir, "raw_animals").withColumn("label", F.expr(PICK))
     i = F.col("id")
     animal = F.struct(
@@ -106,8 +109,12 @@ def _widget(spark, sf_dir) -> DataFrame:
     account = F.when(i % 31 != 0, F.col("account"))
     body = F.concat(F.lit("var adoptables = ["), F.array_join(F.collect_list(F.to_json("animal")), ","), F.lit("]; // end"))
     # A payload holds 200 animals at most.
-    payload = raw.select(account.alias("account"), animal.alias("animal"), F.floor(i / 200).alias("part")).groupBy("account", "part").agg(body.alias("body")).drop("part")
-    animals = feeds.parse_widget(payload).filter("reason IS NULL")
+    return raw.select(account.alias("account"), animal.alias("animal"), F.floor(i / 200).alias("part")).groupBy("account", "part").agg(body.alias("body")).drop("part")
+
+
+def _widget(spark, sf_dir) -> DataFrame:
+    """Listings of raw animals through the whole widget path."""
+    animals = feeds.parse_widget(_payloads(spark, sf_dir)).filter("reason IS NULL")
     return feeds.widget_listings(feeds.with_registry(animals, _registry(spark, sf_dir)), F.lit(AS_OF).cast("timestamp"))
 
 
@@ -116,6 +123,24 @@ def validate_quarantine(spark, sf_dir):
     return out.select("external_id", "source_id", "name", "species", "age", "status", "description", F.size("photos").alias("n_photos"), F.col("attributes")["kids_ok"].alias("kids_ok"), F.array_join("reasons", ",").alias("reasons"))
 
 
+def landed_widget_feed(spark, sf_dir):
+    """Widget payloads that have landed as JSON lines: good listings, and the quarantine with its reasons."""
+    at = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    _payloads(spark, sf_dir).write.json(at)
+    good, bad = feeds.read_widget(spark, at, _registry(spark, sf_dir), F.lit(AS_OF).cast("timestamp"))
+    return good.select("source_id", "external_id", F.lit("").alias("reasons")).unionByName(bad.select("source_id", "external_id", F.array_join("reasons", ",").alias("reasons")))
+
+
+def snapshot_generations(spark, sf_dir):
+    """Links as a generation of a snapshot table, of which one source is then replaced."""
+    at = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    links = view(spark, sf_dir, "links").select("pet_id", "source", "status")
+    folder = tables.write_snapshot(links, at, 3)
+    tables.replace_sources(links.filter("source = 'src1' AND pet_id % 2 = 0").withColumn("status", F.lit("swept")), folder)
+    back = tables.read_snapshot(spark, at, 3, "pet_id long, status string, source string")
+    return back.groupBy("source", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("pet_id").alias("ids"))
+
+
 def quarantine_report(spark, sf_dir):
     return feeds.quarantine_report(feeds.split(_widget(spark, sf_dir))[1])
 
@@ -212,6 +237,8 @@ FROM orders LEFT JOIN p ON l_orderkey = o_orderkey LEFT JOIN orgs g ON o_orderke
   coalesce(org_id % 7 = 3, FALSE) AS suppress_descriptions FROM raw_animals a LEFT JOIN reg ON reg.account = a.account""",
     source_split_licensed: f"{_RA} SELECT id, ['asm3', 'rescuegroups', 'csv'][id % 3 + 1] AS source, CASE id % 3 WHEN 0 THEN account WHEN 2 THEN 'a:' || id END AS site, id % 3 <> 2 AS licensed FROM raw_animals",
     validate_quarantine: f"{_LISTED} SELECT CAST(id AS VARCHAR) AS external_id, source_id, name, species, age, status, description, CAST(n_photos AS INTEGER) AS n_photos, kids_ok, reasons FROM x",
+    landed_widget_feed: f"{_LISTED} SELECT source_id, CAST(id AS VARCHAR) AS external_id, reasons FROM x",
+    snapshot_generations: f"{with_views('links')}, s AS (SELECT pet_id, source, CASE source WHEN 'src1' THEN 'swept' ELSE status END AS status FROM links WHERE source <> 'src1' OR pet_id % 2 = 0) SELECT source, status, count(*) AS n, CAST(sum(pet_id) AS BIGINT) AS ids FROM s GROUP BY ALL",
     quarantine_report: f"{_LISTED}, y AS (SELECT source_id, unnest(string_split(reasons, ',')) AS reason FROM x WHERE reasons <> '') SELECT source_id, reason, count(*) AS n FROM y GROUP BY ALL",
     normalize_tags: f"""{with_views('parts_tagged')} SELECT pet_id, coalesce(CASE kids_ok WHEN TRUE THEN 'true' WHEN FALSE THEN 'false' END, {_said('kids')}, 'unknown') AS compat_kids, coalesce({_said('dogs')}, 'unknown') AS compat_dogs,
   coalesce({_said('cats')}, 'unknown') AS compat_cats, coalesce({_said('house_trained')}, 'unknown') AS house_trained,

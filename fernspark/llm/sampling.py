@@ -35,13 +35,15 @@ CACHE_WORDS = 250_000
 SAMPLE_BYTES = 1 << 20
 #: Bytes or pieces of a word up to which all words of a block are worked on together; what is longer goes on word by word.
 LONG_WORD = 2048
+#: What the table of pieces says of bytes that are no piece, but that pieces begin with.
+BEGINNING = -2
 _U = np.uint64
 _MULT = _U(0x100000001B3)
 
 
 @dataclass
 class Vocabulary:
-    """Pieces as bytes (with spaces for the word mark), weights, byte pieces, and a table from hashes to pieces."""
+    """Pieces as bytes (with spaces for the word mark), weights, byte pieces, and a table from hashes to pieces and their beginnings."""
 
     pieces: list[bytes]
     weight: np.ndarray
@@ -67,13 +69,14 @@ class Vocabulary:
                 if b" " not in pieces[i][1:]:  # runs of spaces are spelt as single ones
                     weight[i] = -np.log(3 - max(model.get_score(i), -n))  # pieces that no merge makes have the last rank
         use = np.flatnonzero(weight > -np.inf)
-        keys = np.zeros(len(use), np.uint64)
-        for k, i in enumerate(use):
+        known: dict[int, int] = {}  # hashes of pieces, and of what pieces begin with
+        for i in use.tolist():
             h = 0
             for byte in pieces[i]:
                 h = (h * int(_MULT) + byte + 1) & 0xFFFFFFFFFFFFFFFF
-            keys[k] = h
-        keys = mix64(keys)
+                known.setdefault(h, BEGINNING)
+            known[h] = i
+        keys, use = mix64(np.fromiter(known, np.uint64, len(known))), np.fromiter(known.values(), np.int64, len(known))
         bits, slots = 20, []
         while len(use):
             at, first = np.unique(keys >> _U(64 - bits), return_index=True)
@@ -86,11 +89,15 @@ class Vocabulary:
         return cls(pieces, weight, byte_ids, max(map(len, pieces)), bits, slots)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The piece of each hash, or -1."""
+        """The piece of each hash, BEGINNING where pieces only begin so, or -1."""
         keys = mix64(hashes)
         at, out = (keys >> _U(64 - self.bits)).astype(np.int64), np.full(len(keys), -1, np.int32)
+        left = np.arange(len(keys))
         for known, ids in self.slots:
-            out = np.where((out < 0) & (known[at] == keys), ids[at], out)
+            same = known[at] == keys
+            out[left[same]] = ids[at[same]]
+            more = ~same & (ids[at] != -1)  # an empty slot has no further keys
+            left, at, keys = left[more], at[more], keys[more]
         return out
 
 
@@ -141,6 +148,8 @@ class Lattices:
             hit = np.flatnonzero(piece >= 0)
             found.append((live[hit], np.full(len(hit), length, np.int32), piece[hit], v.weight[piece[hit]]))
             bare[live[hit][width[live[hit]] == length]] = False
+            begun = piece != -1
+            live, h = live[begun], h[begun]
         alone = np.flatnonzero(bare & ((byte & 0xC0) != 0x80))
         found.append((alone, np.minimum(width[alone], left[alone]).astype(np.int32), np.full(len(alone), -1, np.int32), -np.log(2e5) * width[alone]))
         at, size, piece, weight = (np.concatenate(x) for x in zip(*found))
@@ -148,8 +157,9 @@ class Lattices:
         at, size, piece, weight = at[order], size[order], piece[order], weight[order]
         beta = np.zeros(int((n + 1).sum()))
         opened: set[int] = set()
-        by_level = np.argsort(left[at], kind="stable")
-        level = left[at][by_level]
+        level = left[at]
+        by_level = np.argsort(level.astype(np.uint16) if len(level) and level.max() < 1 << 16 else level, kind="stable")  # short keys are sorted by radix
+        level = level[by_level]
         cuts = np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1], [True]])) if len(level) else np.zeros(1, int)
         together = int(np.searchsorted(level[cuts[:-1]], LONG_WORD, side="right")) if len(level) else 0
         for a, b in zip(cuts[:together], cuts[1 : together + 1]):
@@ -178,7 +188,12 @@ class Lattices:
 
 def uniform(seed: np.ndarray, rows: np.ndarray, sample: int, place: np.ndarray, purpose: int) -> np.ndarray:
     """Numbers in (0, 1) that depend on the row's seed, the sample, the place in the text and the purpose alone."""
-    bits = mix64(mix64(seed + _U(sample * 16 + purpose))[rows] + place.astype(np.uint64))
+    return fractions(mix64(seed + _U(sample * 16 + purpose))[rows], place)
+
+
+def fractions(keys: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The numbers of uniform, from keys that seed, sample and purpose are mixed into."""
+    bits = mix64(keys + place.astype(np.uint64))
     return ((bits >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
@@ -217,23 +232,28 @@ class Sampler:
     def _walk(self, units: np.ndarray, skip: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Samples pieces of the given units from `skip` bytes on: pieces of each unit, and per step edge, place and whether it was the only one."""
         size, first, prob = self.l.size, self.l.first, self.l.prob
-        length = self.ends[units] - self.starts[units]
-        live, at = np.flatnonzero(skip < length), skip.copy()
-        counts, steps = np.zeros(len(units), np.int64), []
+        at, counts, steps = skip.copy(), np.zeros(len(units), np.int64), []
+        live = np.flatnonzero(skip < self.ends[units] - self.starts[units])
+        # Of the units that go on: node and place they have come to, their end, their row's first place and key of draws.
+        u, row = units[live], self.row[units[live]]
+        node, place, end = self.base[u] + skip[live], self.starts[u] + skip[live], self.ends[u]
+        origin, key = self.offs[row], mix64(self.seed + _U(sample * 16))[row]
         while len(live) and len(steps) < LONG_WORD:
-            u = units[live]
-            node, place, row = self.base[u] + at[live], self.starts[u] + at[live], self.row[u]
-            edge, last = first[node].copy(), first[node + 1] - 1
-            left = uniform(self.seed, row, sample, place - self.offs[row], 0) - prob[edge]
+            begin, last = first[node], first[node + 1] - 1
+            edge = begin.copy()
+            left = fractions(key, place - origin) - prob[edge]
             more = np.flatnonzero((left > 0) & (edge < last))
             while len(more):
                 edge[more] += 1
                 left[more] -= prob[edge[more]]
                 more = more[(left[more] > 0) & (edge[more] < last[more])]
-            steps.append((live, edge, place, last == first[node]))
+            steps.append((live, edge, place, last == begin))
             counts[live] += 1
-            at[live] += size[edge]
-            live = live[at[live] < length[live]]
+            step = size[edge]
+            node, place = node + step, place + step
+            go = np.flatnonzero(place < end)
+            live, node, place, end, origin, key = live[go], node[go], place[go], end[go], origin[go], key[go]
+        at[live] = place - self.starts[units[live]]
         rest = {k: self._walk_on(units[k], int(at[k]), sample) for k in live.tolist()}
         for k, (edges, _) in rest.items():
             counts[k] += len(edges)
@@ -292,7 +312,8 @@ class Sampler:
         begin = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
         each = np.diff(np.append(begin, len(r)))
         place = np.arange(len(r)) - np.repeat(begin, each)
-        low = np.where(place <= self.samples, mu - np.logaddexp(mu - path.value[r], np.log(37.0)), np.inf)
+        head, low = np.flatnonzero(place <= self.samples), np.full(len(r), np.inf)
+        low[head] = mu[head] - np.logaddexp(mu[head] - path.value[r[head]], np.log(37.0))
         bound = np.where(each > self.samples, np.minimum.reduceat(low, begin), -np.inf)
         keep = mu + 37 >= np.repeat(bound, each)
         at, r = at[keep], r[keep]

@@ -98,9 +98,9 @@ def source_split_licensed(spark, sf_dir):
     return view(spark, sf_dir, "raw_animals").select("id", source.alias("s")).select("id", kind.alias("source"), site.alias("site"), licensed.alias("licensed"))
 
 
-def _payloads(spark, sf_dir) -> DataFrame:
-    """Widget scripts of raw animals, with faults."""
-    raw = view(spark, sf_dir, "raw_animals").withColumn("label", F.expr(PICK))
+def _payloads(spark, sf_dir, keep: str = "true", per: int = 200) -> DataFrame:
+    """Widget scripts of raw animals, with faults; one holds an account's animals of `per` identifiers."""
+    raw = view(spark, sf_dir, "raw_animals").filter(keep).withColumn("label", F.expr(PICK))
     i = F.col("id")
     animal = F.struct(
         F.when(i % 23 != 0, i).alias("ID"), F.when(i % 29 == 0, "  ").otherwise(F.col("animal_name")).alias("ANIMALNAME"), F.col("label").alias("SPECIESNAME"), F.col("breed_name").alias("BREEDNAME"), F.col("good_with_kids").alias("ISGOODWITHCHILDRENNAME"),
@@ -108,8 +108,7 @@ def _payloads(spark, sf_dir) -> DataFrame:
     )
     account = F.when(i % 31 != 0, F.col("account"))
     body = F.concat(F.lit("var adoptables = ["), F.array_join(F.collect_list(F.to_json("animal")), ","), F.lit("]; // end"))
-    # A payload holds 200 animals at most.
-    return raw.select(account.alias("account"), animal.alias("animal"), F.floor(i / 200).alias("part")).groupBy("account", "part").agg(body.alias("body")).drop("part")
+    return raw.select(account.alias("account"), animal.alias("animal"), F.floor(i / per).alias("part")).groupBy("account", "part").agg(body.alias("body")).drop("part")
 
 
 def _widget(spark, sf_dir) -> DataFrame:

@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import feeds, landing
 from ..staging import shared_dir
 from ..streaming import streams
+from .ingest_queries import _LISTED, AS_OF, _payloads, _registry
 from .state_queries import QUERIES as STATE_QUERIES
 from .state_queries import sync_next_listings
 from .views import view, with_views
@@ -72,6 +74,32 @@ def stream_alerts(spark, sf_dir):
     return spark.read.schema("source string, kind string, batch int").parquet(out).select("batch", "kind", "source").distinct()
 
 
+def stream_landed_feed(spark, sf_dir):
+    """Widget payloads that land in two lots, streamed into a state, and the quarantine of both lots.
+
+    The second lot has the accounts of even numbers, all complete, without every third animal; payloads of every sixth
+    account have lost their ends, so nothing of those is removed.
+    """
+    folder, path, bad, checkpoint = (_fresh(spark, f"feed-{x}") for x in ("landed", "state", "quarantine", "checkpoint"))
+    registry, number = _registry(spark, sf_dir), F.substring("account", 5, 99).cast("long")
+    accounts = view(spark, sf_dir, "raw_animals").select("account", number.alias("n")).distinct()
+    source = F.concat(F.lit("asm3:"), "account")
+
+    def parse(rows):
+        good, quarantine = feeds.widget_feed(rows, registry, F.lit(AS_OF).cast("timestamp"))
+        return good.select(F.col("source_id").alias("source"), F.lit(None).cast("string").alias("site"), "external_id", "name", "species", "age", "description", "photos", "status"), quarantine
+
+    cut = F.when(number % 6 == 0, F.regexp_replace("body", "\\].*$", "")).otherwise(F.col("body"))
+    lots = [(_payloads(spark, sf_dir, per=20_000), accounts, STREAM_AT), (_payloads(spark, sf_dir, "id % 3 <> 0", per=20_000).filter(number % 2 == 0).withColumn("body", cut), accounts.filter("n % 2 = 0"), "1999-01-02 00:00:00")]
+    for payloads, whole, at in lots:
+        landing.land(payloads.select(source.alias("source"), "body"), folder, at, [r["s"] for r in whole.select(source.alias("s")).collect()])  # one row per source
+        streams.run_feed(spark, folder, path, bad, checkpoint, parse, buckets=1).awaitTermination()
+    state = streams.read_state(spark, path, streams.state_schema(parse(landing.landed(spark, folder, 0, 0))[0]), 2)
+    out = state.select(F.lit("listing").alias("kind"), "source", F.col("status").alias("what"), F.col("external_id").cast("long").alias("id"))
+    out = out.unionByName(spark.read.parquet(bad).select(F.lit("quarantine").alias("kind"), F.col("source_id").alias("source"), F.array_join("reasons", ",").alias("what"), F.col("external_id").cast("long").alias("id")))
+    return out.groupBy("kind", "source", "what").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("id"), F.lit(0)).alias("ids"))
+
+
 _LOT = "CASE " + " ".join(f"WHEN finished_at < TIMESTAMP '{high}' THEN {k}" for k, high in enumerate(LOTS[1:])) + " END"
 QUERIES = {
     stream_reports: f"{with_views('reports')} SELECT pet_id, count(DISTINCT fingerprint) AS reporters FROM reports WHERE NOT resolved GROUP BY pet_id HAVING count(DISTINCT fingerprint) >= 3",
@@ -82,6 +110,11 @@ m AS (SELECT k.lot, d.pet_id, max(d.tm) AS tm FROM k JOIN d ON d.lot <= k.lot GR
 n AS (SELECT k.lot, r.pet_id, count(DISTINCT fingerprint) AS n FROM k JOIN r ON r.lot <= k.lot LEFT JOIN m ON m.lot = k.lot AND m.pet_id = r.pet_id WHERE m.tm IS NULL OR r.tm > m.tm GROUP BY ALL HAVING count(DISTINCT fingerprint) >= 3)
 SELECT pet_id, 'suppressed' AS what, n FROM n WHERE lot = 3 UNION ALL SELECT DISTINCT pet_id, 'alert', 1 FROM n""",
     stream_sync: STATE_QUERIES[sync_next_listings],
+    stream_landed_feed: f"""{_LISTED}, y AS (SELECT *, CAST(substr(account, 5) AS BIGINT) AS o FROM x), z AS (
+  SELECT 'listing' AS kind, source_id AS source, CASE WHEN o % 2 = 0 AND o % 6 <> 0 AND id % 3 = 0 THEN 'removed' ELSE status END AS what, id FROM y WHERE reasons = ''
+  UNION ALL SELECT 'quarantine', source_id, reasons, id FROM y WHERE reasons <> '' UNION ALL SELECT 'quarantine', source_id, reasons, id FROM y WHERE reasons <> '' AND o % 2 = 0 AND o % 6 <> 0 AND k % 3 <> 0
+  UNION ALL SELECT 'quarantine', source_id, 'payload not terminated', NULL FROM (SELECT DISTINCT source_id, k // 20000 AS part FROM y WHERE o % 6 = 0 AND k % 3 <> 0))
+SELECT kind, source, what, count(*) AS n, CAST(coalesce(sum(id), 0) AS BIGINT) AS ids FROM z GROUP BY ALL""",
     stream_alerts: f"""{with_views('runs')}, r AS (SELECT *, {_LOT} AS lot FROM runs WHERE finished_at >= TIMESTAMP '{LOTS[0]}' AND finished_at < TIMESTAMP '{LOTS[-1]}'), b AS (SELECT lot, max(finished_at) AS now FROM r GROUP BY lot), h AS (SELECT b.lot AS batch, b.now, r.* FROM b JOIN r ON r.lot <= b.lot),
 l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch, source ORDER BY finished_at DESC, run_id DESC) AS k FROM h WHERE ok) WHERE k = 1),
 m AS (SELECT batch, source, quantile_cont(fetched, 0.5) AS median FROM h WHERE ok AND finished_at > now - INTERVAL 7 DAY AND finished_at <= now GROUP BY ALL), f AS (SELECT DISTINCT lot AS batch, source FROM r),

@@ -188,6 +188,20 @@ def read_widget(spark: SparkSession, path: str, registry: DataFrame, as_of: Colu
     return good, bad.unionByName(unread)
 
 
+def widget_feed(rows: DataFrame, registry: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Good listings, the last of each key, and quarantine of landed widget payloads (source, file, body, error; see sources.landing).
+
+    A source is WIDGET_SOURCE, a colon and the account. Payloads with an error, and bodies that cannot be parsed, go to the
+    quarantine whole.
+    """
+    held = rows.filter("file IS NOT NULL").withColumn("account", F.substring("source", len(WIDGET_SOURCE) + 2, 1 << 30))
+    quarantined = lambda df, reason, raw: df.select(F.concat(F.lit(f"{WIDGET_SOURCE}:"), "account").alias("source_id"), F.lit(None).cast("string").alias("external_id"), F.array(reason).alias("reasons"), F.col(raw).alias("raw"))
+    parsed = parse_widget(held.filter("error IS NULL"))
+    good, bad = split(widget_listings(with_registry(parsed.filter("reason IS NULL"), registry), as_of))
+    bad = bad.unionByName(quarantined(parsed.filter("reason IS NOT NULL"), F.col("reason"), "raw")).unionByName(quarantined(held.filter("error IS NOT NULL"), F.col("error"), "body"))
+    return latest(good, "raw"), bad
+
+
 def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Good listings and quarantine of landed pages (JSON lines: page_id, body)."""
     return split(page_listings(spark.read.schema("page_id string, body string").json(path)))

@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import ops, sync
+from ..sources import landing
+from ..staging import discard, staged
 
 
 def report_counts(reports: DataFrame, least: int = 3) -> DataFrame:
@@ -140,6 +142,23 @@ def read_state(spark: SparkSession, path: str, schema: T.StructType, number: int
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
+def _apply_lot(path: str, number: int, rows: DataFrame, at, done: list[str], schema: T.StructType, buckets: int) -> None:
+    """Writes generation number + 1: rows of a lot that ran at `at` (None: an empty one), in which the sources `done` are complete."""
+    spark: SparkSession = rows.sparkSession
+    slots = _manifest(spark, path, number)
+    last = set(_folders(path, _manifest(spark, path, number - 1))) if number else set()
+    fresh: dict[str, tuple[str, int]] = {}
+    if at is not None:
+        hit = {r["slot"] for r in _slots(rows.select(*sync.KEY), buckets).select("slot").distinct().collect()}  # sources times buckets
+        whole = set(done)
+        touched = {k: v for k, v in slots.items() if k in hit or v[0] in whole}
+        state = spark.read.schema(schema).parquet(*_folders(path, touched)) if touched else spark.createDataFrame([], schema)
+        after, _ = sync_batch(state, rows, F.lit(at), done)
+        fresh = _write_slots(after.select(*(F.col(f.name).cast(f.dataType) for f in schema)), path, number + 1, buckets)
+    _write_manifest(spark, path, number + 1, slots | fresh)
+    _delete(spark, sorted(last - set(_folders(path, slots))))
+
+
 def run_sync(feed: DataFrame, path: str, checkpoint: str, first_state: DataFrame | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """Applies landed feed rows (key, content, status, run_at, complete) to a snapshot table under `path`, kept by slots.
 
@@ -157,24 +176,55 @@ def run_sync(feed: DataFrame, path: str, checkpoint: str, first_state: DataFrame
         _write_manifest(first.sparkSession, path, 0, _write_slots(first, path, 0, buckets))
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        slots = _manifest(spark, path, number)
-        last = set(_folders(path, _manifest(spark, path, number - 1))) if number else set()
         at = batch.agg(F.max("run_at")).first()[0]
-        fresh: dict[str, tuple[str, int]] = {}
-        if at is not None:
-            done = [r["source"] for r in batch.filter("complete").select("source").distinct().collect()]  # one row per source
-            hit = {r["slot"] for r in _slots(batch.select(*sync.KEY), buckets).select("slot").distinct().collect()}  # sources times buckets
-            touched = {k: v for k, v in slots.items() if k in hit or v[0] in done}
-            state = spark.read.schema(schema).parquet(*_folders(path, touched)) if touched else spark.createDataFrame([], schema)
-            after, _ = sync_batch(state, batch.select(*columns), F.lit(at), done)
-            fresh = _write_slots(after.select(*(F.col(f.name).cast(f.dataType) for f in schema)), path, number + 1, buckets)
-        _write_manifest(spark, path, number + 1, slots | fresh)
-        _delete(spark, sorted(last - set(_folders(path, slots))))
+        done = [r["source"] for r in batch.filter("complete").select("source").distinct().collect()]  # one row per source
+        _apply_lot(path, number, batch.select(*columns), at, done, schema, buckets)
 
     return feed.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
 
 
+def _generations(spark: SparkSession, path: str) -> int:
+    """How many generations of the state are whole."""
+    n, hadoop = 0, spark._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    while system.exists(hadoop(f"{path}/manifest={n:08d}/_SUCCESS")):
+        n += 1
+    return n
+
+
+def run_feed(spark: SparkSession, landed: str, path: str, quarantine: str, checkpoint: str, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], first_state: DataFrame | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+    """Applies a folder of landed payloads (sources.landing) to a snapshot table as run_sync keeps it, and parts off what fails.
+
+    parse: a lot's rows to good listings (key, content, status; one row per key) and a quarantine with a column `reasons`, in
+    which a payload that could not be read as a whole has external_id null and a reason that begins with 'payload'. Such a
+    source is not complete in that lot: its good listings count, but nothing of it is removed. A complete source without
+    payloads loses all. Lots of one micro-batch are applied one after the other; generation n + 1 is the state after lot n.
+    A lot's quarantine is written to lot=n before its generation, and a repeated micro-batch passes over lots whose
+    generation is whole, so each lot counts once. first_state: as in run_sync.
+    """
+    rows = landing.landed_stream(spark, landed)
+    schema = state_schema(parse(landing.landed(spark, landed, 0, 0))[0])
+    if not _generations(spark, path):
+        first = spark.createDataFrame([], schema) if first_state is None else first_state.select(*(F.col(f.name).cast(f.dataType) for f in schema))
+        _write_manifest(spark, path, 0, _write_slots(first, path, 0, buckets))
+
+    def apply(batch: DataFrame, _: int) -> None:
+        batch.persist()  # payload files are read once; lost blocks are read again
+        lots = {r["lot"]: r["at"] for r in batch.groupBy("lot").agg(F.max("run_at").alias("at")).collect()}
+        for lot in sorted(set(lots) - set(range(_generations(spark, path) - 1))):
+            one = batch.filter(F.col("lot") == lot)
+            good, bad = parse(one)
+            good = staged(good, "lot")
+            bad.write.mode("overwrite").parquet(f"{quarantine}/lot={lot}")
+            failed = spark.read.schema(bad.schema).parquet(f"{quarantine}/lot={lot}").filter(F.col("external_id").isNull() & F.exists("reasons", lambda r: r.startswith("payload")))
+            whole = one.filter("complete").select("source").distinct().join(failed.select(F.col("source_id").alias("source")).distinct(), "source", "left_anti")
+            _apply_lot(path, lot, good, lots[lot], [r["source"] for r in whole.collect()], schema, buckets)  # one row per source
+            discard(good)
+        batch.unpersist()
+
+    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
+
+
 def state_schema(feed: DataFrame) -> T.StructType:
     """Columns of the state that run_sync keeps for a feed."""
     added = [("status", "string"), ("last_seen_at", "timestamp"), ("first_seen_at", "timestamp"), ("removed_at", "timestamp"), ("version", "int")]

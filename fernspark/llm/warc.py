@@ -108,13 +108,16 @@ def parse_fields(raw: bytes) -> dict[str, str]:
 
 
 class _Window:
-    """A file read in stretches, of which the last is kept: small records cost no read of their own, skipped ones none at all."""
+    """A file read in stretches, of which the last is kept: small records cost no read of their own, skipped ones none at all.
+
+    What is read is cut short by the file's end only, never by a stretch's: a member's first bytes tell what it is.
+    """
 
     def __init__(self, file: pa.NativeFile):
-        self.file, self.begin, self.held = file, 0, b""
+        self.file, self.begin, self.held, self.size = file, 0, b"", file.size()
 
     def read(self, at: int, size: int) -> bytes:
-        if not self.begin <= at < self.begin + len(self.held):
+        if at < self.begin or min(at + size, self.size) > self.begin + len(self.held):
             self.file.seek(at)
             self.begin, self.held = at, self.file.read(max(size, READ_BYTES))
         return self.held[at - self.begin : at - self.begin + size]

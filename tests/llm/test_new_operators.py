@@ -301,3 +301,16 @@ def test_only_committed_files_are_read(spark, tmp_path):
     assert warc.read_pages(spark, at).count() == 4
     warc.page_records(pages.limit(1), "2024-01-01T00:00:00Z").write.format("warc").mode("overwrite").save(at)
     assert warc.read_pages(spark, at).count() == 1 and len([*tmp_path.glob("*.warc*")]) == 1
+
+
+def test_a_member_may_begin_in_the_last_bytes_of_a_stretch(tmp_path, monkeypatch):
+    block = b"HTTP/1.0 200 OK\r\n\r\n" + random.Random(1).randbytes(9000)
+    one = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:1>"), ("Content-Type", "application/http")], block)
+    for pack in (warc.gzip_member, gzip.compress, bytes):
+        first = pack(one)
+        (tmp_path / "a").write_bytes(first * 3)
+        for left in (1, 2, 11, 12, 25):
+            monkeypatch.setattr(warc, "READ_BYTES", len(first) + left)
+            with pafs.LocalFileSystem().open_input_file(str(tmp_path / "a")) as f:
+                got = list(warc.scan(f, "a", warc.Wanted(["offset", "payload"], [])))
+            assert [r["offset"] for r in got] == [0, len(first), 2 * len(first)] and {r["payload"] for r in got} == {block[19:]}

@@ -73,3 +73,18 @@ def test_a_source_that_cannot_be_read_loses_nothing(spark, tmp_path):
     assert {h[:4] for h in held} == {(1, "asm3:b", None, ("payload not terminated",)), (1, "asm3:e", None, ("missing id",))} and "var adoptables = [{" in {h[4] for h in held}
     assert run() == expected  # nothing new
     assert run(str(tmp_path / "other")) == expected  # all lots again, without a checkpoint: each counts once
+
+
+def test_an_account_that_lost_all_its_payloads_loses_no_listing(spark, tmp_path):
+    """With 9 suppliers accounts go by threes with identifiers, so every sixth sends nothing in the second lot."""
+    import duckdb
+
+    from fernspark.plans import stream_queries
+
+    con = duckdb.connect()
+    for name, rows in (("supplier", 9), ("part", 200), ("nation", 25)):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(rows).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(str, map(tuple, stream_queries.stream_landed_feed(spark, str(tmp_path)).select("kind", "source", "what", "n", "ids").collect())))
+    want = con.execute(f"SELECT kind, source, what, n, ids FROM ({stream_queries.QUERIES[stream_queries.stream_landed_feed]})").fetchall()
+    assert got == sorted(map(str, want)) and len(got) > 20

@@ -51,6 +51,19 @@ def test_a_resolution_closes_the_alert(spark, tmp_path):
     assert [(r["reporters"], r["suppressed"], r["alert"]) for r in got] == [(3, True, True), (4, True, False), (0, False, False), (3, True, True)]
 
 
+def test_a_micro_batch_of_events_writes_the_slots_of_its_pets_only(spark, tmp_path):
+    report = lambda pet, who, hour: (pet, "report", who, DAY + timedelta(hours=hour), None)
+    lots = [[report(k, w, 1) for k in (*range(40), None) for w in "ab"], [report(7, "c", 2), report(None, "c", 2), (8, "change", None, DAY, "adopted")], [report(7, "a", 3)]]
+    at, out = str(tmp_path / "out" / "_state"), str(tmp_path / "out")
+    for lot in lots:
+        spark.createDataFrame(lot, streams.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        streams.run_suppression(spark.readStream.schema(streams.EVENTS).parquet(str(tmp_path / "in")), out, str(tmp_path / "check"), buckets=16).awaitTermination()
+    slots = {k: b for k, (_, b) in streams._manifest(spark, at, 3).items()}
+    assert sum(b == 3 for b in slots.values()) == 1 and sum(b == 1 for b in slots.values()) >= 5
+    got = {(r["batch"], r["pet_id"]): (r["reporters"], r["suppressed"], r["alert"], r["status"]) for r in streams.decisions(spark, out).filter("batch > 0").collect()}
+    assert got == {(1, 7): (3, True, True, None), (1, None): (3, True, True, None), (1, 8): (2, False, False, "adopted"), (2, 7): (3, True, False, None)}
+
+
 FEED = "source string, site string, external_id string, status string, name string, run_at timestamp, complete boolean"
 
 

@@ -225,3 +225,17 @@ def test_takedowns_stay_out(spark):
     new = spark.createDataFrame([(1, "l", ["bad", "u2", "u1", "u3"])], "pet_id long, listing_id string, urls array<string>")
     got = sync.replace_photos(old, new, spark.createDataFrame([("bad",)], "url string"), 3).collect()
     assert {(r["listing_id"], r["url"], r["phash"], r["is_primary"], r["sort_order"]) for r in got} == {("m", "u9", "", True, 0), ("l", "u2", "", True, 0), ("l", "u1", "h1", False, 1)}
+
+
+def test_a_large_source_of_a_snapshot_is_written_by_several_tasks(spark, tmp_path):
+    from fernspark.sources import tables
+
+    rows = spark.range(20_000).select(F.col("id"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("source"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        at = tables.write_snapshot(rows, str(tmp_path), 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = {s: len(list((tmp_path / "generation=00000001" / f"source={s}").glob("*.parquet"))) for s in "ab"}
+    assert files["a"] > 1 and sum(files.values()) <= int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    assert spark.read.parquet(at).groupBy("source").count().orderBy("source").collect() == [("a", 18_000), ("b", 2_000)]

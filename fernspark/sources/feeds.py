@@ -6,12 +6,14 @@ quarantine, which keeps the payload whole. Sources are described by a table: sou
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.hashes import source_kind, source_site
-from ..functions.text import blank_null, lookup, sex_word, strip, yes_no
+from ..functions.text import blank_null, let, lookup, sex_word, strip, yes_no
 from ..model import AGES, PAGE_AGES, PAGE_SIZES, PAGE_SOURCE, PAGE_SPECIES, SEXES, SIZES, SPECIES, STATUSES, WIDGET_AGES, WIDGET_SIZES, WIDGET_SOURCE, WIDGET_SPECIES
 
 #: Pictures that a widget animal has at most.
@@ -107,10 +109,29 @@ def typed(v: Column, path: str, kind: str) -> Column:
 
 def relation(resource: Column, name: str) -> Column:
     """The ids of a relation to one resource or many, as an array."""
-    raw = F.to_json(resource["relationships"][name]["data"])
-    one = F.from_json(raw, "struct<id:string>")
-    ids = F.when(raw.startswith("["), F.from_json(raw, "array<struct<id:string>>")["id"]).when(raw.startswith("{"), F.array(one["id"]))
-    return F.coalesce(ids, F.array().cast("array<string>"))
+    data = resource["relationships"][name]["data"]
+    one = F.try_variant_get(data, "$.id", "string")
+    return F.coalesce(F.try_variant_get(data, "$", "array<struct<id:string>>")["id"], F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>"))
+
+
+def bucketed(resources: Column, value: Callable[[Column], Column]) -> Column:
+    """Resources (id, attributes) of a page in as many buckets of ids as the root of their number, so that a look-up goes through few of them; within a bucket they keep their order.
+
+    Arrays and maps are searched from their start by Spark, which for all pictures of a page takes the square of their number.
+    """
+    def dealt(held: Column, most: Column) -> Column:
+        keyed = F.transform(held, lambda x: F.struct(F.pmod(F.xxhash64(x["id"]), most).alias("bucket"), x["id"].alias("id"), x["value"].alias("value")))
+        own = lambda xs, n: let(F.filter(xs, lambda x: x["bucket"] == n), lambda own: F.struct(own["id"].alias("ids"), own["value"].alias("values")))
+        return let(keyed, lambda xs: F.transform(F.sequence(F.lit(0).cast("long"), most - 1), lambda n: own(xs, n)))
+
+    held = F.transform(resources, lambda x: F.struct(x["id"].alias("id"), value(x["attributes"]).alias("value")))
+    return let(held, lambda xs: let(F.greatest(F.ceil(F.sqrt(F.size(xs))), F.lit(1).cast("long")), lambda most: dealt(xs, most)))
+
+
+def in_buckets(buckets: Column, key: Column) -> Column:
+    """The value of the first resource with an id; null if there is none."""
+    own = F.get(buckets, F.pmod(F.xxhash64(key), F.size(buckets)).cast("int"))
+    return let(own, lambda x: F.get(x["values"], F.array_position(x["ids"], key).cast("int") - 1))
 
 
 def page_listings(pages: DataFrame) -> DataFrame:
@@ -122,17 +143,19 @@ def page_listings(pages: DataFrame) -> DataFrame:
     parsed = pages.select("page_id", F.col("body").alias("raw_page"), F.from_json("body", PAGE).alias("p"))
     # The last first, so that it is the one found.
     of = lambda kind: F.reverse(F.filter("p.included", lambda x: x["type"] == kind))
-    held = parsed.select("p", of("pictures").alias("pictures"), of("orgs").alias("orgs"))
     picture = lambda x: F.coalesce(typed(x, "$.large.url", "string"), typed(x, "$.url", "string"))
-    held = held.select("p", F.col("pictures.id").alias("picture_ids"), F.transform("pictures.attributes", picture).alias("urls"), F.col("orgs.id").alias("org_ids"), F.col("orgs.attributes").alias("org_attributes"))
-    found = lambda values, ids, key: F.get(values, F.array_position(ids, key).cast("int") - 1)
+    held = parsed.select("raw_page", "p", bucketed(of("pictures"), picture).alias("pictures"), bucketed(of("orgs"), lambda x: x).alias("orgs"))
 
     def animal(r: Column) -> Column:
         org = F.get(relation(r, "orgs"), F.lit(0))
-        photos = F.filter(F.transform(relation(r, "pictures"), lambda k: found(F.col("urls"), F.col("picture_ids"), k)), lambda u: u.isNotNull())
-        return F.struct(r["id"].alias("id"), r["attributes"].alias("a"), org.alias("org"), found(F.col("org_attributes"), F.col("org_ids"), org).alias("o"), photos.alias("photos"), F.to_json(r).alias("raw"))
-
-    full = held.select(F.explode(F.transform("p.data", animal)).alias("x")).select("x.*")
+        photos = F.filter(F.transform(relation(r, "pictures"), lambda k: in_buckets(F.col("pictures"), k)), lambda u: u.isNotNull())
+        return F.struct(r.alias("r"), org.alias("org"), in_buckets(F.col("orgs"), org).alias("o"), photos.alias("photos"), F.lit(True).alias("read"), F.lit(None).cast("string").alias("page"))
+
+    none = lambda kind: F.lit(None).cast(kind)
+    unread = F.struct(none(_RESOURCE).alias("r"), none("string").alias("org"), none("variant").alias("o"), none("array<string>").alias("photos"), F.lit(False).alias("read"), F.col("raw_page").alias("page"))
+    # raw is made after, so that it is left out where nobody asks for it.
+    full = held.select(F.explode(F.when(F.col("p.data").isNull(), F.array(unread)).otherwise(F.transform("p.data", animal))).alias("x")).select("x.*")
+    full = full.select("*", F.col("r.id").alias("id"), F.col("r.attributes").alias("a"), F.when(F.col("read"), F.to_json("r")).otherwise(F.col("page")).alias("raw"))
     a, o = F.col("a"), F.col("o")
     s, b = (lambda name: typed(a, f"$.{name}", "string")), (lambda name: typed(a, f"$.{name}", "boolean"))
     flags = {"housetrained": "isHousetrained", "altered": "isAltered", "kids_ok": "isKidsOk", "dogs_ok": "isDogsOk", "cats_ok": "isCatsOk"}
@@ -146,10 +169,10 @@ def page_listings(pages: DataFrame) -> DataFrame:
         lookup(s("sizeGroup"), PAGE_SIZES).alias("size"), s("descriptionText").alias("description"), F.coalesce("photos", F.array().cast("array<string>")).alias("photos"), F.lit("available").alias("status"),
         typed(o, "$.city", "string").alias("city"), typed(o, "$.state", "string").alias("state"), typed(o, "$.postalcode", "string").alias("postcode"), lat.alias("lat"), lon.alias("lon"), F.col("org").alias("org_external_id"),
         typed(o, "$.name", "string").alias("org_name"), F.coalesce(s("animalID"), s("rescueId")).alias("org_internal_animal_id"), attributes.alias("attributes"), F.coalesce(tags, F.array().cast("array<string>")).alias("tags"),
-        s("createdDate").alias("published_at"), "raw",
+        s("createdDate").alias("published_at"), "raw", "read",
     )
-    unreadable = parsed.filter("p IS NULL OR p.data IS NULL").select(F.lit(PAGE_SOURCE).alias("source_id"), F.col("raw_page").alias("raw"), F.array(F.lit("payload unreadable")).alias("reasons"))
-    return with_reasons(listed).unionByName(unreadable, allowMissingColumns=True)
+    checked = with_reasons(listed).withColumn("reasons", F.when(F.col("read"), F.col("reasons")).otherwise(F.array(F.lit("payload unreadable"))))
+    return checked.select(*(c if c in ("source_id", "raw", "reasons") else F.when(F.col("read"), F.col(c)).alias(c) for c in checked.columns if c != "read"))
 
 
 def with_reasons(listings: DataFrame) -> DataFrame:

@@ -56,6 +56,30 @@ def test_page_feed_keeps_typed_attributes_only(spark, tmp_path):
     assert sorted(tuple(r["reasons"]) for r in bad.collect()) == [("missing organisation",), ("payload unreadable",)]
 
 
+def test_resources_are_found_in_small_buckets(spark):
+    """The first of an id counts, and no look-up goes through all resources of a page."""
+    n = 10_000
+    page = spark.range(1).select(F.concat(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.struct(k.cast("string").alias("id"), k.alias("attributes"))), F.array(F.struct(F.lit("7").alias("id"), F.lit(-7).alias("attributes")))).alias("r"))
+    b = page.select(feeds.bucketed(F.col("r"), lambda x: x).alias("b"))
+    r = b.select(*(feeds.in_buckets(F.col("b"), F.lit(k)).alias(f"k{k}") for k in ("7", "9999", "none")), feeds.in_buckets(F.col("b"), F.lit(None).cast("string")).alias("null"), F.array_max(F.transform("b", lambda x: F.size(x["ids"]))).alias("most")).first()
+    assert tuple(r)[:4] == (7, 9999, None, None) and r["most"] < 300
+    assert page.select(feeds.in_buckets(feeds.bucketed(F.filter("r", lambda x: x["id"] == ""), lambda x: x), F.lit("7"))).first()[0] is None
+
+
+def test_pages_without_included_resources_keep_their_animals(spark, tmp_path):
+    from fernspark.plans import ingest_queries
+
+    spark.sql("SELECT id * 17 AS o_orderkey, 1L AS o_custkey, '1-URGENT' AS o_orderpriority FROM range(2)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT 900L AS l_orderkey, 1L AS l_partkey, 1L AS l_suppkey, 1 AS l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT 1L AS s_suppkey, 'S' AS s_name, 1 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert sorted((r["pet_id"], r["photos"], r["reasons"]) for r in ingest_queries.page_flatten_included(spark, str(tmp_path)).collect()) == [(0, "", "missing organisation"), (17, "", "missing organisation")]
+
+
+def test_null_page_is_unreadable(spark):
+    pages = spark.createDataFrame([("1", None), ("2", '{"data":[]}')], "page_id string, body string")
+    assert [(r["name"], r["raw"], r["reasons"]) for r in feeds.page_listings(pages).collect()] == [(None, None, ["payload unreadable"])]
+
+
 def test_hashes_and_ids(spark):
     r = one(spark, a=hamming(F.lit("ffffffffffffffff"), F.lit("0000000000000000")), b=hamming(F.lit("ff"), F.lit("0")), c=bare_id(F.lit("00A7")), d=bare_id(F.lit("000")), e=source_kind(F.lit("a:b:c")), f=source_site(F.lit("a:b:c")), g=source_site(F.lit("a")))
     assert tuple(r) == (64, None, "a7", None, "a", "b:c", None)

@@ -1,18 +1,22 @@
 """Many searches at once over one table of pets: an inverted index of the searches' conjuncts.
 
-A search is a conjunction. It can be looked for under the cells that its circle or box touches, under the breed texts that
-contain its breed, or under its facets; each way gives it a few keys, of which a pet has exactly one. How many pets stand
-under a key is counted, for the keys that searches have, and each search is filed under the way with the fewest pets. Then
-pets and searches meet on keys, and the whole predicate is verified on what meets. Equal searches are one.
+A search is a conjunction. One with a circle or a box is looked for under the cells that it touches, where searches and pets
+meet in tiles of bounded size: what is asked of facts is answered once for each distinct question and distinct facts, and
+where it is once for each distinct region and place, so that no row is made for a search and a pet that meet.
 
-Searches for facets alone are counted on the table of distinct facets instead, which does not grow with the pets.
+A search for a breed anywhere is looked for under the breed texts that contain it, or under its facets, on the table of
+distinct facets and breed texts; one for facets alone on that of distinct facets. Equal searches are one.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,48 +164,160 @@ def search_totals(searches: DataFrame, pets: DataFrame) -> DataFrame:
     """
     scratch = Scratch()
     normal = scratch.staged(normal_searches(searches), "searches")
-    preds = scratch.staged(normal.drop("search_id").dropDuplicates(["mark"]), "predicates")
-    table = normal_pets(pets)
-    anywhere = F.col("lat").isNull() & F.col("west").isNull() & F.col("breed").isNull()
+    preds = scratch.staged(normal.drop("search_id").dropDuplicates(["mark"]).withColumn("number", F.monotonically_increasing_id()), "predicates")
+    named = normal_pets(pets)
+    # Pets that are alike in all that is asked are one row with their number; the plan of pets is run once.
+    table = scratch.staged(named.groupBy(*named.columns).agg(F.count(F.lit(1)).alias("n")), "pets")
+    nowhere = F.col("lat").isNull() & F.col("west").isNull()
+    plain, worded, placed = preds.filter(nowhere & F.col("breed").isNull()), preds.filter(nowhere & F.col("breed").isNotNull()), preds.filter(~nowhere)
+    found = _by_facets(plain, table).unionByName(_by_texts(worded, table, scratch)).unionByName(_by_place(placed, table, scratch))
+    totals = normal.select("search_id", "mark").join(preds.select("mark", "number"), "mark").join(found, "number", "left")
+    totals = staged(totals.select("search_id", F.coalesce("total", F.lit(0).cast("long")).alias("total")), "totals")
+    scratch.discard()
+    return searches.join(totals.withColumnRenamed("search_id", "_id"), F.col("search_id").eqNullSafe(F.col("_id"))).drop("_id")
+
+
+def _summed(df: DataFrame) -> DataFrame:
+    return df.groupBy("number").agg(F.sum("n").alias("total"))
+
+
+def _set_keys(sets: list[int]) -> list[Column]:
+    """A pet's key for each set of facets."""
+    return [_key("facets", F.lit(b), *(F.when(F.lit(bool(b >> k & 1)), x) for k, x in enumerate(_facet_columns()))) for b in sets]
+
 
-    # Facets alone: on distinct facets, each with its number of pets.
-    facets = table.groupBy(*(f"p_{c}" for c in FACETS)).agg(F.count(F.lit(1)).alias("n"))
+def _by_facets(plain: DataFrame, table: DataFrame) -> DataFrame:
+    """Searches for facets alone: on distinct facets, each with its number of pets."""
+    facets = table.groupBy(*(f"p_{c}" for c in FACETS)).agg(F.sum("n").alias("n"))
     bits, values = facet_key_fields()
-    plain = preds.filter(anywhere).withColumns({"bits": bits, "key": _key("facets", bits, *values)})
+    plain = plain.withColumns({"bits": bits, "key": _key("facets", bits, *values)})
     asked = [r["bits"] for r in plain.select("bits").distinct().collect()]  # at most 2**7 rows
-    own = _facet_columns()
-
-    def by_facets(rows: DataFrame, sets: list[int]) -> DataFrame:
-        """rows, once for each set of facets, with their key."""
-        keys = [_key("facets", F.lit(b), *(F.when(F.lit(bool(b >> k & 1)), x) for k, x in enumerate(own))) for b in sets]
-        return rows.withColumn("key", F.explode(F.array(*keys).cast("array<bigint>")))
-
-    counted = by_facets(facets, asked).join(plain, "key").filter(matches(True)).groupBy("mark").agg(F.sum("n").alias("total"))
-
-    # The others: by the way with the fewest pets.
-    rest = scratch.staged(preds.filter(~anywhere).withColumns({"bits": bits, "place": place_keys()}), "placed")
-    breeds = scratch.staged(_breed_texts(rest, table, scratch), "breeds")
-    cells = rest.filter("place IS NOT NULL").select("mark", F.lit("place").alias("way"), F.explode_outer("place").alias("key"))
-    texts = rest.join(breeds, "breed", "left").filter("breed IS NOT NULL").select("mark", F.lit("breed").alias("way"), F.when(F.col("p_breed").isNotNull(), _key("breed", F.col("p_breed"))).alias("key"))
-    fixed = rest.filter("bits > 0").select("mark", F.lit("facets").alias("way"), _key("facets", bits, *values).alias("key"))
-    keys = scratch.staged(cells.unionByName(texts).unionByName(fixed), "keys")
-    wanted = scratch.staged(keys.filter("key IS NOT NULL").select("key").distinct(), "wanted")
-    few = wanted.count() <= FEW_KEYS
-    wanted = F.broadcast(wanted) if few else wanted
+    return _summed(facets.withColumn("key", F.explode(F.array(*_set_keys(asked)).cast("array<bigint>"))).join(plain, "key").filter(matches(True)))
+
+
+def _by_texts(worded: DataFrame, table: DataFrame, scratch: Scratch) -> DataFrame:
+    """Searches for a breed, and facets, anywhere: on distinct facets and breed texts, by the way with the fewest of them."""
+    told = scratch.staged(table.filter("p_breed <> ''").groupBy("p_breed", *(f"p_{c}" for c in FACETS)).agg(F.sum("n").alias("n")), "told")
+    bits, values = facet_key_fields()
+    rest = scratch.staged(worded.withColumn("bits", bits), "worded")
+    breeds = scratch.staged(_breed_texts(rest, told, scratch), "breeds")
+    texts = rest.join(breeds, "breed").select("number", F.lit("breed").alias("way"), _key("breed", F.col("p_breed")).alias("key"))
+    fixed = rest.filter("bits > 0").select("number", F.lit("facets").alias("way"), _key("facets", bits, *values).alias("key"))
+    keys = scratch.staged(texts.unionByName(fixed), "keys")
     sets = [r["bits"] for r in rest.filter("bits > 0").select("bits").distinct().collect()]  # at most 2**7 rows
+    stood = told.withColumn("key", F.explode(F.array(_key("breed", F.col("p_breed")), *_set_keys(sets))))
+    weights = stood.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    cost = keys.join(weights, "key", "left").groupBy("number", "way").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+    # A search whose breed no text contains finds nothing, whatever its facets; it may be filed under them.
+    chosen = cost.groupBy("number").agg(F.min_by("way", F.struct("rows", "way")).alias("way"))
+    index = scratch.staged(keys.join(chosen, ["number", "way"]).select("number", "key").join(rest.drop("bits"), "number"), "index")
+    terms = matches(True) & F.contains(F.col("p_breed"), F.col("breed"))
+    return _summed(stood.join(F.broadcast(index) if index.count() <= FEW_SEARCHES else index, "key").filter(terms))
+
+
+#: Rows of pets and searches of one cell that meet in one group.
+TILE_PETS, TILE_SEARCHES = 16_384, 2_048
+#: Rows of a group of tiles, searches times places that are compared at once, and bytes of answers that a task keeps.
+GROUP_ROWS, TILE_CELLS, ANSWERS = 400_000, 1 << 20, 1 << 26
+#: What a search asks of a pet's facts, and where.
+ASKED = ("species", "sex", "house_trained", *LISTS, "good_with", "include_unknown_compat", "breed")
+WHERE = ("west", "south", "east", "north", "lat", "lon", "radius")
+NOT_GIVEN = 1e300
+
+
+def _by_place(placed: DataFrame, table: DataFrame, scratch: Scratch) -> DataFrame:
+    """Searches with a place: searches and pets of one cell meet in tiles of bounded size, where facts are looked at once for each distinct question and places once for each distinct region."""
+    asks = placed.select("number", F.explode(place_keys()).alias("key"), F.to_json(F.struct(*ASKED)).alias("ask"), *WHERE)
+    asks = scratch.staged(asks, "asks")
     spots = [_key("place", F.lit(x), *_cell(F.col("p_lat"), F.col("p_lon"), F.lit(x)), s) for x in CELLS for s in (F.col("p_species"), F.lit("*"))]
-    here = F.when(F.col("p_lat").isNotNull() & F.col("p_lon").isNotNull(), F.array(*spots)).otherwise(F.array().cast("array<bigint>"))
-    breed = F.when(F.col("p_breed") != "", F.array(_key("breed", F.col("p_breed")))).otherwise(F.array().cast("array<bigint>"))
-    fixed_keys = F.array(*(_key("facets", F.lit(b), *(F.when(F.lit(bool(b >> k & 1)), x) for k, x in enumerate(own))) for b in sets)).cast("array<bigint>")
-    stood = table.withColumn("key", F.explode(F.concat(here, breed, fixed_keys))).join(wanted, "key", "left_semi")
-    weights = stood.groupBy("key").agg(F.count(F.lit(1)).alias("pets"))
-    cost = keys.join(weights, "key", "left").groupBy("mark", "way").agg(F.coalesce(F.sum("pets"), F.lit(0)).alias("pets"))
-    chosen = cost.groupBy("mark").agg(F.min_by("way", F.struct("pets", "way")).alias("way"))
-    filed = keys.join(chosen, ["mark", "way"]).filter("key IS NOT NULL").select("mark", "key")
-    index = scratch.staged(filed.join(rest.drop("bits", "place"), "mark"), "index")
-    small = index.count() <= FEW_SEARCHES
-    met = stood.join(F.broadcast(index) if small else index, "key").filter(matches())
-    found = met.groupBy("mark").agg(F.count(F.lit(1)).alias("total"))
-    totals = staged(normal.select("search_id", "mark").join(counted.unionByName(found), "mark", "left").select("search_id", F.coalesce("total", F.lit(0).cast("long")).alias("total")), "totals")
-    scratch.discard()
-    return searches.join(totals.withColumnRenamed("search_id", "_id"), F.col("search_id").eqNullSafe(F.col("_id"))).drop("_id")
+    facts = F.to_json(F.array(*(f"p_{c}" for c in FACETS), "p_breed"))
+    stood = table.filter("p_lat IS NOT NULL AND p_lon IS NOT NULL").select(F.array(*spots).alias("spots"), facts.alias("facts"), F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon"), "n")
+    stood = stood.withColumn("key", F.explode("spots")).drop("spots")
+    rows = F.count(F.lit(1))
+    wanted = scratch.staged(asks.groupBy("key").agg(rows.alias("asks")), "wanted")
+    few = wanted.count() <= FEW_KEYS
+    small = lambda df: F.broadcast(df) if few else df
+    sizes = stood.join(small(wanted), "key").groupBy("key").agg(F.first("asks").alias("asks"), rows.alias("pets"))
+    parts = {"s_parts": F.ceil(F.col("asks") / TILE_SEARCHES).cast("int"), "p_parts": F.ceil(F.col("pets") / TILE_PETS).cast("int")}
+    sizes = scratch.staged(sizes.withColumns(parts), "tiles")
+    moved = sizes.agg(F.sum(F.col("asks") * F.col("p_parts") + F.col("pets") * F.col("s_parts"))).first()[0] or 0
+    groups = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-moved // GROUP_ROWS))
+    sizes = sizes.select("key", *parts)
+    part = lambda row, n: F.pmod(F.xxhash64(*row), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    tile = F.xxhash64("key", "s", "p").alias("tile")
+    group = F.pmod(F.xxhash64("key", "s", "p"), F.lit(groups)).alias("group")
+    left = asks.join(small(sizes), "key").select("key", part(["number"], "s_parts").alias("s"), each("p_parts").alias("p"), "number", "ask", *WHERE).select(group, tile, "number", "ask", *WHERE)
+    right = stood.join(small(sizes), "key").select("key", each("s_parts").alias("s"), part(["facts", "lat", "lon"], "p_parts").alias("p"), "facts", "lat", "lon", "n").select(group, tile, "facts", "lat", "lon", "n")
+    return _summed(left.groupBy("group").cogroup(right.groupBy("group")).applyInArrow(_counted, "number long, n long"))
+
+
+def _counted(asked: pa.Table, pets: pa.Table) -> pa.Table:
+    """How many pets each search finds in the tiles of a group; those that find none are left out."""
+    if not asked.num_rows or not pets.num_rows:
+        return pa.table({"number": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    pets, (ask, questions) = pets.sort_by("tile"), _coded(asked.column("ask"))
+    kind, kinds = _coded(pets.column("facts"))
+    facts, known = dict(zip((*FACETS, "breed"), zip(*map(json.loads, kinds)))), {}
+
+    def having(column: str, test: str, values: tuple) -> np.ndarray:
+        """Which distinct facts have one of some values, or contain a text."""
+        if (column, test, values) not in known:
+            holds = (lambda v: v in values) if test == "in" else (lambda v: values[0] in v)
+            known[column, test, values] = np.array([v is not None and holds(v) for v in facts[column]])
+        return known[column, test, values]
+
+    def answer(q: dict) -> np.ndarray:
+        """Which distinct facts are what a question asks for."""
+        terms = [having(c, "in", (q[c],)) for c in ("species", "sex", "house_trained") if q.get(c) is not None]
+        terms += [having(p, "in", tuple(q[c])) for c, p in LISTS.items() if q.get(c) is not None]
+        friendly = ("true", "unknown") if q["include_unknown_compat"] else ("true",)
+        terms += [having(f"compat_{t}", "in", friendly) for t in TARGETS if t in q.get("good_with", ())]
+        terms += [having("breed", "contains", (q["breed"],))] if q.get("breed") is not None else []
+        return np.logical_and.reduce(terms) if terms else np.ones(len(kinds), bool)
+
+    tile, lat, lon, weight = (pets.column(c).to_numpy() for c in ("tile", "lat", "lon", "n"))
+    where = np.stack([pa.compute.fill_null(asked.column(c), NOT_GIVEN).to_numpy() for c in WHERE])
+    at, totals, answers = asked.column("tile").to_numpy(), np.zeros(len(ask), np.int64), {}
+    starts = np.flatnonzero(np.diff(tile, prepend=tile[0] - 1))
+    ends, tiles = np.append(starts[1:], len(tile)), tile[starts]
+    for here in _stretches(np.lexsort((ask, at)), at):
+        k = np.searchsorted(tiles, at[here[0]])
+        if k == len(tiles) or tiles[k] != at[here[0]]:
+            continue
+        own = slice(starts[k], ends[k])
+        spots, spot = np.unique(lat[own] + 1j * lon[own], return_inverse=True)
+        inside = np.concatenate([_inside(where[:, few, None], spots.real, spots.imag) for few in np.array_split(here, -(-len(here) * len(spots) // TILE_CELLS))])
+        first = 0
+        for rows in _stretches(here, ask):
+            q = ask[rows[0]]
+            if q not in answers:
+                if len(answers) * len(kinds) > ANSWERS:
+                    answers.clear()
+                answers[q] = answer(json.loads(questions[q]))
+            found = answers[q][kind[own]]
+            totals[rows] = inside[first : first + len(rows)] @ np.bincount(spot[found], weights=weight[own][found], minlength=len(spots))
+            first += len(rows)
+    some = np.flatnonzero(totals)
+    return pa.table({"number": asked.column("number").take(pa.array(some)), "n": pa.array(totals[some])})
+
+
+def _stretches(rows: np.ndarray, mark: np.ndarray) -> list[np.ndarray]:
+    """rows, cut where their mark changes."""
+    return np.split(rows, np.flatnonzero(np.diff(mark[rows])) + 1)
+
+
+def _coded(texts: pa.ChunkedArray) -> tuple[np.ndarray, list[str]]:
+    """Places in the list of distinct texts, and that list."""
+    coded = texts.combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+def _inside(region: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Which places lie in which regions (as of WHERE; NOT_GIVEN where null), as in matches."""
+    west, south, east, north, y, x, radius = region
+    boxed = (west == NOT_GIVEN) | ((lat >= south) & (lat <= north) & (lon >= west) & (lon <= east))
+    a, b = np.radians(lat - y) / 2, np.radians(lon - x) / 2
+    h = np.sin(a) * np.sin(a) + np.cos(np.radians(y)) * np.cos(np.radians(lat)) * np.sin(b) * np.sin(b)
+    return boxed & ((y == NOT_GIVEN) | (np.arcsin(np.minimum(1.0, np.sqrt(h))) * 2 * EARTH_MILES <= radius))

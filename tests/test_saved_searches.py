@@ -49,6 +49,16 @@ def test_totals_equal_each_predicate(spark, monkeypatch, few):
     assert found == plain(spark, pets, asked) and sum(found.values()) > 1000
 
 
+def test_searches_and_pets_of_one_cell_meet_in_tiles_not_in_pairs(spark, monkeypatch):
+    """Tiles of a few rows give the same totals, and counting makes no row for a pet and a search."""
+    for name, most in {"TILE_PETS": 3, "TILE_SEARCHES": 2, "TILE_CELLS": 4, "ANSWERS": 0}.items():
+        monkeypatch.setattr(predicates, name, most)
+    rows, asked = made(random.Random(5))
+    rows, asked = rows[:120], asked[:60]
+    got = profiles.search_totals(spark.createDataFrame(asked, SEARCHES), spark.createDataFrame(rows, PETS))
+    assert {r["search_id"]: r["total"] for r in got.collect()} == plain(spark, spark.createDataFrame(rows, PETS), asked)
+
+
 def test_lists_as_text_missing_columns_and_empty_tables(spark):
     pets = spark.createDataFrame([(1, "dog", "baby"), (2, "dog", "adult"), (3, "cat", None)], "pet_id long, species string, age_group string")
     searches = spark.createDataFrame([(1, "", "baby,adult", ""), (2, "cat", "", "kids"), (3, None, None, None), (4, "dog", None, "kids")], "search_id long, species string, age_group string, good_with string")

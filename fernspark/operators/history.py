@@ -15,6 +15,14 @@ from .resolve import reconcile_status, survivors
 
 #: Rounds of doubling after which a chain is taken for a circle: chains of up to 2 ** 40 merges end before.
 ROUNDS = 40
+#: Rows that a task takes in. Spark puts tasks together by compressed bytes, of which identifiers in order have next to none.
+TASK_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, by: str, *sized: DataFrame) -> DataFrame:
+    """rows dealt out by a column over as many tasks as the rows of the largest of `sized` ask for; those should be plain tables, which are counted by their metadata."""
+    most = max(df.count() for df in sized)
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // TASK_ROWS)), by)
 
 
 def active_merges(log: DataFrame, upto: int | None = None) -> DataFrame:
@@ -60,14 +68,16 @@ def state_at(log: DataFrame, upto: int | None, pets: DataFrame, links: DataFrame
     others are as they were; those merged away are not there.
     """
     found = owners(active_merges(log, upto))
-    mine, pictures = owned(links, found), owned(photos, found)
+    sized = (links, photos)
+    mine, pictures = (owned(dealt(x, "pet_id", *sized), found) for x in sized)
     members = found.select(F.col("owner").alias("winner"), F.col("pet_id").alias("node")).unionByName(found.select(F.col("owner").alias("winner"), F.col("owner").alias("node")).distinct())
     order = Window.partitionBy("winner").orderBy((F.col("node") != F.col("winner")).cast("int"), F.desc("trust"), F.desc("last_seen"), "node")
-    ranked = members.join(standing.withColumnRenamed("pet_id", "node"), "node", "left").withColumn("rank", F.row_number().over(order)).select("winner", "node", "rank")
+    ranked = members.join(standing.withColumnRenamed("pet_id", "node"), "node", "left").transform(dealt, "winner", *sized).withColumn("rank", F.row_number().over(order)).select("winner", "node", "rank")
     merged = survivors(ranked, pets).withColumnRenamed("winner", "pet_id")
-    of_merged = mine.join(merged.select("pet_id"), "pet_id", "left_semi")
+    # Links of pets that stand for several are told by found, which is smaller than what survives of their facts.
+    of_merged = dealt(mine, "pet_id", *sized).join(found.select(F.col("owner").alias("pet_id")), "pet_id", "left_semi")
     merged = merged.join(reconcile_status(of_merged, registry, as_of), "pet_id", "left").withColumn("status", F.coalesce("status", F.lit("removed")))
     rest = pets.join(members.select(F.col("node").alias("pet_id")), "pet_id", "left_anti").withColumn("members", F.lit(1).cast("long"))
-    own = pets.select("pet_id", *(c for c in pets.columns if c != "pet_id" and c not in merged.columns))
-    whole = merged.join(own, "pet_id", "left")
+    own = [c for c in pets.columns if c != "pet_id" and c not in merged.columns]
+    whole = merged.join(pets.select("pet_id", *own), "pet_id", "left") if own else merged
     return whole.select(*rest.columns).unionByName(rest), mine, pictures

@@ -156,3 +156,18 @@ def test_alerts_read_a_week_and_the_latest_runs(spark, tmp_path):
         assert got[n] == {tuple(r) for r in twin.collect()}
     assert sum(map(len, got.values())) > 10 and len(got) == len(lots)
     assert spark.read.parquet(f"{path}/latest/batch={len(lots) - 1}").count() == 3
+
+
+def test_tasks_of_a_replay_follow_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(history, "TASK_ROWS", 10)
+    n = 60
+    log = spark.createDataFrame([(k, "merge", k, k - 1) for k in range(1, n, 3)], "seq long, kind string, loser long, winner long")
+    pets = spark.createDataFrame([(k, "available", "male") for k in range(n)], "pet_id long, status string, sex string")
+    links = spark.createDataFrame([(k % n, "s", "pending", DAY) for k in range(2 * n)], "pet_id long, source string, status string, last_seen_at timestamp")
+    photos = spark.createDataFrame([(k, f"u{k}") for k in range(n)], "pet_id long, url string")
+    standing = spark.createDataFrame([(k, 1, 0) for k in range(n)], "pet_id long, trust int, last_seen int")
+    registry = spark.createDataFrame([("s", 86400)], "source string, interval_s long")
+    after, mine, pictures = history.state_at(log, None, pets, links, photos, standing, registry, F.lit(DAY))
+    assert mine.count() == 2 * n and pictures.count() == n and after.count() == n - n // 3
+    assert {history.dealt(x, "pet_id", links, photos).rdd.getNumPartitions() for x in (after, mine)} == {12}
+    assert all("REPARTITION_BY_NUM" in x._jdf.queryExecution().executedPlan().toString() for x in (after, mine, pictures))

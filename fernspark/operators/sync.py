@@ -39,7 +39,12 @@ def classify(state: DataFrame, batch: DataFrame) -> DataFrame:
     return s.join(b, on, "full").withColumn("kind", kind)
 
 
-def next_listings(classified: DataFrame, run_at: Column, completed: list[str] | None = None, version: int = NORMALIZER_VERSION) -> DataFrame:
+def _complete(completed: list[str] | Column | None) -> Column:
+    """Whether a stored listing's source was complete: one of a list, or by a column of its own (on s) where sources are many."""
+    return F.lit(True) if completed is None else completed if isinstance(completed, Column) else F.col("s.source").isin(*completed)
+
+
+def next_listings(classified: DataFrame, run_at: Column, completed: list[str] | Column | None = None, version: int = NORMALIZER_VERSION) -> DataFrame:
     """The next state: seen listings as the feed has them, unseen ones removed if their source's feed was complete (None: all were).
 
     first_seen_at is the stored one, or for new listings run_at; removed_at is set when a listing is removed, stays while it
@@ -50,7 +55,7 @@ def next_listings(classified: DataFrame, run_at: Column, completed: list[str] |
     stored = {f.name for f in classified.schema["s"].dataType.fields}
     old = lambda n, kind: c(f"s.{n}") if n in stored else F.lit(None).cast(kind)
     seen = c("b").isNotNull()
-    gone = (c("kind") == "unseen") & (c("s.status") != "removed") & (F.lit(True) if completed is None else c("s.source").isin(*completed))
+    gone = (c("kind") == "unseen") & (c("s.status") != "removed") & _complete(completed)
     content = [f.name for f in classified.schema["b"].dataType.fields if f.name not in ("hash", "status", "copies")]
     return classified.select(
         *(F.when(seen, c(f"b.{n}")).otherwise(c(f"s.{n}")).alias(n) for n in content), F.when(seen, c("b.hash")).otherwise(c("s.hash")).alias("hash"),
@@ -91,10 +96,9 @@ def upsert_organizations(listings: DataFrame, refs: DataFrame) -> tuple[DataFram
     return linked.drop("_known"), new
 
 
-def changed_keys(classified: DataFrame, completed: list[str] | None = None) -> DataFrame:
+def changed_keys(classified: DataFrame, completed: list[str] | Column | None = None) -> DataFrame:
     """Keys whose listing is new, changed, back, or now removed."""
-    complete = F.lit(True) if completed is None else F.col("s.source").isin(*completed)
-    gone = (F.col("kind") == "unseen") & (F.col("s.status") != "removed") & complete
+    gone = (F.col("kind") == "unseen") & (F.col("s.status") != "removed") & _complete(completed)
     keys = [F.coalesce(f"b.{k}", f"s.{k}").alias(k) for k in KEY]
     return classified.filter(F.col("kind").isin("new", "changed", "reappeared") | gone).select(*keys, F.when(gone, "removed").otherwise(F.col("kind")).alias("change"))
 

@@ -47,7 +47,8 @@ def parse_widget(payloads: DataFrame) -> DataFrame:
     parsed = payloads.select("account", "body", text.alias("json"), reason.alias("reason")).withColumn("animals", F.from_json("json", f"array<struct<{WIDGET_ANIMAL.replace(' ', ':').replace(',:', ',')}>>"))
     bad = F.coalesce("reason", F.when(F.col("animals").isNull(), "payload unreadable"))
     own = F.transform(F.from_json("json", "array<variant>"), lambda v: F.to_json(v))
-    both = F.transform("animals", lambda x, k: F.struct(x.alias("animal"), F.coalesce(F.get(own, k), F.to_json(x)).alias("raw")))
+    # Named, or it would be parsed anew for each animal.
+    both = let(own, lambda own: F.transform("animals", lambda x, k: F.struct(x.alias("animal"), F.coalesce(F.get(own, k), F.to_json(x)).alias("raw"))))
     rows = parsed.withColumn("reason", bad).select("account", F.explode_outer(both).alias("x"), "reason", "body")
     rows = rows.select("account", F.col("x.animal").alias("animal"), F.when(F.col("reason").isNotNull(), F.col("body")).otherwise(F.col("x.raw")).alias("raw"), "reason")
     return rows.filter("animal IS NOT NULL OR reason IS NOT NULL")

@@ -88,3 +88,43 @@ def test_an_account_that_lost_all_its_payloads_loses_no_listing(spark, tmp_path)
     got = sorted(map(str, map(tuple, stream_queries.stream_landed_feed(spark, str(tmp_path)).select("kind", "source", "what", "n", "ids").collect())))
     want = con.execute(f"SELECT kind, source, what, n, ids FROM ({stream_queries.QUERIES[stream_queries.stream_landed_feed]})").fetchall()
     assert got == sorted(map(str, want)) and len(got) > 20
+
+
+def test_small_payloads_share_files(spark, tmp_path):
+    path = str(tmp_path / "in")
+    given = [(f"asm3:{k}", f"é{k}" * k) for k in range(40)] + [("asm3:long", "z" * (3 << 20)), (None, None)]
+    rows = spark.createDataFrame(given, "source string, body string").coalesce(1)
+    landing.land(rows, path, "2024-01-01T00:00:00", spark.createDataFrame([("asm3:7",), ("asm3:silent",), ("asm3:silent",), (None,)], "source string"))
+    got = landing.landed(spark, path).collect()
+    assert sorted((str(r["source"]), r["body"]) for r in got if r["file"]) == sorted((str(s), b or "") for s, b in given)
+    assert {r["source"] for r in got if r["complete"]} == {"asm3:7", "asm3:silent"} and [r["source"] for r in got if not r["file"]] == ["asm3:silent"]
+    files = {r["file"] for r in got if r["file"]}
+    assert len(files) == 2 and {r["source"] for r in got if r["file"] == max(files, key=lambda f: (tmp_path / "in" / f).stat().st_size)} == {"asm3:long"}
+    shared = tmp_path / "in" / min(files, key=lambda f: (tmp_path / "in" / f).stat().st_size)
+    shared.write_bytes(shared.read_bytes()[:-1])  # the last payload that has bytes lost one
+    after = {r["source"]: (r["body"], r["error"]) for r in landing.landed(spark, path).collect()}
+    assert [s for s, (_, e) in after.items() if e] and all(e in (None, "payload cut short") for _, e in after.values()) and after["asm3:20"] == ("é20" * 20, None)
+    shared.unlink()
+    assert sum(r["error"] == "payload missing" for r in landing.landed(spark, path).collect()) == 41
+
+
+def test_the_driver_holds_no_list_of_payloads_or_sources(spark, tmp_path):
+    """The marker and the manifest are as large for 500 sources as for few."""
+    path, state, bad, check = (str(tmp_path / x) for x in ("in", "state", "bad", "check"))
+    registry, n = spark.createDataFrame([], REGISTRY), 500
+
+    def parse(rows):
+        good, quarantine = feeds.widget_feed(rows, registry, F.lit("2024-01-01").cast("timestamp"))
+        return good.select(F.col("source_id").alias("source"), F.lit(None).cast("string").alias("site"), "external_id", "name", "status"), quarantine
+
+    every = spark.range(n).select(F.concat(F.lit("asm3:"), "id").alias("source"))
+    lots = [[(f"asm3:{k}", script((1, "Ann"), (2, "Bo"))) for k in range(n)], [(f"asm3:{k}", script((1, "Ann"))[: 30 if k % 10 == 0 else None]) for k in range(0, n, 2)]]
+    for day, lot in enumerate(lots, 1):
+        landing.land(spark.createDataFrame(lot, "source string, body string").coalesce(2), path, f"2024-01-{day:02d}T00:00:00", every)
+        streams.run_feed(spark, path, state, bad, check, parse, buckets=2, groups=3).awaitTermination()
+    assert max(x.stat().st_size for x in (tmp_path / "in" / "_landed").glob("*.json")) < 3000
+    assert sum(1 for x in (tmp_path / "in" / "lots").rglob("*") if x.is_file()) < 60
+    assert len(streams._manifest(spark, state, 2)) <= 6
+    rows = streams.read_state(spark, state, streams.state_schema(parse(landing.landed(spark, path, 0, 0))[0]), 2).collect()
+    got = {(int(r["source"][5:]), r["external_id"]): r["status"] for r in rows}
+    assert got == {(k, i): "available" if k % 10 == 0 or i == "1" and k % 2 == 0 else "removed" for k in range(n) for i in "12"}
